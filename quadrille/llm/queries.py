@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import pii, sharding
+from . import pii, sharding, substring_dedup
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeated_passages(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.assign_shards(_read(spark, sf_dir, "documents"))
 
@@ -17,6 +21,17 @@ def op9_pii(spark, sf_dir):
     return pii.find_personal_data(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_sharding, op9_pii)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op6_substring_dedup, op8_sharding, op9_pii)}
+
+SQL: dict[str, str] = {
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+                FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+        least AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN least USING (k) CROSS JOIN range(13) AS t(j) WHERE d < doc_id),
+        word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
+}
