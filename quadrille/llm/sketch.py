@@ -2,12 +2,12 @@
 
 Each task counts its hashes in a sketch of its own; only blocks that hold
 something leave it, compressed. Blocks meet by number, in two rounds when there
-are many tasks, so no task sees more than a bounded number of them. The merged
-cells are levels of one byte: exact counts up to LINEAR, a logarithmic scale
-beyond. A sketch never shows less than the true count until LINEAR; its size
-is bounded by MAX_CELLS, so that it may be broadcast whatever the input. Beyond
-about that many different hashes it tells less apart, which costs its users
-time but no result.
+are many tasks, so no task sees more than a bounded number of them. A merged
+cell is a level of four bits: counts up to 3 as they are, then one more level
+for each doubling. A level is never that of less than the true count (up to
+255 from one task); a sketch has at most MAX_CELLS cells in all, so that it may
+be broadcast whatever the input. Beyond about that many different hashes it
+tells less apart, which costs its users time but no result.
 """
 
 from __future__ import annotations
@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 
 from .textgrid import mix
 
-DEPTH = 2
-MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 26  # per row of the sketch
+MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 28  # over all rows: at most 128 MB
 BLOCK = 1 << 20
-LINEAR = 127
 _ROUND = 256  # partial sketches that meet in one task at most, about
 
 _SCHEMA = "part int, row int, block int, cells binary"
@@ -34,37 +32,43 @@ def _cells(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mix(hashes + np.uint64(0xA0761D6478BD642F * (row + 1) & (1 << 64) - 1)) & np.uint64(cells - 1)).astype(np.uint32)
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    out = np.minimum(counts, LINEAR).astype(np.uint8)
-    high = counts > LINEAR
-    out[high] = np.minimum(255, LINEAR + 1 + 4 * np.log2(counts[high] / LINEAR)).astype(np.uint8)
-    return out
+def level(count: int) -> int:
+    """The level of a count: below it, a hash certainly occurs less often."""
+    return count if count < 4 else min(15, 1 + count.bit_length())
+
+
+def _packed_levels(counts: np.ndarray) -> np.ndarray:
+    doublings = np.frexp(counts.astype(np.float64))[1]
+    levels = np.where(counts < 4, counts, np.minimum(15, 1 + doublings)).astype(np.uint8)
+    return levels[0::2] | levels[1::2] << 4
 
 
 class Sketch:
-    """levels(hashes) is at least the true count of each, up to LINEAR, and never falls as that count grows."""
+    """levels(hashes): for each, at least the level of its true count."""
 
-    def __init__(self, cells: int, blocks: list[tuple[int, int, bytes]]):
-        self.cells, self.blocks, self._table = cells, blocks, None
+    def __init__(self, cells: int, depth: int, blocks: list[tuple[int, int, bytes]]):
+        self.cells, self.depth, self.blocks, self._table = cells, depth, blocks, None
 
     def __getstate__(self):
-        return {"cells": self.cells, "blocks": self.blocks, "_table": None}
+        return self.__dict__ | {"_table": None}
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         if self._table is None:
-            size = min(BLOCK, self.cells)
-            self._table = np.zeros((DEPTH, self.cells), np.uint8)
+            size = min(BLOCK, self.cells) // 2
+            self._table = np.zeros((self.depth, self.cells // 2), np.uint8)
             for row, block, packed in self.blocks:
                 self._table[row, block * size : (block + 1) * size] = np.frombuffer(pa.decompress(packed, size, codec="zstd"), np.uint8)
-        out = self._table[0][_cells(hashes, 0, self.cells)]
-        for row in range(1, DEPTH):
-            np.minimum(out, self._table[row][_cells(hashes, row, self.cells)], out=out)
+        out = np.full(len(hashes), 15, np.uint8)
+        for row in range(self.depth):
+            at = _cells(hashes, row, self.cells)
+            two = self._table[row][at >> np.uint32(1)]
+            np.minimum(out, np.where(at & np.uint32(1), two >> 4, two & 15), out=out)
         return out
 
 
-def cells_for(expected: int) -> int:
-    """A power of two of at least twice the expected number of hashes, within the bounds."""
-    return max(MIN_CELLS, min(MAX_CELLS, 1 << max(1, 2 * int(expected) - 1).bit_length()))
+def cells_for(expected: int, depth: int) -> int:
+    """Cells of each row: a power of two, in all rows at least twice the expected number of hashes for each row, within the bounds."""
+    return max(MIN_CELLS, min(MAX_CELLS // depth, 1 << max(1, 2 * int(expected) - 1).bit_length()))
 
 
 def _merge(batches):
@@ -86,8 +90,9 @@ def _row(part: int, row: int, block: int, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names=["part", "row", "block", "cells"])
 
 
-def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], cells: int) -> Sketch:
+def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expected: int, depth: int) -> Sketch:
     """The sketch of all values that hashes() gives for the Arrow batches of df, each counted as often as it is given."""
+    cells = cells_for(expected, depth)
     size = min(BLOCK, cells)
     partitions = df.rdd.getNumPartitions()
     rounds = -(-partitions // _ROUND)
@@ -96,13 +101,13 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], cells:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() % rounds
-        table = np.zeros((DEPTH, cells), np.uint8)
+        table = np.zeros((depth, cells), np.uint8)
         for batch in batches:
             values = hashes(batch)
-            for row in range(DEPTH):
+            for row in range(depth):
                 at, n = np.unique(_cells(values, row, cells), return_counts=True)
                 table[row][at] = np.minimum(255, table[row][at] + n)
-        for row in range(DEPTH):
+        for row in range(depth):
             for block in range(cells // size):
                 piece = table[row, block * size : (block + 1) * size]
                 if piece.any():
@@ -112,11 +117,9 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], cells:
     if rounds > 1:
         found = found.repartition("part", "row", "block").mapInArrow(_merge, _SCHEMA)
     found = found.repartition("row", "block").mapInArrow(_merge, _SCHEMA)
-    blocks = []
-    # one row of at most BLOCK bytes for each block: bounded by DEPTH * MAX_CELLS bytes
-    for r in found.mapInArrow(_level_blocks, _SCHEMA).select("row", "block", F.col("cells")).toLocalIterator():
-        blocks.append((r.row, r.block, bytes(r.cells)))
-    return Sketch(cells, sorted(blocks))
+    # one row of at most BLOCK / 2 bytes for each block, so at most MAX_CELLS / 2 bytes whatever the input
+    blocks = [(r.row, r.block, bytes(r.cells)) for r in found.mapInArrow(_level_blocks, _SCHEMA).collect()]
+    return Sketch(cells, depth, sorted(blocks))
 
 
 def _level_blocks(batches):
@@ -124,7 +127,7 @@ def _level_blocks(batches):
         for part, row, block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             size = int.from_bytes(packed[:4], "little")
             counts = np.frombuffer(pa.decompress(packed[4:], 4 * size, codec="zstd"), np.uint32)
-            packed = pa.compress(_levels(counts).tobytes(), codec="zstd", asbytes=True)
+            packed = pa.compress(_packed_levels(counts).tobytes(), codec="zstd", asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([bytes(packed)], pa.binary())], names=["part", "row", "block", "cells"])
 
 

@@ -97,8 +97,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     docs: doc_id long, text string, text_key long, the same for equal texts.
     """
-    cells = cm.cells_for(cm.text_bytes(docs) // 24)  # about a word in four starts a new anchor
-    sketch = cm.build(docs.select("doc_id", "text"), lambda batch: _distinct_anchors(batch, window), cells)
+    expected = cm.text_bytes(docs) // 24  # about a word in four starts a new anchor
+    sketch = cm.build(docs.select("doc_id", "text"), lambda batch: _distinct_anchors(batch, window), expected, depth=2)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def candidates(batches):
@@ -114,7 +114,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             text = batch.column("text_key").to_numpy(zero_copy_only=False)[row]
             pos = at - w.first[row]
             settled = doc > _least(anchor, whole, doc=doc)
-            common = level >= COMMON
+            common = level >= cm.level(COMMON)
             key = np.where(common, mix(anchor ^ mix(whole)), anchor)
             start = _runs(row[1:] != row[:-1], at[1:] != at[:-1] + 1, key[1:] != key[:-1], settled[1:] != settled[:-1])
             bounds = np.append(start, len(at))

@@ -52,7 +52,7 @@ def test_small_windows_over_few_words(make_docs):
 
 def test_full_sketch_and_groups_over_batches_lose_nothing(spark, make_docs, messy, monkeypatch):
     monkeypatch.setattr(cm, "MIN_CELLS", 4)
-    monkeypatch.setattr(cm, "MAX_CELLS", 4)
+    monkeypatch.setattr(cm, "MAX_CELLS", 8)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
         assert order(result(make_docs(messy).repartition(4), 13)) == order(plain(messy, 13))
@@ -68,7 +68,15 @@ def test_sketch_never_underestimates(spark, monkeypatch):
     monkeypatch.setattr(cm, "_ROUND", 2)
     values = np.random.default_rng(1).integers(0, 400, 5000)
     df = spark.createDataFrame([(int(v),) for v in values], "v long").repartition(7)
-    s = cm.build(df, lambda b: b.column("v").to_numpy().astype(np.uint64), 1 << 16)
+    s = cm.build(df, lambda b: b.column("v").to_numpy().astype(np.uint64), 400, depth=2)
     true = np.bincount(values, minlength=400)
     levels = s.levels(np.arange(400, dtype=np.uint64))
-    assert (levels >= np.minimum(true, cm.LINEAR)).all() and (levels[true < 100] == true[true < 100]).mean() > 0.9
+    expected = np.array([cm.level(int(c)) for c in true])
+    assert (levels >= expected).all() and (levels == expected).mean() > 0.9
+
+
+def test_levels_follow_the_doublings():
+    assert [cm.level(c) for c in (0, 1, 2, 3, 4, 7, 8, 100, 10**6)] == [0, 1, 2, 3, 4, 4, 5, 8, 15]
+    counts = np.arange(0, 5000, 3)
+    packed = cm._packed_levels(counts[: len(counts) // 2 * 2])
+    assert [cm.level(int(c)) for c in counts[: 2 * len(packed)]] == list(np.stack([packed & 15, packed >> 4], 1).ravel())
