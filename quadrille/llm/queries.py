@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, pii, sharding, substring_dedup
+from . import decontamination, jaccard_join, pii, sharding, substring_dedup
 
 
 def _read(spark, sf_dir, table):
@@ -17,6 +17,10 @@ def op6_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeated_passages(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.assign_shards(_read(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def op9_pii(spark, sf_dir):
     return pii.find_personal_data(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_substring_dedup, op8_sharding, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""

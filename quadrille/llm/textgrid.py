@@ -8,6 +8,7 @@ words: temporary memory follows the slice size, not the length of a document.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,6 +89,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: int | str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of at most limit bytes of text, or of one row, so that memory follows limit."""
+    for batch in batches:
+        _, offsets = buffers(batch.column(text))
+        low = 0
+        while low < len(batch):
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
+            yield batch.slice(low, high - low)
+            low = high
+
+
 @dataclass
 class Words:
     """Words of all texts of a batch, in order: byte span, 64-bit hash and, per text, the first word."""

@@ -48,3 +48,13 @@ def test_no_text_and_no_row():
         values, at = G.shingle_sets(w, 4)
         assert len(values) == 0 and list(at) == [0] * (len(texts) + 1)
     assert np.all(G.mix(np.arange(5)) == G.mix(np.arange(5)))
+
+
+def test_slices_keep_all_rows_in_order():
+    r = random.Random(6)
+    texts = [None if r.random() < 0.1 else "é" * r.randrange(9) for _ in range(200)] + ["x" * 100, "y" * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for limit in (1, 10, 64, 10**6):
+        parts = list(G.slices([batch, batch.slice(5, 0)], limit=limit))
+        assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.column(0).to_pylist()) <= limit for p in parts)
