@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, piece_tokens, pii, sharding, substring_dedup
+from . import decontamination, jaccard_join, language_id, piece_tokens, pii, sharding, substring_dedup
 
 
 def _read(spark, sf_dir, table):
@@ -13,6 +13,10 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.ngram_jaccard_join(_read(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op2_language_id(spark, sf_dir):
+    return language_id.identify_language(_read(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark, sf_dir):
     return piece_tokens.encode_documents(_read(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op9_pii(spark, sf_dir):
     return pii.find_personal_data(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_sentencepiece, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_sentencepiece, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
