@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, piece_tokens, pii, sharding, substring_dedup
+from pyspark.sql import functions as F
+
+from . import decontamination, jaccard_join, language_id, piece_tokens, pii, sharding, substring_dedup, topk
 
 
 def _read(spark, sf_dir, table):
@@ -21,6 +23,10 @@ def op4_sentencepiece(spark, sf_dir):
     return piece_tokens.encode_documents(_read(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark, sf_dir):
+    return topk.exact_top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeated_passages(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -37,7 +43,7 @@ def op9_pii(spark, sf_dir):
     return pii.find_personal_data(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_sentencepiece, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_sentencepiece, op5_exact_top_k, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
@@ -50,6 +56,13 @@ SQL: dict[str, str] = {
         r(doc_id, m) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.v, r.m FROM r JOIN e ON e.u = r.doc_id)
         SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, coalesce(min(r.m), w.doc_id) AS component_id
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY w.doc_id""",
+    "op5_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10""",
     "op6_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
