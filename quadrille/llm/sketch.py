@@ -1,11 +1,11 @@
 """Count-min sketches built by partition, merged by block, and broadcast.
 
-Each task counts its hashes in a sketch of its own; only blocks that hold
-something leave it, compressed. Blocks meet by number, in two rounds when there
+Each task counts its hashes in a sketch of its own, kept as the cells that hold
+something, and sends it on by block, compressed, whenever FLUSH hashes are in. Blocks meet by number, in two rounds when there
 are many tasks, so no task sees more than a bounded number of them. A merged
 cell is a level of four bits: counts up to 3 as they are, then one more level
 for each doubling. A level is never that of less than the true count (up to
-255 from one task); a sketch has at most MAX_CELLS cells in all, so that it may
+255 from one flush); a sketch has at most MAX_CELLS cells in all, so that it may
 be broadcast whatever the input. Beyond about that many different hashes it
 tells less apart, which costs its users time but no result.
 """
@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textgrid import mix
+from .textgrid import mix, slices
 
-MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 28  # over all rows: at most 128 MB
+MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 27  # over all rows: at most 64 MB
 BLOCK = 1 << 20
+FLUSH = 1 << 22
 _ROUND = 256  # partial sketches that meet in one task at most, about
 
 _SCHEMA = "part int, row int, block int, cells binary"
@@ -58,6 +59,7 @@ class Sketch:
             self._table = np.zeros((self.depth, self.cells // 2), np.uint8)
             for row, block, packed in self.blocks:
                 self._table[row, block * size : (block + 1) * size] = np.frombuffer(pa.decompress(packed, size, codec="zstd"), np.uint8)
+            self.blocks = []  # a worker needs them no more
         out = np.full(len(hashes), 15, np.uint8)
         for row in range(self.depth):
             at = _cells(hashes, row, self.cells)
@@ -71,27 +73,38 @@ def cells_for(expected: int, depth: int) -> int:
     return max(MIN_CELLS, min(MAX_CELLS // depth, 1 << max(1, 2 * int(expected) - 1).bit_length()))
 
 
-def _merge(batches):
-    total: dict[tuple[int, int], np.ndarray] = {}
-    parts: dict[tuple[int, int], int] = {}
-    size = 0
-    for batch in batches:
-        for part, row, block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            size = int.from_bytes(packed[:4], "little")
-            counts = np.frombuffer(pa.decompress(packed[4:], 4 * size, codec="zstd"), np.uint32)
-            at = (row, block)
-            total[at] = total[at] + counts if at in total else counts
-            parts[at] = part
-    yield from (_row(parts[at], *at, counts) for at, counts in total.items())
+def _pack(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising cells of one block and their counts."""
+    gaps = np.diff(cells, prepend=0).astype(np.uint32)
+    raw = gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(cells).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
 
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(packed[:4], "little")
+    raw = np.frombuffer(pa.decompress(packed[4:], 8 * n, codec="zstd"), np.uint8)
+    gaps, counts = (np.ascontiguousarray(raw[a : a + 4 * n].reshape(4, n).T).view(np.uint32).ravel() for a in (0, 4 * n))
+    return np.cumsum(gaps), counts
 
-def _row(part: int, row: int, block: int, counts: np.ndarray) -> pa.RecordBatch:
-    packed = len(counts).to_bytes(4, "little") + bytes(pa.compress(counts.astype(np.uint32).tobytes(), codec="zstd", asbytes=True))
+
+def _row(part: int, row: int, block: int, packed: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names=["part", "row", "block", "cells"])
 
 
+def _totals(batches, size: int) -> tuple[dict[tuple[int, int], np.ndarray], int]:
+    total: dict[tuple[int, int], np.ndarray] = {}
+    part = 0
+    for batch in batches:
+        for part, row, block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (row, block) not in total:
+                total[row, block] = np.zeros(size, np.uint32)
+            cells, counts = _unpack(packed)
+            total[row, block][cells] += counts
+    return total, part
+
+
 def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expected: int, depth: int) -> Sketch:
-    """The sketch of all values that hashes() gives for the Arrow batches of df, each counted as often as it is given."""
+    """The sketch of all values that hashes() gives for the Arrow batches of df, which has a column text, each counted as often as it is given."""
     cells = cells_for(expected, depth)
     size = min(BLOCK, cells)
     partitions = df.rdd.getNumPartitions()
@@ -101,34 +114,42 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expecte
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() % rounds
-        table = np.zeros((depth, cells), np.uint8)
-        for batch in batches:
-            values = hashes(batch)
+
+        def flush(held):
+            values = np.concatenate(held)
             for row in range(depth):
                 at, n = np.unique(_cells(values, row, cells), return_counts=True)
-                table[row][at] = np.minimum(255, table[row][at] + n)
-        for row in range(depth):
-            for block in range(cells // size):
-                piece = table[row, block * size : (block + 1) * size]
-                if piece.any():
-                    yield _row(part, row, block, piece)
+                edges = np.searchsorted(at, np.arange(0, cells + 1, size))
+                for block in np.flatnonzero(np.diff(edges)):
+                    s = slice(edges[block], edges[block + 1])
+                    yield _row(part, row, int(block), _pack(at[s] - np.uint32(block * size), np.minimum(n[s], 255)))
+
+        held, waiting = [], 0
+        for batch in slices(batches):
+            held.append(hashes(batch))
+            waiting += len(held[-1])
+            if waiting >= FLUSH:
+                yield from flush(held)
+                held, waiting = [], 0
+        if waiting:
+            yield from flush(held)
+
+    def merge(batches):
+        total, part = _totals(batches, size)
+        for (row, block), counts in total.items():
+            at = np.flatnonzero(counts)
+            yield _row(part, row, block, _pack(at, counts[at]))
+
+    def finish(batches):
+        for (row, block), counts in _totals(batches, size)[0].items():
+            yield _row(0, row, block, pa.compress(_packed_levels(counts).tobytes(), codec="zstd", asbytes=True))
 
     found = df.mapInArrow(count, _SCHEMA)
     if rounds > 1:
-        found = found.repartition("part", "row", "block").mapInArrow(_merge, _SCHEMA)
-    found = found.repartition("row", "block").mapInArrow(_merge, _SCHEMA)
+        found = found.repartition("part", "row", "block").mapInArrow(merge, _SCHEMA)
+    found = found.repartition("row", "block").mapInArrow(finish, _SCHEMA)
     # one row of at most BLOCK / 2 bytes for each block, so at most MAX_CELLS / 2 bytes whatever the input
-    blocks = [(r.row, r.block, bytes(r.cells)) for r in found.mapInArrow(_level_blocks, _SCHEMA).collect()]
-    return Sketch(cells, depth, sorted(blocks))
-
-
-def _level_blocks(batches):
-    for batch in batches:
-        for part, row, block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            size = int.from_bytes(packed[:4], "little")
-            counts = np.frombuffer(pa.decompress(packed[4:], 4 * size, codec="zstd"), np.uint32)
-            packed = pa.compress(_packed_levels(counts).tobytes(), codec="zstd", asbytes=True)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([bytes(packed)], pa.binary())], names=["part", "row", "block", "cells"])
+    return Sketch(cells, depth, sorted((r.row, r.block, bytes(r.cells)) for r in found.collect()))
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:

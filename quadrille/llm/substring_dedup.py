@@ -11,7 +11,7 @@ share leaves one row per batch. Anchors estimated in many documents are dealt
 by window instead of by anchor, so that no group gathers unrelated windows.
 
 Windows are told apart by an anchor hash and a window hash of 64 bits each,
-made from 64-bit word hashes.
+made from 64-bit word hashes. Batches are worked on in slices of a few megabytes.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch as cm
-from .textgrid import WHITESPACE, Words, buffers, inside_one_text, mix, rolled, words
+from .textgrid import WHITESPACE, Words, buffers, inside_one_text, mix, rolled, slices, words
 
 WINDOW = 13
 COMMON = 100  # estimated documents from which an anchor's windows are dealt one by one
@@ -102,7 +102,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def candidates(batches):
-        for batch in batches:
+        for batch in slices(batches):
             anchor, at, row, w = _windows(batch, window)
             level = shared.value.levels(anchor)
             keep = level >= 2

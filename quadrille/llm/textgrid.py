@@ -89,7 +89,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int | str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: int | str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in pieces of at most limit bytes of text, or of one row, so that memory follows limit."""
     for batch in batches:
         _, offsets = buffers(batch.column(text))

@@ -66,8 +66,9 @@ def test_no_rows(make_docs):
 
 def test_sketch_never_underestimates(spark, monkeypatch):
     monkeypatch.setattr(cm, "_ROUND", 2)
+    monkeypatch.setattr(cm, "FLUSH", 300)
     values = np.random.default_rng(1).integers(0, 400, 5000)
-    df = spark.createDataFrame([(int(v),) for v in values], "v long").repartition(7)
+    df = spark.createDataFrame([(int(v), "") for v in values], "v long, text string").repartition(7)
     s = cm.build(df, lambda b: b.column("v").to_numpy().astype(np.uint64), 400, depth=2)
     true = np.bincount(values, minlength=400)
     levels = s.levels(np.arange(400, dtype=np.uint64))
