@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, piece_tokens, pii, sharding, substring_dedup, topk
+from . import decontamination, jaccard_join, language_id, piece_tokens, pii, sharding, substring_dedup, tool_calls, topk
 
 
 def _read(spark, sf_dir, table):
@@ -19,6 +19,10 @@ def op2_language_id(spark, sf_dir):
     return language_id.identify_language(_read(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark, sf_dir):
+    return tool_calls.link_tool_calls(_read(spark, sf_dir, "conversations"))
+
+
 def op4_sentencepiece(spark, sf_dir):
     return piece_tokens.encode_documents(_read(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op9_pii(spark, sf_dir):
     return pii.find_personal_data(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_sentencepiece, op5_exact_top_k, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_sentencepiece, op5_exact_top_k, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
