@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, piece_tokens, pii, sharding, substring_dedup, tool_calls, topk
+from . import decontamination, jaccard_join, language_id, licences, piece_tokens, pii, sharding, substring_dedup, tool_calls, topk
 
 
 def _read(spark, sf_dir, table):
@@ -47,7 +47,11 @@ def op9_pii(spark, sf_dir):
     return pii.find_personal_data(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_sentencepiece, op5_exact_top_k, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii)}
+def op10_licence_scans(spark, sf_dir):
+    return licences.scan_licences(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_sentencepiece, op5_exact_top_k, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii, op10_licence_scans)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
