@@ -1,8 +1,49 @@
-"""A corpus from raw documents to token ids, stage by stage."""
+"""A corpus from raw documents to token ids, stage by stage.
+
+Every stage takes (spark, docs, sf_dir); all but the last return documents
+(doc_id, text, lang, source, n_chars). run() gives one row per document kept:
+doc_id, n_ids, ids, round_trip.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from quadrille.llm import decontamination, jaccard_join, language_id, piece_tokens, pii
+
+
+def language_id_stage(spark, docs, sf_dir):
+    """Documents without a language - no text, or not a letter in it - go."""
+    return language_id.keep_identified(docs)
+
+
+def ngram_jaccard_stage(spark, docs, sf_dir):
+    """Of documents linked by five-word n-grams at a similarity of 0.8 or more, the one with the smallest id stays."""
+    return jaccard_join.keep_one_of_each_group(docs, k=5, num=80, den=100)
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_stage(spark, docs, sf_dir):
+    """Personal data is masked in the text."""
+    return pii.mask_personal_data(docs)
+
+
+def sentencepiece_stage(spark, docs, sf_dir):
+    """Texts become token ids."""
+    return piece_tokens.encode_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id_stage),
+    ("ngram_jaccard_join", ngram_jaccard_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
+
+#: Training, tiling and Viterbi paths have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
