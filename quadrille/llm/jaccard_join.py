@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import sketch as cm
 from .components import connected_components
-from .textgrid import WHITESPACE_FOLDED, buffers, mix, shingle_sets, words
+from .textgrid import WHITESPACE_FOLDED, buffers, mix, shingle_sets, slices, words
 from .workspace import durable
 
 _ROWS = "doc_id long, n long, own long, rest long, prefix array<long>, shared array<long>"
@@ -80,7 +80,7 @@ def _matrix(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def index(batches):
-        for batch in batches:
+        for batch in slices(batches):
             values, at, ids, rows = _distinct_rows(batch, k)
             entry, owner = _entries(at, rows)
             value = values[entry]
@@ -132,7 +132,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def sign(batches):
-        for batch in batches:
+        for batch in slices(batches):
             values, at = shingle_sets(words(*buffers(batch.column("text")), WHITESPACE_FOLDED), k)
             a, b = _signatures(values, at)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "n_shingles", "a", "b"])
