@@ -1,0 +1,54 @@
+"""Small frames drawn in DataFrame functions: discs keyed by an id, and their segmentation in SQL terms.
+
+The relational twin of the numpy kernels: histograms, thresholds, coverage and
+border counts as aggregations over pixels. It serves to check the kernels and
+the SQL forms against each other.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+SIDE = 24
+
+
+def discs(ids: DataFrame) -> DataFrame:
+    """id, x, y, v: a disc on a plain ground with a fixed pattern of noise; polarity, size and brightness follow from the id."""
+    grid = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("p"))
+    x, y = F.col("p") % SIDE, F.expr(f"p div {SIDE}")
+    placed = grid.select("id", x.cast("int").alias("x"), y.cast("int").alias("y"))
+    dx, dy, r = F.col("x") - SIDE // 2, F.col("y") - SIDE // 2, 1 + F.col("id") % 17
+    inside = dx * dx + dy * dy <= r * r
+    bright = F.col("id") % 2 == 0
+    base = F.when(inside == bright, 180 + F.col("id") % 40).otherwise(30 + F.col("id") % 20)
+    noise = (F.col("x") * 7 + F.col("y") * 13 + F.col("id") * 31) % 8
+    return placed.withColumn("v", (base + noise).cast("int"))
+
+
+def thresholds(pixels: DataFrame) -> DataFrame:
+    """id, threshold: the first value with the largest variance between the sides."""
+    hist = pixels.groupBy("id", "v").agg(F.count("*").alias("c"))
+    up, whole = Window.partitionBy("id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("id")
+    sums = hist.select("id", "v", F.sum("c").over(up).alias("n"), F.sum(F.col("c") * F.col("v")).over(up).alias("s"), F.sum("c").over(whole).alias("nn"), F.sum(F.col("c") * F.col("v")).over(whole).alias("ss"))
+    d = F.col("ss") * F.col("n") - F.col("s") * F.col("nn")
+    spread = F.when(F.col("n") < F.col("nn"), d.cast("double") * d / (F.col("n") * (F.col("nn") - F.col("n")))).otherwise(0.0)
+    return sums.withColumn("spread", spread).groupBy("id").agg(F.min_by("v", F.struct(-F.col("spread"), "v")).alias("threshold"))
+
+
+def sides(pixels: DataFrame) -> DataFrame:
+    """id, polarity, threshold, coverage, border of both sides of the threshold. border counts corners twice."""
+    t = thresholds(pixels)
+    edge = sum((F.col(c) == k).cast("int") for c in "xy" for k in (0, SIDE - 1))
+    marked = pixels.join(t, "id").select("id", "threshold", (F.col("v") > F.col("threshold")).alias("up"), edge.alias("edge"))
+    by = marked.groupBy("id", "threshold").agg(F.count("*").alias("n"), F.count_if("up").alias("nu"), F.sum("edge").alias("e"), F.sum(F.when(F.col("up"), F.col("edge")).otherwise(0)).alias("eu"))
+    both = F.explode(F.array(F.struct(F.lit("bright").alias("polarity"), F.col("nu").alias("k"), F.col("eu").alias("b")), F.struct(F.lit("dark").alias("polarity"), (F.col("n") - F.col("nu")).alias("k"), (F.col("e") - F.col("eu")).alias("b"))))
+    return by.select("id", "threshold", "n", "e", both.alias("s")).select("id", "s.polarity", "threshold", (F.col("s.k") / F.col("n")).alias("coverage"), (F.col("s.b") / F.col("e")).alias("border"))
+
+
+def chosen(both: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """One side of each id: within bounds first, then away from the border, then the larger, then `bright`; with failed."""
+    inside = F.col("coverage").between(low, high)
+    rank = F.struct((~inside).cast("int").alias("o"), F.col("border").alias("b"), (-F.col("coverage")).alias("c"), F.col("polarity").alias("p"))
+    best = both.groupBy("id").agg(F.min_by(F.struct("polarity", "threshold", "coverage", "border"), rank).alias("s")).select("id", "s.*")
+    return best.withColumn("failed", ~F.col("coverage").between(low, high))
