@@ -70,7 +70,7 @@ load_robustness = functools.partial(load_named, name="robustness")
 
 def _decoded(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, height, width, channels, data; height is -1 where a file cannot be decoded."""
-    return spark.read.format("image").option("dropInvalid", False).load(paths).select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    return spark.read.format("image").option("dropInvalid", False).load(paths).select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
 def with_pixels(records: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def with_pixels(records: DataFrame) -> DataFrame:
     folders = [r[0] for r in records.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("f")).distinct().collect()]  # a folder per class
     pixels = _decoded(records.sparkSession, folders)
     whole = F.when(F.col("height") < 0, F.raise_error(F.concat(F.lit("not a readable image: "), F.col("path")))).otherwise(F.col("data"))
-    return records.join(pixels.withColumn("data", whole), "path")
+    return records.join(pixels, "path").withColumn("data", whole)  # after the join: other files may stand in the folder
 
 
 def undecodable(spark: SparkSession, folder: str) -> DataFrame:
