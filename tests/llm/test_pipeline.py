@@ -1,0 +1,109 @@
+import importlib.util
+import random
+import zlib
+from pathlib import Path
+
+import pytest
+
+from quadrille.llm import decontamination, language_id, piece_tokens, pii
+from quadrille.llm import queries as Q
+
+from .test_decontamination import plain as tiled
+from .test_decontamination import tokens
+from .test_jaccard_join import plain as components
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def pipeline():
+    spec = importlib.util.spec_from_file_location("corpus_pipeline", Path(__file__).parents[2] / "corpus_pipeline.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
+def test_stages_and_run_against_brute_force(spark, pipeline):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    predicted = {r.doc_id: r.lang_pred for r in language_id.identify_language(docs).collect()}
+    left = {i: r for i, r in rows.items() if predicted[i] != "und"}
+    top = {i: c for i, _, c in components([(i, r.text) for i, r in left.items()], 5, 80, 100)}
+    left = {i: r for i, r in left.items() if top[i] == i}
+
+    def leaked(text):
+        words = tokens(text)
+        runs = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+        for _, item in items:
+            a = tokens(item)
+            if sum(tuple(a[j : j + 5]) in runs for j in range(len(a) - 4)) > 0.5 * len(a) and tiled(a, words, 5) >= 0.8 * len(a):
+                return True
+        return False
+
+    left = {i: r for i, r in left.items() if not leaked(r.text)}
+    v = piece_tokens.Vocabulary.load()
+    want = {i: list(piece_tokens.encode(pii.mask(r.text), v)) for i, r in left.items()}
+    assert 0 < len(want) < len(rows)
+    stage_docs = docs
+    for name, stage in pipeline.STAGES:
+        stage_docs = stage(spark, stage_docs, SF)
+        if name != "sentencepiece":
+            assert [f.name for f in stage_docs.schema] == docs.columns, name
+    got = {r.doc_id: list(r.ids) for r in stage_docs.collect()}
+    assert got == want
+    assert {r.doc_id for r in pipeline.run(spark, SF).collect()} == set(want)
+
+
+def test_stages_take_rows_of_every_kind(spark, pipeline, make_docs, messy, tmp_path):
+    bench = spark.createDataFrame([(1, messy[6][1][:300]), (2, None), (None, "a b c d e f")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in ([], [*messy, *messy[:9], (None, None), (None, "the and of that"), (60, "Write to anna [at] example [dot] com.")]):
+        docs = make_docs(rows)
+        for name, stage in pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+        out = docs.collect()
+        assert len({r.doc_id for r in out}) == len(out) and all(r.round_trip for r in out) and bool(out) == bool(rows)
+
+
+def test_every_operator_has_a_query_over_whole_tables(spark):
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    for name in Q.QUERIES:
+        if name[2:].split("_")[0] in ("1", "2", "4", "6", "7", "8", "9", "10"):
+            assert Q.QUERIES[name](spark, SF).count() == n, name
+
+
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = Q.QUERIES[name](spark, SF).toPandas(), con.sql(Q.SQL[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(repr, got[columns].astype(object).values.tolist())) == sorted(map(repr, want[columns].astype(object).values.tolist()))
+
+
+def test_columns_of_the_contracts(spark):
+    want = {
+        "op1": "doc_id bigint n_shingles bigint component_id bigint",
+        "op2": "doc_id bigint held_out boolean lang_pred string score double",
+        "op5": "query_id bigint rank int vec_id bigint score bigint",
+        "op6": "doc_id bigint n_words bigint n_removed bigint kept_sha256 string",
+        "op8": "doc_id bigint size bigint text_crc32 bigint law string shard int slot bigint grown_shard int",
+        "op9": "doc_id bigint n_email bigint n_ip bigint n_card bigint n_phone bigint base_sha256 string spans string",
+    }
+    for name, query in Q.QUERIES.items():
+        if (k := name.split("_")[0]) in want:
+            types = " ".join(f"{a} {b}" for a, b in query(spark, SF).dtypes)
+            assert types.startswith(want[k]), (name, types)
+
+
+def test_shards_and_languages_of_real_rows(spark):
+    rows = Q.op8_sharding(spark, SF).collect()
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in random.Random(0).sample(rows, 50))
+    assert decontamination.THRESHOLD == 0.8 and decontamination.MIN_MATCH == 5
