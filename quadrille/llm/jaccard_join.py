@@ -10,18 +10,18 @@ pairs before and while their overlaps accumulate.
    length follows from the size), so only those columns enter the product. An
    n-gram that the sketch shows in one row only has no partner and is left out;
    a row whose prefix has only such n-grams takes no further part.
-3. Each column links its rows to one pivot, the row with the fewest n-grams of
-   its own; each row multiplies only with the pivot it shares most columns
-   with. This settles groups of near copies in time linear in their size.
-4. Columns that still hold several components multiply across components:
-   overlaps of prefixes accumulate per pair, bounds drop pairs that cannot reach
-   the threshold, and the rest are multiplied in full. No link between
+3. Each column links its rows to one pivot, the row whose n-grams are the most
+   common; each row multiplies only with the pivot it shares most columns with.
+   This settles groups of near copies in time linear in their size.
+4. Columns that still hold several components multiply across components: pairs
+   that the bounds allow accumulate their overlap in full. No link between
    components is lost.
 
-Three bounds are used for rows of sizes a and b, with need = the least overlap
-that reaches the threshold: the smaller size must allow it; so must the n-grams
-not known to be a row's own; and so must the prefix overlap plus what lies
-behind the prefix. A sketch past its capacity weakens bounds, never results.
+Three bounds are used for rows of sizes a and b and the least overlap that
+reaches the threshold: the smaller size must allow it; so must the n-grams not
+known to be a row's own; and so must, in the first column that a pair shares,
+what is left of each row from that column on, the order being the same for
+both. A sketch past its capacity weakens bounds, never results.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from .components import connected_components
 from .textgrid import WHITESPACE_FOLDED, buffers, mix, shingle_sets, slices, words
 from .workspace import durable
 
-_ROWS = "doc_id long, n long, own long, rest long, prefix array<long>, shared array<long>"
+_ROWS = "doc_id long, n long, own long, common long, prefix array<long>, shared array<long>"
 
 
 def _signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +71,8 @@ def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
 
 
 def _matrix(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Rows that may have a partner: size, n-grams known to be its own, size behind the prefix, shared n-grams of the prefix and of all."""
+    """Rows that may have a partner: size, n-grams known to be its own, how common its n-grams are, shared n-grams of the prefix in order, and all shared."""
+
     def counted(batch):
         values, at, _, rows = _distinct_rows(batch, k)
         return values[_entries(at, rows)[0]]
@@ -92,14 +93,15 @@ def _matrix(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             live = keep[owner]
             value, level, owner = value[live], level[live], np.cumsum(keep)[owner[live]] - 1
             rows, n, rest, own = rows[keep], n[keep], rest[keep], own[keep]
+            common = np.bincount(owner, weights=level, minlength=len(rows)) * 1000 // n
             order = np.lexsort((value, level, owner))
             value, level, owner = value[order], level[order], owner[order]
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             shared = level >= 2
             first = shared & (nth < (n - rest)[owner])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows]), pa.array(n), pa.array(own.astype(np.int64)), pa.array(rest), _lists(value[first], owner[first], len(rows)), _lists(value[shared], owner[shared], len(rows))],
-                names=["doc_id", "n", "own", "rest", "prefix", "shared"],
+                [pa.array(ids[rows]), pa.array(n), pa.array(own.astype(np.int64)), pa.array(common.astype(np.int64)), _lists(value[first], owner[first], len(rows)), _lists(value[shared], owner[shared], len(rows))],
+                names=["doc_id", "n", "own", "common", "prefix", "shared"],
             )
 
     return docs.mapInArrow(index, _ROWS)
@@ -111,6 +113,12 @@ def _possible(a: str, b: str, num: int, den: int):
     return (F.least(x("n"), y("n")) * den >= F.greatest(x("n"), y("n")) * num) & (F.least(x("n") - x("own"), y("n") - y("own")) * (num + den) >= (x("n") + y("n")) * num)
 
 
+def _left(a: str, b: str, num: int, den: int):
+    """The bound by what is left from the first shared column on; a pair that shares an earlier one is met there."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    return F.least(x("n") - x("at"), y("n") - y("at")) * (num + den) >= (x("n") + y("n")) * num
+
+
 def _linked(pairs: DataFrame, matrix: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (u, v), those whose rows' product reaches the threshold."""
     x = matrix.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("shared").alias("s_u"))
@@ -143,8 +151,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     copies = full.join(classes, ["n_shingles", "a", "b"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
     matrix = durable(_matrix(narrow, k, num, den))
-    columns = matrix.select("doc_id", "n", "own", "rest", F.explode("prefix").alias("gram"))
-    pivots = columns.groupBy("gram").agg(F.min(F.struct("own", "doc_id", "n")).alias("p"), F.max("doc_id").alias("hi"), F.min("doc_id").alias("lo")).where("lo < hi").select("gram", "p")
+    # a row's own n-grams come first in the order, so the place of a shared one is its place in the prefix after them
+    columns = matrix.select("doc_id", "n", "own", "common", F.posexplode("prefix").alias("at", "gram")).withColumn("at", F.col("own") + F.col("at"))
+    pivots = columns.groupBy("gram").agg(F.min(F.struct((-F.col("common")).alias("rank"), "doc_id", "n", "own")).alias("p"), F.max("doc_id").alias("hi"), F.min("doc_id").alias("lo")).where("lo < hi").select("gram", "p")
     hung = columns.alias("x").join(pivots, "gram").where((F.col("x.doc_id") != F.col("p.doc_id")) & _possible("x", "p", num, den))
     shares = hung.groupBy(F.col("x.doc_id").alias("u"), F.col("p.doc_id").alias("v")).agg(F.count("*").alias("c"))
     best = shares.groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
@@ -154,10 +163,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     placed = columns.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
     blocks = durable(placed.join(mixed, "gram", "left_semi"))
-    across = blocks.alias("x").join(blocks.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & _possible("x", "y", num, den))
-    reach = F.count("*") + F.first(F.greatest("x.rest", "y.rest"))
-    pairs = across.groupBy(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).agg(reach.alias("reach"), F.first((F.col("x.n") + F.col("y.n")) * num).alias("need")).where(F.col("reach") * (num + den) >= F.col("need"))
-    links = _linked(pairs.select("u", "v"), matrix, num, den)
+    across = blocks.alias("x").join(blocks.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & _possible("x", "y", num, den) & _left("x", "y", num, den))
+    links = _linked(across.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct(), matrix, num, den)
     where = first.select("node", "component")
     bridges = (
         links.join(where.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
