@@ -79,16 +79,23 @@ _SPELLED = dict(zip("zero one two three four five six seven eight nine".split(),
 
 _FOREIGN = re.compile("[" + re.escape("".join(_LOOKALIKE) + _INVISIBLE + _DASHES + _SPACES) + "！-～]|(?![0-9])\\d")
 _NUMBER = "|".join(sorted(_SPELLED, key=len, reverse=True))
-_RUN = re.compile(rf"(?i)(?<![^\W_])(?:(plus)[\s-]+)?((?:{_NUMBER}|[0-9]+)(?:[ \t,-]*[ \t,-](?:{_NUMBER}|[0-9]+))+)(?![^\W_])")
+_PART = rf"(?:{_NUMBER}|[0-9]++)(?![^\W_])"
+_RUN = re.compile(rf"(?i)(?<![^\W_])(?:(plus)[\s-]{{1,3}})?({_PART}(?:[ \t,()/-]{{1,4}}+{_PART})++)")
 _TOKEN = re.compile(rf"(?i){_NUMBER}|[0-9]+")
-_HAS_NUMBER_WORDS = re.compile(rf"(?i)\b(?:{_NUMBER})[ \t,-]+(?:{_NUMBER})\b")
+_HAS_NUMBER_WORDS = re.compile(rf"(?i)\b(?:{_NUMBER})\b")
+_DOT_WORD = re.compile(r"(?i)(?<![^\W_])dot(?![^\W_])")
+_OCTET = rf"{_PART}(?:[ \t-]{{1,3}}{_PART}){{0,2}}"
+_SPELLED_IP = re.compile(rf"(?i)(?<![^\W_]){_OCTET}(?:[ \t]{{1,3}}dot[ \t]{{1,3}}{_OCTET}){{3}}")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_BRACKETED = re.compile(rf"(?i)[ \t]{{0,3}}{_OPEN}[ \t]{{0,3}}(at|@|dot|\.)[ \t]{{0,3}}{_CLOSE}[ \t]{{0,3}}")
-_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at>[ \t]{1,3}(?:at|@)[ \t]{1,3}|@)[A-Za-z0-9-]{1,63}(?:(?:[ \t]{1,3}dot[ \t]{1,3}|\.)[A-Za-z0-9-]{1,63}){1,8}(?![A-Za-z0-9-])")
+_BRACKETED = re.compile(rf"(?i)[ \t]{{0,3}}{_OPEN}[ \t]{{0,3}}(at|@|dot|\.)[ \t]{{0,3}}{_CLOSE}[ \t]{{0,3}}|&(?:(commat|#64|#x40)|period|#46|#x2e);")
+_GAP = r"(?:[ \t]{1,3}|_{1,2}|-{1,2})"
+_LABEL = r"[A-Za-z0-9-]{1,63}?"
+_BARE = re.compile(
+    rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}?(?:{_GAP}dot{_GAP}[A-Za-z0-9._%+-]{{1,64}}?){{0,4}}(?:{_GAP}(?:at|@){_GAP}|@){_LABEL}(?:(?:{_GAP}dot{_GAP}|\.){_LABEL}){{1,8}}(?![A-Za-z0-9-])"
+)
 _BARE_IP = re.compile(r"(?i)(?<![0-9])[0-9]{1,3}(?:(?:[ \t]{1,3}dot[ \t]{1,3}|\.)[0-9]{1,3}){3}(?![0-9])")
-_WORD_DOT = re.compile(r"(?i)[ \t]{1,3}dot[ \t]{1,3}")
-_WORD_AT = re.compile(r"(?i)[ \t]{1,3}(?:at|@)[ \t]{1,3}")
-_DOT_WORD = re.compile(r"(?i)\bdot\b")
+_WORD_DOT = re.compile(rf"(?i){_GAP}dot{_GAP}")
+_WORD_AT = re.compile(rf"(?i){_GAP}(?:at|@){_GAP}")
 
 
 class Aligned:
@@ -135,30 +142,48 @@ def fold_homoglyphs(x: Aligned) -> Aligned:
     return x if x.text.isascii() else x.rewrite([(m.start(), m.end(), _fold(m.group())) for m in _FOREIGN.finditer(x.text)])
 
 
+def _digits(text: str, begin: int, end: int, edits: list[tuple[int, int, str]], first: str = "") -> None:
+    """Edits that leave the digits of a run alone: each word stands for itself, what is between words goes."""
+    at = begin
+    for i, t in enumerate(_TOKEN.finditer(text, begin, end)):
+        if i and t.start() > at:
+            edits.append((at, t.start(), ""))
+        edits.append((t.start(), t.end(), (first if not i else "") + _SPELLED.get(t.group().lower(), t.group())))
+        at = t.end()
+
+
+def unspell_addresses(x: Aligned) -> Aligned:
+    """Four numbers, some of them in words, with `dot` between them."""
+    if not _DOT_WORD.search(x.text) or not _HAS_NUMBER_WORDS.search(x.text):
+        return x
+    edits: list[tuple[int, int, str]] = []
+    for m in _SPELLED_IP.finditer(x.text):
+        at = m.start()
+        for d in [*_WORD_DOT.finditer(x.text, m.start(), m.end()), None]:
+            _digits(x.text, at, d.start() if d else m.end(), edits)
+            if d:
+                edits.append((d.start(), d.end(), "."))
+                at = d.end()
+    return x.rewrite(edits)
+
+
 def unspell_digits(x: Aligned) -> Aligned:
-    """Runs of digit words, figures among them, become digits: each word stands for itself."""
+    """Runs of digit words, figures among them, become digits if two or more are words."""
     if not _HAS_NUMBER_WORDS.search(x.text):
         return x
-    edits = []
+    edits: list[tuple[int, int, str]] = []
     for m in _RUN.finditer(x.text):
-        tokens = list(_TOKEN.finditer(x.text, m.start(2), m.end(2)))
-        if sum(not t.group()[0].isdigit() for t in tokens) < 2:
-            continue
-        at = m.start()
-        for i, t in enumerate(tokens):
-            sign = "+" if m.group(1) and not i else ""
-            if i and (gap := t.start()) > at:
-                edits.append((at, gap, ""))
-            begin = m.start() if not i else t.start()
-            edits.append((begin, t.end(), sign + _SPELLED.get(t.group().lower(), t.group())))
-            at = t.end()
+        if sum(not t.group()[0].isdigit() for t in _TOKEN.finditer(x.text, m.start(2), m.end(2))) >= 2:
+            if m.group(1):
+                edits.append((m.start(), m.start(2), "+"))
+            _digits(x.text, m.start(2), m.end(2), edits)
     return x.rewrite(edits)
 
 
 def undisguise(x: Aligned) -> Aligned:
     """[at], (dot) and the like become @ and a full stop; bare words only inside a whole address or four numbers."""
-    if re.search(_OPEN, x.text):
-        x = x.rewrite([(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(x.text)])
+    if re.search(_OPEN + "|&", x.text):
+        x = x.rewrite([(m.start(), m.end(), "@" if m.group(2) or (m.group(1) or "").lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(x.text)])
     if not _DOT_WORD.search(x.text) and " @ " not in x.text:
         return x
     edits: dict[int, tuple[int, int, str]] = {}
@@ -177,7 +202,7 @@ def undisguise(x: Aligned) -> Aligned:
     return x.rewrite(kept)
 
 
-TRANSDUCERS = (fold_homoglyphs, unspell_digits, undisguise)
+TRANSDUCERS = (fold_homoglyphs, unspell_addresses, unspell_digits, undisguise)
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

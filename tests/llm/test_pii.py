@@ -44,6 +44,12 @@ def test_base_spans_are_those_of_the_patterns():
         ("server 10 dot 0 dot 0 dot 25 is up", "ip", "10 dot 0 dot 0 dot 25"),
         ("call plus one four one five five five five two six seven one please", "phone", "plus one four one five five five five two six seven one"),
         ("card four one one one 1111 1111 one one one one thanks", "card", "four one one one 1111 1111 one one one one"),
+        ("write to john dot doe at mail dot example dot org now", "email", "john dot doe at mail dot example dot org"),
+        ("write to john_at_example_dot_com now", "email", "john_at_example_dot_com"),
+        ("write to john&#64;example&period;com now", "email", "john&#64;example&period;com"),
+        ("write to john @ example.com now", "email", "john @ example.com"),
+        ("host one nine two dot 168 dot zero dot one five up", "ip", "one nine two dot 168 dot zero dot one five"),
+        ("call plus one (four one five) five five five - two six seven one.", "phone", "plus one (four one five) five five five - two six seven one"),
         ("call +1 (415) five five five 26 seven one or", "phone", "+1 (415) five five five 26 seven one"),
     ],
 )
@@ -54,13 +60,13 @@ def test_disguises_map_back_to_the_source(text, kind, part):
 
 
 def test_clean_prose_gains_nothing():
-    for text in ("We met at the station at nine, one two three steps away (at noon).", "Look at example dot", "été à la fin – voilà", "one at a time, two at most", "He said: dot the i. At last [at least] one."):
+    for text in ("We met at the station at nine, one two three steps away (at noon).", "Look at example dot", "été à la fin – voilà", "one at a time, two at most", "at two, dot one, at three at dot", "a-at-b _dot_ c", "one two dot three", "He said: dot the i. At last [at least] one."):
         assert pii.all_spans(text) == ([], [])
 
 
 def test_rows_of_every_kind(make_docs, messy):
     card = "4111 1111 1111 1111"
-    rows = [*messy, (70, f"é😀 a@b.co, {card}; 1.2.3.4 +1 (415) 555-2671"), (70, f"é😀 a@b.co, {card}; 1.2.3.4 +1 (415) 555-2671"), (None, "a@b.co"), (71, "9" * 200000), (72, "a" * 200000 + "@"), (73, "+1" * 50000)]
+    rows = [*messy, (70, f"é😀 a@b.co, {card}; 1.2.3.4 +1 (415) 555-2671"), (70, f"é😀 a@b.co, {card}; 1.2.3.4 +1 (415) 555-2671"), (None, "a@b.co"), (71, "9" * 200000), (72, "a" * 200000 + "@"), (73, "+1" * 50000), (74, "dot " + "one " * 30000), (75, "x" * 50000 + " dot one two " + "a_" * 30000), (76, "one,(" * 20000)]
     out = pii.find_personal_data(make_docs(rows)).collect()
     assert len(out) == len(rows)
     for i in (70,):
