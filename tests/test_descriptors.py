@@ -1,0 +1,55 @@
+import numpy as np
+import pytest
+
+from quadrille.functions import descriptors as D
+
+R = np.random.default_rng(0)
+
+
+def disc(fruit=(40, 70, 200), size=64):
+    y, x = np.ogrid[:size, :size]
+    mask = (x - 32) ** 2 + (y - 32) ** 2 <= 24**2
+    image = np.full((size, size, 3), 20, np.uint8)
+    image[mask] = fruit
+    return image, np.where(mask, 255, 0).astype(np.uint8)
+
+
+@pytest.mark.parametrize(("name", "dim"), [("T1", 105), ("T2", 40), ("T3", 34)])
+def test_lengths_and_the_mask_alone_counts(name, dim):
+    image, mask = disc()
+    e = D.REGISTRY[name]()
+    a = e(image.copy(), mask.copy())
+    assert len(a) == dim == e.dim
+    other = image.copy()
+    other[mask == 0] = 250
+    if name != "T3":  # patterns look a little over the edge
+        assert np.array_equal(a, e(other, mask))
+
+
+def test_hsv_of_plain_colours():
+    bgr = np.array([[[0, 0, 255], [0, 255, 0], [255, 0, 0], [255, 255, 255], [0, 0, 0], [0, 255, 255]]], np.uint8)
+    assert D.to_hsv(bgr)[0].tolist() == [[0, 255, 255], [60, 255, 255], [120, 255, 255], [0, 0, 255], [0, 0, 0], [30, 255, 255]]
+
+
+def test_co_occurrence_is_that_of_a_loop():
+    image = R.integers(0, 256, (12, 13, 3)).astype(np.uint8)
+    mask = (R.random((12, 13)) < 0.8).astype(np.uint8) * 255
+    e = D.CoOccurrence(levels=8, distances=(1,), angles=(0, 45, 90, 135))
+    grey = np.rint(image.astype(float) @ [0.114, 0.587, 0.299]).astype(int) * 8 // 256
+    got = e(image, mask).reshape(4, 5)
+    for k, (dy, dx) in enumerate(((0, 1), (-1, 1), (-1, 0), (-1, -1))):
+        pairs = [(grey[y, x], grey[y + dy, x + dx]) for y in range(12) for x in range(13) if 0 <= y + dy < 12 and 0 <= x + dx < 13 and mask[y, x] and mask[y + dy, x + dx]]
+        both = np.array(pairs + [(b, a) for a, b in pairs], float)
+        assert abs(got[k, 0] - ((both[:, 0] - both[:, 1]) ** 2).mean()) < 1e-9
+        assert abs(got[k, 4] - np.corrcoef(both.T)[0, 1]) < 1e-9
+
+
+def test_patterns_of_a_plain_frame_and_blemishes():
+    assert (D.uniform_patterns(np.full((9, 9), 5.0), 8, 1) == 8).all()
+    image, mask = disc()
+    plain = D.PatternsAndBlemishes()(image, mask)
+    assert (plain[-6:] == 0).all() and abs(plain[:10].sum() - 1) < 1e-9 and abs(plain[10:28].sum() - 1) < 1e-9
+    image[30:38, 30:38] = (5, 10, 25)
+    image[20, 20] = (5, 10, 25)
+    spotted = D.PatternsAndBlemishes()(image, mask)
+    assert spotted[-5] == 1 and abs(spotted[-6] - 64 / (mask > 0).sum()) < 1e-9 and spotted[-2] > 0.5
