@@ -218,7 +218,8 @@ def disc_images(spark: SparkSession, sf_dir: str, side: int = 96) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "label", "class_folder", "source", "record_index", "height", "width", "channels", "data"])
 
     schema = "path string, label int, class_folder string, source string, record_index long, height int, width int, channels int, data binary"
-    return _vectors(spark, sf_dir).mapInPandas(draw, schema)
+    ids = _vectors(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # ids alone are moved
+    return ids.mapInPandas(draw, schema)
 
 
 def _prepared(spark, sf_dir):
