@@ -11,27 +11,36 @@ from quadrille.llm import decontamination, jaccard_join, language_id, piece_toke
 
 
 def language_id_stage(spark, docs, sf_dir):
-    """Documents without a language - no text, or not a letter in it - go."""
+    """Documents without a language - null or empty text, or not a letter in it - go, and all if no row is labelled.
+
+    Repeated rows and null ids are judged by their text like others; an empty table stays empty.
+    """
     return language_id.keep_identified(docs)
 
 
 def ngram_jaccard_stage(spark, docs, sf_dir):
-    """Of documents linked by five-word n-grams at a similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of documents linked by five-word n-grams at a similarity of 0.8 or more, the one with the smallest id stays.
+
+    Null ids and texts without words are linked with nothing and stay; of rows that repeat an id one stays.
+    """
     return jaccard_join.keep_one_of_each_group(docs, k=5, num=80, den=100)
 
 
 def decontamination_stage(spark, docs, sf_dir):
-    """Documents that hold a benchmark item go."""
+    """Documents that hold four fifths of a benchmark item's words, in matches of five or more, go.
+
+    Null and empty texts are clean, and so is all without a benchmark; items without id or text match nothing.
+    """
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_stage(spark, docs, sf_dir):
-    """Personal data is masked in the text."""
+    """Personal data is masked in the text, and n_chars follows; null stays null, and every row stays."""
     return pii.mask_personal_data(docs)
 
 
 def sentencepiece_stage(spark, docs, sf_dir):
-    """Texts become token ids."""
+    """Texts become token ids; null text gives null ids, empty text none; every row stays."""
     return piece_tokens.encode_documents(docs)
 
 
