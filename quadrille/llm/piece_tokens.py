@@ -15,15 +15,19 @@ decoding gives back the exact text if the vocabulary has a piece for the space.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textgrid import slices
+
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 800_000  # stretches kept by one worker
+REMEMBERED = 400_000  # stretches kept by one worker
+SHORT = 64  # characters of a stretch whose whole lattice is kept
 STRETCH = 1 << 20  # characters of a text that are cut into stretches at once
 _LETTER = r"[^\W\d_]"
 
@@ -113,27 +117,74 @@ def viterbi(text: str, v: Vocabulary) -> list[int]:
     return out
 
 
+class _Lattice:
+    """The same paths for short stretches, by pieces that start at each boundary in turn; no piece or start of one ends a search."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, none = v, -float("inf")
+        self.score: dict[str, float] = {}
+        for p, (_, s) in v.pieces.items():
+            for n in range(1, len(p)):
+                self.score.setdefault(p[:n], none)
+            self.score[p] = s
+
+    def ids(self, text: str) -> list[int]:
+        size, get, foreign, pieces = len(text), self.score.get, self.v.foreign, self.v.pieces
+        none = -float("inf")
+        best, back = [none] * (size + 1), [0] * (size + 1)
+        best[0] = 0.0
+        for start in range(size):
+            so_far = best[start]
+            if text[start] not in pieces and so_far + foreign > best[start + 1]:
+                best[start + 1], back[start + 1] = so_far + foreign, start
+            for end in range(start + 1, size + 1):
+                s = get(text[start:end])
+                if s is None:
+                    break
+                s += so_far
+                if s > best[end]:  # starts rise, so the longer piece was here first
+                    best[end], back[end] = s, start
+            if best[start + 1] == none:
+                best[start + 1], back[start + 1] = so_far + foreign, start
+        out, at = [], size
+        while at:
+            before = back[at]
+            found = pieces.get(text[before:at])
+            out.append((found[0],) if found else tuple(self.v.byte_ids[b] for b in text[before:at].encode()))
+            at = before
+        return [i for ids in reversed(out) for i in ids]
+
+
 class _Memo(dict):
     """Ids, as bytes of 32-bit integers, of stretches between proven boundaries."""
 
     def __init__(self, v: Vocabulary):
         super().__init__()
         self.v = v
-        letter = re.compile(_LETTER)
+        is_letter = re.compile(_LETTER).match
         inner = {(a, b) for p in v.pieces for a, b in zip(p, p[1:])}
         joins_space = any(b == SPACE != a for a, b in inner)
-        after_letter = "".join(sorted({b for a, b in inner if letter.match(a) and not letter.match(b) and b != SPACE}))
-        guard = f"(?![{re.escape(after_letter)}])" if after_letter else ""
-        # a space after no space, and what may not follow a letter, are boundaries
-        self.split = re.compile(r"(?s).+" if joins_space else rf"(?s){SPACE}*+(?:{_LETTER})++{guard}|{SPACE}*+[^{SPACE}]+|{SPACE}+").findall
+        # pieces that go on from a letter to something else: where few letters do, those count as no letters
+        before: dict[str, set[str]] = {}
+        for a, b in inner:
+            if is_letter(a) and b != SPACE and not is_letter(b):
+                before.setdefault(b, set()).add(a)
+        odd = "".join(sorted(set().union(*(x for x in before.values() if len(x) <= 3))))
+        guard = "".join(sorted(b for b, x in before.items() if x - set(odd)))
+        letters = (f"(?:(?![{re.escape(odd)}]){_LETTER})" if odd else _LETTER) + "++" + (f"(?![{re.escape(guard)}])" if guard else "")
+        alone = "" if any("\n" in p for p in v.pieces) else r"\n"
+        # boundaries: a space after no space, what may not follow a letter, and a line's end that no piece holds
+        parts = [alone, f"{SPACE}*+{letters}", f"{SPACE}*+[^{SPACE}{alone}]+", f"{SPACE}+"]
+        self.split = re.compile(r"(?s).+" if joins_space else "|".join(x for x in parts if x)).findall
         self.one_piece = joins_space
+        self.lattice = _Lattice(v)
 
     def __missing__(self, stretch: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(viterbi(stretch, self.v), np.int32).tobytes()
-        if len(stretch) <= 64:
-            self[stretch] = ids
+        if len(stretch) > SHORT:
+            return np.array(viterbi(stretch, self.v), np.int32).tobytes()
+        ids = self[stretch] = array("i", self.lattice.ids(stretch)).tobytes()
         return ids
 
 
@@ -166,30 +217,19 @@ def encode(text: str, v: Vocabulary) -> np.ndarray:
 
 
 class Decoder:
-    """Ids back to text: bytes of all pieces, gathered at once."""
+    """Ids back to text."""
 
     def __init__(self, v: Vocabulary):
         size = max([*(i for i, _ in v.pieces.values()), *v.byte_ids]) + 1
-        raw = [b""] * size
+        self.raw = [b""] * size
         for p, (i, _) in v.pieces.items():
-            raw[i] = p.replace(SPACE, " ").encode()
+            self.raw[i] = p.replace(SPACE, " ").encode()
         for b, i in enumerate(v.byte_ids):
-            raw[i] = bytes([b])
-        self.length = np.array([len(r) for r in raw], np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.body = np.frombuffer(b"".join(raw), np.uint8)
-
-    def raw(self, ids: np.ndarray) -> bytes:
-        """UTF-8 with the space that encoding put first."""
-        n = self.length[ids]
-        at = np.repeat(self.start[ids] - (np.cumsum(n) - n), n)
-        return self.body[at + np.arange(len(at))].tobytes()
+            self.raw[i] = bytes([b])
 
     def decode(self, ids: np.ndarray) -> str:
-        out = []
-        for low in range(0, len(ids), 1 << 20):
-            out.append(self.raw(np.asarray(ids[low : low + (1 << 20)], np.int64)))
-        return b"".join(out)[1:].decode()
+        """Without the space that encoding put first."""
+        return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:].decode()
 
 
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,7 +244,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, key:
 
     def scan(batches):
         vocab, decoder = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, ok = [], []
             for value in batch.column("text"):
                 s = value.as_py()

@@ -36,14 +36,19 @@ def plain(text, v):
     return ids
 
 
-def test_ids_are_those_of_the_whole_lattice(vocabulary):
+@pytest.mark.parametrize("short", [P.SHORT, 0])
+def test_ids_are_those_of_the_whole_lattice(vocabulary, monkeypatch, short):
+    monkeypatch.setattr(P, "SHORT", short)
+    vocabulary.memo.clear()
     r = random.Random(1)
     texts = [*TEXTS, *("".join(r.choice("abcdet  .,'▁\né²1") for _ in range(r.randrange(80))) for _ in range(300))]
     for t in texts:
         assert list(P.encode(t, vocabulary)) == plain(t, vocabulary), t
 
 
-def test_any_vocabulary_converges(monkeypatch):
+@pytest.mark.parametrize("short", [P.SHORT, 0])
+def test_any_vocabulary_converges(monkeypatch, short):
+    monkeypatch.setattr(P, "SHORT", short)
     r = random.Random(2)
     for _ in range(40):
         pieces = {"".join(r.choice("ab▁.") for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(1, 25))} | {P.SPACE}
