@@ -17,6 +17,8 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textgrid import slices
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -246,7 +248,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, sha, spans, added = {k: [] for k in KINDS}, [], [], []
             for value in batch.column("text"):
                 base, found = all_spans(value.as_py() or "")
@@ -280,11 +282,14 @@ def mask(value: str | None) -> str | None:
 
 
 def mask_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with identifiers masked in the text and, where there is n_chars, the length of the new text there."""
+    """docs with identifiers masked in the text and, where there is n_chars, the length of the new text there.
+
+    Null text stays null, with a null length; other columns and the number of rows stay as they are.
+    """
     names, schema = docs.columns, docs.schema
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches, names.index(text)):
             new = [mask(v.as_py()) for v in batch.column(names.index(text))]
             columns = list(batch.columns)
             columns[names.index(text)] = pa.array(new, batch.schema.field(names.index(text)).type)
