@@ -4,8 +4,9 @@ Filters of several widths slide over one-hot bytes, each is max-pooled over a
 window of fixed length, and a softmax layer reads the pools. Training is
 gradient descent (Adam) written out in numpy, on the driver, on a bounded
 sample: at most PER_LANGUAGE documents of each language, those with the
-smallest hashes of their ids, and of each at most SNIPPET characters. Prediction
-reads every byte of every text in batches of windows and averages the windows.
+smallest hashes of their ids, and of each at most SNIPPET characters, for the
+LANGUAGES most frequent labels. Counts of labels come first and set how small a
+hash must be, so that what is ranked is bounded as well. Prediction reads every byte of every text in batches of windows and averages the windows.
 
 Before windows are cut, case is folded, ASCII that is no letter becomes a
 space, and spaces are joined.
@@ -24,12 +25,14 @@ from .textgrid import buffers, slices
 
 PER_LANGUAGE = 400
 SNIPPET = 4096
+LANGUAGES = 512
 WINDOWS = 3000  # of each language, in training
 LENGTH = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EPOCHS = 4
 UNKNOWN = "und"
+_HASHES = 1 << 40
 
 # symbols: 0 space and other ASCII, 1-26 letters, 27-154 bytes from 128 on
 _SYMBOLS = 155
@@ -161,10 +164,16 @@ def _remainder(key: str):
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     """A network for the languages of the sample; None if there is no labelled text."""
-    hashed = F.xxhash64(F.lit(17), F.col(key).cast("string"))
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (_remainder(key) != 0)).withColumn("_lang", F.col(lang).cast("string"))
+    counts = labelled.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()
+    if not counts:
+        return None
+    # some four times what is needed passes, whatever the count
+    small = F.create_map(*[F.lit(x) for r in counts for x in (r._lang, min(_HASHES, -(-4 * PER_LANGUAGE * _HASHES // r.n)))])
+    hashed = F.pmod(F.xxhash64(F.lit(17), F.col(key).cast("string")), F.lit(_HASHES))
     spread = F.pmod(F.xxhash64(F.lit(18), F.col(key).cast("string")), F.greatest(F.length(F.col(text)) - SNIPPET + 1, F.lit(1)))
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (_remainder(key) != 0))
-    snippets = labelled.select(F.col(lang).cast("string").alias("lang"), hashed.alias("h"), F.substring(F.col(text), (spread + 1).cast("int"), F.lit(SNIPPET)).alias("text"))
+    drawn = labelled.where(hashed < F.element_at(small, F.col("_lang")))
+    snippets = drawn.select(F.col("_lang").alias("lang"), hashed.alias("h"), F.substring(F.col(text), (spread + 1).cast("int"), F.lit(SNIPPET)).alias("text"))
     ranked = snippets.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
     sample = sorted((r.lang, r.h, r.text) for r in ranked.where(F.col("nth") <= PER_LANGUAGE).collect())
     languages = sorted({x[0] for x in sample})
