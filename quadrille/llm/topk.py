@@ -41,14 +41,20 @@ _RESULT = "query_id long, vec_id long, score long"
 
 
 def _integers(column: pa.Array, scale: int, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of floor(scale * x), shorter ones filled with zeros, and which rows take part."""
+    """Rows of floor(scale * x), shorter ones filled with zeros, and which rows take part; those that do not are zeros."""
     n = len(column)
-    lists = [None if v is None or any(y is None for y in v) else np.asarray(v, np.float64) for v in column.to_pylist()]
-    ok = np.array([v is not None and bool(np.isfinite(v).all()) for v in lists], bool)
-    width = dim if dim is not None else max([len(v) for v, o in zip(lists, ok, strict=True) if o], default=0)
-    out = np.zeros((n, width))
-    for i in np.flatnonzero(ok):
-        out[i, : len(lists[i])] = np.floor(scale * lists[i])
+    if not n:
+        return np.zeros((0, dim or 0)), np.zeros(0, bool)
+    at = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)[at[0] : at[-1]]  # null becomes NaN
+    at = at - at[0]
+    bad = np.append(0, np.cumsum(~np.isfinite(values)))
+    ok = column.is_valid().to_numpy(zero_copy_only=False) & (bad[at[1:]] == bad[at[:-1]])
+    size = np.where(ok, np.diff(at), 0)
+    out = np.zeros((n, dim if dim is not None else int(size.max(initial=0))))
+    row = np.repeat(np.arange(n), size)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    out[row, nth] = np.floor(scale * values[np.repeat(at[:-1], size) + nth])
     return out, ok
 
 
