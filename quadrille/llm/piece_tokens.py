@@ -26,7 +26,7 @@ from .textgrid import slices
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 400_000  # stretches kept by one worker
+REMEMBERED = 900_000  # stretches kept by one worker
 SHORT = 64  # characters of a stretch whose whole lattice is kept
 STRETCH = 1 << 20  # characters of a text that are cut into stretches at once
 _LETTER = r"[^\W\d_]"
