@@ -11,11 +11,12 @@ from quadrille.llm import decontamination, jaccard_join, language_id, piece_toke
 
 
 def language_id_stage(spark, docs, sf_dir):
-    """Documents without a language - null or empty text, or not a letter in it - go, and all if no row is labelled.
+    """Documents without a language go: null, empty or letterless text, letters that the network's class for made-up text
+    gets more of than of held-out documents, and scripts of no learned language. All go if no row is labelled.
 
-    Repeated rows and null ids are judged by their text like others; an empty table stays empty.
+    The labels in lang stay as given. Repeated rows and null ids are judged by their text like others; an empty table stays empty.
     """
-    return language_id.keep_identified(docs)
+    return language_id.keep_learned(docs)
 
 
 def ngram_jaccard_stage(spark, docs, sf_dir):

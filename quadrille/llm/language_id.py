@@ -10,6 +10,13 @@ hash must be, so that what is ranked is bounded as well. Prediction reads every
 
 Before windows are cut, case is folded, ASCII that is no letter becomes a
 space, and spaces are joined.
+
+For the filter, the network has one more class, REJECT, trained on made-up
+windows: random letters, letters of learned windows in random order, few
+letters again and again. A text goes if
+that class gets more of it than held-out texts of the sample show (and three
+quarters at least), or if half of its letters or more are in scripts that no learned
+language uses; characters of such scripts are spaces to the network. A text of fewer than JUDGED symbols goes by its script alone.
 """
 
 from __future__ import annotations
@@ -32,6 +39,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EPOCHS = 4
 UNKNOWN = "und"
+REJECT = None  # as no label is null
+JUDGED = 48  # symbols that a text must have for the class REJECT to decide
+SPARED = 0.998  # of the held-out texts lie at or below the threshold
+FAMILIAR = 1e-4  # of a language's letters that a pair of bytes must make up
 _HASHES = 1 << 40
 
 # symbols: 0 space and other ASCII, 1-26 letters, 27-154 bytes from 128 on
@@ -73,11 +84,13 @@ def windows(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
 
 @dataclass
 class Network:
-    languages: list[str]
+    languages: list[str | None]
     filters: list[np.ndarray]  # of each width: (width, symbols, filters)
     bias: np.ndarray
     weight: np.ndarray  # (pools, languages)
     shift: np.ndarray
+    familiar: np.ndarray | None = None  # pairs of symbols, at the start of a character, that the languages use; with it, the last class is REJECT
+    most: float = 0.75  # of a text that REJECT may get
 
     def __post_init__(self):
         self._pairs = None
@@ -162,12 +175,13 @@ def _remainder(key: str):
     return F.crc32(F.col(key).cast("string")) % 5
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
-    """A network for the languages of the sample; None if there is no labelled text."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (_remainder(key) != 0)).withColumn("_lang", F.col(lang).cast("string"))
+def _sample(docs: DataFrame, key: str, text: str, lang: str, held: bool = False) -> list[tuple[str, int, str]]:
+    """(lang, hash, snippet) of a bounded number of labelled texts of each language; of held-out ones, or of the others."""
+    side = _remainder(key) == 0
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (side if held else ~side)).withColumn("_lang", F.col(lang).cast("string"))
     counts = labelled.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()
     if not counts:
-        return None
+        return []
     # some four times what is needed passes, whatever the count
     small = F.create_map(*[F.lit(x) for r in counts for x in (r._lang, min(_HASHES, -(-4 * PER_LANGUAGE * _HASHES // r.n)))])
     hashed = F.pmod(F.xxhash64(F.lit(17), F.col(key).cast("string")), F.lit(_HASHES))
@@ -175,7 +189,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     drawn = labelled.where(hashed < F.element_at(small, F.col("_lang")))
     snippets = drawn.select(F.col("_lang").alias("lang"), hashed.alias("h"), F.substring(F.col(text), (spread + 1).cast("int"), F.lit(SNIPPET)).alias("text"))
     ranked = snippets.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-    sample = sorted((r.lang, r.h, r.text) for r in ranked.where(F.col("nth") <= PER_LANGUAGE).collect())
+    return sorted((r.lang, r.h, r.text) for r in ranked.where(F.col("nth") <= PER_LANGUAGE).collect())
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", reject: bool = False) -> Network | None:
+    """A network for the languages of the sample, with the class REJECT if asked for; None if there is no labelled text."""
+    sample = _sample(docs, key, text, lang)
     languages = sorted({x[0] for x in sample})
     r, xs, ys = np.random.default_rng(2), [], []
     for k, name in enumerate(languages):
@@ -193,7 +212,71 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             ys.append(np.full(len(x), k))
     if not xs:
         return None
-    return Network.fresh(languages).train(np.concatenate(xs), np.concatenate(ys))
+    if not reject:
+        return Network.fresh(languages).train(np.concatenate(xs), np.concatenate(ys))
+    made = _made_up(np.concatenate(xs), 2 * WINDOWS, np.random.default_rng(3))
+    network = Network.fresh([*languages, REJECT]).train(np.concatenate([*xs, made]), np.concatenate([*ys, np.full(len(made), len(languages))]))
+    network.familiar = np.zeros((_SYMBOLS, _SYMBOLS), bool)
+    for name in languages:
+        seen, letters = np.zeros((_SYMBOLS, _SYMBOLS), np.int64), 0
+        for _, _, t in (x for x in sample if x[0] == name):
+            pairs, n = _leads(np.frombuffer(t.encode(), np.uint8))
+            np.add.at(seen, (pairs[0], pairs[1]), 1)
+            letters += n
+        network.familiar |= seen > FAMILIAR * letters
+    held = pa.array([t for _, _, t in _sample(docs, key, text, lang, held=True)], pa.string())
+    if len(held):
+        data, offsets = buffers(held)
+        share, size = _shares(_without(data, _strange(data, network)), offsets, network)
+        if (size >= JUDGED).any():
+            network.most = max(network.most, float(np.quantile(share[size >= JUDGED, -1], SPARED)))
+    return network
+
+
+def _leads(data: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """The first two symbols of each character beyond ASCII, and the number of characters that are one or an ASCII letter."""
+    s = symbols(data)
+    lead = np.flatnonzero(data[:-1] >= 0xC0)
+    return (s[lead], s[lead + 1]), len(lead) + int(((s > 0) & (data < 128)).sum())
+
+
+def _made_up(x: np.ndarray, n: int, r: np.random.Generator) -> np.ndarray:
+    """n windows of no language, some of which end early; x: windows of all."""
+    out = np.zeros((n, x.shape[1]), np.uint8)
+    for k in range(n):
+        row = x[r.integers(len(x))]
+        kind = k % 3
+        if kind == 0:  # any letters, in words of any length
+            made = r.integers(1, 27, len(row))
+            made[r.random(len(row)) < r.uniform(0.05, 0.25)] = 0
+        elif kind == 1:  # letters of a learned window in random order, its spaces stay
+            made = row.copy()
+            made[row > 0] = r.permutation(row[row > 0])
+        else:  # few letters again and again
+            made = r.choice(r.integers(1, 27, r.integers(1, 9)), len(row))
+            made[r.random(len(row)) < r.uniform(0, 0.2)] = 0
+        if r.random() < 0.2:
+            made = made[: r.integers(JUDGED, len(row))]
+        out[k, : len(made)] = made
+    return out
+
+
+def _shares(data: np.ndarray, offsets: np.ndarray, network: Network) -> tuple[np.ndarray, np.ndarray]:
+    """What each class gets of each text, and the symbols of each text that are letters."""
+    x, text = windows(data, offsets)
+    p = network.probabilities(x)
+    weight = (x > 0).sum(axis=1)
+    total = np.zeros((len(offsets) - 1, p.shape[1]))
+    np.add.at(total, text, p * weight[:, None])
+    return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-300), np.bincount(text, weight, len(offsets) - 1)
+
+
+def _some_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    letter = np.append(0, np.cumsum((_SYMBOL[data] > 0) & (data < 128)))[offsets]
+    some = np.diff(letter) > 0
+    for i in np.flatnonzero(~some & (np.diff(offsets) > 0)):
+        some[i] = any(c.isalpha() for c in column[int(i)].as_py() or "")
+    return some
 
 
 def _predict(column: pa.Array, network: Network | None) -> tuple[list[str], np.ndarray]:
@@ -202,20 +285,51 @@ def _predict(column: pa.Array, network: Network | None) -> tuple[list[str], np.n
     if network is None:
         return [UNKNOWN] * n, np.zeros(n)
     data, offsets = buffers(column)
-    letter = np.append(0, np.cumsum((_SYMBOL[data] > 0) & (data < 128)))[offsets]
-    some = np.diff(letter) > 0
-    for i in np.flatnonzero(~some & (np.diff(offsets) > 0)):
-        some[i] = any(c.isalpha() for c in column[int(i)].as_py() or "")
-    x, text = windows(data, offsets)
-    p = network.probabilities(x)
-    weight = (x > 0).sum(axis=1)
-    total = np.zeros((n, p.shape[1]))
-    np.add.at(total, text, p * weight[:, None])
-    share = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
+    some = _some_letter(column, data, offsets)
+    share, _ = _shares(data, offsets, network)
+    if network.familiar is not None:
+        share = share[:, :-1]
     best = share.argmax(axis=1)
     return [network.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], np.where(some, np.clip(share.max(axis=1), 0, 1), 0.0)
 
 
+def _strange(data: np.ndarray, network: Network) -> np.ndarray:
+    """Which bytes begin a character of a script that the network's languages do not use."""
+    lead = np.flatnonzero(data >= 0xC0)
+    s = symbols(data)
+    out = np.zeros(len(data), bool)
+    out[lead] = ~network.familiar[s[lead], s[lead + 1]]
+    return out
+
+
+def _without(data: np.ndarray, strange: np.ndarray) -> np.ndarray:
+    """data with spaces for these characters."""
+    if not strange.any():
+        return data
+    begins = (data & 0xC0) != 0x80
+    return np.where(strange[begins][np.cumsum(begins) - 1], np.uint8(32), data)
+
+
+def _learned(column: pa.Array, network: Network | None) -> np.ndarray:
+    """Whether each text has a letter and is neither the class REJECT's nor in scripts that the network's languages do not use."""
+    if network is None:
+        return np.zeros(len(column), bool)
+    data, offsets = buffers(column)
+    some = _some_letter(column, data, offsets)
+    strange = _strange(data, network)
+    share, size = _shares(_without(data, strange), offsets, network)
+    some &= (size < JUDGED) | (share[:, -1] <= network.most)
+    letter = (data >= 0xC0) | ((_SYMBOL[data] > 0) & (data < 128))
+    n_strange, n_letter = (np.diff(np.append(0, np.cumsum(v))[offsets]) for v in (strange, letter))
+    # signs and emoji are no script: where strange characters could decide, only letters count
+    for i in np.flatnonzero(some & (2 * n_strange >= n_letter) & (n_strange > 0)):
+        own, low = column[int(i)].as_py(), int(offsets[i])
+        first = np.flatnonzero((data[low : offsets[i + 1]] & 0xC0) != 0x80)
+        alpha = np.fromiter((c.isalpha() for c in own), bool, len(own))
+        some[i] = 2 * int((strange[low + first] & alpha).sum()) < int(alpha.sum())
+    return some
+
+
 def identify_language(docs: DataFrame, network: Network | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs.
 
@@ -238,12 +352,25 @@ def identify_language(docs: DataFrame, network: Network | None = None, key: str
 
 def keep_identified(docs: DataFrame, network: Network | None = None, least: float = 0.0) -> DataFrame:
     """The rows of docs, whole, whose text has a language: not `und`, and with a score of at least least."""
-    sent = docs.sparkSession.sparkContext.broadcast(network or train(docs))
+
+    def kept(column, network):
+        names, score = _predict(column, network)
+        return np.array([n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)], bool)
+
+    return _keep(docs, network or train(docs), kept)
+
+
+def keep_learned(docs: DataFrame, network: Network | None = None) -> DataFrame:
+    """The rows of docs, whole, whose text is in a learned language by the rule above; network: one with the class REJECT."""
+    return _keep(docs, network or train(docs, reject=True), _learned)
+
+
+def _keep(docs: DataFrame, network: Network | None, kept) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(network)
     at = docs.columns.index("text")
 
     def scan(batches):
         for batch in slices(batches, at):
-            names, score = _predict(batch.column(at), sent.value)
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array(kept(batch.column(at), sent.value), pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)

@@ -81,3 +81,35 @@ def test_rows_of_every_kind(spark, make_docs, messy, network):
     assert L.identify_language(make_docs([])).count() == 0
     bare = make_docs(rows).drop("lang").selectExpr("*", "cast(null AS string) lang")
     assert {r.lang_pred for r in L.identify_language(bare).collect()} == {"und"}
+
+
+def test_filter_drops_gibberish_and_scripts_not_learned(spark, sf, make_docs):
+    import random
+
+    r = random.Random(4)
+    learned = L.train(sf, reject=True)
+    assert learned.most >= 0.75 and learned.familiar is not None
+    letters = [c for row in sf.limit(50).collect() for c in row.text.lower() if c.isalpha()]
+
+    def mash(n, alphabet):
+        return " ".join("".join(r.choice(alphabet) for _ in range(r.randrange(2, 10))) for _ in range(n))
+
+    bad = [mash(n, a) for n in (15, 60, 600) for a in ("abcdefghijklmnopqrstuvwxyz", letters) for _ in range(5)]
+    bad += ["東京", "東京は日本の首都です。" * 30, "Это обычный русский текст о погоде.", "Η Αθήνα είναι η πρωτεύουσα της Ελλάδας", "القاهرة هي عاصمة مصر", None, "", "12 345 !?", "😀😀"]
+    good = ["The end.", "Avec.", "Yes 😀😀😀😀", "ÉAUX.", "The house stands at the end of the road, and in the evening the children play there until the lamps are lit. 東京"]
+    docs = make_docs([*enumerate(bad), *enumerate(good, 1000)])
+    assert sorted(x.doc_id for x in L.keep_learned(docs, learned).collect()) == list(range(1000, 1000 + len(good)))
+    # and of the documents it was trained for, held out or not, none but a few go
+    kept = L.keep_learned(sf, learned)
+    assert kept.columns == sf.columns and kept.count() >= 0.998 * sf.count()
+    assert {x.lang_pred for x in L.identify_language(docs, learned).collect()} <= {"de", "en", "es", "fr", "und"}
+
+
+def test_stage_of_the_pipeline_uses_the_network(spark, sf):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    gibberish = sf.limit(20).select((F.col("doc_id") + 10_000_000).alias("doc_id"), F.concat(F.reverse(F.md5("text")), F.repeat(F.lit("qxzj wvkq xxjz pqgk "), 20)).alias("text"), F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    out = corpus_pipeline.language_id_stage(spark, sf.unionByName(gibberish), None)
+    assert out.where("doc_id >= 10000000").count() == 0 and out.count() >= 0.998 * sf.count()
