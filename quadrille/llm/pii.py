@@ -4,7 +4,8 @@ Base identifiers are found in the text as it is. Transducers then rewrite the
 text - homoglyphs, spelled digits, at/dot disguises - while every character of
 the rewritten text carries the span of source characters it stands for; what is
 detected there maps back to the source. Base spans always stay; a found span
-that overlaps one, or that no transducer touched, adds nothing.
+that lies within one of its kind, or that no transducer touched, adds nothing.
+One that is wider than a base span stands beside it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -215,21 +216,15 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
         x = step(x)
     if x.text == text:
         return base, base
-    taken = sorted((s, e) for s, e, _ in base)
-    longest = max((e - s for s, e in taken), default=0)
+    # base spans of a kind are disjoint: the last that starts at or before a span is the only one that may hold it
+    taken = {kind: [(s, e) for s, e, k in base if k == kind] for kind in KINDS}
     found = list(base)
     for a, b, kind in base_spans(x.text):
         s, e = x.start[a], x.end[b - 1]
         if text[s:e] == x.text[a:b]:
             continue
-        k = bisect_left(taken, (s - longest, 0))
-        clash = False
-        while k < len(taken) and taken[k][0] < e:
-            if taken[k][1] > s:
-                clash = True
-                break
-            k += 1
-        if not clash:
+        k = bisect_right(taken[kind], (s, len(text)))
+        if not k or taken[kind][k - 1][1] < e:
             found.append((s, e, kind))
     found = sorted(set(found), key=lambda f: (f[0], KINDS.index(f[2]), f[1]))
     return base, found

@@ -79,3 +79,28 @@ def test_rows_of_every_kind(make_docs, messy):
     assert masked[70].text == "é😀 [EMAIL], [CARD]; [IP] [PHONE]" and masked[70].n_chars == len(masked[70].text)
     assert masked[0].text is None and masked[0].n_chars is None and masked[6].text == dict(rows)[6]
     assert pii.find_personal_data(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part", "masked"),
+    [
+        ("to jоhn.smith@example.com now", "email", "jоhn.smith@example.com", "to [EMAIL] now"),
+        ("to john [dot] smith@example.com now", "email", "john [dot] smith@example.com", "to [EMAIL] now"),
+        ("to anna@mail.example [dot] com now", "email", "anna@mail.example [dot] com", "to [EMAIL] now"),
+        ("to anna@mail.exаmple.com now", "email", "anna@mail.exаmple.com", "to [EMAIL] now"),
+        ("call +1 415 555 267１ now", "phone", "+1 415 555 267１", "call [PHONE] now"),
+        ("pay 4111 1111 1111 1111, a@b.co, 1.2.3.４ now", "ip", "1.2.3.４", "pay [CARD], [EMAIL], [IP] now"),
+    ],
+)
+def test_a_wider_disguised_span_stands_beside_the_base_span(text, kind, part, masked):
+    base, found = pii.all_spans(text)
+    assert base == plain(text) and set(base) <= set(found)
+    assert (text.index(part), text.index(part) + len(part), kind) in found
+    assert pii.mask(text) == masked
+
+
+def test_spans_within_a_base_span_of_their_kind_add_nothing():
+    text = "é pay 4111 1111 1111 1111 １２３, аnna@b.co"
+    base, found = pii.all_spans(text)
+    assert [text[s:e] for s, e, _ in base] == ["4111 1111 1111 1111", "nna@b.co"]
+    assert sorted(set(found) - set(base)) == [(text.index("аnna"), len(text), "email")]
