@@ -265,3 +265,25 @@ def test_reports(spark, tmp_path, prepared, settings):
 def test_sampling_takes_all_of_small_classes(records):
     assert partition.sample_per_class(records, "record_index", 4).groupBy("label").count().collect()[0]["count"] == 4
     assert partition.sample_per_class(records, "record_index", 50).count() == 30
+
+
+def test_svm_by_columns_is_that_of_the_whole_kernel(monkeypatch):
+    r = np.random.default_rng(1)
+    x, y = np.concatenate([r.normal(c, 1.2, (150, 3)) for c in ((0, 0, 0), (3, 0, 0), (0, 3, 0))]), np.repeat([0, 1, 2], 150)
+    new = r.normal(1, 2, (400, 3))
+    whole = svm.KernelSVM().fit(x, y)
+    monkeypatch.setattr(svm, "CACHE", 900)  # three columns, and few rows at once in prediction
+    parts = svm.KernelSVM(columns=True).fit(x, y)
+    assert (whole.predict(new) == parts.predict(new)).mean() > 0.99
+    for (*_, w, b), (*_, v, a) in zip(whole.models, parts.models, strict=True):
+        assert abs(np.abs(w).sum() - np.abs(v).sum()) < 0.01 * np.abs(w).sum() and abs(a - b) < 0.01
+
+
+def test_cross_validation_of_folds_beyond_the_whole_kernel(spark):
+    r = np.random.default_rng(2)
+    n = svm.MAX_ROWS * 5 // 4 + 500
+    label = np.arange(n) % 3
+    x = r.normal(0, 0.3, (n, 2)) + np.array([(0, 0), (4, 0), (0, 4)])[label]
+    big = spark.createDataFrame([("t", i, 0, int(c), [float(v) for v in f]) for i, (c, f) in enumerate(zip(label, x, strict=True))], "technique string, group long, variant int, label int, features array<double>")
+    folds = svm.cross_validate(big).collect()
+    assert sorted(f.fold for f in folds) == list(range(5)) and all(f.accuracy > 0.99 for f in folds)
