@@ -68,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             for m in _PHONE.finditer(text):
                 if 10 <= len(_DIGIT.findall(m.group())) <= 15:
                     found.append((m.start(), m.end(), 3))
-    found.sort()
+    found.sort(key=lambda f: (f[0], f[2], f[1]))
     return [(s, e, KINDS[k]) for s, e, k in found]
 
 
@@ -91,14 +91,12 @@ _OCTET = rf"{_PART}(?:[ \t-]{{1,3}}{_PART}){{0,2}}"
 _SPELLED_IP = re.compile(rf"(?i)(?<![^\W_]){_OCTET}(?:[ \t]{{1,3}}dot[ \t]{{1,3}}{_OCTET}){{3}}")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKETED = re.compile(rf"(?i)[ \t]{{0,3}}{_OPEN}[ \t]{{0,3}}(at|@|dot|\.)[ \t]{{0,3}}{_CLOSE}[ \t]{{0,3}}|&(?:(commat|#64|#x40)|period|#46|#x2e);")
-_GAP = r"(?:[ \t]{1,3}|_{1,2}|-{1,2})"
-_LABEL = r"[A-Za-z0-9-]{1,63}?"
-_BARE = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}?(?:{_GAP}dot{_GAP}[A-Za-z0-9._%+-]{{1,64}}?){{0,4}}(?:{_GAP}(?:at|@){_GAP}|@){_LABEL}(?:(?:{_GAP}dot{_GAP}|\.){_LABEL}){{1,8}}(?![A-Za-z0-9-])"
-)
+_GAP = r"(?:[ \t]{1,3}+|_{1,2}+|-{1,2}+)"
+# what parts a disguised address: the words, between gaps, and a plain @
+_PARTING = re.compile(rf"(?i){_GAP}(?:dot|at|@){_GAP}|@")
+_LABELS = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+")
 _BARE_IP = re.compile(r"(?i)(?<![0-9])[0-9]{1,3}(?:(?:[ \t]{1,3}dot[ \t]{1,3}|\.)[0-9]{1,3}){3}(?![0-9])")
 _WORD_DOT = re.compile(rf"(?i){_GAP}dot{_GAP}")
-_WORD_AT = re.compile(rf"(?i){_GAP}(?:at|@){_GAP}")
 
 
 class Aligned:
@@ -189,14 +187,10 @@ def undisguise(x: Aligned) -> Aligned:
         x = x.rewrite([(m.start(), m.end(), "@" if m.group(2) or (m.group(1) or "").lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(x.text)])
     if not _DOT_WORD.search(x.text) and " @ " not in x.text:
         return x
-    edits: dict[int, tuple[int, int, str]] = {}
-    for whole, symbols in ((_BARE, ((_WORD_AT, "@"), (_WORD_DOT, "."))), (_BARE_IP, ((_WORD_DOT, "."),))):
-        for m in whole.finditer(x.text):
-            if not _WORD_DOT.search(m.group()) and " @ " not in m.group():
-                continue
-            for pattern, new in symbols:
-                for y in pattern.finditer(x.text, m.start(), m.end()):
-                    edits.setdefault(y.start(), (y.start(), y.end(), new))
+    edits = {e[0]: e for e in _addresses(x.text)}
+    for m in _BARE_IP.finditer(x.text):
+        for y in _WORD_DOT.finditer(x.text, m.start(), m.end()):
+            edits.setdefault(y.start(), (y.start(), y.end(), "."))
     last, kept = 0, []
     for e in sorted(edits.values()):
         if e[0] >= last:
@@ -205,6 +199,41 @@ def undisguise(x: Aligned) -> Aligned:
     return x.rewrite(kept)
 
 
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make whole addresses of disguised ones, in one pass: what parts them is found first, and each `at` reaches as
+    far to both sides as `dot` and parts without gaps go; no part is looked at by more than the two `at` around it."""
+    marks = [(m.start(), m.end(), "." if "dot" in m.group().lower() else "@") for m in _PARTING.finditer(text)]
+    edits, done = [], 0
+
+    def local(n: int) -> int:
+        """Where the local characters before mark n begin; they reach no farther than the mark before it, or what is done."""
+        low, at = max(done, marks[n - 1][1] if n else 0), marks[n][0]
+        while at > low and text[at - 1] in _LOCAL:
+            at -= 1
+        return at
+
+    for n, (start, end, kind) in enumerate(marks):
+        first, begin = n, local(n) if kind == "@" else start
+        if begin == start:
+            continue
+        while first and marks[first - 1][1] == begin and marks[first - 1][2] == "." and done < marks[first - 1][0] and (before := local(first - 1)) < marks[first - 1][0]:
+            first, begin = first - 1, before
+        last, at, dots = n, end, 0
+        while m := _LABELS.match(text, at):
+            dots += "." in m.group() or last > n
+            at = m.end()
+            if last + 1 < len(marks) and marks[last + 1][0] == at and marks[last + 1][2] == "." and _LABELS.match(text, marks[last + 1][1]):
+                last += 1
+                at = marks[last][1]
+            else:
+                break
+        if not dots:
+            continue
+        done = at
+        edits += [(s, e, k) for s, e, k in marks[first : last + 1] if e - s > 1]
+    return edits
+
+
 TRANSDUCERS = (fold_homoglyphs, unspell_addresses, unspell_digits, undisguise)
 
 

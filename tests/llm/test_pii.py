@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -26,7 +27,7 @@ def plain(text):
 
 def test_base_spans_are_those_of_the_patterns():
     r = random.Random(3)
-    for alphabet in ("a@.b- ", "0123.", "01 -+().4", "a1@.+é 2", "0 1-2345678"):
+    for alphabet in ("a@.b- ", "0123.", "01 -+().4", "a1@.+é 2", "0 1-2345678", "4@1.a"):
         for _ in range(3000):
             t = "".join(r.choice(alphabet) for _ in range(r.randrange(40)))
             assert pii.base_spans(t) == plain(t), t
@@ -59,6 +60,51 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert (text.index(part), text.index(part) + len(part), kind) in found
 
 
+def test_spans_of_one_start_are_in_the_order_of_kinds():
+    for text, want in (("4111111111111111@x.com", "email:0:22,card:0:16"), ("1.2.3.4@x.com", "email:0:13,ip:0:7")):
+        base, found = pii.all_spans(text)
+        assert pii.written(base) == pii.written(found) == pii.written(plain(text)) == want
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["a-dot-", "x@a-dot-", "a dot ", "a_at_", "a at b dot ", "a [at] ", "one two ", "one dot ", "&#64;", "a@", "1 dot ", "@ ", "-dot", "dot_dot_", "plus one two ", "a--", "1.", "+1 (", "x @ y.", "​", "о@"],
+)
+@pytest.mark.parametrize("before", ["", "x@", "x at ", "éone "])
+def test_long_repeats_end_soon(unit, before):
+    began = time.perf_counter()
+    pii.all_spans(before + unit * 50_000)
+    assert time.perf_counter() - began < 2, unit
+
+
+def test_labels_and_locals_of_any_number():
+    whole = "a" + " dot b" * 30 + " at c" + " dot d" * 30
+    assert pii.all_spans(f"to {whole}, so")[1] == [(3, 3 + len(whole), "email")]
+    text = "a at b dot c at d dot e"
+    assert [text[s:e] for s, e, _ in pii.all_spans(text)[1]] == ["a at b dot c"]
+
+
+COUNTS = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    c AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS cards FROM d)
+    SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+        len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: list_max(list_transform(string_split(x, '.'), lambda p: p::HUGEINT)) <= 255)) AS n_ip,
+        len(list_filter(cards, lambda x: len(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(len(x)), lambda i: CASE WHEN i % 2 = 0 THEN x[len(x) - i]::INT ELSE x[len(x) - i]::INT * 2 - CASE WHEN x[len(x) - i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS n_card,
+        len(list_filter(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 15)) AS n_phone
+    FROM c"""
+
+
+def test_counts_of_the_whole_table_are_those_of_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    sf = "/root/testdata/sf0.01"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = pii.find_personal_data(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone").collect()
+    want = con.execute(COUNTS).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(map(sum, (x[1:] for x in want))) > 0
+
+
 def test_clean_prose_gains_nothing():
     for text in ("We met at the station at nine, one two three steps away (at noon).", "Look at example dot", "été à la fin – voilà", "one at a time, two at most", "at two, dot one, at three at dot", "a-at-b _dot_ c", "one two dot three", "He said: dot the i. At last [at least] one."):
         assert pii.all_spans(text) == ([], [])
