@@ -20,7 +20,7 @@ def op2_language_id(spark, sf_dir):
 
 
 def op3_chat_formatting(spark, sf_dir):
-    return tool_calls.link_tool_calls(_read(spark, sf_dir, "conversations"))
+    return tool_calls.link_tool_calls(_read(spark, sf_dir, "conversations"), tool_calls.SCHEMAS, turns_are_calls=True)
 
 
 def op4_sentencepiece(spark, sf_dir):

@@ -80,6 +80,80 @@ def test_arguments_hold_to_the_schema(arguments, errors):
     assert T.violations(arguments, SCHEMAS["add"]) == errors
 
 
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        (True, [1, None], []),
+        (False, [], [1, None]),
+        ({"pattern": "^a+$"}, ["aa", 3], ["ab", ""]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, ["a", 3], [2]),
+        ({"oneOf": [{"minimum": 3}, {"maximum": 5}]}, [2, 6], [4]),
+        ({"allOf": [{"minimum": 3}, {"maximum": 5}], "not": {"const": 4}}, [3, 5], [2, 4, 4.0]),
+        ({"exclusiveMinimum": 1, "exclusiveMaximum": 2}, [1.5, "x"], [1, 2, 1.0]),
+        ({"enum": [1, [1.0]]}, [1.0, [1]], [True, [True], "1"]),
+        ({"uniqueItems": True, "items": {"type": "integer"}}, [[1, 2], []], [[1, 1.0], [1.5]]),
+        ({"minProperties": 1, "properties": {"a": False}, "additionalProperties": {"type": "null"}}, [{"b": None}], [{}, {"a": 1}, {"b": 1}]),
+    ],
+)
+def test_words_of_schemas(schema, good, bad):
+    T.check_schema(schema)
+    assert not any(T.violations(x, schema) for x in good) and all(T.violations(x, schema) for x in bad)
+
+
+@pytest.mark.parametrize("schema", [{"$ref": "#/x"}, {"properties": {"a": {"patternProperties": {}}}}, {"items": 3}, {"pattern": "("}, {"anyOf": [{"if": True}]}])
+def test_schemas_that_are_not_read_are_refused(spark, schema):
+    with pytest.raises((ValueError, T.re.error)):
+        T.link_tool_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), {"x": schema})
+
+
+def deep(n):
+    return '{"tool_calls": [{"id": "c", "name": "add", "arguments": ' + '{"a":' * n + '"$c"' + "}" * n + "}]}"
+
+
+def test_nests_and_numbers_that_cannot_be_written_are_plain_text(link):
+    texts = [deep(n) for n in (1_500, 5_000, 100_000)] + ['{"tool_calls": [{"id": "c", "arguments": {"a": 1e999}}]}', '{"tool_calls": [{"id": "c", "arguments": {"a": "\\ud800"}}]}', '{"tool_calls": [' + "9" * 5000 + "]}"]
+    out = link([(1, n, "assistant", t) for n, t in enumerate(texts)])
+    assert [r.kind for r in out] == ["message"] * len(texts) and all(json.loads(r.json)["content"] == t for r, t in zip(out, texts, strict=True))
+    out = link([(1, 0, "assistant", deep(400)), (1, 1, "assistant", '{"tool_calls": [{"id": "d", "name": "add", "arguments": "{\\"a\\": 1e999}"}]}')])
+    assert [(r.kind, list(r.errors)) for r in out] == [("call", ["$.a: not of type integer"]), ("call", ["arguments are no object"])]
+
+
+def test_an_identifier_with_very_many_events(link, monkeypatch):
+    rows = [(1, 0, "assistant", said(call("c", a=1)))] + [(1, 1 + n, "tool", answer("c", str(n))) for n in range(1500)] + [(2, n, "tool", answer(f"c{n}")) for n in range(50)]
+    out = link(rows)
+    assert len(out) == len(rows) and sum(r.linked for r in out) == 1501
+    monkeypatch.setattr("quadrille.llm.workspace.SHARE", 1)  # no key is hot
+    assert link(rows) == out
+
+
+def test_every_conversation_of_the_table_against_brute_force(spark):
+    from quadrille.llm import queries as Q
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    calls = {(r.conv_id, r.turn) for r in rows if r.role == "user"}
+    results = {(r.conv_id, r.turn - 1) for r in rows if r.role == "assistant"}
+    want = []
+    for r in rows:
+        event = {"conv_id": r.conv_id, "role": r.role, "turn": r.turn}
+        if r.role == "user":
+            after = {"after": f"$turn-{r.turn - 2}"} if r.turn > 1 else {}
+            linked, ok = (r.conv_id, r.turn) in results, bool(r.text.strip())
+            event |= {"kind": "call", "call_id": f"turn-{r.turn}", "name": "reply", "linked": linked, "arguments": {"prompt": r.text, "turn": r.turn} | after}
+            want.append((r.conv_id, r.turn, "call", linked, ok, r.turn, 1, event))
+        elif r.role == "assistant":
+            linked = (r.conv_id, r.turn - 1) in calls
+            event |= {"kind": "result", "call_id": f"turn-{r.turn - 1}", "linked": linked, "content": r.text}
+            if not linked:
+                event["errors"] = ["no such call"]
+            want.append((r.conv_id, r.turn, "result", linked, linked, r.turn, 0, event))
+        else:
+            want.append((r.conv_id, r.turn, "message", False, True, r.turn, 0, event | {"kind": "message", "content": r.text}))
+    got = [(r.conv_id, r.turn, r.kind, r.linked, r.valid, r.at_turn, r.at_step, json.loads(r.json)) for r in Q.op3_chat_formatting(spark, sf).collect()]
+    assert sorted(got, key=lambda x: x[:2]) == sorted(want, key=lambda x: x[:2])
+    assert len({x[2] for x in got}) == 3 and {x[3] for x in got if x[2] == "call"} == {True, False}
+
+
 def test_rows_of_every_kind(link):
     rows = [(1, 0, "assistant", t) for t in (None, "", "{", "{}", '{"tool_calls": []}', '{"tool_calls": [1, {"id": 5, "arguments": "x"}]}', '{"a": NaN, "tool_calls": [{}]}', "[" * 5000, "{" + '"a":{' * 5000)]
     rows += [(1, 1, None, "x"), (None, None, "tool", answer("c")), (None, 0, "assistant", said(call("c", a=1))), (3, 0, "assistant", said(call("d", a=1))), (3, 0, "assistant", said(call("d", a=1))), (3, 1, "tool", answer("d")), (3, 2, "assistant", said(call("d", "nope")))]
