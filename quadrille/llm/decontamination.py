@@ -2,19 +2,22 @@
 
 Words are runs of letters and digits with ASCII case folded. Karp-Rabin hashes
 of every run of MIN_MATCH words of a document are joined with those of the
-benchmark; runs on one diagonal grow into maximal matches; the longest match of
-unmarked words is marked again and again, in document and item, until none of
-MIN_MATCH words is left. A document is contaminated by an item of whose words
-at least THRESHOLD is covered by tiles, whatever their order in the document.
-
-The benchmark is broadcast in blocks of at most BLOCK_BYTES (one item, if that
-is longer): each block is one narrow pass over the documents, and lineage is
-cut after every few passes. No document moves between tasks.
+benchmark; seeds grow into maximal matches; the longest match of unmarked words
+is marked again and again, in document and item, until none of MIN_MATCH words
+is left. A document is contaminated by an item of whose words at least THRESHOLD
+is covered by tiles, whatever their order in the document. An item of fewer
+words than MIN_MATCH has one seed, the whole of it.
+
+Documents are read once, whatever the size of the benchmark. One of at most
+BLOCK_BYTES is sent to all tasks, and no document moves. Beyond that, a bounded
+count-min sketch of its seeds lets each document give out only seeds that the
+benchmark may have; they meet the benchmark's in a join, pairs whose seeds could
+not cover enough are dropped while counts are still partial, and only the texts
+of the pairs left are tiled. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,157 +25,237 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textgrid import ALPHANUMERIC_FOLDED, buffers, inside_one_text, rolled, slices, words
-from .workspace import durable
+from . import sketch as cm
+from .textgrid import ALPHANUMERIC_FOLDED, Words, buffers, inside_one_text, rolled, slices, words
+from .tiling import tiles
+from .workspace import durable, spread_join
 
 MIN_MATCH = 5
 THRESHOLD = 0.8
 BLOCK_BYTES = 16 << 20
-PASSES = 6  # of blocks of the benchmark before lineage is cut
+EXPANDED = 1 << 20  # places of seeds in items that are looked at at once, for whole rows
 
 _HIT = "array<struct<item_id:long,coverage:double>>"
+_KEY = ["text_a", "text_b"]
+
+
+def _words(column: pa.Array) -> Words:
+    return words(*buffers(column), ALPHANUMERIC_FOLDED)
+
+
+def _seeds(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place in the text of every run of n words; runs of other lengths have other hashes."""
+    at = np.flatnonzero(inside_one_text(w.first, n, len(w.hash) - n + 1))
+    text = np.searchsorted(w.first, at, "right") - 1
+    return rolled(w.hash, n, seed=n)[at], text, at - w.first[text]
+
+
+def _of_length(w: Words, k: int):
+    """For each length of seeds, n, and which texts have seeds of it: those of n words, or of k and more."""
+    size = np.diff(w.first)
+    for n in np.unique(np.minimum(size[size > 0], k)).tolist():
+        yield n, size >= k if n == k else size == n
 
 
 @dataclass
 class Block:
-    """Items, their word hashes, and the seeds sorted by hash with the item and place of each."""
+    """Items, their word hashes, and by length of seed the seeds sorted by hash with the item and place of each."""
 
     ids: np.ndarray
     words: list[np.ndarray]
-    seed: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
     def of(items: list[tuple[int, str]], k: int) -> Block:
-        w = words(*buffers(pa.array([t for _, t in items], pa.string())), ALPHANUMERIC_FOLDED)
-        at = np.flatnonzero(inside_one_text(w.first, k, len(w.hash) - k + 1))
-        seed = rolled(w.hash, k)[at]
-        order = np.argsort(seed, kind="stable")
-        item = np.searchsorted(w.first, at, "right") - 1
-        return Block(np.array([i for i, _ in items], np.int64), [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)], seed[order], item[order], (at - w.first[item])[order])
-
-
-def tile(runs: list[tuple[int, int, int]], item_words: int, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in item, place in document, length) out of maximal matches."""
-    mine = bytearray(item_words)
-    low = min(j for _, j, _ in runs)
-    theirs = bytearray(max(j + n for _, j, n in runs) - low)
-    heap = [(-n, i, j) for i, j, n in runs]
-    heapq.heapify(heap)
-    tiles = []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        taken = [a or b for a, b in zip(mine[i : i + n], theirs[j - low : j - low + n], strict=True)]
-        if not any(taken):
-            mine[i : i + n] = theirs[j - low : j - low + n] = b"\1" * n
-            tiles.append((i, j, n))
-            continue
-        start = 0
-        for at, t in enumerate([*taken, 1]):
-            if t:
-                if at - start >= least:
-                    heapq.heappush(heap, (start - at, i + start, j + start))
-                start = at + 1
-    return tiles
+        w, seeds = _words(pa.array([t for _, t in items], pa.string())), {}
+        for n, which in _of_length(w, k):
+            seed, item, place = _seeds(w, n)
+            own = which[item]
+            order = np.argsort(seed[own], kind="stable")
+            seeds[n] = tuple(x[own][order] for x in (seed, item, place))
+        return Block(np.array([i for i, _ in items], np.int64), [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)], seeds)
+
+
+def _distinct(seed: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each seed once for a row, by row."""
+    order = np.lexsort((seed, row))
+    seed, row = seed[order], row[order]
+    keep = np.ones(len(seed), bool)
+    keep[1:] = (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
+    return seed[keep], row[keep]
+
+
+def _reachable(seed: np.ndarray, row: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, length: np.ndarray, threshold: float):
+    """Pairs of row and item whose common seeds, were all of them marked, would cover enough."""
+    known, of_item, at = found
+    low, high = np.searchsorted(known, seed, "left"), np.searchsorted(known, seed, "right")
+    some = high > low
+    row, low, count = row[some], low[some], (high - low)[some]
+    first = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) if len(row) else np.zeros(1, np.int64)
+    total = np.append(0, np.cumsum(count))[first]  # places of the rows before each
+    begin = 0
+    while begin < len(first) - 1:
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + EXPANDED, "right")) - 1)
+        s = slice(first[begin], first[end])
+        begin = end
+        c = count[s]
+        which = np.repeat(low[s], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        r, item, place = np.repeat(row[s], c), of_item[which], at[which]
+        order = np.lexsort((place, item, r))
+        r, item, place = r[order], item[order], place[order]
+        new = np.append(True, (r[1:] != r[:-1]) | (item[1:] != item[:-1]))
+        step = np.full(len(r), n)
+        step[:-1] = np.where(new[1:], n, np.minimum(n, np.diff(place)))
+        most = np.bincount(np.cumsum(new) - 1, weights=step)
+        enough = most >= threshold * length[item[new]] - 1e-9
+        yield from zip(r[new][enough].tolist(), item[new][enough].tolist(), strict=True)
+
+
+def _coverage(item: np.ndarray, document: np.ndarray, k: int) -> float:
+    return sum(n for _, _, n in tiles(item, document, min(k, len(item)))) / len(item)
 
 
 def _hits(batch_text: pa.Array, block: Block, k: int, threshold: float) -> dict[int, list[tuple[int, float]]]:
     """For rows of the batch: the items that contaminate them, with coverage."""
-    if not len(block.seed):
-        return {}
-    w = words(*buffers(batch_text), ALPHANUMERIC_FOLDED)
-    at = np.flatnonzero(inside_one_text(w.first, k, len(w.hash) - k + 1))
-    if not len(at):
-        return {}
-    seeds = rolled(w.hash, k)[at]
-    low = np.searchsorted(block.seed, seeds, "left")
-    hit = block.seed[np.minimum(low, len(block.seed) - 1)] == seeds
-    at, low, seeds = at[hit], low[hit], seeds[hit]
-    count = np.searchsorted(block.seed, seeds, "right") - low
-    which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    there = np.repeat(at, count)
-    row = np.searchsorted(w.first, there, "right") - 1
-    item, i = block.item[which], block.place[which]
-    j = there - w.first[row]
-    length = np.array([len(x) for x in block.words], np.int64)
-    # coverage if every seed could be marked: below the threshold, tiling cannot reach it
-    order = np.lexsort((i, item, row))
-    row, item, i, j = row[order], item[order], i[order], j[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-    group = np.cumsum(new) - 1
-    step = np.full(len(row), k)
-    step[:-1] = np.where(new[1:], k, np.minimum(k, i[1:] - i[:-1]))
-    most = np.bincount(group, weights=step, minlength=int(group[-1]) + 1 if len(group) else 0)
-    starts = np.append(np.flatnonzero(new), len(row))
     out: dict[int, list[tuple[int, float]]] = {}
-    for g in np.flatnonzero(most >= threshold * length[item[starts[:-1]]] - 1e-9):
-        s = slice(starts[g], starts[g + 1])
-        r, t = int(row[starts[g]]), int(item[starts[g]])
-        order = np.lexsort((i[s], j[s] - i[s]))
-        a, b = i[s][order], j[s][order]
-        cut = np.append(0, np.flatnonzero((np.diff(a) != 1) | (np.diff(b) != 1)) + 1)
-        runs = [(int(a[c]), int(b[c]), int(e - c) + k - 1) for c, e in zip(cut, np.append(cut[1:], len(a)), strict=True)]
-        covered = sum(n for _, _, n in tile(runs, int(length[t]), k)) / int(length[t])
-        if covered >= threshold - 1e-9:
-            out.setdefault(r, []).append((int(block.ids[t]), covered))
+    w = _words(batch_text)
+    length = np.array([len(x) for x in block.words], np.int64)
+    for n, found in block.seeds.items():
+        seed, row, _ = _seeds(w, n)
+        if not len(seed) or not len(found[0]):
+            continue
+        hit = found[0][np.minimum(np.searchsorted(found[0], seed), len(found[0]) - 1)] == seed
+        for r, item in _reachable(*_distinct(seed[hit], row[hit]), found, n, length, threshold):
+            covered = _coverage(block.words[item], w.hash[w.first[r] : w.first[r + 1]], k)
+            if covered >= threshold - 1e-9:
+                out.setdefault(r, []).append((int(block.ids[item]), covered))
     return out
 
 
-def _blocks(benchmark: DataFrame, k: int, block_bytes: int):
-    """Blocks of items with an id and a text."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    for b in range(n):  # each holds about half of block_bytes at most
-        yield Block.of(sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()), k)
+def _items(benchmark: DataFrame) -> DataFrame:
+    """Items with an id and a text, once each."""
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+
+
+def _sent(benchmark: DataFrame, k: int, block_bytes: int):
+    """The benchmark for all tasks, or None if it has more than block_bytes."""
+    items = _items(benchmark)
+    if items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0] > block_bytes:
+        return None
+    # of at most block_bytes, as just seen
+    return benchmark.sparkSession.sparkContext.broadcast(Block.of(sorted((r.item_id, r.text) for r in items.collect()), k))
+
+
+def _keyed(text) -> list:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(F.lit(41), text).alias("text_a"), F.xxhash64(F.lit(43), text).alias("text_b")]
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float) -> DataFrame:
+    """text_a, text_b, item_id, coverage of all texts of docs (a column text) and items that contaminate them, by joins."""
+    items = durable(_items(benchmark).select("item_id", *_keyed(F.col("text")), "text"))
+    texts = docs.select(*_keyed(F.col("text")), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+
+    def hashes(batch):
+        w = _words(batch.column("text"))
+        return np.concatenate([np.empty(0, np.uint64), *(seed[which[text]] for n, which in _of_length(w, k) for seed, text, _ in [_seeds(w, n)])])
 
+    sketch = cm.build(items.select("text"), hashes, cm.text_bytes(items) // 4, depth=1)
+    lengths = range(1, k + 1)
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
-def _passes(docs: DataFrame, benchmark: DataFrame, one_pass, k: int, block_bytes: int) -> DataFrame:
-    for n, block in enumerate(_blocks(benchmark, k, block_bytes)):
-        if n and n % PASSES == 0:
-            docs = durable(docs)
-        docs = one_pass(docs, docs.sparkSession.sparkContext.broadcast(block))
-    return docs
+    def of_items(batches):
+        for batch in slices(batches):
+            w = _words(batch.column("text"))
+            size = np.diff(w.first)
+            for n, which in _of_length(w, k):
+                seed, text, _ = _seeds(w, n)
+                own = which[text]
+                seed, text = seed[own], text[own]
+                keys = [batch.column(c).to_numpy()[text] for c in ("item_id", *_KEY)]
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), *map(pa.array, keys), pa.array(size[text]), pa.array(np.full(len(seed), n))], names=["seed", "item_id", "item_a", "item_b", "words", "n"])
+
+    def of_documents(batches):
+        for batch in slices(batches):
+            w = _words(batch.column("text"))
+            for n in lengths:
+                seed, text, _ = _seeds(w, n)
+                here = sent.value.levels(seed) > 0
+                seed, text = _distinct(seed[here], text[here])
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), *(pa.array(batch.column(c).to_numpy()[text]) for c in _KEY)], names=["seed", *_KEY])
+
+    # a seed stands once for an item, with the number of its places; and once for a text, however many documents have that
+    known = durable(items.mapInArrow(of_items, "seed long, item_id long, item_a long, item_b long, words long, n long").groupBy("seed", "item_id", "item_a", "item_b", "words", "n").agg(F.count("*").alias("places")))
+    met = durable(texts.mapInArrow(of_documents, "seed long, text_a long, text_b long").distinct().join(known.select("seed").distinct(), "seed", "left_semi"))
+    pairs = spread_join(met, known, ["seed"], met.groupBy("seed").agg(F.count("*").alias("n")))
+    pair = [*_KEY, "item_id", "item_a", "item_b"]
+    able = durable(pairs.groupBy(*pair, "words").agg(F.sum(F.col("places") * F.col("n")).alias("most")).where(F.col("most") >= threshold * F.col("words") - 1e-9).select(*pair))
+
+    # one text of each key, then its items, in one stream
+    wanted = able.select(*_KEY).distinct()
+    first = spread_join(texts, wanted, _KEY, texts.groupBy(*_KEY).agg(F.count("*").alias("n")), "left_semi").groupBy(*_KEY).agg(F.first("text").alias("text"))
+    with_item = spread_join(able, items.withColumnsRenamed({"text_a": "item_a", "text_b": "item_b"}), ["item_id", "item_a", "item_b"], able.groupBy("item_id", "item_a", "item_b").agg(F.count("*").alias("n")), part=_KEY)
+    rows = first.select(*_KEY, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("item_id"), "text").unionByName(with_item.select(*_KEY, F.lit(1).alias("kind"), "item_id", "text"))
+
+    def tiled(batches):
+        document = np.empty(0, np.uint64)
+        for batch in slices(batches):
+            w, out = _words(batch.column("text")), []
+            for r, (a, b, kind, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*_KEY, "kind", "item_id")), strict=True)):
+                own = w.hash[w.first[r] : w.first[r + 1]]
+                if not kind:
+                    document = own.copy()
+                elif (covered := _coverage(own, document, k)) >= threshold - 1e-9:
+                    out.append((a, b, item, covered))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=[*_KEY, "item_id", "coverage"])
+
+    return durable(rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "kind").mapInArrow(tiled, "text_a long, text_b long, item_id long, coverage double"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k: int = MIN_MATCH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, contaminated, n_items, items (item_id and coverage, by id) for each row of docs.
 
-    Items of fewer than k words, without id or text match nothing; null and empty
-    texts are clean; repeated rows and null ids of docs come through; items that
-    repeat an id count as one, with the highest coverage. No documents, or no
-    items, give no rows or no contamination. Other columns are not read.
+    Items without words, id or text match nothing; an item of fewer than k words
+    matches where all its words stand in one run; null and empty texts are clean;
+    repeated rows and null ids of docs come through; items that repeat an id count
+    as one, with the highest coverage. No documents, or no items, give no rows or
+    no contamination. Other columns are not read. Memory follows a bounded number
+    of matches, however repetitive texts and items are.
     """
+    start = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    block = _sent(benchmark, k, block_bytes)
+    if block is None:
+        pairs = _joined(start, benchmark, k, threshold)
+        hits = pairs.groupBy(*_KEY, "item_id").agg(F.max("coverage").alias("coverage")).groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("item_id", "coverage"))).alias("items"))
+        keyed = start.select("doc_id", *_keyed(F.col("text")))
+        found = spread_join(keyed, hits, _KEY, keyed.groupBy(*_KEY).agg(F.count("*").alias("n")), "left").select("doc_id", F.coalesce("items", F.array().cast(_HIT)).alias("items"))
+    else:
 
-    def one_pass(df, block):
         def scan(batches):
             for batch in slices(batches):
                 found = _hits(batch.column("text"), block.value, k, threshold)
-                old = batch.column("items").to_pylist()
-                rows = [(old[r] or []) + [{"item_id": i, "coverage": c} for i, c in found.get(r, [])] for r in range(len(old))] if found else old
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(rows, batch.schema.field("items").type)], names=["doc_id", "text", "items"])
-
-        return df.mapInArrow(scan, f"doc_id long, text string, items {_HIT}")
+                rows = [[{"item_id": i, "coverage": c} for i, c in found.get(r, [])] for r in range(len(batch))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())])))], names=["doc_id", "items"])
 
-    start = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array().cast(_HIT).alias("items"))
-    found = _passes(start, benchmark, one_pass, k, block_bytes)
-    best = F.expr("array_sort(transform(array_distinct(items.item_id), i -> struct(i AS item_id, array_max(transform(filter(items, x -> x.item_id = i), x -> x.coverage)) AS coverage)))")
-    return found.select("doc_id", best.alias("items")).select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
+        best = F.expr("array_sort(transform(array_distinct(items.item_id), i -> struct(i AS item_id, array_max(transform(filter(items, x -> x.item_id = i), x -> x.coverage)) AS coverage)))")
+        found = start.mapInArrow(scan, f"doc_id long, items {_HIT}").select("doc_id", best.alias("items"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k: int = MIN_MATCH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that no item of the benchmark contaminates, whole."""
+    block = _sent(benchmark, k, block_bytes)
+    if block is None:
+        key = [f"_{c}" for c in _KEY]
+        bad = _joined(docs, benchmark, k, threshold).select(*(F.col(a).alias(b) for a, b in zip(_KEY, key, strict=True))).distinct()
+        keyed = docs.select("*", *(c.alias(n) for c, n in zip(_keyed(F.col("text").cast("string")), key, strict=True)))
+        return spread_join(keyed, bad, key, keyed.groupBy(*key).agg(F.count("*").alias("n")), "left_anti").select(*docs.columns)
     at = docs.columns.index("text")
 
-    def one_pass(df, block):
-        def scan(batches):
-            for batch in slices(batches, at):
-                found = _hits(batch.column(at), block.value, k, threshold)
-                yield batch.filter(pa.array([r not in found for r in range(len(batch))])) if found else batch
-
-        return df.mapInArrow(scan, docs.schema)
+    def scan(batches):
+        for batch in slices(batches, at):
+            found = _hits(batch.column(at), block.value, k, threshold)
+            yield batch.filter(pa.array([r not in found for r in range(len(batch))])) if found else batch
 
-    return _passes(docs, benchmark, one_pass, k, block_bytes)
+    return docs.mapInArrow(scan, docs.schema)

@@ -12,6 +12,7 @@ tells less apart, which costs its users time but no result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -103,12 +104,19 @@ def _totals(batches, size: int) -> tuple[dict[tuple[int, int], np.ndarray], int]
     return total, part
 
 
+def _bytes(setting: str) -> int:
+    """A size as Spark writes it."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", setting.strip().lower()).groups()
+    return max(1, int(number) << " kmgtp".index(unit or " ") * 10)
+
+
 def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expected: int, depth: int) -> Sketch:
     """The sketch of all values that hashes() gives for the Arrow batches of df, which has a column text, each counted as often as it is given."""
     cells = cells_for(expected, depth)
     size = min(BLOCK, cells)
-    partitions = df.rdd.getNumPartitions()
-    rounds = -(-partitions // _ROUND)
+    # as many partial sketches as there are splits of the input, or flushes
+    split = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
+    rounds = 1 + max(4 * expected // _bytes(split), expected // FLUSH) // _ROUND
 
     def count(batches):
         from pyspark import TaskContext

@@ -1,9 +1,14 @@
 import random
 import re
+import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quadrille.llm import decontamination as D
+from quadrille.llm import tiling
 
 
 def tokens(t):
@@ -11,7 +16,7 @@ def tokens(t):
 
 
 def plain(a, b, k):
-    """Greedy string tiling, by looking at every pair of places again and again."""
+    """Greedy string tiling, by looking at every pair of places again and again; the words of a that are covered."""
     mine, theirs, covered = [False] * len(a), [False] * len(b), 0
     while True:
         best = (k - 1, 0, 0)
@@ -35,7 +40,7 @@ def expected(docs, items, k, threshold):
         found = {}
         for item, text in items:
             a = tokens(text)
-            if item is not None and len(a) >= k and (c := plain(a, tokens(t), k) / len(a)) >= threshold - 1e-9:
+            if item is not None and a and (c := plain(a, tokens(t), min(k, len(a))) / len(a)) >= threshold - 1e-9:
                 found[item] = max(found.get(item, 0), round(c, 9))
         out.append((i, sorted(found.items())))
     return sorted(out, key=repr)
@@ -58,7 +63,7 @@ def test_tiles_are_those_of_brute_force(spark, make_docs, block):
         half = len(w) // 2
         pieces = [say(r.randrange(12)), r.choice([w, w[half:] + say(3) + w[:half], w[half:] + w[:half], [*w[:half], "odd", *w[half:]], say(4)]), say(r.randrange(12))]
         docs.append((i, r.choice([" ", ", ", "\n"]).join(x.upper() if r.random() < 0.2 and x.isascii() else x for p in pieces for x in p)))
-    items = [(i, " ".join(w)) for i, w in items] + [(3, " ".join(items[4][1])), (None, "a b c d e f"), (99, None), (98, "")]
+    items = [(i, " ".join(w)) for i, w in items] + [(50, "zeta1, Beta2"), (51, "épsilon0 alpha3 GAMMA1"), (52, "nowhere")] + [(3, " ".join(items[4][1])), (None, "a b c d e f"), (99, None), (98, "")]
     docs += [(None, docs[0][1]), docs[1], (70, None), (71, ""), (72, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("item_id", "text", "1 AS items", "2 AS doc_id")
     df = make_docs(docs)
@@ -77,6 +82,31 @@ def test_reordered_sentences_are_caught_and_shared_words_are_not(spark, make_doc
     assert [x.doc_id for x in D.contamination(make_docs(rows), bench).where("contaminated").orderBy("doc_id").collect()] == [1, 4]
 
 
+@pytest.mark.parametrize("limit", [1, 2, 7, tiling.LIMIT])
+def test_tiles_of_few_words_with_few_matches_held(limit, monkeypatch):
+    monkeypatch.setattr(tiling, "PAIRS", 16)
+    r = random.Random(limit)
+    for _ in range(150):
+        letters = r.choice([1, 2, 3, 6])
+        a, b = ([r.randrange(letters) for _ in range(r.randrange(30))] for _ in "ab")
+        k = r.randrange(1, 5)
+        found = tiling.tiles(np.array(a, np.uint64) + np.uint64(9), np.array(b, np.uint64) + np.uint64(9), k, limit)
+        assert sum(n for _, _, n in found) == plain(a, b, k)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in found)
+
+
+def test_equal_words_without_end(spark, make_docs):
+    tracemalloc.start()
+    began = time.perf_counter()
+    item, text = "la " * 5_000, "la " * 50_000
+    hits = D._hits(pa.array([text, text + "so", "lo " * 50_000]), D.Block.of([(1, item)], 5), 5, 0.8)
+    assert {r: [x for x, _ in v] for r, v in hits.items()} == {0: [1], 1: [1]}
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and time.perf_counter() - began < 20
+    tracemalloc.stop()
+    two = " ".join(random.Random(1).choice("ab") for _ in range(20_000))
+    assert D._hits(pa.array([two]), D.Block.of([(1, two[:3000])], 5), 5, 0.8) == {0: [(1, 1.0)]}
+
+
 def test_empty_tables(spark, make_docs, messy):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(make_docs([]), none).count() == 0
