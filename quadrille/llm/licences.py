@@ -1,13 +1,19 @@
 """Licence scans: a paragraph classifier in DataFrame functions alone.
 
-A paragraph is a line. Its features are the distinct words and word pairs that
-the model knows; multinomial logistic regression over them, trained in numpy on
-the driver from the notices below and from made-up ordinary lines, gives the
-licence family or `unknown`, with probabilities calibrated by a temperature on
-notices held out. A prediction counts only if a notice of that family confirms
-it: enough of the notice's words and pairs stand in the line. Lines without any
-of the ANCHORS are not scored: every notice holds one, and confirmation asks
-for one.
+A paragraph ends at a blank line. It is read line by line, and, as notices are
+wrapped, once more with its lines joined; long lines and joined ones are read in
+overlapping windows of words, so that any notice stands whole in one of them.
+The features of such a unit are the distinct words and word pairs that the model
+knows. Multinomial logistic regression over them, trained in numpy on the driver
+from the notices below and from made-up ordinary lines, gives each licence
+family and `unknown` a probability, calibrated by a temperature on notices that
+models of their own were not trained on. Where `unknown` has less than half, the
+most probable family counts if a notice of that family confirms it: enough of the
+notice's words and pairs stand in the unit.
+
+Only units that hold one of the words of gate() are scored. These are chosen so
+that the words and pairs of a notice without them are too few to confirm it, for
+every notice: nothing that could be confirmed is passed over.
 
 The model is a literal of the plan. Scoring is one projection per document,
 without a shuffle, a join or Python on the executors.
@@ -18,27 +24,29 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-CONFIRMED = 0.6  # of a notice's words and pairs that a line must have
-PROBABLE = 0.5
+CONFIRMED = 0.6  # of a notice's words and pairs that a unit must have
+PROBABLE = 0.5  # that a unit is a notice of some family
+FOLDS = 4  # of notices, for the temperature
 
 # Customary licence notices by family.
 NOTICES = {
-    "agpl": ["GNU Affero General Public License", "This program is free software under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Licensed under the AGPL version 3.0", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "agpl": ["GNU Affero General Public License", "This program is free software under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Licensed under the AGPL version 3.0", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
     "apache": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "Apache License 2.0", "Apache License Version 2.0, January 2004", "Released under the Apache 2.0 license", "SPDX-License-Identifier: Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License", "Released under the BSD 2-Clause License", "This source code is licensed under the BSD-style license", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International", "SPDX-License-Identifier: CC-BY-4.0", "Licensed under the Creative Commons Attribution License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-nd": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "SPDX-License-Identifier: CC-BY-ND-4.0"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0", "Available under the Creative Commons Attribution-ShareAlike License"],
-    "cc0": ["CC0 1.0 Universal", "This work is dedicated to the public domain under CC0 1.0", "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: CC0-1.0", "This work is in the public domain"],
+    "cc0": ["CC0 1.0 Universal", "CC0 1.0 Universal Public Domain Dedication", "This work is dedicated to the public domain under CC0 1.0", "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: CC0-1.0", "This work is in the public domain"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GPL version 2 or later", "Released under the GNU GPL v3", "GNU General Public License version 2", "You should have received a copy of the GNU General Public License along with this program", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["This library is free software under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "Licensed under the GNU Lesser General Public License, version 2.1", "Licensed under the LGPL version 3", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "This library is free software under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "Licensed under the GNU Lesser General Public License, version 2.1", "Licensed under the LGPL version 3", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "mit": ["Released under the MIT License", "Licensed under the MIT License", "The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission", "Copyright. All rights reserved", "This document is confidential and proprietary; unauthorized copying is prohibited without written permission"],
@@ -51,76 +59,145 @@ ORDINARY = [
     "Working without a license is a crime under state law", "The license plate of the other car was not found", "The bartender had a license under the old law", "A new version of the work will be released in January", "The mozilla team released a new version of the program",
     "Source and binary are words with many meanings", "The rights of workers are reserved in this law", "Creative people have attributes in common", "We distribute copies of the notice to all persons", "The commons is a meadow in public use",
 ]
-ANCHORS = ("licen[cs]e", "copyright", "redistribut", "permission", "public domain", "cc0", "spdx", "rights reserved", "proprietary", "creative commons", "gnu gpl")
-_GATE = "(?i)" + "|".join(ANCHORS)
+# Words frequent in any English text.
+FREQUENT = "a about above all along also an and any are as at available be been but by can could following for from has have he his if in included including into is it its list may met more must no not of on one or other our out part prior provided received released shall should than that the their them there this to under was we were when which who will with work would written you your file document copy people 1.0 2 3 state general public code".split()
 _WORD = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+_BLANK = "\n[ \\t\\r]*\n"
+
+
+def _grams(w: list[str]) -> set[str]:
+    return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
 
 
 def grams(line: str) -> set[str]:
     """Words and word pairs of a line, as the executors see them."""
+    return _grams(re.findall(_WORD, line.lower()))
+
+
+#: Words of the longest notice: of windows of twice as many words, one every REACH, one holds any notice whole.
+REACH = max(len(re.findall(_WORD, n.lower())) for ns in NOTICES.values() for n in ns)
+
+
+@functools.cache
+def gate() -> list[str]:
+    """Words one of which every unit has that a notice may confirm; those not frequent in any text, rare in ordinary lines, and in most notices, come first."""
+    ordinary = Counter(w for n in ORDINARY for w in re.findall(_WORD, n.lower()))
+    open_, chosen = [grams(n) for ns in NOTICES.values() for n in ns], []
+    size = [len(x) for x in open_]
+    while live := [x for x, n in zip(open_, size, strict=True) if len(x) >= CONFIRMED * n]:
+        held = Counter(w for x in live for w in x if " " not in w)
+        word = min(held, key=lambda w: (w in FREQUENT, ordinary[w], -held[w], w))
+        chosen.append(word)
+        open_ = [{g for g in x if word not in g.split(" ")} for x in open_]
+    return sorted(chosen)
+
+
+def _gate_pattern() -> str:
+    return "(?<![a-z0-9])(?:" + "|".join(map(re.escape, gate())) + ")(?![a-z0-9])"
+
+
+def _shortest(line: str) -> list[set[str]]:
+    """Features of a notice without words at its start, or at its end, as far as it may still be confirmed."""
     w = re.findall(_WORD, line.lower())
-    return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
+    whole = _grams(w)
+    return [_grams(next(x for x in cuts if len(_grams(x) & whole) >= CONFIRMED * len(whole))) for cuts in ([w[:k] for k in range(1, len(w) + 1)], [w[len(w) - k :] for k in range(1, len(w) + 1)])]
 
 
 def _varied(line: str, r: np.random.Generator) -> set[str]:
-    """Features of a notice as it may stand among other words, with words lost."""
-    w = line.split()
-    lost = r.random(len(w)) < 0.08
-    return grams(" ".join([*r.choice(["", "note", "this file", "copyright 2020 someone", "the author says", "code and data"], 1), *(x for x, gone in zip(w, lost, strict=True) if not gone), *r.choice(["", "see file", "for details", "and others"], 1)]))
+    """Features of a notice as it may stand among other words, with words lost at its ends or anywhere, and confirmed still."""
+    w = re.findall(_WORD, line.lower())
+    whole, kind = _grams(w), r.integers(3)
+    at = r.integers(0, len(w))
+    own = w if kind == 0 else [x for x in w if r.random() > 0.15] if kind == 1 else w[at:] if r.random() < 0.5 else w[: len(w) - at]
+    if len(_grams(own) & whole) < CONFIRMED * len(whole):
+        own = w
+    around = [str(x) for n in r.choice(ORDINARY, r.integers(0, 4)) for x in re.findall(_WORD, n.lower())]
+    at = r.integers(0, len(around) + 1)
+    lead = str(r.choice(["", "note", "this file", "copyright 2020 someone", "the author says", "code and data"])).split()
+    return _grams([*around[:at], *lead, *own, *str(r.choice(["", "see file", "for details", "and others"])).split(), *around[at:]])
 
 
-@functools.cache
-def model(seed: int = 0) -> dict:
-    """classes, weights of known features, bias and temperature. The same whatever the input."""
-    r = np.random.default_rng(seed)
-    classes = [*sorted(NOTICES), UNKNOWN]
-    known = sorted(set().union(*(grams(n) for ns in NOTICES.values() for n in ns)))
-    at = {g: i for i, g in enumerate(known)}
-
-    def sample(rounds):
-        lines = [(_varied(n, r), classes.index(c)) for c, ns in NOTICES.items() for n in ns for _ in range(rounds)]
-        words = [g for g in known if " " not in g]
-        for _ in range(rounds):
-            lines += [(_varied(n, r), len(classes) - 1) for n in ORDINARY]
-            lines += [(grams(" ".join(r.choice(words, r.integers(1, 9)))), len(classes) - 1) for _ in range(60)]
-        x = np.zeros((len(lines), len(known)))
-        for k, (found, _) in enumerate(lines):
-            x[k, [at[g] for g in found if g in at]] = 1
-        return x, np.array([y for _, y in lines])
-
-    x, y = sample(6)
+def _fitted(notices: dict[str, list[str]], classes: list[str], at: dict[str, int], r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of the regression on variants of notices and of ordinary lines."""
+    lines = [(_varied(n, r), classes.index(c)) for c, ns in notices.items() for n in ns for _ in range(8)]
+    lines += [(x, classes.index(c)) for c, ns in notices.items() for n in ns for x in _shortest(n) for _ in range(2)]
+    lines += _ordinary(classes, at, r, 6)
+    x, y = _matrix(lines, at)
     target = np.eye(len(classes))[y]
-    weight, bias = np.zeros((len(known), len(classes))), np.zeros(len(classes))
-    share = 1 / np.bincount(y, minlength=len(classes))[y] / len(classes)
-    for _ in range(400):
+    weight, bias = np.zeros((len(at), len(classes))), np.zeros(len(classes))
+    share = 1 / np.maximum(np.bincount(y, minlength=len(classes)), 1)[y] / len(classes)
+    for _ in range(800):
         z = x @ weight + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         d = (p / p.sum(axis=1, keepdims=True) - target) * share[:, None]
         weight -= 4.0 * (x.T @ d + 1e-4 * weight)
         bias -= 4.0 * d.sum(axis=0)
-    x, y = sample(2)
-    z = x @ weight + bias
+    return weight, bias
+
+
+def _ordinary(classes: list[str], at: dict[str, int], r: np.random.Generator, rounds: int) -> list[tuple[set[str], int]]:
+    words = [g for g in at if " " not in g]
+    lines = [re.findall(_WORD, " ".join(r.choice(ORDINARY, r.integers(1, 4))).lower()) for _ in range(rounds * len(ORDINARY))]
+    lines += [r.choice(words, r.integers(1, 25)).tolist() for _ in range(rounds * 40)]
+    return [(_grams(w), len(classes) - 1) for w in lines]
+
+
+def _matrix(lines: list[tuple[set[str], int]], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.zeros((len(lines), len(at)))
+    for k, (found, _) in enumerate(lines):
+        x[k, [at[g] for g in found if g in at]] = 1
+    return x, np.array([y for _, y in lines])
+
+
+def _probabilities(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+@functools.cache
+def model(seed: int = 0) -> dict:
+    """classes, weights of known features, bias, and how notices fared that were held out. The same whatever the input.
+
+    Notices are held out whole, a fold at a time; what models without them give
+    for them, and for ordinary lines, sets the temperature. The model itself is
+    then trained on all.
+    """
+    r = np.random.default_rng(seed)
+    classes = [*sorted(NOTICES), UNKNOWN]
+    at = {g: i for i, g in enumerate(sorted(set().union(*(grams(n) for ns in NOTICES.values() for n in ns))))}
+    logits, truth, is_notice = [], [], []
+    for fold in range(FOLDS):
+        kept = {c: [n for k, n in enumerate(ns) if k % FOLDS != fold] for c, ns in NOTICES.items()}
+        held = [(_varied(n, r), classes.index(c)) for c, ns in NOTICES.items() for k, n in enumerate(ns) if k % FOLDS == fold and kept[c] for _ in range(2)]
+        known = {g: i for i, g in enumerate(sorted(set().union(*(grams(n) for ns in kept.values() for n in ns))))}
+        weight, bias = _fitted({c: ns for c, ns in kept.items() if ns}, classes, known, r)
+        x, y = _matrix(held + _ordinary(classes, known, r, 1)[: len(held)], known)
+        logits.append(x @ weight + bias)
+        truth.append(y)
+        is_notice.append(np.arange(len(y)) < len(held))
+    z, y, notice = np.concatenate(logits), np.concatenate(truth), np.concatenate(is_notice)
 
     def loss(t):
-        s = z / t
-        return (np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)) + s.max(axis=1) - s[np.arange(len(y)), y]).mean()
+        return -np.log(np.maximum(_probabilities(z / t)[np.arange(len(y)), y], 1e-12)).mean()
 
-    temperature = min(np.geomspace(0.2, 5, 60), key=loss)
-    return {"classes": classes, "weights": {g: [round(float(v), 6) for v in weight[i] / temperature] for g, i in at.items()}, "bias": [round(float(v), 6) for v in bias / temperature]}
+    temperature = min(np.geomspace(0.2, 20, 90), key=loss)
+    p = _probabilities(z / temperature)
+    held = {"right": float((p.argmax(axis=1) == y)[notice].mean()), "taken": float((p[notice, -1] < PROBABLE).mean()), "ordinary": float((p[~notice, -1] > PROBABLE).mean()), "temperature": float(temperature)}
+    weight, bias = _fitted(NOTICES, classes, at, r)
+    return {"classes": classes, "weights": {g: [round(float(v), 6) for v in weight[i] / temperature] for g, i in at.items()}, "bias": [round(float(v), 6) for v in bias / temperature], "held": held}
 
 
 def _literal(value, kind: str):
     return F.from_json(F.lit(json.dumps({"x": value})), f"struct<x:{kind}>")["x"]
 
 
-def _scored(line):
-    """family, probability and similarity of a line."""
+def _scored(words):
+    """family, probability and similarity of a unit, an array of words, and the probability of `unknown`."""
     m = model()
     classes = m["classes"]
     weights, bias = _literal(m["weights"], "map<string,array<double>>"), _literal(m["bias"], "array<double>")
     known = _literal(sorted(m["weights"]), "array<string>")
     notices = _literal([[sorted(grams(n)) for n in NOTICES.get(c, [])] for c in classes], "array<array<array<string>>>")
-    words = F.regexp_extract_all(F.lower(line), F.lit(_WORD), F.lit(0))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     found = F.array_intersect(known, F.concat(words, pairs))
 
@@ -129,32 +206,63 @@ def _scored(line):
         return F.transform(F.array(total), lambda z: F.transform(F.array(F.transform(z, lambda v: F.exp(v - F.array_max(z)))), lambda e: F.struct(own.alias("own"), F.aggregate(e, F.lit(0.0), lambda a, b: a + b).alias("sum"), e.alias("e")))[0])[0]
 
     def verdict(s):
-        best = F.array_position(s["e"], F.array_max(s["e"])).cast("int")
+        families = F.slice(s["e"], 1, len(classes) - 1)
+        best = F.array_position(families, F.array_max(families)).cast("int")
         similar = F.array_max(F.transform(F.element_at(notices, best), lambda n: F.size(F.array_intersect(n, s["own"])) / F.size(n)))
-        return F.struct(F.element_at(F.array(*[F.lit(c) for c in classes]), best).alias("family"), (F.array_max(s["e"]) / s["sum"]).alias("probability"), F.coalesce(similar, F.lit(0.0)).alias("similarity"))
+        return F.struct(F.element_at(F.array(*[F.lit(c) for c in classes]), best).alias("family"), (F.array_max(families) / s["sum"]).alias("probability"), F.coalesce(similar, F.lit(0.0)).alias("similarity"), (F.element_at(s["e"], -1) / s["sum"]).alias("unknown"))
 
     # each step stands once: arrays of one element carry it to the next
     return F.transform(F.transform(F.array(found), scores), verdict)[0]
 
 
+def _windows(words):
+    """Windows of 2 * REACH words, one every REACH, the last one shorter."""
+    n = F.greatest(F.ceil((F.size(words) - 2 * REACH) / F.lit(REACH)), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(words, i * REACH + 1, F.lit(2 * REACH)))
+
+
+def _confirmed(units):
+    """The verdicts of the units, arrays of words, that a notice confirms; those without a word of the gate are not scored."""
+    words = _literal(gate(), "array<string>")
+    scored = F.transform(F.filter(units, lambda u: F.arrays_overlap(u, words)), _scored)
+    return F.filter(scored, lambda x: (x["unknown"] < PROBABLE) & (x["similarity"] >= CONFIRMED))
+
+
+def _paragraph(p):
+    """lines: verdicts of confirmed lines; joined: of windows of the joined lines, for families that no line has, the best of each."""
+    in_words = lambda x: F.regexp_extract_all(x, F.lit(_WORD), F.lit(0))
+    lines = F.flatten(F.transform(F.filter(F.split(p, "\n"), lambda x: x.rlike(_gate_pattern())), lambda x: _windows(in_words(x))))
+    joined = F.when(F.contains(p, F.lit("\n")), _windows(in_words(p))).otherwise(F.array().cast("array<array<string>>"))
+
+    def both(own):
+        families = F.transform(own, lambda x: x["family"])
+        rest = F.filter(_confirmed(joined), lambda x: ~F.array_contains(families, x["family"]))
+        ordered = F.array_sort(F.transform(rest, lambda x: F.struct(x["family"].alias("family"), (-x["probability"]).alias("p"), (-x["similarity"]).alias("s"))))
+        one = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["family"] != x["family"]))
+        lined = F.transform(own, lambda x: F.struct(x["family"].alias("family"), (-x["probability"]).alias("p"), (-x["similarity"]).alias("s")))
+        return F.concat(lined, one)
+
+    return F.transform(F.array(_confirmed(lines)), both)[0]
+
+
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, family, probability, similarity, n_notices, families, n_unconfirmed for each row of docs.
 
-    family, probability and similarity are those of the confirmed line with the
-    highest probability (then similarity, then name); `unknown`, null and null
-    without one. families holds all confirmed, in order; n_unconfirmed counts
-    lines that have an anchor, but no family or no confirmation. Null and empty
-    texts have no lines; repeated rows and null ids come through; no rows give
-    none; other columns are not read.
+    family, probability and similarity are those of the confirmed unit with the
+    highest similarity (then probability, then name); `unknown`, null and null
+    without one. n_notices counts confirmed lines (windows of long ones), and one
+    for each family that only joined lines of a paragraph have. families holds
+    all confirmed, in order; n_unconfirmed counts paragraphs with a word of the
+    gate and no confirmed notice. Null and empty texts have no paragraphs; repeated
+    rows and null ids come through; no rows give none; other columns are not read.
     """
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(_GATE))
-    scored = F.transform(lines, _scored)
-    gated = narrow.select("doc_id", F.when(F.col("text").rlike(_GATE), scored).alias("lines"))
-    sure = F.filter("lines", lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= PROBABLE) & (x["similarity"] >= CONFIRMED))
-    sure = F.coalesce(sure, F.array().cast("array<struct<family:string,probability:double,similarity:double>>"))
-    best = F.element_at(F.array_sort(F.transform("sure", lambda x: F.struct((-x["probability"]).alias("p"), (-x["similarity"]).alias("s"), x["family"].alias("family")))), 1)
-    counted = gated.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).alias("n"), sure.alias("sure"))
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(F.col(text).cast("string")).alias("text"))
+    pattern = _gate_pattern()
+    paragraphs = F.filter(F.split("text", _BLANK), lambda p: p.rlike(pattern))
+    gated = narrow.select("doc_id", F.when(F.col("text").rlike(pattern), F.transform(paragraphs, _paragraph)).alias("found"))
+    none = F.array().cast("array<struct<family:string,p:double,s:double>>")
+    counted = gated.select("doc_id", F.coalesce(F.size(F.filter("found", lambda x: F.size(x) == 0)), F.lit(0)).alias("n"), F.coalesce(F.flatten("found"), none).alias("sure"))
+    best = F.element_at(F.array_sort(F.transform("sure", lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["family"].alias("family")))), 1)
     top = counted.select("doc_id", "n", "sure", F.when(F.size("sure") > 0, best).alias("best"))
     return top.select(
         "doc_id",
@@ -163,5 +271,5 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         F.round(-F.col("best.s"), 6).alias("similarity"),
         F.size("sure").cast("long").alias("n_notices"),
         F.array_sort(F.array_distinct(F.transform("sure", lambda x: x["family"]))).alias("families"),
-        (F.greatest(F.col("n"), F.lit(0)) - F.size("sure")).cast("long").alias("n_unconfirmed"),
+        F.greatest(F.col("n"), F.lit(0)).cast("long").alias("n_unconfirmed"),
     )
