@@ -11,9 +11,9 @@ models of their own were not trained on. Where `unknown` has less than half, the
 most probable family counts if a notice of that family confirms it: enough of the
 notice's words and pairs stand in the unit.
 
-Only units that hold one of the words of gate() are scored. These are chosen so
-that the words and pairs of a notice without them are too few to confirm it, for
-every notice: nothing that could be confirmed is passed over.
+Only units that hold two of the words of gate() are scored. These are chosen so
+that the words and pairs of a notice with one of them at most are too few to
+confirm it, for every notice: nothing that could be confirmed is passed over.
 
 The model is a literal of the plan. Scoring is one projection per document,
 without a shuffle, a join or Python on the executors.
@@ -78,22 +78,36 @@ def grams(line: str) -> set[str]:
 REACH = max(len(re.findall(_WORD, n.lower())) for ns in NOTICES.values() for n in ns)
 
 
+def _most(notice: set[str], words: set[str]) -> int:
+    """How many words and pairs of a notice a unit may have that has one of the words at most."""
+    own = {w for w in notice if " " not in w} & words
+    return max(sum(not (set(g.split(" ")) & own) - {w} for g in notice) for w in [None, *own])
+
+
 @functools.cache
 def gate() -> list[str]:
-    """Words one of which every unit has that a notice may confirm; those not frequent in any text, rare in ordinary lines, and in most notices, come first."""
+    """Words two of which every unit has that a notice may confirm; those not frequent in any text, rare in ordinary lines, and in most notices, come first."""
     ordinary = Counter(w for n in ORDINARY for w in re.findall(_WORD, n.lower()))
-    open_, chosen = [grams(n) for ns in NOTICES.values() for n in ns], []
-    size = [len(x) for x in open_]
-    while live := [x for x, n in zip(open_, size, strict=True) if len(x) >= CONFIRMED * n]:
-        held = Counter(w for x in live for w in x if " " not in w)
-        word = min(held, key=lambda w: (w in FREQUENT, ordinary[w], -held[w], w))
-        chosen.append(word)
-        open_ = [{g for g in x if word not in g.split(" ")} for x in open_]
+    notices, chosen = [grams(n) for ns in NOTICES.values() for n in ns], set()
+    while live := [x for x in notices if _most(x, chosen) >= CONFIRMED * len(x)]:
+        held = Counter(w for x in live for w in x if " " not in w and w not in chosen)
+        chosen.add(min(held, key=lambda w: (w in FREQUENT, ordinary[w], -held[w], w)))
     return sorted(chosen)
 
 
-def _gate_pattern() -> str:
-    return "(?<![a-z0-9])(?:" + "|".join(map(re.escape, gate())) + ")(?![a-z0-9])"
+def _pattern(words: list[str]) -> str:
+    """One of the words, each shared beginning once: a choice by the next character, not by every word."""
+    after: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            after.setdefault(w[0], []).append(w[1:])
+    choices = "|".join(re.escape(c) + _pattern(rest) for c, rest in sorted(after.items()))
+    return f"(?:{choices}){'?' if '' in words else ''}" if choices else ""
+
+
+def _hits(text):
+    """The different words of the gate in a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<![a-z0-9]){_pattern(gate())}(?![a-z0-9])"), F.lit(0)))
 
 
 def _shortest(line: str) -> list[set[str]]:
@@ -215,24 +229,28 @@ def _scored(words):
     return F.transform(F.transform(F.array(found), scores), verdict)[0]
 
 
-def _windows(words):
-    """Windows of 2 * REACH words, one every REACH, the last one shorter."""
-    n = F.greatest(F.ceil((F.size(words) - 2 * REACH) / F.lit(REACH)), F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(words, i * REACH + 1, F.lit(2 * REACH)))
+def _windows(text):
+    """The words of a text in windows of 2 * REACH, one every REACH, the last one shorter."""
+
+    def cut(words):
+        n = F.greatest(F.ceil((F.size(words) - 2 * REACH) / F.lit(REACH)), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(words, i * REACH + 1, F.lit(2 * REACH)))
+
+    # as the one element of an array the words are found once, not for each window
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))), cut)[0]
 
 
 def _confirmed(units):
-    """The verdicts of the units, arrays of words, that a notice confirms; those without a word of the gate are not scored."""
+    """The verdicts of the units, arrays of words, that a notice confirms; those without two words of the gate are not scored."""
     words = _literal(gate(), "array<string>")
-    scored = F.transform(F.filter(units, lambda u: F.arrays_overlap(u, words)), _scored)
+    scored = F.transform(F.filter(units, lambda u: F.size(F.array_intersect(u, words)) > 1), _scored)
     return F.filter(scored, lambda x: (x["unknown"] < PROBABLE) & (x["similarity"] >= CONFIRMED))
 
 
 def _paragraph(p):
     """lines: verdicts of confirmed lines; joined: of windows of the joined lines, for families that no line has, the best of each."""
-    in_words = lambda x: F.regexp_extract_all(x, F.lit(_WORD), F.lit(0))
-    lines = F.flatten(F.transform(F.filter(F.split(p, "\n"), lambda x: x.rlike(_gate_pattern())), lambda x: _windows(in_words(x))))
-    joined = F.when(F.contains(p, F.lit("\n")), _windows(in_words(p))).otherwise(F.array().cast("array<array<string>>"))
+    lines = F.flatten(F.transform(F.filter(F.split(p, "\n"), lambda x: F.size(_hits(x)) > 1), _windows))
+    joined = F.when(F.contains(p, F.lit("\n")), _windows(p)).otherwise(F.array().cast("array<array<string>>"))
 
     def both(own):
         families = F.transform(own, lambda x: x["family"])
@@ -252,14 +270,13 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     highest similarity (then probability, then name); `unknown`, null and null
     without one. n_notices counts confirmed lines (windows of long ones), and one
     for each family that only joined lines of a paragraph have. families holds
-    all confirmed, in order; n_unconfirmed counts paragraphs with a word of the
+    all confirmed, in order; n_unconfirmed counts paragraphs with two words of the
     gate and no confirmed notice. Null and empty texts have no paragraphs; repeated
     rows and null ids come through; no rows give none; other columns are not read.
     """
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(F.col(text).cast("string")).alias("text"))
-    pattern = _gate_pattern()
-    paragraphs = F.filter(F.split("text", _BLANK), lambda p: p.rlike(pattern))
-    gated = narrow.select("doc_id", F.when(F.col("text").rlike(pattern), F.transform(paragraphs, _paragraph)).alias("found"))
+    paragraphs = F.filter(F.split("text", _BLANK), lambda p: F.size(_hits(p)) > 1)
+    gated = narrow.select("doc_id", F.when(F.size(_hits(F.col("text"))) > 1, F.transform(paragraphs, _paragraph)).alias("found"))
     none = F.array().cast("array<struct<family:string,p:double,s:double>>")
     counted = gated.select("doc_id", F.coalesce(F.size(F.filter("found", lambda x: F.size(x) == 0)), F.lit(0)).alias("n"), F.coalesce(F.flatten("found"), none).alias("sure"))
     best = F.element_at(F.array_sort(F.transform("sure", lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["family"].alias("family")))), 1)

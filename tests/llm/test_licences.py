@@ -36,7 +36,7 @@ def plain(text):
         for x in confirmed(paragraph) if "\n" in paragraph else ():
             joined[x[2]] = min(x, joined.get(x[2], x))
         found = lines + [x for c, x in joined.items() if c not in {y[2] for y in lines}]
-        n += not found and bool(re.search(L._gate_pattern(), paragraph))
+        n += not found and len(set(re.findall(rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, L.gate()))})(?![a-z0-9])", paragraph))) > 1
         sure += found
     best = min(sure, default=(None, None, L.UNKNOWN))
     return [best[2], len(sure), sorted({c for _, _, c in sure}), n, *(-v for v in (best[1], best[0]) if v is not None)]
@@ -49,10 +49,15 @@ def result(df):
 NOTICES = [(f, n) for f, ns in L.NOTICES.items() for n in ns]
 
 
-def test_nothing_that_could_be_confirmed_lacks_a_word_of_the_gate():
+def test_nothing_that_could_be_confirmed_lacks_two_words_of_the_gate():
+    words = set(L.gate())
     for _, n in NOTICES:
-        rest = {g for g in L.grams(n) if not set(g.split(" ")) & set(L.gate())}
-        assert len(rest) < L.CONFIRMED * len(L.grams(n)), n
+        whole = L.grams(n)
+        for one in [None, *words]:
+            left = {g for g in whole if not (set(g.split(" ")) & words) - {one}}
+            assert len(left) < L.CONFIRMED * len(whole), n
+    assert all(re.fullmatch(L._pattern(L.gate()), w) for w in words)
+    assert not any(re.fullmatch(L._pattern(L.gate()), w[:-1]) for w in words if w[:-1] not in words)
 
 
 def test_every_notice_is_its_family(make_docs):
