@@ -2,8 +2,8 @@
 
 Edges stay distributed; each round is two aggregations joined back to the
 edges, written durably. The smallest node of a component ends as the centre of
-a star. A node with very many edges is met by partial aggregation and by joins
-that Spark can split, never by gathering its neighbours.
+a star. A node with very many edges is met by partial aggregation, and by joins
+that deal its edges over tasks, never by gathering its neighbours.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import durable
+from .workspace import durable, spread_join
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = _both(edges)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        larger = spread_join(both.where("v > u"), least.select("u", "m"), ["u"], least.select("u", "n"))
+        large = durable(larger.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # every edge now has u > v: the small star hangs u and its smaller neighbours on the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        smaller = spread_join(large, least.select("u", "m"), ["u"], least.select("u", "n"))
+        small = smaller.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = durable(small)
         after = _state(edges)
         if after == before:

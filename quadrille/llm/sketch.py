@@ -46,10 +46,11 @@ def _packed_levels(counts: np.ndarray) -> np.ndarray:
 
 
 class Sketch:
-    """levels(hashes): for each, at least the level of its true count."""
+    """levels(hashes): for each, at least the level of its true count. load: hashes for each cell, about; a hash must
+    be far above it before its level says that it is frequent."""
 
-    def __init__(self, cells: int, depth: int, blocks: list[tuple[int, int, bytes]]):
-        self.cells, self.depth, self.blocks, self._table = cells, depth, blocks, None
+    def __init__(self, cells: int, depth: int, blocks: list[tuple[int, int, bytes]], load: float = 0.0):
+        self.cells, self.depth, self.blocks, self.load, self._table = cells, depth, blocks, load, None
 
     def __getstate__(self):
         return self.__dict__ | {"_table": None}
@@ -111,9 +112,9 @@ def _bytes(setting: str) -> int:
 
 
 def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expected: int, depth: int) -> Sketch:
-    """The sketch of all values that hashes() gives for the Arrow batches of df, which has a column text, each counted as often as it is given."""
+    """The sketch of all values that hashes() gives for the Arrow batches of df, each counted as often as it is given. A column text is worked on in slices."""
     cells = cells_for(expected, depth)
-    size = min(BLOCK, cells)
+    size, sliced = min(BLOCK, cells), "text" in df.columns
     # as many partial sketches as there are splits of the input, or flushes
     split = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
     rounds = 1 + max(4 * expected // _bytes(split), expected // FLUSH) // _ROUND
@@ -133,7 +134,7 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expecte
                     yield _row(part, row, int(block), _pack(at[s] - np.uint32(block * size), np.minimum(n[s], 255)))
 
         held, waiting = [], 0
-        for batch in slices(batches):
+        for batch in slices(batches) if sliced else batches:
             held.append(hashes(batch))
             waiting += len(held[-1])
             if waiting >= FLUSH:
@@ -157,7 +158,36 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expecte
         found = found.repartition("part", "row", "block").mapInArrow(merge, _SCHEMA)
     found = found.repartition("row", "block").mapInArrow(finish, _SCHEMA)
     # one row of at most BLOCK / 2 bytes for each block, so at most MAX_CELLS / 2 bytes whatever the input
-    return Sketch(cells, depth, sorted((r.row, r.block, bytes(r.cells)) for r in found.collect()))
+    return Sketch(cells, depth, sorted((r.row, r.block, bytes(r.cells)) for r in found.collect()), expected / cells)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return mix(column.to_numpy(zero_copy_only=False).view(np.uint64))
+
+
+def parted(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """df in two: the rows whose key, a long and not null, may be in the one column of wanted - all of those, and few others - and the rest.
+
+    Before a shuffle of wide rows of which a join needs few. Where that may be half of them or more, df itself and None.
+    """
+    n = wanted.count()
+    if 2 * n > df.count():
+        return df, None
+    sent = df.sparkSession.sparkContext.broadcast(build(wanted.toDF("id"), lambda batch: _ids(batch.column("id")), 4 * n, depth=1))
+
+    def side(here):
+        def pick(batches):
+            for batch in batches:
+                yield batch.filter(pa.array((sent.value.levels(_ids(batch.column(key))) > 0) == here))
+
+        return pick
+
+    return df.mapInArrow(side(True), df.schema), df.mapInArrow(side(False), df.schema)
+
+
+def only_some(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The first part of the above."""
+    return parted(df, key, wanted)[0]
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:

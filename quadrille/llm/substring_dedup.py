@@ -7,8 +7,14 @@ one of windows, and its estimate for a window can only be too high. The second
 pass groups, by their whole hashes, only windows estimated in two documents or
 more, so none is lost. A batch keeps the smallest document of each window it
 sees and settles the rest by itself: a window that a third of all documents
-share leaves one row per batch. Anchors estimated in many documents are dealt
-by window instead of by anchor, so that no group gathers unrelated windows.
+share leaves one row per batch. Anchors estimated in many documents - many more
+than a cell of the sketch holds on average - are dealt by window instead of by
+anchor, so that no group gathers unrelated windows, and each window in parts: a
+part settles all but its smallest document, and those of all parts meet in a
+second round. So a group has a bounded number of rows, or a part's share of them.
+
+Texts are shuffled only where passages go: the words of all others are counted
+and hashed where they are read, unless passages go from half of all texts or more.
 
 Windows are told apart by an anchor hash and a window hash of 64 bits each,
 made from 64-bit word hashes. Batches are worked on in slices of a few megabytes.
@@ -25,12 +31,13 @@ from pyspark.sql import functions as F
 
 from . import sketch as cm
 from .textgrid import WHITESPACE, Words, buffers, inside_one_text, mix, rolled, slices, words
+from .workspace import WAYS, durable
 
 WINDOW = 13
-COMMON = 100  # estimated documents from which an anchor's windows are dealt one by one
+COMMON = 100  # estimated documents, beyond the load of the sketch, from which an anchor's windows are dealt one by one, in parts
 
-_FOUND = "key long, doc_id long, text_key long, pos int, windows binary"
-_SPAN = "doc_id long, text_key long, pos int, n int"
+_FOUND = "key long, part int, doc_id long, text_key long, pos int, windows binary"
+_SPAN = "key long, doc_id long, text_key long, pos int, n int, open binary"
 
 
 def _anchors(w: Words, window: int) -> np.ndarray:
@@ -99,6 +106,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     expected = cm.text_bytes(docs) // 24  # about a word in four starts a new anchor
     sketch = cm.build(docs.select("doc_id", "text"), lambda batch: _distinct_anchors(batch, window), expected, depth=2)
+    hot = cm.level(COMMON + int(8 * sketch.load))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def candidates(batches):
@@ -114,7 +122,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             text = batch.column("text_key").to_numpy(zero_copy_only=False)[row]
             pos = at - w.first[row]
             settled = doc > _least(anchor, whole, doc=doc)
-            common = level >= cm.level(COMMON)
+            common = level >= hot
+            part = np.where(common, (mix(doc.astype(np.uint64)) % np.uint64(WAYS)).astype(np.int64), -1)
             key = np.where(common, mix(anchor ^ mix(whole)), anchor)
             start = _runs(row[1:] != row[:-1], at[1:] != at[:-1] + 1, key[1:] != key[:-1], settled[1:] != settled[:-1])
             bounds = np.append(start, len(at))
@@ -123,36 +132,43 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             payload = [(int(b - a).to_bytes(4, "little")) if settled[a] else raw[8 * a : 8 * b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             key = np.where(settled, mix(key + mix(at.astype(np.uint64))), key)[start]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(doc[start]), pa.array(text[start]), pa.array(pos[start].astype(np.int32)), pa.array(payload, pa.binary())],
-                names=["key", "doc_id", "text_key", "pos", "windows"],
+                [pa.array(key.view(np.int64)), pa.array(part[start].astype(np.int32)), pa.array(doc[start]), pa.array(text[start]), pa.array(pos[start].astype(np.int32)), pa.array(payload, pa.binary())],
+                names=[x.split()[0] for x in _FOUND.split(", ")],
             )
 
     def settle(batches):
         held: list[pa.Table] = []
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            last = table.column("key")[-1].as_py() if len(table) else None
             if not len(table):
                 continue
-            same = table.column("key").to_numpy() == last
+            key, part = table.column("key").to_numpy(), table.column("part").to_numpy()
+            same = (key == key[-1]) & (part == part[-1])
             cut = len(table) - int(same[::-1].argmin()) if not same.all() else 0
-            if cut:  # the last key may go on in the next batch
+            if held and (cut or (held[-1].column("key")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (key[0], part[0])):
                 yield _settled(pa.concat_tables([*held, table.slice(0, cut)]))
                 held = []
-            held.append(table.slice(cut))
+            elif cut:
+                yield _settled(table.slice(0, cut))
+            held.append(table.slice(cut))  # the last group may go on in the next batch
         if held:
             yield _settled(pa.concat_tables(held))
 
-    rows = docs.select("doc_id", "text", "text_key").mapInArrow(candidates, _FOUND)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(settle, _SPAN)
+    def grouped(rows):
+        return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(settle, _SPAN)
+
+    found = durable(grouped(docs.select("doc_id", "text", "text_key").mapInArrow(candidates, _FOUND)))
+    # of windows dealt in parts, the smallest documents of each part
+    left = found.where("open IS NOT NULL").select("key", F.lit(-1).alias("part"), "doc_id", "text_key", "pos", F.col("open").alias("windows"))
+    return found.where("open IS NULL").unionByName(grouped(left)).select("doc_id", "text_key", "pos", "n")
 
 
 def _settled(table: pa.Table) -> pa.RecordBatch:
-    """Spans of windows that a smaller document holds too, of whole groups of keys."""
+    """Spans of windows that a smaller document holds too, of whole groups of keys; and, of groups that are parts, windows that none holds there."""
     payload = table.column("windows").combine_chunks()
     if isinstance(payload, pa.ChunkedArray):
         payload = payload.chunk(0) if payload.num_chunks else pa.array([], pa.binary())
-    key, doc, text, pos = (table.column(c).to_numpy() for c in ("key", "doc_id", "text_key", "pos"))
+    key, part, doc, text, pos = (table.column(c).to_numpy() for c in ("key", "part", "doc_id", "text_key", "pos"))
     raw, offsets = buffers(payload)
     size = np.diff(offsets)
     done = size == 4
@@ -160,7 +176,9 @@ def _settled(table: pa.Table) -> pa.RecordBatch:
     row = np.repeat(np.arange(len(doc)), lengths)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     whole = np.frombuffer(raw[np.repeat(~done, size)].tobytes(), np.uint64)
-    gone = doc[row] > _least(key[row], whole, doc=doc[row]) if len(row) else np.zeros(0, bool)
+    gone = doc[row] > _least(key[row], part[row], whole, doc=doc[row]) if len(row) else np.zeros(0, bool)
+    stays = np.flatnonzero(~gone & (part[row] >= 0))
+    open_row, open_at, open_windows = row[stays], nth[stays], [x.tobytes() for x in np.ascontiguousarray(whole[stays]).view(np.uint8).reshape(-1, 8)]
     row, nth = row[gone], nth[gone]
     start = _runs(row[1:] != row[:-1], nth[1:] != nth[:-1] + 1) if len(row) else np.zeros(0, np.int64)
     count = np.diff(np.append(start, len(row)))
@@ -168,10 +186,10 @@ def _settled(table: pa.Table) -> pa.RecordBatch:
     known = np.frombuffer(raw[begin].tobytes(), np.uint32).astype(np.int64)
     who = np.concatenate([row[start], np.flatnonzero(done)])
     shift = np.concatenate([nth[start], np.zeros(len(known), np.int64)])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[who]), pa.array(text[who]), pa.array((pos[who] + shift).astype(np.int32)), pa.array(np.concatenate([count, known]).astype(np.int32))],
-        names=["doc_id", "text_key", "pos", "n"],
-    )
+    n = np.concatenate([count, known, np.ones(len(open_row), np.int64)])
+    windows = pa.array([None] * len(who) + open_windows, pa.binary())
+    who, shift = np.concatenate([who, open_row]), np.concatenate([shift, open_at])
+    return pa.RecordBatch.from_arrays([*map(pa.array, (key[who], doc[who], text[who], (pos[who] + shift).astype(np.int32), n.astype(np.int32))), windows], names=[x.split()[0] for x in _SPAN.split(", ")])
 
 
 def _kept(value: str | None, spans: list[dict] | None, window: int) -> tuple[int, int, bytes]:
@@ -195,11 +213,14 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, key: str = "
     repeat an id do not repeat each other's windows. Other columns are not read.
     """
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    spans = repeated_spans(narrow, window).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    joined = narrow.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    spans = durable(repeated_spans(narrow, window).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("pos", "n")).alias("spans")))
+    touched, rest = cm.parted(narrow, "text_key", spans.select("text_key").distinct())
+    joined = touched.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    if rest is not None:
+        joined = joined.unionByName(rest.select("doc_id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans")))
 
     def finish(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [_kept(v.as_py(), s.as_py(), window) for v, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string()), pa.array([x[2].decode() for x in out], pa.string())],

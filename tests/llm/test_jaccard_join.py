@@ -1,9 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import jaccard_join as J
+from quadrille.llm import overlaps, workspace
 from quadrille.llm import sketch as cm
 from quadrille.llm.components import connected_components
 
@@ -34,7 +37,9 @@ def plain(rows, k, num, den):
     s = sets(rows, k)
     edges = [(a, b) for x, (a, p) in enumerate(s) for b, q in s[:x] if p and q and a is not None and b is not None and den * len(p & q) >= num * len(p | q)]
     top = grouped([i for i, _ in rows if i is not None], edges)
-    return sorted([(i, len(p), top.get(i)) for i, p in s], key=repr)
+    distinct = {(i, frozenset(p)) for i, p in s if p and i is not None}
+    links = {(i, p): sum(1 for j, q in distinct if (j != i or q != p) and den * len(p & q) >= num * len(p | q)) for i, p in distinct}
+    return sorted([(i, len(p), top.get(i), links.get((i, frozenset(p)), 0)) for i, p in s], key=repr)
 
 
 def result(df, *a):
@@ -73,16 +78,49 @@ def test_full_sketch_and_small_batches_lose_no_link(spark, make_docs, monkeypatc
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_blocks_and_parts_of_any_size_give_the_same(spark, make_docs, messy, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(J, "HOT", 1)
+    monkeypatch.setattr(workspace, "WAYS", 2)
+    monkeypatch.setattr(workspace, "SHARE", 1000)
+    rows = [*messy, *((100 + i, t) for i, t in enumerate(near(120, random.Random(2))))]
+    want = plain(rows, 4, 85, 100)
+    assert result(make_docs(rows).repartition(3), 4, 85, 100) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert result(make_docs(rows).repartition(3), 4, 85, 100) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("few", [1, 3, 10])
+def test_overlaps_are_those_of_sets(few, monkeypatch):
+    monkeypatch.setattr(overlaps, "FEW", few)
+    monkeypatch.setattr(overlaps, "SLAB", 100)
+    r = np.random.default_rng(few)
+    for n in (0, 1, 2, 17):
+        rows = [np.unique(r.integers(0, 40, r.integers(0, 30))).astype(np.uint64) for _ in range(n)]
+        got = overlaps.overlaps(np.concatenate([*rows, np.empty(0, np.uint64)]), np.repeat(np.arange(n), [len(x) for x in rows]), n)
+        assert all(got[i, j] == len(np.intersect1d(rows[i], rows[j])) for i in range(n) for j in range(n) if i != j)
+
+
+def test_a_tie_of_repeated_rows_is_broken_by_the_other_columns(spark, make_docs):
+    df = make_docs([(1, "a b c")] * 3).drop("source").select("*", F.monotonically_increasing_id().alias("source"))
+    for n in (1, 3):
+        for order in ("source", F.desc("source")):
+            assert [x.source for x in J.keep_one_of_each_group(df.repartitionByRange(n, order).sortWithinPartitions(order)).collect()] == [min(x.source for x in df.collect())]
+
+
 def test_no_rows_and_no_words(make_docs):
     assert result(make_docs([])) == []
-    assert result(make_docs([(1, None), (2, ""), (3, " "), (None, None)])) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 0, None)]
+    assert result(make_docs([(1, None), (2, ""), (3, " "), (None, None)])) == [(1, 0, 1, 0), (2, 0, 2, 0), (3, 0, 3, 0), (None, 0, None, 0)]
 
 
 def test_one_document_of_each_group_stays(make_docs, messy):
     rows = [*messy, messy[8], (None, "x"), (51, "another text")]
     kept = J.keep_one_of_each_group(make_docs(rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    top = {i: c for i, _, c in plain(rows, 5, 80, 100)}
+    top = {i: c for i, _, c, _ in plain(rows, 5, 80, 100)}
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({i for i, c in top.items() if i == c} | {None}, key=repr)
 
 

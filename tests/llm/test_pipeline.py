@@ -29,7 +29,7 @@ def test_stages_and_run_against_brute_force(spark, pipeline):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     predicted = {r.doc_id: r.lang_pred for r in language_id.identify_language(docs).collect()}
     left = {i: r for i, r in rows.items() if predicted[i] != "und"}
-    top = {i: c for i, _, c in components([(i, r.text) for i, r in left.items()], 5, 80, 100)}
+    top = {i: c for i, _, c, _ in components([(i, r.text) for i, r in left.items()], 5, 80, 100)}
     left = {i: r for i, r in left.items() if top[i] == i}
 
     def leaked(text):

@@ -81,3 +81,23 @@ def test_levels_follow_the_doublings():
     counts = np.arange(0, 5000, 3)
     packed = cm._packed_levels(counts[: len(counts) // 2 * 2])
     assert [cm.level(int(c)) for c in counts[: 2 * len(packed)]] == list(np.stack([packed & 15, packed >> 4], 1).ravel())
+
+
+def test_a_window_of_many_documents_is_settled_in_parts(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(D, "COMMON", 0)
+    r = random.Random(6)
+    say = lambda n: " ".join(f"w{r.randrange(500)}" for _ in range(n))
+    passage, line = say(40), say(15)
+    rows = [(i, f"{say(r.randrange(20))} {passage if i % 3 else line} {say(r.randrange(20))} {line}") for i in r.sample(range(1000), 300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert order(result(make_docs(rows).repartition(4), 13)) == order(plain(rows, 13))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_few_texts_move_where_passages_go_from_few(make_docs, messy):
+    r = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(f"u{r.random()}" for _ in range(20)) + (passage if i % 40 == 0 else "")) for i in range(400)] + messy[:6]
+    assert order(result(make_docs(rows).repartition(3), 13)) == order(plain(rows, 13))
