@@ -1,11 +1,22 @@
 """SentencePiece encoding by streaming Viterbi, and decoding.
 
-The best path of pieces is found left to right. Scores are kept for a window of
-the longest piece only; back pointers are kept until the paths of all positions
-in that window converge on one boundary, and then the ids before it are
-committed. Where the vocabulary proves a boundary in advance - no piece joins
-the characters on its two sides - all paths converge there, so what lies
-between two such boundaries is encoded once and remembered.
+The best path of pieces is found left to right. Scores and last pieces are kept
+for a window of the longest piece only; back pointers are kept until the paths of
+all positions in that window converge on one boundary, and then the ids before
+it are committed. One solver encodes all text, whatever its length.
+
+What makes a path the best follows from the kind of the model file. For unigram
+pieces it is the sum of their log-probabilities. The scores of byte-pair pieces
+are ranks of merges and no log-probabilities: there a step from one piece to the
+next is possible if the merges, applied to the two alone, leave them apart, and
+impossible otherwise. A row of pieces is what merging makes of their text exactly
+if all its steps are possible - no merge crosses a boundary unless it does so
+between the two pieces beside it - so each boundary has one path, and the ids are
+those of the vocabulary's own encoder.
+
+Where the vocabulary proves a boundary in advance - no piece joins the
+characters on its two sides - all paths converge there, so what lies between two
+such boundaries is solved once and its ids are remembered.
 
 A space is written as U+2581 and one is put before the text; a U+2581 of the
 text itself, and every character without a piece, becomes byte pieces, so that
@@ -27,17 +38,18 @@ from .textgrid import slices
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 900_000  # stretches kept by one worker
-SHORT = 64  # characters of a stretch whose whole lattice is kept
+LONGEST = 64  # characters of a stretch that is remembered
 STRETCH = 1 << 20  # characters of a text that are cut into stretches at once
 _LETTER = r"[^\W\d_]"
 
 
 @dataclass
 class Vocabulary:
-    """Pieces with ids and scores, the ids of the 256 byte pieces, and what follows from them."""
+    """Pieces with ids and scores, the ids of the 256 byte pieces, whether scores are ranks of merges, and what follows from them."""
 
     pieces: dict[str, tuple[int, float]]
     byte_ids: list[int]
+    merging: bool = False
     longest: int = 0
     foreign: float = 0.0  # score of a character without a piece
     _memo: _Memo | None = field(default=None, repr=False)
@@ -50,8 +62,12 @@ class Vocabulary:
     def load(path: str = MODEL) -> Vocabulary:
         """Read on the driver; executors get the vocabulary, not the path."""
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        described = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        if described.trainer_spec.model_type not in (described.trainer_spec.UNIGRAM, described.trainer_spec.BPE):
+            raise ValueError(f"{path}: neither a unigram nor a byte-pair model")
         pieces, byte_ids = {}, [0] * 256
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -59,7 +75,7 @@ class Vocabulary:
                 byte_ids[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 pieces[piece] = (i, model.get_score(i))
-        return Vocabulary(pieces, byte_ids)
+        return Vocabulary(pieces, byte_ids, described.trainer_spec.model_type == described.trainer_spec.BPE)
 
     def __getstate__(self):
         return self.__dict__ | {"_memo": None}
@@ -71,11 +87,84 @@ class Vocabulary:
         return self._memo
 
 
-def viterbi(text: str, v: Vocabulary) -> list[int]:
-    """Ids of the path with the highest score; on equal scores the longer last piece wins, at every boundary."""
+class Merges:
+    """What the merges of byte-pair pieces make of a text: the pair with the best score first, the leftmost of equal ones."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        self.rank = {p: -s for p, (_, s) in pieces.items()}
+        self._known: dict[str, tuple] = {}
+
+    def apply(self, text: str) -> tuple[list[str], list[tuple[float, int]]]:
+        """The pieces, and the rank and place of each merge in turn."""
+        symbols, done = list(text), []
+        while True:
+            ranks = [self.rank.get(a + b) for a, b in zip(symbols, symbols[1:])]
+            best = min((r for r in ranks if r is not None), default=None)
+            if best is None:
+                return symbols, done
+            at = ranks.index(best)
+            done.append((best, at))
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+
+    def _of(self, piece: str) -> tuple:
+        """Whether merging makes the piece whole, with rising ranks; and the symbols at its end, and at its start, with the rank that ends each."""
+        known = self._known.get(piece)
+        if known is None:
+            symbols, done = self.apply(piece)
+            ranks = [r for r, _ in done]
+            last, first, now = [[piece[-1], _NEVER]], [[piece[0], _NEVER]], list(piece)
+            for r, at in done:
+                now[at : at + 2] = [now[at] + now[at + 1]]
+                for spine, end in ((last, len(now) - 1), (first, 0)):
+                    if at == end:
+                        spine[-1][1] = r
+                        spine.append([now[at], _NEVER])
+            known = self._known[piece] = (len(symbols) == 1, all(a < b for a, b in zip(ranks, ranks[1:])), last, first)
+        return known
+
+    def whole(self, piece: str) -> bool:
+        return len(piece) == 1 or self._of(piece)[0]
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether merging leaves two whole pieces as they are, side by side.
+
+        While their own merges go on by rising rank, a symbol at the end of one
+        and one at the start of the other stand side by side; they are merged if
+        that comes before the next merge of either. Where ranks do not rise, or
+        are equal, the merges are carried out.
+        """
+        _, plain, ends, _ = self._of(left)
+        _, simple, _, starts = self._of(right)
+        if plain and simple:
+            i = j = 0
+            rank = self.rank
+            while True:
+                a, until_a = ends[i]
+                b, until_b = starts[j]
+                r = rank.get(a + b)
+                if r is not None:
+                    if r < until_a and r < until_b:
+                        return False
+                    if r == until_a or r == until_b:
+                        break
+                if until_a == until_b == _NEVER:
+                    return True
+                if until_a <= until_b:
+                    i += 1
+                else:
+                    j += 1
+        return self.apply(left + right)[0] == [left, right]
+
+
+_NEVER = float("inf")
+
+
+def viterbi(text: str, v: Vocabulary, merges: Merges | None = None) -> list[int]:
+    """Ids of the best path: by the sum of scores (on equal ones the longer last piece wins, at every boundary), or by possible steps if there are merges."""
     out: list[int] = []
     pieces, longest, foreign = v.pieces, v.longest, v.foreign
     base, score, back = 0, [0.0], [0]  # of boundaries from base on
+    lasts = [""]  # the last piece of the path to each boundary from base on
 
     def commit(to: int) -> None:
         at, path = to, []
@@ -89,17 +178,25 @@ def viterbi(text: str, v: Vocabulary) -> list[int]:
             out.extend(ids)
 
     for end in range(1, len(text) + 1):
-        best, where = -float("inf"), end - 1
-        for start in range(max(base, end - longest), end):
-            found = pieces.get(text[start:end])
-            if found:
-                total = score[start - base] + found[1]
-                if total > best:
-                    best, where = total, start
-        total = score[end - 1 - base] + foreign
-        if best == -float("inf") or (total > best and text[end - 1] not in pieces):
-            best, where = total, end - 1
-        score.append(best)
+        best, where = -_NEVER, end - 1
+        if merges is not None:
+            for start in range(max(base, end - longest), end):
+                piece = text[start:end]
+                if (piece in pieces or start == end - 1) and merges.whole(piece) and (not (last := lasts[start - base]) or merges.apart(last, piece)):
+                    where = start
+                    break
+            lasts.append(text[where:end])
+        else:
+            for start in range(max(base, end - longest), end):
+                found = pieces.get(text[start:end])
+                if found:
+                    total = score[start - base] + found[1]
+                    if total > best:
+                        best, where = total, start
+            total = score[end - 1 - base] + foreign
+            if best == -_NEVER or (total > best and text[end - 1] not in pieces):
+                best, where = total, end - 1
+            score.append(best)
         back.append(where)
         if end - base >= 2 * longest and end % longest == 0:
             paths = set(range(end - longest + 1, end + 1))
@@ -111,50 +208,12 @@ def viterbi(text: str, v: Vocabulary) -> list[int]:
                     break
             if len(paths) == 1 and (meet := paths.pop()) > base:
                 commit(meet)
-                del score[: meet - base], back[: meet - base]
+                del score[: meet - base], back[: meet - base], lasts[: meet - base]
                 base = meet
     commit(len(text))
     return out
 
 
-class _Lattice:
-    """The same paths for short stretches, by pieces that start at each boundary in turn; no piece or start of one ends a search."""
-
-    def __init__(self, v: Vocabulary):
-        self.v, none = v, -float("inf")
-        self.score: dict[str, float] = {}
-        for p, (_, s) in v.pieces.items():
-            for n in range(1, len(p)):
-                self.score.setdefault(p[:n], none)
-            self.score[p] = s
-
-    def ids(self, text: str) -> list[int]:
-        size, get, foreign, pieces = len(text), self.score.get, self.v.foreign, self.v.pieces
-        none = -float("inf")
-        best, back = [none] * (size + 1), [0] * (size + 1)
-        best[0] = 0.0
-        for start in range(size):
-            so_far = best[start]
-            if text[start] not in pieces and so_far + foreign > best[start + 1]:
-                best[start + 1], back[start + 1] = so_far + foreign, start
-            for end in range(start + 1, size + 1):
-                s = get(text[start:end])
-                if s is None:
-                    break
-                s += so_far
-                if s > best[end]:  # starts rise, so the longer piece was here first
-                    best[end], back[end] = s, start
-            if best[start + 1] == none:
-                best[start + 1], back[start + 1] = so_far + foreign, start
-        out, at = [], size
-        while at:
-            before = back[at]
-            found = pieces.get(text[before:at])
-            out.append((found[0],) if found else tuple(self.v.byte_ids[b] for b in text[before:at].encode()))
-            at = before
-        return [i for ids in reversed(out) for i in ids]
-
-
 class _Memo(dict):
     """Ids, as bytes of 32-bit integers, of stretches between proven boundaries."""
 
@@ -169,7 +228,8 @@ class _Memo(dict):
         for a, b in inner:
             if is_letter(a) and b != SPACE and not is_letter(b):
                 before.setdefault(b, set()).add(a)
-        odd = "".join(sorted(set().union(*(x for x in before.values() if len(x) <= 3))))
+        joined = {b for a, b in inner if is_letter(a) and is_letter(b)}
+        odd = "".join(sorted(set().union(*(x for x in before.values() if len(x) <= 3)) - joined))
         guard = "".join(sorted(b for b, x in before.items() if x - set(odd)))
         letters = (f"(?:(?![{re.escape(odd)}]){_LETTER})" if odd else _LETTER) + "++" + (f"(?![{re.escape(guard)}])" if guard else "")
         alone = "" if any("\n" in p for p in v.pieces) else r"\n"
@@ -177,14 +237,14 @@ class _Memo(dict):
         parts = [alone, f"{SPACE}*+{letters}", f"{SPACE}*+[^{SPACE}{alone}]+", f"{SPACE}+"]
         self.split = re.compile(r"(?s).+" if joins_space else "|".join(x for x in parts if x)).findall
         self.one_piece = joins_space
-        self.lattice = _Lattice(v)
+        self.merges = Merges(v.pieces) if v.merging else None
 
     def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(stretch) > SHORT:
-            return np.array(viterbi(stretch, self.v), np.int32).tobytes()
-        ids = self[stretch] = array("i", self.lattice.ids(stretch)).tobytes()
+        ids = array("i", viterbi(stretch, self.v, self.merges)).tobytes()
+        if len(stretch) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[stretch] = ids
         return ids
 
 

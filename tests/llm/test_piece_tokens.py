@@ -36,19 +36,28 @@ def plain(text, v):
     return ids
 
 
-@pytest.mark.parametrize("short", [P.SHORT, 0])
-def test_ids_are_those_of_the_whole_lattice(vocabulary, monkeypatch, short):
-    monkeypatch.setattr(P, "SHORT", short)
-    vocabulary.memo.clear()
-    r = random.Random(1)
-    texts = [*TEXTS, *("".join(r.choice("abcdet  .,'▁\né²1") for _ in range(r.randrange(80))) for _ in range(300))]
-    for t in texts:
-        assert list(P.encode(t, vocabulary)) == plain(t, vocabulary), t
-
-
-@pytest.mark.parametrize("short", [P.SHORT, 0])
-def test_any_vocabulary_converges(monkeypatch, short):
-    monkeypatch.setattr(P, "SHORT", short)
+def texts_of(r):
+    return [*TEXTS, *("".join(r.choice("abcdet  .,'▁\né²1") for _ in range(r.randrange(80))) for _ in range(300))]
+
+
+def test_ids_are_those_of_the_whole_lattice(vocabulary):
+    v = P.Vocabulary({p: (i, s / 1000) for p, (i, s) in vocabulary.pieces.items()}, vocabulary.byte_ids)
+    for t in texts_of(random.Random(1)):
+        assert list(P.encode(t, v)) == plain(t, v), t
+
+
+def test_ids_are_those_of_the_vocabularys_own_encoder(vocabulary, spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    assert vocabulary.merging
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for t in [*texts_of(random.Random(2)), *docs, "Tokenization of 12,345 unbelievably long words: antidisestablishmentarianism!!!", "  " * 40, "a" * 5000, "la la" * 900, "こんにちは世界、おはよう"]:
+        if P.SPACE not in t:  # one of the text itself is not a space here
+            assert list(P.encode(t, vocabulary)) == model.encode(t), t
+
+
+def test_any_vocabulary_converges():
     r = random.Random(2)
     for _ in range(40):
         pieces = {"".join(r.choice("ab▁.") for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(1, 25))} | {P.SPACE}
@@ -59,12 +68,32 @@ def test_any_vocabulary_converges(monkeypatch, short):
             assert P.Decoder(v).decode(P.encode(t, v)) == t
 
 
+@pytest.mark.parametrize("distinct", [True, False])
+def test_any_merges_give_what_merging_gives(distinct):
+    r = random.Random(3)
+    for _ in range(150):
+        pieces = {"".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(1, 30))}
+        order = r.sample(range(len(pieces)), len(pieces)) if distinct else [r.randrange(4) for _ in pieces]
+        v = P.Vocabulary({p: (i + 300, -float(n)) for i, (p, n) in enumerate(zip(sorted(pieces), order, strict=True))}, list(range(256)), merging=True)
+        merges = P.Merges(v.pieces)
+        for _ in range(20):
+            t = "".join(r.choice("abcd") for _ in range(r.randrange(60)))
+            want = [i for p in merges.apply(t)[0] for i in ([v.pieces[p][0]] if p in v.pieces else p.encode())]
+            assert P.viterbi(t, v, merges) == want, (t, v.pieces)
+
+
+def test_letters_that_pieces_join_end_no_stretch():
+    v = P.Vocabulary({p: (i + 300, s) for i, (p, s) in enumerate([("▁", -9.0), ("▁can", -1.0), ("▁ca", -3.0), ("n't", -3.0), ("'", -5.0), ("t", -5.0), ("n", -5.0)])}, list(range(256)))
+    for t in ("can't", "can", "cann't can"):
+        assert list(P.encode(t, v)) == plain(t, v), t
+
+
 def test_stretches_do_not_change_the_ids(vocabulary, monkeypatch):
     text = " ".join(TEXTS) * 3
     expected = list(P.encode(text, vocabulary))
     monkeypatch.setattr(P, "STRETCH", 5)
     monkeypatch.setattr(P, "REMEMBERED", 3)
-    assert list(P.encode(text, P.Vocabulary(vocabulary.pieces, vocabulary.byte_ids))) == expected
+    assert list(P.encode(text, P.Vocabulary(vocabulary.pieces, vocabulary.byte_ids, vocabulary.merging))) == expected
 
 
 def test_round_trip_of_rows(make_docs, messy, vocabulary):
