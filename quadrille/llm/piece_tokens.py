@@ -38,6 +38,7 @@ from .textgrid import slices
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 900_000  # stretches kept by one worker
+STEPS = 1 << 20  # steps between two pieces of which a worker knows whether they are possible
 LONGEST = 64  # characters of a stretch that is remembered
 STRETCH = 1 << 20  # characters of a text that are cut into stretches at once
 _LETTER = r"[^\W\d_]"
@@ -87,12 +88,19 @@ class Vocabulary:
         return self._memo
 
 
+_NEVER = float("inf")
+_NO_PIECE = ()
+
+
 class Merges:
     """What the merges of byte-pair pieces make of a text: the pair with the best score first, the leftmost of equal ones."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]]):
         self.rank = {p: -s for p, (_, s) in pieces.items()}
         self._known: dict[str, tuple] = {}
+        self._steps: dict[tuple[str, str], bool] = {}
+        # what pieces end with, and whether it is a piece that merging makes whole: None where that was not asked yet
+        self._ends: dict[str, bool | None] = {p[n:]: False for p in pieces for n in range(len(p))} | dict.fromkeys(pieces)
 
     def apply(self, text: str) -> tuple[list[str], list[tuple[float, int]]]:
         """The pieces, and the rank and place of each merge in turn."""
@@ -122,8 +130,28 @@ class Merges:
             known = self._known[piece] = (len(symbols) == 1, all(a < b for a, b in zip(ranks, ranks[1:])), last, first)
         return known
 
-    def whole(self, piece: str) -> bool:
-        return len(piece) == 1 or self._of(piece)[0]
+    def last_piece(self, text: str, end: int, low: int, lasts: list[str]) -> int:
+        """Where the last piece of the path to end begins, low at the least; lasts: the last pieces of the paths to boundaries from low on."""
+        ends, steps = self._ends, self._steps
+        for start in range(end - 1, low - 1, -1):
+            piece = text[start:end]
+            whole = ends.get(piece, _NO_PIECE)
+            if whole is _NO_PIECE:  # nor a longer one
+                break
+            if whole is None:
+                whole = ends[piece] = len(piece) == 1 or self._of(piece)[0]
+            if whole:
+                last = lasts[start - low]
+                if not last:
+                    return start
+                step = steps.get((last, piece))
+                if step is None:
+                    if len(steps) >= STEPS:
+                        steps.clear()
+                    step = steps[last, piece] = self.apart(last, piece)
+                if step:
+                    return start
+        return end - 1
 
     def apart(self, left: str, right: str) -> bool:
         """Whether merging leaves two whole pieces as they are, side by side.
@@ -156,9 +184,6 @@ class Merges:
         return self.apply(left + right)[0] == [left, right]
 
 
-_NEVER = float("inf")
-
-
 def viterbi(text: str, v: Vocabulary, merges: Merges | None = None) -> list[int]:
     """Ids of the best path: by the sum of scores (on equal ones the longer last piece wins, at every boundary), or by possible steps if there are merges."""
     out: list[int] = []
@@ -180,11 +205,7 @@ def viterbi(text: str, v: Vocabulary, merges: Merges | None = None) -> list[int]
     for end in range(1, len(text) + 1):
         best, where = -_NEVER, end - 1
         if merges is not None:
-            for start in range(max(base, end - longest), end):
-                piece = text[start:end]
-                if (piece in pieces or start == end - 1) and merges.whole(piece) and (not (last := lasts[start - base]) or merges.apart(last, piece)):
-                    where = start
-                    break
+            where = merges.last_piece(text, end, base, lasts)
             lasts.append(text[where:end])
         else:
             for start in range(max(base, end - longest), end):
