@@ -4,8 +4,8 @@ Filters of several widths slide over one-hot bytes, each is max-pooled over a
 window of fixed length, and a softmax layer reads the pools. Training is
 gradient descent (Adam) written out in numpy, on the driver, on a bounded
 sample: at most PER_LANGUAGE documents of each language, those with the
-smallest hashes of their ids, and of each at most SNIPPET characters, for the
-LANGUAGES most frequent labels. Counts of labels come first and set how small a
+smallest hashes of their ids, and of each at most SNIPPET characters. The bounds
+on the sample are SAMPLE documents and LANGUAGES labels, the most frequent ones. Counts of labels come first and set how small a
 hash must be, so that what is ranked is bounded as well. Prediction reads every byte of every text in batches of windows and averages the windows.
 
 Before windows are cut, case is folded, ASCII that is no letter becomes a
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from .textgrid import buffers, slices
 
-PER_LANGUAGE = 400
+PER_LANGUAGE = 400  # documents, fewer where there are so many languages that SAMPLE would be passed
+SAMPLE = 40_000  # documents of all languages together
 SNIPPET = 4096
-LANGUAGES = 512
-WINDOWS = 3000  # of each language, in training
+LANGUAGES = 10_000
+WINDOWS = 3000  # of each language, in training; fewer as for documents
 LENGTH = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -175,6 +176,11 @@ def _remainder(key: str):
     return F.crc32(F.col(key).cast("string")) % 5
 
 
+def _share(each: int, languages: int) -> int:
+    """So many of each language that PER_LANGUAGE of each, or as many as SAMPLE has room for, is the measure."""
+    return max(4, each * min(PER_LANGUAGE, SAMPLE // max(languages, 1)) // PER_LANGUAGE)
+
+
 def _sample(docs: DataFrame, key: str, text: str, lang: str, held: bool = False) -> list[tuple[str, int, str]]:
     """(lang, hash, snippet) of a bounded number of labelled texts of each language; of held-out ones, or of the others."""
     side = _remainder(key) == 0
@@ -182,14 +188,15 @@ def _sample(docs: DataFrame, key: str, text: str, lang: str, held: bool = False)
     counts = labelled.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()
     if not counts:
         return []
+    each = _share(PER_LANGUAGE, len(counts))
     # some four times what is needed passes, whatever the count
-    small = F.create_map(*[F.lit(x) for r in counts for x in (r._lang, min(_HASHES, -(-4 * PER_LANGUAGE * _HASHES // r.n)))])
+    least = F.broadcast(docs.sparkSession.createDataFrame([(r._lang, min(_HASHES, -(-4 * each * _HASHES // r.n))) for r in counts], "_lang string, _least long"))  # LANGUAGES rows at most
     hashed = F.pmod(F.xxhash64(F.lit(17), F.col(key).cast("string")), F.lit(_HASHES))
     spread = F.pmod(F.xxhash64(F.lit(18), F.col(key).cast("string")), F.greatest(F.length(F.col(text)) - SNIPPET + 1, F.lit(1)))
-    drawn = labelled.where(hashed < F.element_at(small, F.col("_lang")))
+    drawn = labelled.join(least, "_lang").where(hashed < F.col("_least"))
     snippets = drawn.select(F.col("_lang").alias("lang"), hashed.alias("h"), F.substring(F.col(text), (spread + 1).cast("int"), F.lit(SNIPPET)).alias("text"))
     ranked = snippets.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-    return sorted((r.lang, r.h, r.text) for r in ranked.where(F.col("nth") <= PER_LANGUAGE).collect())
+    return sorted((r.lang, r.h, r.text) for r in ranked.where(F.col("nth") <= each).collect())
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", reject: bool = False) -> Network | None:
@@ -201,8 +208,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         x, _ = windows(*buffers(pa.array([t for n, _, t in sample if n == name], pa.string())))
         x = x[x.any(axis=1)]
         if len(x):
-            x = x[r.permutation(len(x))[:WINDOWS]]
-            x = x[np.arange(max(len(x), min(WINDOWS, 500))) % len(x)]
+            most = _share(WINDOWS, len(languages))
+            x = x[r.permutation(len(x))[:most]]
+            x = x[np.arange(max(len(x), min(most, 500))) % len(x)]
             # short texts occur as well: some windows end early
             x = x.copy()
             cut = r.integers(8, LENGTH, len(x))
@@ -311,11 +319,11 @@ def _without(data: np.ndarray, strange: np.ndarray) -> np.ndarray:
 
 
 def _learned(column: pa.Array, network: Network | None) -> np.ndarray:
-    """Whether each text has a letter and is neither the class REJECT's nor in scripts that the network's languages do not use."""
-    if network is None:
-        return np.zeros(len(column), bool)
+    """Whether each text has a letter and is neither the class REJECT's nor in scripts that the network's languages do not use; a letter will do without a network."""
     data, offsets = buffers(column)
     some = _some_letter(column, data, offsets)
+    if network is None:
+        return some
     strange = _strange(data, network)
     share, size = _shares(_without(data, strange), offsets, network)
     some &= (size < JUDGED) | (share[:, -1] <= network.most)
@@ -351,9 +359,11 @@ def identify_language(docs: DataFrame, network: Network | None = None, key: str
 
 
 def keep_identified(docs: DataFrame, network: Network | None = None, least: float = 0.0) -> DataFrame:
-    """The rows of docs, whole, whose text has a language: not `und`, and with a score of at least least."""
+    """The rows of docs, whole, whose text has a language: not `und`, and with a score of at least least. Where nothing is labelled, those with a letter."""
 
     def kept(column, network):
+        if network is None:
+            return _learned(column, None)
         names, score = _predict(column, network)
         return np.array([n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)], bool)
 

@@ -82,4 +82,25 @@ SQL: dict[str, str] = {
         kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    # splitmix64 of the id, the jump loop in integers of 128 bits, and the CRC by a table that a rule gives
+    "op8_sharding": r"""
+        WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda v, n: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, i) ORDER BY i) AS t FROM range(256) AS r(i)),
+        d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+                     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+        c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda v, x: xor(v // 256, t[xor(v % 256, x) + 1]), 4294967295), 4294967295) AS text_crc32 FROM d, crc),
+        m0 AS (SELECT *, ((CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE doc_id::HUGEINT END + 11400714819323198485) % 18446744073709551616)::UBIGINT AS x FROM c),
+        m1 AS (SELECT * REPLACE ((xor(x, x >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS x) FROM m0),
+        m2 AS (SELECT * REPLACE ((xor(x, x >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS x) FROM m1),
+        keyed AS (SELECT doc_id, size, text_crc32, xor(x, x >> 31) AS k FROM m2),
+        j AS (SELECT DISTINCT k, k AS state, 0::BIGINT AS shard, 0::BIGINT AS ahead FROM keyed
+              UNION ALL
+              SELECT k, moved, ahead, trunc((ahead + 1)::DOUBLE * (2147483648::DOUBLE / ((moved >> 33)::DOUBLE + 1)))::BIGINT
+              FROM (SELECT k, ahead, ((state::UHUGEINT * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS moved FROM j WHERE ahead < 17)),
+        s AS (SELECT k, max(shard) FILTER (WHERE shard < 16)::INTEGER AS shard, max(shard) FILTER (WHERE shard < 17)::INTEGER AS grown_shard FROM j GROUP BY k),
+        b0 AS (SELECT *, xor(k, (text_crc32::UHUGEINT * 131072::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT) AS x FROM keyed),
+        b1 AS (SELECT * REPLACE ((xor(x, x >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS x) FROM b0),
+        b2 AS (SELECT * REPLACE ((xor(x, x >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS x) FROM b1)
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY xor(x, x >> 31) % 2048, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+        FROM b2 JOIN s USING (k)""",
 }

@@ -62,6 +62,51 @@ def test_held_out_accuracy(sf, network):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def forward(text, network):
+    """The network applied to a whole text in plain loops: symbols, joined spaces, windows, filters, pools, softmax, weighted mean."""
+    raw = text.encode()
+    kept = []
+    for n, b in enumerate(raw):
+        c = L._SYMBOL[b]
+        if n and raw[n - 1] == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97:
+            c = L._SYMBOL[b + 0x20]
+        if c or (kept and kept[-1]):
+            kept.append(int(c))
+    total, weight = np.zeros(len(network.languages)), 0
+    for low in range(0, len(kept), L.LENGTH):
+        x = kept[low : low + L.LENGTH] + [0] * (L.LENGTH - len(kept[low : low + L.LENGTH]))
+        pools = []
+        for w, t in zip(L.WIDTHS, network.filters, strict=True):
+            pools += [max(sum(float(t[j][x[at + j]][f]) for j in range(w)) for at in range(L.LENGTH - w + 1)) for f in range(L.FILTERS)]
+        z = np.maximum(np.array(pools) + network.bias, 0) @ network.weight + network.shift
+        e = np.exp(z - z.max())
+        n = sum(c > 0 for c in x)
+        total, weight = total + n * e / e.sum(), weight + n
+    best = int(total.argmax())
+    return network.languages[best], total[best] / total.sum()
+
+
+def test_predictions_are_those_of_a_plain_forward_pass(sf, network):
+    texts = [r.text for r in sorted(sf.where("length(text) < 900").collect(), key=lambda r: r.doc_id)[:25]] + ["ÉTÉ été  1,2 à", "a", "x" * 300 + " the", "東京 und"]
+    names, score = L._predict(pa.array(texts), network)
+    for t, name, s in zip(texts, names, score, strict=True):
+        want, most = forward(t, network)
+        assert name == want and s == pytest.approx(most, abs=1e-4), t
+
+
+def test_without_labels_only_texts_without_a_letter_go(make_docs):
+    docs = make_docs([(1, "The end."), (2, "東京"), (3, None), (4, "12 !"), (5, "")]).selectExpr("doc_id", "text", "cast(null AS string) lang")
+    for keep in (L.keep_learned, L.keep_identified):
+        assert sorted(r.doc_id for r in keep(docs).collect()) == [1, 2]
+
+
+def test_a_sample_of_any_number_of_languages_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 40)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 8) AS lang")
+    sample = L._sample(docs, "doc_id", "text", "lang")
+    assert len(sample) == 40 and len({x[0] for x in sample}) == 8
+
+
 def test_labels_held_out_teach_nothing(spark, sf, network):
     from pyspark.sql import functions as F
 

@@ -20,6 +20,19 @@ def test_jump_hash_follows_the_published_loop():
         assert [plain(int(k), n) for k in keys] == list(sharding.jump_hash(keys, n))
 
 
+def mixed(i):
+    x = (i % 2**64 + 0x9E3779B97F4A7C15) % 2**64
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x ^ x >> 31
+
+
+def test_shards_of_the_whole_table_follow_the_published_loop(spark):
+    rows = sharding.assign_shards(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert len({r.shard for r in rows}) == 16
+    assert all((r.shard, r.grown_shard) == (plain(mixed(r.doc_id), 16), plain(mixed(r.doc_id), 17)) for r in rows)
+
+
 def test_growth_moves_rows_into_the_new_shard_only(make_docs, messy):
     rows = sharding.assign_shards(make_docs([*messy, *messy[:20], (None, "a"), (None, None)])).collect()
     assert len(rows) == len(messy) + 22
