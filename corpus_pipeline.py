@@ -8,11 +8,13 @@ doc_id, n_ids, ids, round_trip.
 from __future__ import annotations
 
 from quadrille.llm import decontamination, jaccard_join, language_id, piece_tokens, pii
+from quadrille.llm.workspace import durable
 
 
 def language_id_stage(spark, docs, sf_dir):
     """Documents without a language go: null, empty or letterless text, letters that the network's class for made-up text
-    gets more of than of held-out documents, and scripts of no learned language. All go if no row is labelled.
+    gets more of than of held-out documents, and scripts of no learned language. Where no row is labelled, no language is
+    learned, and only documents without a letter go.
 
     The labels in lang stay as given. Repeated rows and null ids are judged by their text like others; an empty table stays empty.
     """
@@ -22,7 +24,8 @@ def language_id_stage(spark, docs, sf_dir):
 def ngram_jaccard_stage(spark, docs, sf_dir):
     """Of documents linked by five-word n-grams at a similarity of 0.8 or more, the one with the smallest id stays.
 
-    Null ids and texts without words are linked with nothing and stay; of rows that repeat an id one stays.
+    Null ids and texts without words are linked with nothing and stay; of rows that repeat an id one stays: the first by a
+    hash of its text, then by all its columns, whatever the partitioning.
     """
     return jaccard_join.keep_one_of_each_group(docs, k=5, num=80, den=100)
 
@@ -30,7 +33,8 @@ def ngram_jaccard_stage(spark, docs, sf_dir):
 def decontamination_stage(spark, docs, sf_dir):
     """Documents that hold four fifths of a benchmark item's words, in matches of five or more, go.
 
-    Null and empty texts are clean, and so is all without a benchmark; items without id or text match nothing.
+    Null and empty texts are clean, and so is all without a benchmark; items without id, text or words match nothing, and
+    items of fewer than five words where these stand in one run.
     """
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -57,8 +61,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: What these give is read several times by the stages after them: run() writes it, so that nothing is computed twice.
+CUT = ("language_id", "ngram_jaccard_join")
+
+
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        docs = durable(docs) if name in CUT else docs
     return docs
