@@ -4,16 +4,18 @@ Integer vectors x gain a coordinate sqrt(M^2 - |x|^2), M the largest norm, and
 queries gain 0; the inner product then falls as the distance grows, so nearest
 neighbours are highest scores. Every vector is keyed by its nearest pivot and
 its distance to it, in rings. For a query at distance d of a pivot, no vector
-of a ring [lo, hi] is nearer than max(lo - d, d - hi, 0). Rings are expanded
-from the best bound on; a query stops where the bound cannot reach its k-th
-score. Scores are integers throughout; only bounds are floating point, with
-room for rounding.
+of an annulus [lo, hi] is nearer than max(lo - d, d - hi, 0). Rings are expanded
+from the best bound on, and inside a ring its vectors, sorted by distance, in
+narrower annuli; a query stops where the bound cannot reach its k-th score.
+Scores are integers throughout; only bounds are floating point, with room for rounding.
 
 Pivots are chosen from a bounded sample that is also the first source of
 thresholds; pivots times rings are at most PIVOTS * RINGS, so the bounds of all
-rings fit a broadcast. Blocks of vectors and of queries are of bounded size,
-whatever a pivot or ring gathers, and a block meets only the blocks of queries
-that its ring may serve.
+rings fit a broadcast. Vectors move once, into slices of whole rings or of parts
+of one, of bounded size whatever a pivot or ring gathers; a task holds a slice.
+Queries, in blocks, go to the slices whose rings may serve them, and only scores
+that may be among the k highest come back. So what moves is the vectors, once,
+and the queries times the slices they may need.
 """
 
 from __future__ import annotations
@@ -31,17 +33,21 @@ SAMPLE = 2048
 PIVOTS = 64
 RINGS = 16
 PER_PIVOT = 4096  # vectors for which one more pivot is made, until there are PIVOTS
-BLOCK = 4096  # vectors in a block
+BLOCK = 4096  # vectors in an annulus inside a ring
 QUERIES = 1024  # queries in a block
-SLICE = 64  # blocks of vectors that one task expands for a block of queries
+SLICE_BYTES = 32 << 20  # of vectors in a slice, about
 
 _KEYED = "vec_id long, is_query boolean, pivot int, ring int, dist double, vec binary"
 _STATS = "n long, queries long, dim int, top double, square double"
+_WORK = "slice int, kind int, pivot int, ring int, vec_id long, dist double, block long, ids binary, vectors binary"
 _RESULT = "query_id long, vec_id long, score long"
 
 
 def _integers(column: pa.Array, scale: int, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of floor(scale * x), shorter ones filled with zeros, and which rows take part; those that do not are zeros."""
+    """Rows of floor(scale * x), shorter ones filled with zeros, and which rows take part; those that do not are zeros.
+
+    A row whose product with itself is no 64-bit integer takes no part.
+    """
     n = len(column)
     if not n:
         return np.zeros((0, dim or 0)), np.zeros(0, bool)
@@ -54,15 +60,17 @@ def _integers(column: pa.Array, scale: int, dim: int | None = None) -> tuple[np.
     out = np.zeros((n, dim if dim is not None else int(size.max(initial=0))))
     row = np.repeat(np.arange(n), size)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    out[row, nth] = np.floor(scale * values[np.repeat(at[:-1], size) + nth])
-    return out, ok
+    with np.errstate(over="ignore", invalid="ignore"):
+        out[row, nth] = np.floor(scale * values[np.repeat(at[:-1], size) + nth])
+        small = (out**2).sum(axis=1) < 2.0**62
+    out[~small] = 0
+    return out, ok & small
 
 
-def _products(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
-    """Integer products of rows; through floating point where it is exact."""
-    if exact:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+def _products(a: np.ndarray, b: np.ndarray, square: float) -> np.ndarray:
+    """Integer products of rows whose squared norms are square at most; through floating point where that is exact."""
+    kind = np.float32 if square < 2.0**24 else np.float64 if square < 2.0**52 else np.int64
+    return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
 
 
 @dataclass
@@ -76,11 +84,9 @@ class Index:
     lift: np.ndarray  # last coordinate of each pivot
     sample_ids: np.ndarray
     sample: np.ndarray
+    width: str  # of a component
     rings: dict[tuple[int, int], tuple[float, float]] | None = None
-
-    @property
-    def exact(self) -> bool:
-        return self.square < 2.0**52
+    slices: dict[tuple[int, int], tuple[int, int]] | None = None  # the first slice of a ring, and how many it has
 
     @property
     def slack(self) -> float:
@@ -132,17 +138,23 @@ class _Best:
             self.least[q] = max(self.least[q], float(last) if abs(last) < 2**52 else np.nextafter(float(last), -np.inf))
 
 
+def _once(ids: np.ndarray, x: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each (id, vector) once, by id."""
+    order = np.lexsort((*x.T[::-1], ids)) if len(ids) else np.empty(0, np.int64)
+    ids, x = ids[order], x[order]
+    keep = np.ones(len(ids), bool)
+    keep[1:] = (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)
+    return np.ascontiguousarray(ids[keep]), np.ascontiguousarray(x[keep]), *(m[order][keep] for m in more)
+
+
 def _packed(batches, index: Index, group: tuple[str, ...], most: int):
     """Rows sorted by group become blocks of at most most vectors: ids and vectors as bytes."""
     held: list[pa.RecordBatch] = []
 
     def block(rows):
         t = pa.Table.from_batches(rows)
-        x = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.int64).reshape(len(t), index.dim)
-        ids = t.column("vec_id").to_numpy()
-        both = np.concatenate([ids[:, None], x], axis=1)
-        both = np.unique(both, axis=0)  # a repeated row counts once
-        return pa.RecordBatch.from_arrays([*(t.column(g).combine_chunks()[:1] if isinstance(t.column(g).combine_chunks(), pa.Array) else t.column(g).chunk(0)[:1] for g in group), pa.array([np.ascontiguousarray(both[:, 0]).tobytes()], pa.binary()), pa.array([np.ascontiguousarray(both[:, 1:]).tobytes()], pa.binary())], names=[*group, "ids", "vectors"])
+        ids, x = _once(t.column("vec_id").to_numpy(), np.frombuffer(b"".join(t.column("vec").to_pylist()), index.width).reshape(len(t), index.dim))
+        return pa.RecordBatch.from_arrays([*(t.column(g).combine_chunks()[:1] if isinstance(t.column(g).combine_chunks(), pa.Array) else t.column(g).chunk(0)[:1] for g in group), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=[*group, "ids", "vectors"])
 
     at = None
     for batch in batches:
@@ -172,8 +184,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     a null id, a null vector, or a null or non-finite component take no part.
     Shorter vectors count as filled with zeros. A repeated row counts once; an id
     with several vectors is one candidate and one query, by its best product.
-    No rows, or no queries, give none. Products must fit 64 bits: larger
-    components raise an error. Other columns are not read.
+    No rows, or no queries, give none. A vector whose product with itself is no
+    64-bit integer takes no part. Other columns are not read.
     """
     spark = vectors.sparkSession
     narrow = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("vec_id IS NOT NULL AND v IS NOT NULL")
@@ -196,8 +208,6 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not total or not queries:
         return empty
-    if square >= 2.0**62 or top >= 2.0**62:
-        raise ValueError("inner products of these vectors do not fit 64 bits")
     # a bounded sample of all rows: those with the smallest hashes; some four times as many are ranked, whatever the total
     h = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
     rows = narrow.where(h < min(1 << 40, -(-4 * SAMPLE * (1 << 40) // total))).orderBy(h, "vec_id").limit(SAMPLE).collect()
@@ -207,7 +217,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     real = ok.any()
     lift = np.sqrt(np.maximum(square - (x**2).sum(axis=1), 0))
     chosen = _far_apart(np.concatenate([x, lift[:, None]], axis=1), max(1, min(PIVOTS, total // PER_PIVOT)))
-    index = Index(scale, dim, square, x[chosen], lift[chosen], ids if real else ids[:0], (x if real else x[:0]).astype(np.int64))
+    index = Index(scale, dim, square, x[chosen], lift[chosen], ids if real else ids[:0], (x if real else x[:0]).astype(np.int64), "<i2" if top < 2**15 else "<i4" if top < 2**31 else "<i8")
     sent = spark.sparkContext.broadcast(index)
     width = 2 * np.sqrt(square) / RINGS + 1e-9
 
@@ -220,7 +230,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
             d = i.distances(x, lifted=True)
             pivot = d.argmin(axis=1)
             near = d[np.arange(len(x)), pivot]
-            raw = np.ascontiguousarray(x.astype(np.int64))
+            raw = np.ascontiguousarray(x.astype(i.width))
             yield pa.RecordBatch.from_arrays(
                 [kept.column("vec_id"), kept.column("is_query"), pa.array(pivot.astype(np.int32)), pa.array(np.minimum(near / width, RINGS - 1).astype(np.int32)), pa.array(near), pa.array([r.tobytes() for r in raw], pa.binary())],
                 names=["vec_id", "is_query", "pivot", "ring", "dist", "vec"],
@@ -230,11 +240,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     # at most PIVOTS * RINGS rows
     rings = {(r.pivot, r.ring): (r.lo, r.hi, r.n, r.q) for r in keyed.groupBy("pivot", "ring").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n"), F.count_if("is_query").alias("q")).collect()}
     index.rings = {at: (lo, hi) for at, (lo, hi, _, _) in rings.items()}
+    index.slices = _slices({at: n for at, (_, _, n, _) in rings.items()}, _vectors_of_a_slice(spark, total, dim * np.dtype(index.width).itemsize + 16))
     sent = spark.sparkContext.broadcast(index)
-    parts = spark.createDataFrame([(*at, max(1, -(-2 * n // BLOCK))) for at, (_, _, n, _) in rings.items()], "pivot int, ring int, parts int")
-    salted = keyed.join(F.broadcast(parts), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
-    by = ("pivot", "ring", "part")
-    blocks = durable(salted.select(*by, "vec_id", "vec").repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda b: _packed(b, sent.value, by, BLOCK), "pivot int, ring int, part int, ids binary, vectors binary"))
+    place_of = spark.createDataFrame([(*at, first, parts) for at, (first, parts) in index.slices.items()], "pivot int, ring int, first int, parts int")
+    none = lambda kind: F.lit(None).cast(kind)
+    held = keyed.join(F.broadcast(place_of), ["pivot", "ring"]).select((F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).cast("int").alias("slice"), F.lit(0).alias("kind"), "pivot", "ring", "vec_id", "dist", none("long").alias("block"), none("binary").alias("ids"), F.col("vec").alias("vectors"))
 
     # queries of one pivot share blocks; those of pivots with few queries are pooled
     per = {}
@@ -247,50 +257,43 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     asked = durable(asked.withColumn("block", F.xxhash64("pool", "part", "ids")))
 
     def reach(batches):
-        """The rings that may serve a block of queries, with the highest score they may hold; thresholds come from the sample."""
+        """A block of queries for each slice of the rings that may serve it; thresholds come from the sample."""
         i = sent.value
         for batch in batches:
             for block, qids, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "vectors")), strict=True):
-                q, least, d, squares = _queries(i, qids, raw, k)
-                found = []
+                _, least, d, squares = _queries(i, qids, raw, k)
+                wanted = set()
                 for (pivot, ring), (lo, hi) in i.rings.items():
-                    top = i.highest(squares, d[:, pivot], lo, hi)
-                    if (top >= least).any():
-                        found.append((block, pivot, ring, float(top[top >= least].max())))
-                columns = list(zip(*found, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["block", "pivot", "ring", "bound"])
-
-    served = asked.mapInArrow(reach, "block long, pivot int, ring int, bound double")
-    slices = max(1, -(-sum(max(1, -(-2 * n // BLOCK)) for _, _, n, _ in rings.values()) // SLICE))
-    work = served.join(blocks, ["pivot", "ring"]).select("block", F.pmod(F.xxhash64(*by), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("kind"), "pivot", "ring", "bound", "ids", "vectors")
-    heads = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), F.lit(0).alias("pivot"), F.lit(0).alias("ring"), F.lit(float("inf")).alias("bound"), "ids", "vectors")
+                    if (i.highest(squares, d[:, pivot], lo, hi) >= least).any():
+                        first, parts = i.slices[pivot, ring]
+                        wanted.update(range(first, first + parts))
+                for at in sorted(wanted):  # a row at a time: a block may be wanted in every slice
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([at], pa.int32()), pa.array([1], pa.int32()), *(pa.array([None], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.float64())), pa.array([block], pa.int64()), pa.array([qids], pa.binary()), pa.array([raw], pa.binary())],
+                        names=[x.split()[0] for x in _WORK.split(", ")],
+                    )
 
     def expand(batches):
-        i, best, state = sent.value, None, None
+        i, at, rows, annuli = sent.value, None, [], None
         for batch in batches:
-            for block, _, kind, pivot, ring, bound, ids, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == 0:
-                    if best:
-                        yield _answers(best)
-                    q, least, d, squares = state = _queries(i, ids, raw, k)
-                    best = _Best(np.frombuffer(ids, np.int64), k)
-                    best.least = least.copy()
-                    continue
-                q, _, d, squares = state
-                if bound < best.least.min():
-                    continue  # nothing in this ring, nor in those after it, reaches any query
-                live = np.flatnonzero(i.highest(squares, d[:, pivot], *i.rings[pivot, ring]) >= best.least)
-                if not len(live):
+            slices, kinds = batch.column("slice").to_numpy(), batch.column("kind").to_numpy()
+            edge = np.append(np.flatnonzero((np.diff(slices) != 0) | (np.diff(kinds) != 0)) + 1, len(batch)) if len(batch) else []
+            low = 0
+            for high in edge:
+                part, low = batch.slice(low, high - low), int(high)
+                here = part.column("slice")[0].as_py()
+                if here != at:
+                    at, rows, annuli = here, [], None
+                if part.column("kind")[0].as_py() == 0:
+                    rows.append(_block(part, i))
                     continue
-                other = np.frombuffer(ids, np.int64)
-                score = _products(q[live], np.frombuffer(raw, np.int64).reshape(-1, i.dim), i.exact)
-                reach = score >= best.least[live][:, None]
-                for n in np.flatnonzero(reach.any(axis=1)):
-                    best.add(int(live[n]), other[reach[n]], score[n][reach[n]])
-        if best:
-            yield _answers(best)
-
-    found = heads.unionByName(work).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind", F.desc("bound"), "pivot", "ring").mapInArrow(expand, _RESULT)
+                if annuli is None:  # all vectors of the slice came before its queries
+                    annuli, rows = _annuli(rows), []
+                for ids, raw in zip(part.column("ids").to_pylist(), part.column("vectors").to_pylist(), strict=True):
+                    yield _expanded(i, annuli, ids, raw, k)
+
+    work = held.unionByName(asked.mapInArrow(reach, _WORK))
+    found = work.repartition("slice").sortWithinPartitions("slice", "kind", "pivot", "ring").mapInArrow(expand, _RESULT)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -298,12 +301,12 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
 
 def _queries(i: Index, ids: bytes, raw: bytes, k: int):
     """Vectors, lowest score worth having (the k-th in the sample), distances to pivots, squared norms."""
-    q = np.frombuffer(raw, np.int64).reshape(-1, i.dim)
+    q = np.frombuffer(raw, i.width).reshape(-1, i.dim)
     own = np.frombuffer(ids, np.int64)
     least = np.full(len(q), -np.inf)
     distinct = np.unique(i.sample_ids, return_index=True)[1]
     if len(distinct) > k:
-        score = _products(q, i.sample[distinct], i.exact).astype(np.float64)
+        score = _products(q, i.sample[distinct], i.square).astype(np.float64)
         score[own[:, None] == i.sample_ids[distinct][None, :]] = -np.inf
         least = np.partition(score, -k, axis=1)[:, -k]
         least = np.where(np.abs(least) < 2.0**52, least, -np.inf)
@@ -311,6 +314,67 @@ def _queries(i: Index, ids: bytes, raw: bytes, k: int):
     return q, least, i.distances(x, lifted=False), (x**2).sum(axis=1)
 
 
+def _vectors_of_a_slice(spark, total: int, each: int) -> int:
+    """As many as SLICE_BYTES hold, but so few that all cores have work; BLOCK at least."""
+    return max(BLOCK, min(SLICE_BYTES // each, -(-total // (4 * spark.sparkContext.defaultParallelism))))
+
+
+def _slices(sizes: dict[tuple[int, int], int], most: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """First slice and number of slices of each ring: small rings that follow each other share one, large ones have several."""
+    out, at, room = {}, 0, most
+    for ring in sorted(sizes):
+        n = sizes[ring]
+        if n > room and room < most:
+            at, room = at + 1, most
+        parts = max(1, -(-n // most))
+        out[ring] = (at, parts)
+        if parts > 1:
+            at, room = at + parts, most
+        else:
+            room -= n
+    return out
+
+
+def _block(batch: pa.RecordBatch, i: Index) -> tuple[np.ndarray, ...]:
+    """Ids, vectors, distances, pivots and rings of rows."""
+    raw = np.frombuffer(b"".join(batch.column("vectors").to_pylist()), i.width).reshape(len(batch), i.dim)
+    return batch.column("vec_id").to_numpy(), raw, *(batch.column(c).to_numpy() for c in ("dist", "pivot", "ring"))
+
+
+def _annuli(rows: list[tuple[np.ndarray, ...]]) -> list[tuple[int, float, float, np.ndarray, np.ndarray]]:
+    """Pivot, least and largest distance, ids and vectors of annuli of BLOCK vectors at most, each inside a ring. A repeated row counts once."""
+    if not rows:
+        return []
+    ids, x, dist, pivot, ring = _once(*(np.concatenate(c) for c in zip(*rows, strict=True)))
+    order = np.lexsort((dist, ring, pivot))
+    ids, x, dist, pivot, ring = (c[order] for c in (ids, x, dist, pivot, ring))
+    new = np.flatnonzero(np.append(True, (pivot[1:] != pivot[:-1]) | (ring[1:] != ring[:-1])))
+    out = []
+    for a, b in zip(new, np.append(new[1:], len(ids)), strict=True):
+        for low in range(a, b, BLOCK):
+            high = min(low + BLOCK, b)
+            out.append((int(pivot[low]), float(dist[low]), float(dist[high - 1]), ids[low:high], x[low:high]))
+    return out
+
+
+def _expanded(i: Index, annuli: list, ids: bytes, raw: bytes, k: int) -> pa.RecordBatch:
+    """The best candidates of a slice for a block of queries, annuli with the best bound first."""
+    q, least, d, squares = _queries(i, ids, raw, k)
+    best = _Best(np.frombuffer(ids, np.int64), k)
+    best.least = least.copy()
+    tops = [i.highest(squares, d[:, pivot], lo, hi) for pivot, lo, hi, _, _ in annuli]
+    for n in sorted(range(len(annuli)), key=lambda n: -tops[n].max(initial=-np.inf)):
+        live = np.flatnonzero(tops[n] >= best.least)
+        if not len(live):
+            continue
+        _, _, _, other, x = annuli[n]
+        score = _products(q[live], x, i.square)
+        reach = score >= best.least[live][:, None]
+        for m in np.flatnonzero(reach.any(axis=1)):
+            best.add(int(live[m]), other[reach[m]], score[m][reach[m]])
+    return _answers(best)
+
+
 def _answers(best: _Best) -> pa.RecordBatch:
     n = [len(s) for s in best.score]
     join = lambda parts: np.concatenate([*parts, np.empty(0, np.int64)]).astype(np.int64)

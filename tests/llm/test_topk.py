@@ -28,7 +28,7 @@ def result(spark, rows, k, **more):
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, value in {"SAMPLE": 40, "PIVOTS": 6, "RINGS": 4, "PER_PIVOT": 20, "BLOCK": 16, "QUERIES": 8, "SLICE": 3}.items():
+    for name, value in {"SAMPLE": 40, "PIVOTS": 6, "RINGS": 4, "PER_PIVOT": 20, "BLOCK": 16, "QUERIES": 8, "SLICE_BYTES": 700}.items():
         monkeypatch.setattr(T, name, value)
 
 
@@ -47,13 +47,24 @@ def test_few_rows_ties_and_large_numbers(spark, small):
     big = [(i, [(-1.0) ** i * (1e4 + i), float(i * i)]) for i in range(60)]
     assert result(spark, big, 3, scale=1 << 16) == plain(big, 3, 1 << 16)
     assert result(spark, [], 3) == [] and result(spark, [(1, [1.0])], 3) == [] and result(spark, [(5, [1.0])], 3) == [] and result(spark, [(0, None), (5, None)], 3) == []
-    with pytest.raises(ValueError, match="64 bits"):
-        result(spark, [(0, [1e18]), (1, [1.0])], 3)
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [1e18, 0.0]), (3, [1e308, 1e308]), (5, [3.0, 1.0])]
+    assert result(spark, rows, 3) == plain([x for x in rows if x[0] not in (2, 3)], 3)  # products of these are no 64-bit integers
+
+
+def test_queries_move_and_vectors_stay():
+    sizes = {(0, 0): 10, (0, 1): 3, (0, 2): 4, (1, 0): 50, (1, 1): 2, (2, 0): 12}
+    got = T._slices(sizes, 12)
+    assert got == {(0, 0): (0, 1), (0, 1): (1, 1), (0, 2): (1, 1), (1, 0): (2, 5), (1, 1): (7, 1), (2, 0): (8, 1)}
+    held = {}
+    for ring, (first, parts) in got.items():
+        for n in range(first, first + parts):
+            held[n] = held.get(n, 0) + sizes[ring] / parts
+    assert sorted(held) == list(range(9)) and max(held.values()) <= 12
 
 
 def test_rings_are_skipped_where_bounds_allow():
     x = np.array([[1000.0, 0.0], [0.0, 1000.0], [-1000.0, 0.0]])
-    index = T.Index(1, 2, 1e6, x[:1], np.zeros(1), np.empty(0, np.int64), np.empty((0, 2), np.int64))
+    index = T.Index(1, 2, 1e6, x[:1], np.zeros(1), np.empty(0, np.int64), np.empty((0, 2), np.int64), "<i8")
     d = index.distances(x[:1], lifted=False)[:, 0]
     near, far = index.highest(np.array([1e6]), d, 0.0, 10.0), index.highest(np.array([1e6]), d, 1900.0, 2000.0)
     assert near[0] >= 1e6 and far[0] < 0
