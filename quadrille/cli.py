@@ -1,4 +1,4 @@
-"""Commands: describe settings, survey and stage downloads, look at segmentations."""
+"""Commands: describe settings, survey and stage downloads, look at segmentations, run the experiment."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import partition, prepare
+from .functions.descriptors import REGISTRY
+from .operators import experiment, metrics, partition, prepare
 from .settings import Settings, load
 from .sources import images, reports, staging
 
@@ -23,12 +24,41 @@ def _files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataF
     return found.select(relative.alias("folder"), F.lit(top).alias("root_name"), "name", "path", "length")
 
 
+def tree(spark: SparkSession, root: str, extensions: tuple[str, ...], depth: int = 3) -> list[str]:
+    """Lines of the folders under root, with or without images, down to a depth: names in order, images and folders directly inside."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def inside(path) -> tuple[list, int]:
+        entries = list(files.listStatus(path))
+        names = [e.getPath().getName().lower() for e in entries if e.isFile()]
+        return sorted((e.getPath() for e in entries if e.isDirectory()), key=lambda p: p.getName().lower()), sum(n.endswith(tuple(extensions)) for n in names)
+
+    folders, images_here = inside(where)
+    lines = [root + (f"  {images_here} images" if images_here else "")]
+    waiting = [(p, "", k == len(folders) - 1, 1) for k, p in reversed(list(enumerate(folders)))]
+    while waiting:
+        path, before, last, level = waiting.pop()
+        if level > depth:
+            continue
+        try:
+            below, n = inside(path)
+            notes = [f"{x} {word}" for x, word in ((n, "images"), (len(below), "folders")) if x]
+        except Exception as e:  # a folder that may not be read
+            below, notes = [], [f"cannot be read: {type(e).__name__}"]
+        lines.append(f"{before}{'└─ ' if last else '├─ '}{path.getName()}  {', '.join(notes) or 'empty'}")
+        further = before + ("   " if last else "│  ")
+        waiting += [(p, further, k == len(below) - 1, level + 1) for k, p in reversed(list(enumerate(below)))]
+    return lines
+
+
 def survey(spark: SparkSession, s: Settings, root: str, overrides: list[str], copy_to: str | None, shown: int = 10, depth: int = 3) -> int:
+    print(*tree(spark, root, s.image_extensions, depth), sep="\n")
     files = _files(spark, root, s.image_extensions).cache()
     found = staging.folders(files, staging.parse_overrides(overrides)).orderBy("relative").collect()
     for r in found:
-        if r.relative.count("/") < depth:
-            print(f"{r.relative or '.'}  [{r.images} images]  {r.status} {r.class_name or ''}")
+        if r.status == "matched":
+            print(f"{r.class_name}: {r.relative or '.'}, {r.images} images")
     for status in ("skipped", "ignored"):
         names = [r.relative for r in found if r.status == status]
         print(f"{status}: {len(names)}", *names[:shown], sep="\n  ")
@@ -77,6 +107,29 @@ def check(spark: SparkSession, s: Settings, source: str, per_class: int) -> int:
     return 0
 
 
+def trial(spark: SparkSession, s: Settings, techniques: list[str], sources: list[str]) -> int:
+    try:
+        done = experiment.run(spark, s, [REGISTRY[t]() for t in techniques], sources)
+    except images.DatasetError as e:
+        print(e)
+        return 1
+    out, names = s.results("experiment"), list(s.datasets["primary"].display_names)
+    spec = images.specification(spark, s.datasets["primary"])
+    predictions, folds = done.predictions.persist(), done.folds.persist()
+    scores = done.scores({n: experiment.matched_labels(s, n) for n in ("primary", *sources)})
+    for name, frame in (("folds", folds), ("cross_validation", done.cv_summary), ("scores", scores), ("matrix", done.summary), ("failures", done.failures)):
+        reports.save_report(frame, out / f"{name}.csv")
+    for t in techniques:
+        own = predictions.where((F.col("technique") == t) & (F.col("source") == "primary")).select("label", "predicted")
+        confusion = metrics.confusion(own, spec)
+        reports.save_confusion(confusion, len(names), out / f"{t}.png", names=names, title=f"{t}: shares of true classes")
+        text = reports.text_report(metrics.headline(own), metrics.per_class(own, spec), folds.where(F.col("technique") == t), confusion, names)
+        (out / f"{t}.txt").write_text(text + "\n")
+        print(f"{t}\n\n{text}\n")
+    scores.orderBy("source", "technique").show(truncate=False)
+    return 0
+
+
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quadrille", description=__doc__)
     parser.add_argument("--settings", help="a JSON file")
@@ -90,6 +143,9 @@ def main(arguments: list[str] | None = None) -> int:
     two = commands.add_parser("check", help="segment a sample of each class and draw it")
     two.add_argument("--source", default="primary", choices=("primary", "generalisation", "robustness"))
     two.add_argument("--per-class", type=int)
+    three = commands.add_parser("experiment", help="cross-validate, then judge the test side and other sets")
+    three.add_argument("--technique", action="append", choices=sorted(REGISTRY))
+    three.add_argument("--also", action="append", default=[], choices=("generalisation", "robustness"), help="another set to judge")
     a = parser.parse_args(arguments)
     s = load(a.settings)
     if a.command == "describe":
@@ -98,6 +154,8 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("quadrille").getOrCreate()
     if a.command == "survey":
         return survey(spark, s, a.root, a.map, a.copy, depth=a.depth)
+    if a.command == "experiment":
+        return trial(spark, s, a.technique or sorted(REGISTRY), a.also)
     return check(spark, s, a.source, a.per_class or s.images_per_class)
 
 

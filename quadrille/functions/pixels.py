@@ -293,7 +293,8 @@ def segment(image: np.ndarray, s: Segmentation = Segmentation()) -> Segmented:
     mask, box = found[chosen]
     coverage, substituted, reason = float(mask.mean()), False, ""
     if failed := not s.min_mask_fraction <= coverage <= s.max_mask_fraction:
-        reason = f"mask covers {coverage:.1%} of the frame, {'below' if coverage < s.min_mask_fraction else 'above'} the permitted {s.min_mask_fraction:.0%}-{s.max_mask_fraction:.0%} range"
+        side, bound = ("below", s.min_mask_fraction) if coverage < s.min_mask_fraction else ("above", s.max_mask_fraction)
+        reason = f"coverage {coverage:.4f} is {side} {bound:g}"
         if s.on_failure == "fallback":
             mask, box = fallback_mask(mask.shape)
             coverage, substituted = float(mask.mean()), True

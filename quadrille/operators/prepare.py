@@ -96,9 +96,13 @@ def feature_matrix(prepared: DataFrame, extractor: Extractor, settings: Settings
     return kept.mapInPandas(work, "technique string, group long, variant int, label long, path string, features array<double>, extraction_s double")
 
 
-def matrix_summary(matrix: DataFrame) -> DataFrame:
-    """technique, rows, originals, augmented, dim, mean_extraction_s."""
-    return matrix.groupBy("technique").agg(F.count("*").alias("rows"), F.count_if(F.col("variant") == 0).alias("originals"), F.count_if(F.col("variant") > 0).alias("augmented"), F.max(F.size("features")).alias("dim"), F.avg("extraction_s").alias("mean_extraction_s"))
+def matrix_summary(matrix: DataFrame, prepared: DataFrame | None = None) -> DataFrame:
+    """technique, rows, originals, augmented, dim, mean_extraction_s; and, of the prepared samples, failed ones and those excluded for it."""
+    summary = matrix.groupBy("technique").agg(F.count("*").alias("rows"), F.count_if(F.col("variant") == 0).alias("originals"), F.count_if(F.col("variant") > 0).alias("augmented"), F.max(F.size("features")).alias("dim"), F.avg("extraction_s").alias("mean_extraction_s"))
+    if prepared is None:
+        return summary
+    # one row on the right
+    return summary.crossJoin(F.broadcast(prepared.agg(F.count_if("failed").alias("n_failed"), F.count_if(F.col("failed") & ~F.col("substituted")).alias("excluded"))))
 
 
 def validate_features(matrix: DataFrame, dim: int) -> DataFrame:

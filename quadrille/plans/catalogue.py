@@ -157,8 +157,18 @@ def feature_vector_validate(spark, sf_dir):
 
 
 def svm_cross_validate(spark, sf_dir):
-    scores = svm.cross_validate(_feature_rows(spark, sf_dir), folds=FOLDS, seed=SEED)
-    return scores.select("technique", "fold", "accuracy", "macro_f1", "weighted_f1")
+    s = Settings()
+    scores = svm.cross_validate(_feature_rows(spark, sf_dir), folds=s.partition.cv_folds, **svm.chosen(s))
+    return scores.select("technique", "fold", "accuracy", "macro_f1", "weighted_f1", "solver", "converged")
+
+
+def held_out_scores(spark, sf_dir):
+    """A model of the training side of the split, judged by the test side."""
+    s = Settings()
+    split = partition.stratified_split(_feature_rows(spark, sf_dir), "group", s.partition.test_size, s.seed)
+    side = lambda name: split.where(F.col("split") == name).drop("split")
+    found = svm.held_out_predictions(side("train"), side("test"), **svm.chosen(s))
+    return metrics.headline(found, ["technique"]).join(found.groupBy("technique").agg(F.count("*").alias("n"), F.bool_and("converged").alias("converged")), "technique")
 
 
 def augmentation_plan(spark, sf_dir):
@@ -273,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         class_counts_zero_filled, stratified_split_rows, stratified_split_counts, split_disjoint_intersect, split_cover_except, kfold_assignment, group_safe_folds, fold_leakage_check, naive_leakage_control, sample_per_class,
-        confusion_matrix, per_class_prf, headline_metrics, metrics_wide, cv_summary, paired_t_test, timing_summary, fold_standardise, feature_vector_validate, svm_cross_validate, augmentation_plan,
+        confusion_matrix, per_class_prf, headline_metrics, metrics_wide, cv_summary, paired_t_test, timing_summary, fold_standardise, feature_vector_validate, svm_cross_validate, held_out_scores, augmentation_plan,
         otsu_threshold, mask_coverage_and_border, auto_polarity_choice, segmentation_failures, coverage_summary, flip_brightness_pixels, prepared_samples, feature_matrix, folder_classify, staging_manifest, staging_tallies,
     )
 }

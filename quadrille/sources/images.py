@@ -27,6 +27,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def _readable(spark: SparkSession) -> list[str]:
+    """Endings of file names, in lower case, that some reader of the JVM takes."""
+    return sorted({x.lower() for x in spark._jvm.javax.imageio.ImageIO.getReaderFileSuffixes()} - {""})
+
+
 def listing(spark: SparkSession, paths: list[str], extensions: tuple[str, ...], recursive: bool = False) -> DataFrame:
     """path, name, length of the image files directly inside the folders; contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -38,7 +43,8 @@ def load_dataset(spark: SparkSession, root: str, dataset: Dataset, source: str,
     """path, label, class_folder, display_name, source, record_index, by class and case-insensitive name.
 
     Raises DatasetError for an absent root, absent class folders, and - after
-    those - classes without images. Names that differ in case alone are ordered
+    those - classes without images, and images in a format that no reader of the
+    JVM takes, such as WebP. Names that differ in case alone are ordered
     as they are written.
     """
     if not _exists(spark, root):
@@ -51,6 +57,9 @@ def load_dataset(spark: SparkSession, root: str, dataset: Dataset, source: str,
     counts = {r.class_folder: r["count"] for r in records.groupBy("class_folder").count().collect()}
     if empty := [c for c in dataset.classes if not counts.get(c)]:
         raise DatasetError(f"class folder(s) under {root} without images ({', '.join(extensions)}): {', '.join(empty)}")
+    ending = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
+    if unread := [r.name for r in records.where(~ending.isin(_readable(spark))).select("name").orderBy("name").limit(5).collect()]:
+        raise DatasetError(f"images under {root} in a format without a reader here; convert them to PNG: {', '.join(unread)}")
     before = {c: sum(counts[x] for x in dataset.classes[:i]) for i, c in enumerate(dataset.classes)}
     offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("class_folder"))
     inside = Window.partitionBy("label").orderBy(F.lower("name"), "name")
@@ -73,15 +82,20 @@ def _decoded(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", False).load(paths).select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
+SENT = 100_000  # records, of a few hundred bytes each, that may be sent to all tasks
+
+
 def with_pixels(records: DataFrame) -> DataFrame:
     """records and height, width, channels, data (rows of blue, green, red). A file that cannot be decoded raises an error when it is met.
 
-    Formats are those of the JVM's readers: PNG, JPEG, BMP, GIF and TIFF.
+    Formats are those of the JVM's readers: PNG, JPEG, BMP, GIF and TIFF. Up to
+    SENT records go to where files are read; beyond that both meet by path.
     """
     folders = [r[0] for r in records.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("f")).distinct().collect()]  # a folder per class
     pixels = _decoded(records.sparkSession, folders)
     whole = F.when(F.col("height") < 0, F.raise_error(F.concat(F.lit("not a readable image: "), F.col("path")))).otherwise(F.col("data"))
-    return records.join(pixels, "path").withColumn("data", whole)  # after the join: other files may stand in the folder
+    few = records.limit(SENT + 1).count() <= SENT
+    return pixels.join(F.broadcast(records) if few else records, "path").select(*records.columns, "height", "width", "channels", "data").withColumn("data", whole)  # after the join: other files may stand in the folder
 
 
 def undecodable(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 
 from quadrille import cli
 from quadrille.sources.images import encode_png
@@ -34,5 +35,28 @@ def test_survey_copy_and_check(spark, tmp_path, capsys):
     out = tmp_path / "results/segmentation_check"
     assert len(list(out.glob("*.png"))) == 3 and (out / "primary_failures.csv").read_text().startswith("path,class_folder")
     assert run("describe") == 0 and "seed: 42" in capsys.readouterr().out
+    (down / "train/nothing").mkdir()
+    lines = cli.tree(spark, str(down), (".png",), depth=2)
+    assert [x.strip("├└─│ ") for x in lines[1:]] == ["test  1 folders", "rottenapples  1 images", "train  5 folders", "banana  1 images", "freshapples  3 images", "nothing  empty", "rottenapples  3 images", "unripe apple  3 images"]
+    assert len(cli.tree(spark, str(down), (".png",), depth=1)) == 3
     draw(down / "train/unripe apple/0.png", (0, 0, 255))
     assert run("survey", down / "train/banana") == 1
+
+
+def test_experiment_judges_test_side_and_other_sets(spark, tmp_path, capsys):
+    sets = {"primary": ("UnripeApple", "RipeApple", "RottenApple"), "generalisation": ("FreshApple", "RottenApple"), "robustness": ("Good", "Bad", "Mixed")}
+    colour = {"UnripeApple": 60, "RipeApple": 130, "FreshApple": 130, "Good": 130, "RottenApple": 200, "Bad": 200, "Mixed": 60}
+    for name, classes in sets.items():
+        for c in classes:
+            for i in range(10 if name == "primary" else 4):
+                draw(tmp_path / name / c / f"{i}.png", (40 + i, colour[c], 220 - colour[c]))
+    settings = tmp_path / "s.json"
+    settings.write_text(json.dumps({"paths": {f"{n}_root": n for n in sets}, "preprocess": {"resize": [48, 48]}, "augmentation": {"variants_per_image": 1}, "partition": {"cv_folds": 3, "test_size": 0.3}, "classifier": {"kernel": "linear"}}))
+    assert cli.main(["--settings", str(settings), "experiment", "--technique", "T1", "--also", "generalisation", "--also", "robustness"]) == 0
+    out = tmp_path / "results/experiment"
+    scores = pd.read_csv(out / "scores.csv").set_index("source")
+    assert dict(scores.n) == {"primary": 9, "generalisation": 8, "robustness": 8} and (scores.accuracy == 1).all()
+    assert len(pd.read_csv(out / "folds.csv")) == 3 and pd.read_csv(out / "matrix.csv").rows[0] == 42
+    assert "share of each true class" in (out / "T1.txt").read_text() and (out / "T1.png").stat().st_size > 100
+    settings.write_text(json.dumps({"paths": {"primary_root": "nowhere"}}))
+    assert cli.main(["--settings", str(settings), "experiment"]) == 1 and "no dataset" in capsys.readouterr().out

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.extractors import ExtractionError, Extractor, MeanColour, inside, validated
 from quadrille.operators import metrics, partition, prepare, svm
-from quadrille.settings import Augmentation, Dataset, Preprocess, Settings
+from quadrille.operators.ranking import renumbered
+from quadrille.settings import Augmentation, Classifier, Dataset, Preprocess, Settings
 from quadrille.sources import images, reports, staging
 
 CLASSES = Dataset(("A", "B", "C"), ("Unripe", "Ripe", "Rotten"))
@@ -130,6 +131,9 @@ def test_matrix_has_provenance_and_no_bad_values(matrix, prepared):
     assert all(len(r.features) == 7 and np.isfinite(r.features).all() and r.extraction_s >= 0 and r.label == r.group // 10 for r in rows)
     s = prepare.matrix_summary(matrix).first()
     assert (s.rows, s.originals, s.augmented, s.dim) == (90, 30, 60, 7)
+    marked = prepared.withColumns({"failed": F.col("record_index") < 4, "substituted": F.col("record_index") < 1})
+    s = prepare.matrix_summary(matrix, marked).first()
+    assert (s.rows, s.n_failed, s.excluded) == (90, 12, 9)
 
 
 def test_training_alone_is_augmented(records, settings):
@@ -170,7 +174,7 @@ def test_failures_are_logged_and_dropped(spark, settings, tmp_path):
     blank = [("p", 0, "A", "s", 0, 20, 20, 3, bytearray(b"\x50" * 1200))]
     frame = spark.createDataFrame(blank, "path string, label int, class_folder string, source string, record_index long, height int, width int, channels int, data binary")
     p = prepare.prepare(frame, settings)
-    assert prepare.failures(p).first().reason.startswith("mask covers") and prepare.feature_matrix(p, MeanColour(), settings).count() == 0
+    assert prepare.failures(p).first().reason == "coverage 0.0000 is below 0.05" and prepare.feature_matrix(p, MeanColour(), settings).count() == 0
     put = prepare.prepare(frame, Settings(preprocess=settings.preprocess, segmentation=type(settings.segmentation)(on_failure="fallback")))
     assert put.first().substituted and prepare.feature_matrix(put, MeanColour(), settings).count() == 1
     reports.save_failures(prepare.failures(p).limit(0), str(tmp_path / "f"))
@@ -184,7 +188,8 @@ def test_svm_separates_and_holds_its_conditions():
     assert (model.predict(x) == y).mean() > 0.97
     k = svm._kernel(x[:80], x[:80], 0.5, "rbf")
     sign = np.where(y[:80] == 0, 1.0, -1.0)
-    alpha, bias = svm.smo(k, sign, 1.0, tolerance=1e-4)
+    alpha, bias, done = svm.smo(k, sign, 1.0, tolerance=1e-4)
+    assert done and not svm.smo(k, sign, 1.0, rounds=2)[2]
     margin = sign * (k @ (alpha * sign) + bias)
     assert abs(alpha @ sign) < 1e-9 and (alpha >= 0).all() and (alpha <= 1).all()
     assert (margin[alpha < 1e-9] > 1 - 1e-3).all() and (margin[alpha > 1 - 1e-9] < 1 + 1e-3).all()
@@ -252,7 +257,9 @@ def test_reports(spark, tmp_path, prepared, settings):
     pairs = spark.createDataFrame([(0, 0), (1, 0)], "label int, predicted int")
     spec = spark.createDataFrame([(0, "a"), (1, "b")], "label int, display_name string")
     assert reports.save_confusion(metrics.confusion(pairs, spec), 2, tmp_path / "c.png").read_bytes()[:4] == b"\x89PNG"
-    assert "accuracy" in reports.text_report(metrics.headline(pairs), metrics.per_class(pairs, spec))
+    text = reports.text_report(metrics.headline(pairs), metrics.per_class(pairs, spec), confusion=metrics.confusion(pairs, spec), names=["good", "bad"])
+    assert "accuracy" in text and [x.split() for x in text.splitlines()[-2:]] == [["good", "1.000", "0.000"], ["bad", "1.000", "0.000"]]
+    assert reports.lettering("0.5").shape == (10, 24) and reports.lettering("l", 1).sum() == 7 and not reports.lettering("é").any()
     assert reports.save_report(spec.limit(0), tmp_path / "x" / "e.csv").read_text() == "label,display_name\n"
     r = prepared.first()
     image, m = np.frombuffer(r.image, np.uint8).reshape(64, 64, 3), np.frombuffer(r.mask, np.uint8).reshape(64, 64)
@@ -286,4 +293,58 @@ def test_cross_validation_of_folds_beyond_the_whole_kernel(spark):
     x = r.normal(0, 0.3, (n, 2)) + np.array([(0, 0), (4, 0), (0, 4)])[label]
     big = spark.createDataFrame([("t", i, 0, int(c), [float(v) for v in f]) for i, (c, f) in enumerate(zip(label, x, strict=True))], "technique string, group long, variant int, label int, features array<double>")
     folds = svm.cross_validate(big).collect()
-    assert sorted(f.fold for f in folds) == list(range(5)) and all(f.accuracy > 0.99 for f in folds)
+    assert sorted(f.fold for f in folds) == list(range(5)) and all(f.accuracy > 0.99 and f.solver == "least squares" for f in folds)
+
+
+def test_spread_solver_is_near_the_exact_one(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    n = 900
+    label = np.arange(n) % 3
+    x = r.normal(0, 1.0, (n, 4)) + np.array([(0, 0, 0, 5), (3, 0, 0, 5), (0, 3, 0, 5)])[label]
+    x[:, 3] = 5  # does not vary
+    rows = spark.createDataFrame([(t, i, 0, int(c), [float(v) for v in f]) for t in "ab" for i, (c, f) in enumerate(zip(label, x, strict=True))], "technique string, group long, variant int, label int, features array<double>")
+    exact = {(f.technique, f.fold): f for f in svm.cross_validate(rows, folds=3).collect()}
+    monkeypatch.setattr(svm, "MAX_ROWS", 100)
+    for kernel in ("rbf", "linear"):
+        spread = svm.cross_validate(rows, folds=3, kernel=kernel).collect()
+        assert len(spread) == 6 and all(f.solver == "least squares" and abs(f.accuracy - exact[f.technique, f.fold].accuracy) < 0.05 for f in spread)
+
+
+def test_settings_of_the_classifier_act(spark, matrix):
+    weak = {"c": 1e-6, "gamma": 1e-9}
+    assert svm.cross_validate(matrix, folds=3).count() == 3
+    assert svm.chosen(Settings(seed=7)) == {"seed": 7, "c": 1.0, "gamma": "scale", "kernel": "rbf"}
+    a, b = (svm.cross_validated_predictions(matrix, folds=3, **x).select("predicted").collect() for x in ({}, weak))
+    assert a != b
+    for bad in ({"kernel": "poly"}, {"C": 0}, {"gamma": -1.0}):
+        with pytest.raises(ValueError):
+            Classifier(**bad)
+
+
+def test_numbers_without_gaps(spark):
+    df = spark.createDataFrame([(i * 7, chr(97 + i)) for i in range(20)], "record_index long, x string").repartition(3)
+    got = renumbered(df, "record_index", stretch=10).orderBy("record_index").collect()
+    assert [(r.record_index, r.x) for r in got] == [(i, chr(97 + i)) for i in range(20)]
+
+
+def test_medians(spark):
+    r = np.random.default_rng(6)
+    groups = {"a": r.integers(0, 5, 1001), "b": r.normal(size=400), "c": [3.0], "d": [1.0, 2.0], "e": [7.0] * 50}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "g string, v double").repartition(4)
+    got = {x.g: x.median_s for x in metrics.medians(df, "g", "v").collect()}
+    assert got == {k: pytest.approx(float(np.median(v))) for k, v in groups.items()}
+
+
+def test_images_without_a_reader_are_refused(spark, tmp_path, root):
+    import shutil
+
+    shutil.copytree(root, tmp_path / "d")
+    (tmp_path / "d/B/x.webp").write_bytes(b"RIFF")
+    with pytest.raises(images.DatasetError, match=r"x\.webp"):
+        images.load_dataset(spark, str(tmp_path / "d"), CLASSES, "t", (".png", ".webp"))
+
+
+def test_pixels_meet_their_records_either_way(records, monkeypatch):
+    few = sorted(map(repr, images.with_pixels(records).collect()))
+    monkeypatch.setattr(images, "SENT", 1)
+    assert sorted(map(repr, images.with_pixels(records).collect())) == few and len(few) == 30
