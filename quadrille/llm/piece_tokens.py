@@ -89,7 +89,8 @@ class Vocabulary:
 
 
 _NEVER = float("inf")
-_NO_PIECE = ()
+_NONE, _UNASKED = -1, -2
+_BITS = 24  # of the number of a piece or character
 
 
 class Merges:
@@ -98,9 +99,34 @@ class Merges:
     def __init__(self, pieces: dict[str, tuple[int, float]]):
         self.rank = {p: -s for p, (_, s) in pieces.items()}
         self._known: dict[str, tuple] = {}
-        self._steps: dict[tuple[str, str], bool] = {}
-        # what pieces end with, and whether it is a piece that merging makes whole: None where that was not asked yet
-        self._ends: dict[str, bool | None] = {p[n:]: False for p in pieces for n in range(len(p))} | dict.fromkeys(pieces)
+        # pieces by their last character, the one before, and so on: what may come before, number of the piece (or _NONE, _UNASKED)
+        self.names, self._numbers, self.root = [], {}, [{}, _NONE]
+        for p in pieces:
+            node = self.root
+            for c in reversed(p):
+                node = node[0].setdefault(c, [{}, _NONE])
+            node[1] = _UNASKED
+        self.steps: dict[int, bool] = {}
+
+    def number(self, piece: str) -> int:
+        """A number for a piece, or for a character that is none."""
+        n = self._numbers.get(piece)
+        if n is None:
+            n = self._numbers[piece] = len(self.names)
+            self.names.append(piece)
+        return n
+
+    def ask(self, node: list, piece: str) -> int:
+        """The number of a piece that merging makes whole, or _NONE; kept in its node."""
+        node[1] = self.number(piece) if len(piece) == 1 or self._of(piece)[0] else _NONE
+        return node[1]
+
+    def step(self, key: int) -> bool:
+        """Whether the step of a key, two numbers of pieces, is possible."""
+        if len(self.steps) >= STEPS:
+            self.steps.clear()
+        found = self.steps[key] = self.apart(self.names[key >> _BITS], self.names[key & (1 << _BITS) - 1])
+        return found
 
     def apply(self, text: str) -> tuple[list[str], list[tuple[float, int]]]:
         """The pieces, and the rank and place of each merge in turn."""
@@ -130,29 +156,6 @@ class Merges:
             known = self._known[piece] = (len(symbols) == 1, all(a < b for a, b in zip(ranks, ranks[1:])), last, first)
         return known
 
-    def last_piece(self, text: str, end: int, low: int, lasts: list[str]) -> int:
-        """Where the last piece of the path to end begins, low at the least; lasts: the last pieces of the paths to boundaries from low on."""
-        ends, steps = self._ends, self._steps
-        for start in range(end - 1, low - 1, -1):
-            piece = text[start:end]
-            whole = ends.get(piece, _NO_PIECE)
-            if whole is _NO_PIECE:  # nor a longer one
-                break
-            if whole is None:
-                whole = ends[piece] = len(piece) == 1 or self._of(piece)[0]
-            if whole:
-                last = lasts[start - low]
-                if not last:
-                    return start
-                step = steps.get((last, piece))
-                if step is None:
-                    if len(steps) >= STEPS:
-                        steps.clear()
-                    step = steps[last, piece] = self.apart(last, piece)
-                if step:
-                    return start
-        return end - 1
-
     def apart(self, left: str, right: str) -> bool:
         """Whether merging leaves two whole pieces as they are, side by side.
 
@@ -189,7 +192,8 @@ def viterbi(text: str, v: Vocabulary, merges: Merges | None = None) -> list[int]
     out: list[int] = []
     pieces, longest, foreign = v.pieces, v.longest, v.foreign
     base, score, back = 0, [0.0], [0]  # of boundaries from base on
-    lasts = [""]  # the last piece of the path to each boundary from base on
+    lasts = [_NONE]  # numbers of the last pieces of the paths to boundaries from base on
+    root, steps = (merges.root, merges.steps) if merges is not None else (None, None)
 
     def commit(to: int) -> None:
         at, path = to, []
@@ -204,9 +208,28 @@ def viterbi(text: str, v: Vocabulary, merges: Merges | None = None) -> list[int]
 
     for end in range(1, len(text) + 1):
         best, where = -_NEVER, end - 1
-        if merges is not None:
-            where = merges.last_piece(text, end, base, lasts)
-            lasts.append(text[where:end])
+        if root is not None:
+            node, start, number = root, end, _NONE
+            while start > base:
+                start -= 1
+                node = node[0].get(text[start])
+                if node is None:
+                    break
+                number = node[1]
+                if number == _UNASKED:
+                    number = merges.ask(node, text[start:end])
+                if number >= 0:
+                    last = lasts[start - base]
+                    if last < 0:
+                        where = start
+                        break
+                    key = last << _BITS | number
+                    possible = steps.get(key)
+                    if possible or possible is None and merges.step(key):
+                        where = start
+                        break
+                    number = _NONE
+            lasts.append(number if number >= 0 else merges.number(text[end - 1]))
         else:
             for start in range(max(base, end - longest), end):
                 found = pieces.get(text[start:end])
