@@ -284,9 +284,49 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return top.select(
         "doc_id",
         F.coalesce(F.col("best.family"), F.lit(UNKNOWN)).alias("family"),
-        F.round(-F.col("best.p"), 6).alias("probability"),
-        F.round(-F.col("best.s"), 6).alias("similarity"),
+        F.round(-F.col("best.p"), 4).alias("probability"),
+        F.round(-F.col("best.s"), 4).alias("similarity"),
         F.size("sure").cast("long").alias("n_notices"),
         F.array_sort(F.array_distinct(F.transform("sure", lambda x: x["family"]))).alias("families"),
         F.greatest(F.col("n"), F.lit(0)).cast("long").alias("n_unconfirmed"),
     )
+
+
+def equivalent_sql() -> str:
+    """The same over documents as SQL of DuckDB, with the model's numbers in it and families joined by commas; every step is a join or a list function instead of a projection."""
+    m = model()
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda xs: "[" + ", ".join(xs) + "]"
+    weights = ", ".join(f"({text(g)}, {listed(f'{v!r}::DOUBLE' for v in w)})" for g, w in m["weights"].items())
+    notices = ", ".join(f"({m['classes'].index(c) + 1}, {listed(map(text, sorted(grams(n))))})" for c, ns in NOTICES.items() for n in ns)
+    sums = listed(f"sum(v[{i + 1}]) + {b!r}::DOUBLE" for i, b in enumerate(m["bias"]))
+    # there is no looking behind: what parts words is doubled, so that a match may use it up on both sides
+    doubled = "|".join(re.sub(r"([^a-z0-9])", r"\\\1\\\1", w) for w in sorted(gate(), key=lambda w: (-len(w), w)))
+    hits = lambda x: f"len(list_distinct(regexp_extract_all(regexp_replace({x}, '([^a-z0-9])', '\\1\\1', 'g'), '(?:^|[^a-z0-9])({doubled})(?:[^a-z0-9]|$)', 1)))"
+    words = lambda x: f"regexp_extract_all({x}, '{_WORD}')"
+    return f"""
+        WITH w AS (SELECT * FROM (VALUES {weights}) AS t(g, v)), notice AS (SELECT * FROM (VALUES {notices}) AS t(c, ng)),
+        d AS (SELECT row_number() OVER () AS d, doc_id, text FROM documents),
+        p AS (SELECT d, unnest(string_split_regex(lower(text), '\n[ \t\r]*\n')) AS para FROM d),
+        q AS (SELECT row_number() OVER () AS q, d, para FROM p WHERE {hits("para")} > 1),
+        line AS (SELECT q, unnest(string_split(para, chr(10))) AS line FROM q),
+        r AS (SELECT q, 0 AS joined, {words("line")} AS ws FROM line WHERE {hits("line")} > 1
+              UNION ALL SELECT q, 1, {words("para")} FROM q WHERE contains(para, chr(10))),
+        cut AS (SELECT q, joined, ws, unnest(range(0, greatest(ceil((len(ws) - {2 * REACH}) / {REACH}.0), 0)::BIGINT + 1)) AS i FROM r),
+        u AS (SELECT row_number() OVER () AS u, q, joined, ws[i * {REACH} + 1 : i * {REACH} + {2 * REACH}] AS ws FROM cut),
+        g AS (SELECT u, q, joined, list_distinct(list_concat(ws, list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]))) AS gs
+              FROM u WHERE len(list_filter({listed(map(text, gate()))}, lambda x: list_contains(ws, x))) > 1),
+        z AS (SELECT u, {sums} AS z FROM (SELECT u, unnest(gs) AS g FROM g) JOIN w USING (g) GROUP BY u),
+        e AS (SELECT u, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z),
+        b AS (SELECT u, e, list_position(e[:{len(NOTICES)}], list_max(e[:{len(NOTICES)}])) AS c FROM e),
+        s AS (SELECT u, max(len(list_intersect(ng, gs))::DOUBLE / len(ng)) AS s FROM b JOIN g USING (u) JOIN notice USING (c) GROUP BY u),
+        sure AS (SELECT q, joined, ({listed(map(text, m["classes"]))})[c] AS family, e[c] / list_sum(e) AS p, s
+                 FROM b JOIN s USING (u) JOIN g USING (u) WHERE e[{len(m["classes"])}] / list_sum(e) < {PROBABLE} AND s >= {CONFIRMED}),
+        kept AS (SELECT q, family, p, s FROM sure WHERE joined = 0
+                 UNION ALL SELECT q, family, p, s FROM sure x WHERE joined = 1 AND NOT EXISTS (FROM sure y WHERE y.q = x.q AND y.joined = 0 AND y.family = x.family)
+                 QUALIFY row_number() OVER (PARTITION BY q, family ORDER BY p DESC, s DESC) = 1),
+        found AS (SELECT d, count(*) AS n, list_sort(list_distinct(list(family))) AS families, min((-s, -p, family)) AS best FROM kept JOIN q USING (q) GROUP BY d),
+        missed AS (SELECT d, count(*) AS n FROM q ANTI JOIN kept USING (q) GROUP BY d)
+        SELECT doc_id, coalesce(best[3], '{UNKNOWN}') AS family, round(-best[2], 4) AS probability, round(-best[1], 4) AS similarity,
+               coalesce(found.n, 0) AS n_notices, coalesce(array_to_string(families, ','), '') AS families, coalesce(missed.n, 0) AS n_unconfirmed
+        FROM d LEFT JOIN found USING (d) LEFT JOIN missed USING (d)"""
