@@ -12,8 +12,8 @@ and size-derived bounds discard pairs before and while their overlaps accumulate
    a row whose prefix has only such n-grams takes no further part. Columns are
    dealt once, and those that have one row after all end there; columns that the
    sketch shows far above its mean load are dealt in parts.
-3. Each column, or part of one, links its rows to one pivot, the row whose
-   n-grams are the most common; each row multiplies only with the pivot it shares
+3. Each column links its rows to one pivot, the row whose
+   n-grams are the most common - a column in parts to one of their pivots; each row multiplies only with the pivot it shares
    most columns with. This settles groups of near copies in time linear in their size.
 4. Columns that still hold several components multiply across components: pairs
    that the bounds allow accumulate their overlap in full. No link between
@@ -45,11 +45,11 @@ from .textgrid import WHITESPACE_FOLDED, buffers, mix, shingle_sets, slices, wor
 from .workspace import WAYS, durable, spread_join
 
 HOT = 1000  # rows beyond the mean load of a sketch cell from which a column is dealt in parts
-BLOCK_ROWS, BLOCK_ENTRIES = 512, 1 << 20  # of classes of a component in a block, and of their n-grams
+BLOCK_ROWS, BLOCK_ENTRIES = 144, 1 << 20  # of classes of a component in a block, and of their n-grams
 
 _CLASS = ["n_shingles", "a", "b"]
 _ROWS = "doc_id long, n long, a long, b long, own long, common long, plain int, prefix array<long>, shared array<long>, counts array<tinyint>"
-_COLUMN = "gram long, doc_id long, n long, own long, at long, p_doc long, p_n long, p_own long"
+_COLUMN = "gram long, part int, rank long, doc_id long, n long, own long, at long, p_doc long, p_n long, p_own long"
 
 
 def _signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def _columns(matrix: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             rows = pa.Table.from_batches([head, batch] if head is not None else [batch])
-            gram, part, doc, n, own, at = (rows.column(c).to_numpy() for c in ("gram", "part", "doc_id", "n", "own", "at"))
+            gram, part, rank, doc, n, own, at = (rows.column(c).to_numpy() for c in ("gram", "part", "rank", "doc_id", "n", "own", "at"))
             new = np.append(True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1]))
             pivot = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             starts = np.flatnonzero(new)
@@ -170,12 +170,12 @@ def _columns(matrix: DataFrame) -> DataFrame:
                 out[last] = False  # more of its group may come
             if head is not None and not open_:
                 out[0] = False
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (gram, doc, n, own, at, doc[pivot], n[pivot], own[pivot])], names=[x.split()[0] for x in _COLUMN.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (gram, part, rank, doc, n, own, at, doc[pivot], n[pivot], own[pivot])], names=[x.split()[0] for x in _COLUMN.split(", ")])
             open_ = last == len(new) - 1 and (last > 0 or head is None or open_)
             head = rows.slice(last, 1).combine_chunks().to_batches()[0]
         if head is not None and open_ and head.column("part")[0].as_py() >= 0:
-            gram, doc, n, own, at = (head.column(c) for c in ("gram", "doc_id", "n", "own", "at"))
-            yield pa.RecordBatch.from_arrays([gram, doc, n, own, at, doc, n, own], names=[x.split()[0] for x in _COLUMN.split(", ")])
+            gram, part, rank, doc, n, own, at = (head.column(c) for c in ("gram", "part", "rank", "doc_id", "n", "own", "at"))
+            yield pa.RecordBatch.from_arrays([gram, part, rank, doc, n, own, at, doc, n, own], names=[x.split()[0] for x in _COLUMN.split(", ")])
 
     return dealt.repartition("gram", "part").sortWithinPartitions("gram", "part", "rank", "doc_id").mapInArrow(hang, _COLUMN)
 
@@ -225,7 +225,11 @@ def _solved(narrow: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, D
     entries = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     matrix = durable(_matrix(narrow, k, num, den, entries))
     columns = durable(_columns(matrix))
-    hung = columns.where("doc_id <> p_doc").where(_possible("", "p_", num, den))
+    # rows of a column in parts hang on the first of the parts' pivots, which goes to each part
+    dealt = columns.where("part >= 0").drop("p_doc", "p_n", "p_own")
+    tops = columns.where("part >= 0 AND doc_id = p_doc").groupBy("gram").agg(F.min(F.struct("rank", "doc_id", "n", "own")).alias("p"))
+    lead = tops.select("gram", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))).alias("part"), F.col("p.doc_id").alias("p_doc"), F.col("p.n").alias("p_n"), F.col("p.own").alias("p_own"))
+    hung = columns.where("part < 0").unionByName(dealt.join(lead, ["gram", "part"])).where("doc_id <> p_doc").where(_possible("", "p_", num, den))
     shares = hung.groupBy(F.col("doc_id").alias("u"), F.col("p_doc").alias("v")).agg(F.count("*").alias("c"))
     best = shares.groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
     first = durable(connected_components(_linked(best, matrix, num, den).unionByName(copies)))
