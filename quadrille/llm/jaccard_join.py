@@ -195,9 +195,10 @@ def _left(a: str, b: str, num: int, den: int):
 def _linked(pairs: DataFrame, matrix: DataFrame, num: int, den: int) -> DataFrame:
     """Of different pairs (u, v), those whose rows' product reaches the threshold."""
     pairs = durable(pairs)
-    matrix = cm.only_some(matrix.select("doc_id", "n", "shared"), "doc_id", pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct())
-    x = matrix.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("shared").alias("s_u"))
-    y = matrix.select(F.col("doc_id").alias("v"), F.col("n").alias("n_v"), F.col("shared").alias("s_v"))
+    # v may be few rows, as pivots are
+    rows = lambda c: cm.only_some(matrix.select("doc_id", "n", "shared"), "doc_id", pairs.select(c).distinct())
+    x = rows("u").select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("shared").alias("s_u"))
+    y = rows("v").select(F.col("doc_id").alias("v"), F.col("n").alias("n_v"), F.col("shared").alias("s_v"))
     of = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n"))
     both = F.size(F.array_intersect("s_u", "s_v"))
     met = spread_join(spread_join(pairs, x, ["u"], of("u"), part=["v"]), y, ["v"], of("v"), part=["u"])
