@@ -344,22 +344,23 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id and component_id of the documents that have a set; links are not counted."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _solved(narrow, k, num, den)[3]
-
-
 def keep_one_of_each_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose id is the smallest of their component, one row of each id; rows with a null id stay.
 
     Of rows that repeat an id, the one with the smallest hash of its text stays,
     and of those with one text, the first by all its columns written as JSON.
     """
-    groups = components(docs, k, num, den).where("component_id < doc_id").select("doc_id")
-    kept = docs.join(groups, "doc_id", "left_anti")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed, _, _, components = _solved(narrow, k, num, den)
+    gone = durable(components.where("component_id < doc_id").select("doc_id"))
+    # texts are shuffled only where one of these ids may be
+    touched, rest = cm.parted(docs, "doc_id", gone)
+    kept = touched.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = kept if rest is None else kept.unionByName(rest)
+    repeated = durable(signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
     named = kept.where("doc_id IS NOT NULL")
-    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     once = named.join(repeated, "doc_id", "left_semi")
     columns = [c for c in docs.columns if c != "doc_id"]
     order = F.struct(F.coalesce(F.xxhash64("text"), F.lit(0)), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))

@@ -162,18 +162,18 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expecte
 
 
 def _ids(column: pa.Array) -> np.ndarray:
-    return mix(column.to_numpy(zero_copy_only=False).view(np.uint64))
+    return mix(column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
 
 
 def parted(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """df in two: the rows whose key, a long and not null, may be in the one column of wanted - all of those, and few others - and the rest.
+    """df in two: the rows whose key, an integer, may be in the one column of wanted - all of those, and few others - and the rest.
 
     Before a shuffle of wide rows of which a join needs few. Where that may be half of them or more, df itself and None.
     """
     n = wanted.count()
     if 2 * n > df.count():
         return df, None
-    sent = df.sparkSession.sparkContext.broadcast(build(wanted.toDF("id"), lambda batch: _ids(batch.column("id")), 4 * n, depth=1))
+    sent = df.sparkSession.sparkContext.broadcast(build(wanted.select(F.col(wanted.columns[0]).cast("long").alias("id")), lambda batch: _ids(batch.column("id")), 4 * n, depth=1))
 
     def side(here):
         def pick(batches):
