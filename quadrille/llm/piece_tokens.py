@@ -37,8 +37,8 @@ from .textgrid import slices
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 900_000  # stretches kept by one worker
-STEPS = 1 << 20  # steps between two pieces of which a worker knows whether they are possible
+REMEMBERED = 300_000  # stretches kept by one worker
+STEPS = 1 << 18  # steps between two pieces of which a worker knows whether they are possible
 LONGEST = 64  # characters of a stretch that is remembered
 STRETCH = 1 << 20  # characters of a text that are cut into stretches at once
 _LETTER = r"[^\W\d_]"
@@ -259,7 +259,7 @@ def viterbi(text: str, v: Vocabulary, merges: Merges | None = None) -> list[int]
 
 
 class _Memo(dict):
-    """Ids, as bytes of 32-bit integers, of stretches between proven boundaries."""
+    """Ids, as bytes of 32-bit integers, of stretches between proven boundaries, which are kept with spaces as they are: a byte a character."""
 
     def __init__(self, v: Vocabulary):
         super().__init__()
@@ -278,13 +278,13 @@ class _Memo(dict):
         letters = (f"(?:(?![{re.escape(odd)}]){_LETTER})" if odd else _LETTER) + "++" + (f"(?![{re.escape(guard)}])" if guard else "")
         alone = "" if any("\n" in p for p in v.pieces) else r"\n"
         # boundaries: a space after no space, what may not follow a letter, and a line's end that no piece holds
-        parts = [alone, f"{SPACE}*+{letters}", f"{SPACE}*+[^{SPACE}{alone}]+", f"{SPACE}+"]
+        parts = [alone, f" *+{letters}", f" *+[^ {alone}]+", " +"]
         self.split = re.compile(r"(?s).+" if joins_space else "|".join(x for x in parts if x)).findall
         self.one_piece = joins_space
         self.merges = Merges(v.pieces) if v.merging else None
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = array("i", viterbi(stretch, self.v, self.merges)).tobytes()
+        ids = array("i", viterbi(stretch.replace(" ", SPACE), self.v, self.merges)).tobytes()
         if len(stretch) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -316,7 +316,7 @@ def encode(text: str, v: Vocabulary) -> np.ndarray:
             out.append(mark)
         part = part if nth else " " + part
         for piece in [part] if memo.one_piece else _pieces_of(part):
-            out.append(b"".join(map(memo.__getitem__, memo.split(piece.replace(" ", SPACE)))))
+            out.append(b"".join(map(memo.__getitem__, memo.split(piece))))
     return np.frombuffer(b"".join(out), np.int32)
 
 

@@ -24,7 +24,8 @@ from .textgrid import mix, slices
 
 MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 27  # over all rows: at most 64 MB
 BLOCK = 1 << 20
-FLUSH = 1 << 22
+FLUSH = 1 << 21
+LISTED = 100_000  # keys that are sent to all tasks as they are; of more, a sketch
 _ROUND = 256  # partial sketches that meet in one task at most, about
 
 _SCHEMA = "part int, row int, block int, cells binary"
@@ -165,14 +166,18 @@ def _ids(column: pa.Array) -> np.ndarray:
     return mix(column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
 
 
-def parted(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def parted(df: DataFrame, key: str, wanted: DataFrame, total: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """df in two: the rows whose key, an integer, may be in the one column of wanted - all of those, and few others - and the rest.
 
-    Before a shuffle of wide rows of which a join needs few. Where that may be half of them or more, df itself and None.
+    Before a shuffle of wide rows of which a join needs few. Up to LISTED keys are sent as a list, more as a sketch. Where that may be half of them or more, df itself and None.
+    total: the rows of df, if they are known.
     """
     n = wanted.count()
-    if 2 * n > df.count():
+    if 2 * n > (df.count() if total is None else total):
         return df, None
+    if n <= LISTED:
+        listed = F.broadcast(wanted.toDF(key))
+        return df.join(listed, key, "left_semi").select(*df.columns), df.join(listed, key, "left_anti").select(*df.columns)
     sent = df.sparkSession.sparkContext.broadcast(build(wanted.select(F.col(wanted.columns[0]).cast("long").alias("id")), lambda batch: _ids(batch.column("id")), 4 * n, depth=1))
 
     def side(here):

@@ -99,12 +99,12 @@ def _runs(*breaks: np.ndarray) -> np.ndarray:
     return np.append(0, np.flatnonzero(np.logical_or.reduce(breaks)) + 1)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int | None = None) -> DataFrame:
     """doc_id, text_key, pos, n: each of the n windows from word pos on also starts in a document with a smaller id.
 
-    docs: doc_id long, text string, text_key long, the same for equal texts.
+    docs: doc_id long, text string, text_key long, the same for equal texts. size: the bytes of all texts, if they are known.
     """
-    expected = cm.text_bytes(docs) // 24  # about a word in four starts a new anchor
+    expected = (cm.text_bytes(docs) if size is None else size) // 24  # about a word in four starts a new anchor
     sketch = cm.build(docs.select("doc_id", "text"), lambda batch: _distinct_anchors(batch, window), expected, depth=2)
     hot = cm.level(COMMON + int(8 * sketch.load))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -178,7 +178,7 @@ def _settled(table: pa.Table) -> pa.RecordBatch:
     whole = np.frombuffer(raw[np.repeat(~done, size)].tobytes(), np.uint64)
     gone = doc[row] > _least(key[row], part[row], whole, doc=doc[row]) if len(row) else np.zeros(0, bool)
     stays = np.flatnonzero(~gone & (part[row] >= 0))
-    open_row, open_at, open_windows = row[stays], nth[stays], [x.tobytes() for x in np.ascontiguousarray(whole[stays]).view(np.uint8).reshape(-1, 8)]
+    open_row, open_at, left = row[stays], nth[stays], np.ascontiguousarray(whole[stays])
     row, nth = row[gone], nth[gone]
     start = _runs(row[1:] != row[:-1], nth[1:] != nth[:-1] + 1) if len(row) else np.zeros(0, np.int64)
     count = np.diff(np.append(start, len(row)))
@@ -187,11 +187,18 @@ def _settled(table: pa.Table) -> pa.RecordBatch:
     who = np.concatenate([row[start], np.flatnonzero(done)])
     shift = np.concatenate([nth[start], np.zeros(len(known), np.int64)])
     n = np.concatenate([count, known, np.ones(len(open_row), np.int64)])
-    windows = pa.array([None] * len(who) + open_windows, pa.binary())
+    windows = _eights(len(who), left)
     who, shift = np.concatenate([who, open_row]), np.concatenate([shift, open_at])
     return pa.RecordBatch.from_arrays([*map(pa.array, (key[who], doc[who], text[who], (pos[who] + shift).astype(np.int32), n.astype(np.int32))), windows], names=[x.split()[0] for x in _SPAN.split(", ")])
 
 
+def _eights(nulls: int, values: np.ndarray) -> pa.Array:
+    """A binary column of nulls, and then of the eight bytes of each value."""
+    offsets = np.concatenate([np.zeros(nulls, np.int32), 8 * np.arange(len(values) + 1, dtype=np.int32)])
+    valid = pa.array(np.arange(nulls + len(values)) >= nulls)
+    return pa.Array.from_buffers(pa.binary(), nulls + len(values), [valid.buffers()[1], pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def _kept(value: str | None, spans: list[dict] | None, window: int) -> tuple[int, int, bytes]:
     found = (value or "").encode().split()  # at exactly the bytes 09-0D and 20
     n = len(found)
@@ -213,8 +220,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, key: str = "
     repeat an id do not repeat each other's windows. Other columns are not read.
     """
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    spans = durable(repeated_spans(narrow, window).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("pos", "n")).alias("spans")))
-    touched, rest = cm.parted(narrow, "text_key", spans.select("text_key").distinct())
+    rows, size = narrow.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    spans = durable(repeated_spans(narrow, window, size).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("pos", "n")).alias("spans")))
+    touched, rest = cm.parted(narrow, "text_key", spans.select("text_key").distinct(), rows)
     joined = touched.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
     if rest is not None:
         joined = joined.unionByName(rest.select("doc_id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans")))

@@ -82,6 +82,7 @@ def test_blocks_and_parts_of_any_size_give_the_same(spark, make_docs, messy, mon
     monkeypatch.setattr(J, "BLOCK_ROWS", 5)
     monkeypatch.setattr(J, "HOT", 1)
     monkeypatch.setattr(workspace, "WAYS", 2)
+    monkeypatch.setattr(cm, "LISTED", 3)
     monkeypatch.setattr(workspace, "SHARE", 1000)
     rows = [*messy, *((100 + i, t) for i, t in enumerate(near(120, random.Random(2))))]
     want = plain(rows, 4, 85, 100)
@@ -104,6 +105,17 @@ def test_overlaps_are_those_of_sets(few, monkeypatch):
         assert all(got[i, j] == len(np.intersect1d(rows[i], rows[j])) for i in range(n) for j in range(n) if i != j)
 
 
+@pytest.mark.parametrize("listed", [0, 1000])
+def test_rows_in_two_parts(spark, monkeypatch, listed):
+    monkeypatch.setattr(cm, "LISTED", listed)
+    df = spark.createDataFrame([(i if i % 9 else None, "x" * i) for i in range(200)], "k int, text string")
+    wanted = spark.createDataFrame([(i,) for i in range(5, 60, 5)], "id long")
+    some, rest = cm.parted(df, "k", wanted)
+    assert sorted(map(repr, some.unionByName(rest).collect())) == sorted(map(repr, df.collect()))
+    assert not {r.k for r in rest.collect()} & set(range(5, 60, 5)) and 10 <= some.count() < 120
+    assert cm.parted(df, "k", df.where("k IS NOT NULL").select("k"))[1] is None
+
+
 def test_a_tie_of_repeated_rows_is_broken_by_the_other_columns(spark, make_docs):
     df = make_docs([(1, "a b c")] * 3).drop("source").select("*", F.monotonically_increasing_id().alias("source"))
     for n in (1, 3):
