@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, licences, piece_tokens, pii, sharding, substring_dedup, tool_calls, topk
+from . import decontamination, jaccard_join, language_id, licences, piece_tokens, pii, rolling, sharding, substring_dedup, tool_calls, topk, vector_codes
 
 
 def _read(spark, sf_dir, table):
@@ -51,7 +51,33 @@ def op10_licence_scans(spark, sf_dir):
     return licences.scan_licences(_read(spark, sf_dir, "documents")).withColumn("families", F.array_join("families", ","))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_sentencepiece, op5_exact_top_k, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii, op10_licence_scans)}
+def op12_rolling_window_features(spark, sf_dir):
+    return rolling.rolling_window_features(_read(spark, sf_dir, "documents"))
+
+
+def op13_vector_code_compression(spark, sf_dir):
+    return vector_codes.compress_vectors(_read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_sentencepiece, op5_exact_top_k, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii, op10_licence_scans, op12_rolling_window_features, op13_vector_code_compression)}
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds of assignment and floored means, written out."""
+    nearest = lambda k: f"""near{k} AS (SELECT p.vec_id, p.part, arg_min(c.entry, (d.d, c.entry)) AS entry, min(d.d) AS d FROM parts p JOIN book{k} c USING (part), LATERAL (SELECT list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d) AS d GROUP BY p.vec_id, p.part)"""
+    moved = lambda k: f"""flat{k} AS (SELECT part, entry, j, floor(sum(v)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT n.part, n.entry, unnest(range(len(p.x))) AS j, unnest(p.x) AS v FROM near{k} n JOIN parts p USING (vec_id, part)) GROUP BY part, entry, j),
+        mean{k} AS (SELECT part, entry, list(m ORDER BY j) AS x FROM flat{k} GROUP BY part, entry),
+        book{k + 1} AS (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k} m USING (part, entry))"""
+    return f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT vec_id, part::INTEGER AS part, e[part * (len(e) // 4) + 1:(part + 1) * (len(e) // 4)] AS x FROM v, range(4) AS r(part)),
+        first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 256),
+        book0 AS MATERIALIZED (SELECT part, entry, x FROM parts JOIN first USING (vec_id)),
+        {", ".join(f"{nearest(k)}, {moved(k)}" for k in range(rounds))}, {nearest(rounds)},
+        codes AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id),
+        digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM codes JOIN v USING (vec_id), digest"""
+
 
 _SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
@@ -103,6 +129,15 @@ _SQL: dict[str, str] = {
         SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
                row_number() OVER (PARTITION BY shard ORDER BY xor(x, x >> 31) % 2048, doc_id, text_crc32, size) - 1 AS slot, grown_shard
         FROM b2 JOIN s USING (k)""",
+    "op12_rolling_window_features": r"""
+        WITH crc AS (SELECT list(list_reduce(range(8), lambda v, n: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, i) ORDER BY i) AS t FROM range(256) AS r(i)),
+        h AS (SELECT doc_id, source, lang, length(text) AS n, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda v, x: xor(v // 256, t[xor(v % 256, x) + 1]), 4294967295), 4294967295) % 10000 + doc_id AS tenths FROM documents, crc),
+        e AS (SELECT doc_id, source, lang, n, 60 * ((tenths - (tenths % 6 + 6) % 6) // 6) AS event_s FROM h),
+        q AS (SELECT row_number() OVER () AS row_id, doc_id, source, event_s, w::BIGINT AS window_s FROM e CROSS JOIN (VALUES (600), (43200)) AS v(w)),
+        a AS (SELECT q.row_id, count(e.event_s) AS n_events, coalesce(sum(e.n), 0)::BIGINT AS sum_chars, count(DISTINCT e.lang) AS n_langs, list_sort(list(e.n) FILTER (WHERE e.n IS NOT NULL)) AS s
+              FROM q LEFT JOIN e ON e.source IS NOT DISTINCT FROM q.source AND e.event_s >= q.event_s - q.window_s AND e.event_s < q.event_s GROUP BY q.row_id)
+        SELECT doc_id, window_s, event_s, n_events, sum_chars, n_langs, s[(len(s) + 1) // 2]::BIGINT AS median_chars, s[(90 * len(s) + 99) // 100]::BIGINT AS high_chars FROM q JOIN a USING (row_id)""",
+    "op13_vector_code_compression": _codes_sql(),
 }
 
 
