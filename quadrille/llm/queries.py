@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, licences, piece_tokens, pii, rolling, sharding, substring_dedup, tool_calls, topk, vector_codes
+from . import decontamination, jaccard_join, language_id, licences, piece_tokens, pii, rolling, sharding, substring_dedup, suffixes, tool_calls, topk, vector_codes
 
 
 def _read(spark, sf_dir, table):
@@ -51,6 +51,10 @@ def op10_licence_scans(spark, sf_dir):
     return licences.scan_licences(_read(spark, sf_dir, "documents")).withColumn("families", F.array_join("families", ","))
 
 
+def op11_suffix_array_dedup(spark, sf_dir):
+    return suffixes.remove_repeated_bytes(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_rolling_window_features(spark, sf_dir):
     return rolling.rolling_window_features(_read(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op13_vector_code_compression(spark, sf_dir):
     return vector_codes.compress_vectors(_read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_sentencepiece, op5_exact_top_k, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii, op10_licence_scans, op12_rolling_window_features, op13_vector_code_compression)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_sentencepiece, op5_exact_top_k, op6_substring_dedup, op7_decontamination, op8_sharding, op9_pii, op10_licence_scans, op11_suffix_array_dedup, op12_rolling_window_features, op13_vector_code_compression)}
 
 def _codes_sql(rounds: int = 4) -> str:
     """Rounds of assignment and floored means, written out."""

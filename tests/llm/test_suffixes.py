@@ -1,0 +1,100 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from quadrille.llm import suffixes as sx
+from quadrille.llm.queries import QUERIES
+
+from .conftest import SF
+
+
+def plain(texts, length=200):
+    """n_bytes, n_removed, n_spans, sha256 of each text."""
+    seen = {}
+    raw = [(t or "").encode() for t in texts]
+    for r in raw:
+        for p in range(len(r) - length + 1):
+            s = r[p : p + length]
+            seen[s] = seen.get(s, 0) + 1
+    out = []
+    for r in raw:
+        gone = bytearray(len(r))
+        for p in range(len(r) - length + 1):
+            if seen[r[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        runs = sum(1 for i in range(len(r)) if gone[i] and (not i or not gone[i - 1]))
+        out.append((len(r), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(r, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+def result(df):
+    return sorted(((r.doc_id is None, r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
+
+
+def expected(rows, length=200):
+    return sorted(((i is None, i), *x) for (i, _), x in zip(rows, plain([t for _, t in rows], length), strict=True))
+
+
+@pytest.fixture(scope="module")
+def odd(messy):
+    r = random.Random(3)
+    say = lambda n: " ".join(r.choice("alpha beta gamma delta ünï epsilon".split()) + str(r.randrange(40)) for _ in range(n))
+    passage = say(60)
+    just, under = "".join(r.choice("abcdefgh") for _ in range(200)), "".join(r.choice("ijklmnop") for _ in range(199))
+    return [*messy, (None, say(50) + passage), (None, passage + say(50)), (None, None), (70, "z" * 900), (71, "z" * 199), (72, "ab" * 400), (73, just + "!" + say(30)), (74, say(3) + just), (75, "x" + under), (76, "y" + under), (77, passage), (77, passage + say(40)), (78, "\0" * 300 + say(40)), (79, say(9) + "\0" * 250), (80, "日本語テキスト" * 60)]
+
+
+def test_equals_brute_force(spark, make_docs, odd):
+    assert result(sx.remove_repeated_bytes(make_docs(odd).repartition(5))) == expected(odd)
+
+
+@pytest.mark.parametrize("length", [40, 77])
+def test_other_lengths(spark, make_docs, odd, length):
+    assert result(sx.remove_repeated_bytes(make_docs(odd), length=length)) == expected(odd, length)
+
+
+def test_parts_of_common_suffixes_and_small_pieces_give_the_same(spark, make_docs, odd, monkeypatch):
+    for name, value in (("HOT", 2), ("PIECE", 700), ("FLUSH", 3000), ("HELD", 5000), ("RANGE", 2000), ("RANGES", 4), ("LEAD", 8)):
+        monkeypatch.setattr(sx, name, value)
+    spark.sparkContext.setLogLevel("ERROR")
+    assert result(sx.remove_repeated_bytes(make_docs(odd).repartition(7))) == expected(odd)
+
+
+def test_the_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert result(QUERIES["op11_suffix_array_dedup"](spark, SF)) == expected(rows)
+
+
+def test_clean_and_empty_tables(spark, make_docs):
+    assert sx.remove_repeated_bytes(make_docs([])).count() == 0
+    assert result(sx.remove_repeated_bytes(make_docs([(1, "a b c"), (2, None)]))) == expected([(1, "a b c"), (2, None)])
+    named = make_docs([(1, "q" * 300)]).withColumnsRenamed({"lang": "k1", "source": "spans"})
+    assert sx.remove_repeated_bytes(named).first().kept == bytearray(b"")
+
+
+def test_multikey_order_sorts_and_tells_what_neighbours_share():
+    r = np.random.default_rng(1)
+    x = r.integers(0, 3, (400, 24)).astype(np.uint8)
+    x[::3, :9] = 1
+    order, shared = sx.multikey_order(x.copy().view(">u8").astype(np.uint64))
+    rows = [bytes(v) for v in x]
+    assert [rows[i] for i in order] == sorted(rows)
+    for k in range(1, len(rows)):
+        a, b = rows[order[k - 1]], rows[order[k]]
+        assert shared[k] == next((i for i in range(24) if a[i] != b[i]), 24)
+
+
+def test_pieces_of_a_text_have_the_same_strings_and_anchors(monkeypatch, odd):
+    raw = [(t or "").encode() for _, t in odd]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+    def strings():
+        return {(p, int(m)) for lo, n, anchor, _, _ in sx.stretches(data, offsets, sx.Shape(200)) for a, c, m in zip(lo, n, anchor, strict=True) for p in range(a, a + c)}
+
+    whole = strings()
+    assert {p for p, _ in whole} == {int(o) + i for o, r in zip(offsets, raw) for i in range(len(r) - 199)}
+    monkeypatch.setattr(sx, "PIECE", 700)
+    assert strings() == whole
