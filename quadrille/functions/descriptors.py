@@ -32,16 +32,30 @@ class Colour(Extractor):
     def __init__(self, bins: int = 32, s_min: int = 40, v_max: int = 240):
         self.bins, self.s_min, self.v_max = bins, s_min, v_max
         self.dim = 3 * bins + 9
+        self.counts = ("hsv", s_min, v_max)
 
-    def extract(self, image, mask):
-        x = to_hsv(image)[inside(mask, self.short_name)].astype(np.float64)
+    def tally(self, image, mask):
+        """How many pixels have each hue, saturation and value: rows of 256."""
+        x = to_hsv(image)[inside(mask, self.short_name)]
         good = x[(x[:, 1] >= self.s_min) & (x[:, 2] <= self.v_max)]
         x = good if len(good) else x
-        shares = [np.histogram(x[:, k], bins=self.bins, range=(0, top))[0] / len(x) for k, top in enumerate((180, 256, 256))]
-        mean, sd = x.mean(axis=0), x.std(axis=0)
-        skew = np.where(sd > 0, ((x - mean) ** 3).mean(axis=0) / np.where(sd > 0, sd, 1) ** 3, 0)
+        return np.stack([np.bincount(x[:, k], minlength=256) for k in range(3)])
+
+    def from_tally(self, counts):
+        n, value = counts[0].sum(), np.arange(256.0)
+        shares = [np.histogram(value, bins=self.bins, range=(0, top), weights=c)[0] / n for c, top in zip(counts, (180, 256, 256), strict=True)]
+        mean = counts @ value / n
+        apart = value[None, :] - mean[:, None]
+        sd = np.sqrt((counts * apart**2).sum(axis=1) / n)
+        skew = np.where(sd > 0, (counts * apart**3).sum(axis=1) / n / np.where(sd > 0, sd, 1) ** 3, 0)
         return np.concatenate([*shares, mean, sd, skew])
 
+    def extract(self, image, mask):
+        return self.from_tally(self.tally(image, mask))
+
+
+FINEST = 256  # grey levels of a tally
+
 
 class CoOccurrence(Extractor):
     """Contrast, dissimilarity, homogeneity, energy and correlation of grey-level pairs at each distance and angle (Haralick et al., 1973)."""
@@ -51,12 +65,13 @@ class CoOccurrence(Extractor):
     def __init__(self, levels: int = 32, distances: tuple[int, ...] = (1, 2), angles: tuple[int, ...] = (0, 45, 90, 135)):
         self.levels, self.distances, self.angles = levels, distances, angles
         self.dim = 5 * len(distances) * len(angles)
+        self.counts = ("pairs", tuple(distances), tuple(angles))
 
-    def extract(self, image, mask):
+    def tally(self, image, mask):
+        """For each distance and angle, the pairs of grey bytes that occur, as one number, and how often."""
         keep = inside(mask, self.short_name)
-        grey = np.rint(image.astype(np.float64) @ [0.114, 0.587, 0.299]).astype(int) * self.levels // 256
+        grey = np.rint(image.astype(np.float64) @ [0.114, 0.587, 0.299]).astype(int)
         height, width = grey.shape
-        i, j = np.mgrid[: self.levels, : self.levels]
         out = []
         for d in self.distances:
             for angle in self.angles:
@@ -64,15 +79,27 @@ class CoOccurrence(Extractor):
                 a = (slice(max(0, -dy), height - max(0, dy)), slice(max(0, -dx), width - max(0, dx)))
                 b = (slice(max(0, dy), height + min(0, dy)), slice(max(0, dx), width + min(0, dx)))
                 both = keep[a] & keep[b]
-                p = np.bincount(grey[a][both] * self.levels + grey[b][both], minlength=self.levels**2).reshape(self.levels, self.levels).astype(np.float64)
-                p = p + p.T
-                p /= max(p.sum(), 1)
-                mi, mj = (p * i).sum(), (p * j).sum()
-                si, sj = np.sqrt((p * (i - mi) ** 2).sum()), np.sqrt((p * (j - mj) ** 2).sum())
-                correlation = (p * (i - mi) * (j - mj)).sum() / (si * sj) if si * sj > 1e-12 else 1.0
-                out += [(p * (i - j) ** 2).sum(), (p * abs(i - j)).sum(), (p / (1 + (i - j) ** 2)).sum(), np.sqrt((p**2).sum()), correlation]
+                out.append(np.unique(grey[a][both] * FINEST + grey[b][both], return_counts=True))
+        return out
+
+    def from_tally(self, counts):
+        i, j = np.mgrid[: self.levels, : self.levels]
+        out = []
+        for pairs, times in counts:
+            # grey bytes become levels, and pairs that become equal are one
+            merged = pairs // FINEST * self.levels // 256 * self.levels + pairs % FINEST * self.levels // 256
+            p = np.bincount(merged, weights=times, minlength=self.levels**2).reshape(self.levels, self.levels)
+            p = p + p.T
+            p /= max(p.sum(), 1)
+            mi, mj = (p * i).sum(), (p * j).sum()
+            si, sj = np.sqrt((p * (i - mi) ** 2).sum()), np.sqrt((p * (j - mj) ** 2).sum())
+            correlation = (p * (i - mi) * (j - mj)).sum() / (si * sj) if si * sj > 1e-12 else 1.0
+            out += [(p * (i - j) ** 2).sum(), (p * abs(i - j)).sum(), (p / (1 + (i - j) ** 2)).sum(), np.sqrt((p**2).sum()), correlation]
         return np.array(out)
 
+    def extract(self, image, mask):
+        return self.from_tally(self.tally(image, mask))
+
 
 def uniform_patterns(grey: np.ndarray, points: int, radius: int) -> np.ndarray:
     """Rotation-invariant uniform pattern of each pixel: 0 to points, and points + 1 for the others (Ojala et al., 2002)."""

@@ -31,15 +31,29 @@ def inside(mask: np.ndarray, technique: str) -> np.ndarray:
 
 
 class Extractor(ABC):
-    """Subclasses set name, short_name and dim, and extract."""
+    """Subclasses set name, short_name and dim, and extract.
+
+    Those whose vector follows from counts of an image set counts, the same for
+    all that count alike, and tally and from_tally: several settings then cost one look at the image.
+    """
 
     name = "unnamed"
     short_name = "T?"
     dim = 0
+    counts: tuple | None = None
 
     @abstractmethod
     def extract(self, image: np.ndarray, mask: np.ndarray) -> np.ndarray: ...
 
+    def tally(self, image: np.ndarray, mask: np.ndarray):
+        raise NotImplementedError(f"{self.short_name} does not count")
+
+    def from_tally(self, counts) -> np.ndarray:
+        raise NotImplementedError(f"{self.short_name} does not count")
+
+    def described(self, counts) -> np.ndarray:
+        return validated(self.from_tally(counts), self.dim, self.short_name)
+
     def __call__(self, image: np.ndarray, mask: np.ndarray) -> np.ndarray:
         return validated(self.extract(image, mask), self.dim, self.short_name)
 

@@ -1,13 +1,16 @@
-"""From pixels to prepared samples and feature rows, in two narrow stages.
+"""From pixels to prepared samples and feature rows, in narrow stages.
 
-Decoding, augmentation, preprocessing and segmentation share one pass over Arrow
-batches; failed samples are dropped before extractors run, and every extractor
-reads the same prepared rows.
+described() is the whole way in one pass over Arrow batches: an image is decoded
+once, each of its variants prepared and segmented once, and all extractors
+describe it there. What comes out has no pixels, so it is cheap to keep, and the
+feature matrix, its summary and the failures are all read from it. prepare()
+and feature_matrix() are the same in two steps, with the pixels in between.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,16 +41,14 @@ def prepare(images: DataFrame, settings: Settings, augment: bool = False) -> Dat
     """Prepared samples: one for each image or, with augment - for training data only - one for each variant of the plan.
 
     images: path, label, class_folder, source, record_index, height, width,
-    channels, data. record_index counts the images that are prepared.
+    channels, data, and orientation if they are not upright. record_index counts the images that are prepared.
     """
 
     def work(batches):
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                raw = as_array(r.height, r.width, r.channels, r.data)
-                for variant, op in enumerate(pixels.plan_of(r.record_index, settings.seed, settings.augmentation) if augment else [pixels.Op()]):
-                    ready, s = pixels.prepared(raw, op, settings)
+                for variant, op, ready, s in _variants(r, settings, augment):
                     box = dict(zip("xywh", s.bbox, strict=True))
                     contour = [{"x": int(x), "y": int(y)} for x, y in s.contour]
                     out.append((r.path, r.label, r.class_folder, r.source, r.record_index, variant, {"flip": op.flip, "angle": op.angle, "brightness": op.brightness}, ready.tobytes(), s.mask.tobytes(), box, contour, s.coverage, s.polarity, s.threshold, s.failed, s.reason, s.substituted))
@@ -56,8 +57,61 @@ def prepare(images: DataFrame, settings: Settings, augment: bool = False) -> Dat
                     out = []
             yield pd.DataFrame(out, columns=_NAMES)
 
-    columns = ["path", "label", "class_folder", "source", "record_index", "height", "width", "channels", "data"]
-    return images.select(*columns).mapInPandas(work, _PREPARED)
+    return _upright(images).mapInPandas(work, _PREPARED)
+
+
+def _upright(images: DataFrame) -> DataFrame:
+    how = F.col("orientation") if "orientation" in images.columns else F.lit(1).alias("orientation")
+    return images.select("path", "label", "class_folder", "source", "record_index", "height", "width", "channels", "data", how)
+
+
+def _variants(r, settings: Settings, augment: bool):
+    """Number, operation, image and segmentation of each variant of an image."""
+    raw = as_array(r.height, r.width, r.channels, r.data, r.orientation)
+    for variant, op in enumerate(pixels.plan_of(r.record_index, settings.seed, settings.augmentation) if augment else [pixels.Op()]):
+        yield variant, op, *pixels.prepared(raw, op, settings)
+
+
+_DESCRIBED = "path string, label int, class_folder string, source string, record_index long, variant int, coverage double, polarity string, threshold double, failed boolean, reason string, substituted boolean, described array<struct<technique:string,features:array<double>,extraction_s:double>>"
+
+
+def described(images: DataFrame, extractors: Sequence[Extractor], settings: Settings, augment: bool = False, prepared=None) -> DataFrame:
+    """A row for each sample, without its pixels: its segmentation, and what each extractor makes of it; nothing where it failed and no mask was substituted.
+
+    Extractors that count alike share their counts (Extractor.tally). Each gets copies, so it cannot change what others see; its first
+    call in a task warms up and is not timed. prepared: an accumulator of the samples prepared.
+    """
+
+    def work(batches):
+        warm = set()
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                for variant, _, ready, s in _variants(r, settings, augment):
+                    if prepared is not None:
+                        prepared.add(1)
+                    found, tallies = [], {}
+                    for e in extractors if not s.failed or s.substituted else ():
+                        if e.short_name not in warm:
+                            e(ready.copy(), s.mask.copy())
+                            warm.add(e.short_name)
+                        a, b = ready.copy(), s.mask.copy()
+                        began = time.perf_counter()
+                        key = e.counts
+                        if key is not None and key not in tallies:
+                            tallies[key] = e.tally(a, b)
+                        vector = e(a, b) if key is None else e.described(tallies[key])
+                        found.append({"technique": e.short_name, "features": vector, "extraction_s": time.perf_counter() - began})
+                    out.append((r.path, r.label, r.class_folder, r.source, r.record_index, variant, s.coverage, s.polarity, s.threshold, s.failed, s.reason, s.substituted, found))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _DESCRIBED.split(", ")])
+
+    return _upright(images).mapInPandas(work, _DESCRIBED)
+
+
+def matrix_of(samples: DataFrame) -> DataFrame:
+    """technique, group, variant, label, path, features, extraction_s of described samples."""
+    one = samples.select("record_index", "variant", "label", "path", F.explode("described").alias("d"))
+    return one.select("d.technique", F.col("record_index").alias("group"), "variant", "label", "path", "d.features", "d.extraction_s")
 
 
 _NAMES = ["path", "label", "class_folder", "source", "record_index", "variant", "op", "image", "mask", "bbox", "contour", "coverage", "polarity", "threshold", "failed", "reason", "substituted"]

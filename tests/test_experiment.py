@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.extractors import ExtractionError, Extractor, MeanColour, inside, validated
 from quadrille.operators import metrics, partition, prepare, svm
-from quadrille.operators.ranking import renumbered
+from quadrille.functions.descriptors import REGISTRY
+from quadrille.operators.cuts import durable
+from quadrille.operators.ranking import global_rank, renumbered
 from quadrille.settings import Augmentation, Classifier, Dataset, Preprocess, Settings
 from quadrille.sources import images, reports, staging
 
@@ -348,3 +350,99 @@ def test_pixels_meet_their_records_either_way(records, monkeypatch):
     few = sorted(map(repr, images.with_pixels(records).collect()))
     monkeypatch.setattr(images, "SENT", 1)
     assert sorted(map(repr, images.with_pixels(records).collect())) == few and len(few) == 30
+
+
+# --- reading images -----------------------------------------------------------
+
+NAMES = ["plain", "with space", "per%20cent", "hash#1", "br[1]", "q?x", "a+b", "ünï", "star*", "com,ma", "back\\slash", "cu{r}ly"]
+
+
+@pytest.mark.parametrize("sent", [images.SENT, 5])
+def test_every_name_and_folder_gives_its_pixels_in_one_lot_or_many(spark, tmp_path, sent):
+    root = tmp_path / "My Data [1]"
+    for k, c in enumerate(("A b", "C{d}")):
+        (root / c).mkdir(parents=True)
+        for i, n in enumerate(NAMES):
+            (root / c / f"{n}.png").write_bytes(images.encode_png(np.full((2, 3, 3), 20 * i + k, np.uint8)))
+    found = images.load_dataset(spark, str(root), Dataset(("A b", "C{d}")), "x", (".png",))
+    plain = [(c, n) for c in ("A b", "C{d}") for n in sorted((f"{n}.png" for n in NAMES), key=lambda n: (n.lower(), n))]
+    pixels = images.with_pixels(found, sent)
+    rows = pixels.orderBy("record_index").collect()
+    assert [(r.class_folder, r.path.rsplit("/", 1)[1]) for r in rows] == plain and [r.record_index for r in rows] == list(range(24))
+    assert [r.data[0] for r in rows] == [20 * NAMES.index(n[:-4]) + (c == "C{d}") for c, n in plain]
+    # pixels are read, joined with what was sent, and not moved
+    text = pixels._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_hidden_and_lost_files_are_named(spark, tmp_path):
+    (tmp_path / "A").mkdir()
+    for n in ("one", "two"):
+        (tmp_path / "A" / f"{n}.png").write_bytes(images.encode_png(np.zeros((2, 2, 3), np.uint8)))
+    found = images.load_dataset(spark, str(tmp_path), Dataset(("A",)), "x", (".png",)).cache()
+    assert found.count() == 2
+    (tmp_path / "A" / "two.png").unlink()
+    with pytest.raises(images.DatasetError, match=r"without a file: .*two.png"):
+        images.with_pixels(found)
+    (tmp_path / "A" / "_DSC01.PNG").write_bytes(images.encode_png(np.zeros((2, 2, 3), np.uint8)))
+    (tmp_path / "A" / "_notes.txt").write_text("x")
+    with pytest.raises(images.DatasetError, match=r"hidden files; rename them: A/_DSC01.PNG$"):
+        images.load_dataset(spark, str(tmp_path), Dataset(("A",)), "x", (".png",))
+
+
+def test_eight_orientations_give_one_picture(spark, tmp_path):
+    (tmp_path / "A").mkdir()
+    upright = np.zeros((32, 48, 3), np.uint8)
+    upright[:16, :16] = (250, 20, 20)
+    upright[16:, 32:] = (20, 20, 250)
+    jvm = spark._jvm
+    for how in range(1, 9):
+        stored = next(x for x in ((upright.swapaxes(0, 1) if how >= 5 else upright)[::a, ::b] for a in (1, -1) for b in (1, -1)) if np.array_equal(images.turned(x, how), upright))
+        png = tmp_path / "one.png"
+        png.write_bytes(images.encode_png(np.ascontiguousarray(stored)))
+        target = tmp_path / "A" / f"{how}.{'JPG' if how % 2 else 'jpeg'}"
+        jvm.javax.imageio.ImageIO.write(jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(png))), "jpg", jvm.java.io.File(str(target)))
+        order, mark = ("little", b"II") if how % 3 else ("big", b"MM")
+        n = lambda v, size: v.to_bytes(size, order)  # noqa: B023, E731
+        entries = n(0x010F, 2) + n(2, 2) + n(4, 4) + b"abc\0" + n(0x0112, 2) + n(3, 2) + n(1, 4) + n(how, 2) + n(0, 2)
+        body = b"Exif\0\0" + mark + n(42, 2) + n(8, 4) + n(2, 2) + entries + n(0, 4)
+        raw = target.read_bytes()
+        target.write_bytes(raw[:2] + b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + raw[2:])
+    (tmp_path / "A" / "plain.png").write_bytes(images.encode_png(upright))
+    found = images.load_dataset(spark, str(tmp_path), Dataset(("A",)), "x", (".jpg", ".jpeg", ".png"))
+    for r in images.with_pixels(found).collect():
+        got = images.as_array(r.height, r.width, r.channels, r.data, r.orientation).astype(int)
+        assert got.shape == upright.shape and np.abs(got - upright)[4:-4, 4:-4].mean() < 12, r.path
+
+
+@pytest.mark.parametrize("head", [b"", b"\xff\xd8", b"\xff\xd8\xff\xe1", b"\xff\xd8\xff\xe1\0\x10Exif\0\0XX", b"\xff\xd8\xff\xe1\0\x14Exif\0\0II*\0\x08\0\0\0\x09\0", b"\x89PNG", b"\xff\xd8\xff\xe0\0\0", b"\xff\xd8\xff\xda\0\x02"])
+def test_orientation_of_broken_heads_is_upright(head):
+    assert images.orientation(head) == 1
+
+
+def test_global_rank_is_a_plain_sort_whatever_the_ranges(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("k"), F.md5(F.col("id").cast("string")).alias("name"), "id").repartition(7)
+    plain = {r.id: i for i, r in enumerate(sorted(rows.collect(), key=lambda r: (r.k, r.name)))}
+    for stretch in (1 << 16, 40):
+        got = global_rank(rows, [F.col("k"), F.col("name")], "at", stretch=stretch)
+        assert {r.id: r.at for r in got.collect()} == plain
+    widest = global_rank(rows, [F.col("k"), F.col("name")], "at", stretch=40).selectExpr("at div 40 AS b").groupBy("b").count().agg(F.max("count")).first()[0]
+    assert widest <= 40
+    assert global_rank(rows.limit(0), [F.col("name")], "at").count() == 0
+
+
+# --- one pass for all techniques ----------------------------------------------
+
+
+def test_three_extractors_summary_and_failures_prepare_each_image_once(spark, records, settings, tmp_path):
+    counted = spark.sparkContext.accumulator(0)
+    extractors = [e() for e in REGISTRY.values()]
+    samples = durable(prepare.described(images.with_pixels(records), extractors, settings, augment=True, prepared=counted))
+    matrix = prepare.matrix_of(samples)
+    summary = {r.technique: r for r in prepare.matrix_summary(matrix, samples).collect()}
+    assert prepare.failures(samples).count() == 0 and {t: (r["rows"], r.originals, r.dim) for t, r in summary.items()} == {"T1": (90, 30, 105), "T2": (90, 30, 40), "T3": (90, 30, 34)}
+    assert counted.value == 90
+    two_steps = prepare.prepare(images.with_pixels(records), settings, augment=True)
+    for e in extractors:
+        own = {(r.group, r.variant): r.features for r in prepare.feature_matrix(two_steps, e, settings).collect()}
+        assert own == {(r.group, r.variant): r.features for r in matrix.where(F.col("technique") == e.short_name).collect()}
