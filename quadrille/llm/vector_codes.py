@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .topk import _integers
-from .workspace import spread_join
+from .workspace import durable, spread_join
 
 LEAF = 16
 _SQUARE = 2.0**58  # squared norms below it: squares of distances stay below 2^60
@@ -177,7 +177,7 @@ def compress_vectors(df: DataFrame, parts: int = 4, entries: int = 256, rounds:
                 names=["vec_id", "label", "code", "error"],
             )
 
-    coded = kept.mapInArrow(code, f"vec_id long, label {rows.schema['label'].dataType.simpleString()}, code string, error long")
+    coded = durable(kept.mapInArrow(code, f"vec_id long, label {rows.schema['label'].dataType.simpleString()}, code string, error long"))  # read by the sums and the join
     # labels may be few or many, and one may have a third of all rows
     keyed = coded.withColumns({"_none": F.col("label").isNull(), "_own": F.coalesce(F.col("label").cast("string"), F.lit(""))})
     sums = keyed.groupBy("_none", "_own").agg(F.sum("error").alias("label_error"), F.count("*").alias("n"))
