@@ -93,7 +93,7 @@ def check(spark: SparkSession, s: Settings, source: str, per_class: int) -> int:
     samples = prepare.prepare(drawn, s).cache()
     out = s.results("segmentation_check")
     width, height = s.preprocess.resize
-    pixels = {r.path: images.as_array(r.height, r.width, r.channels, r.data) for r in drawn.select("path", "height", "width", "channels", "data").collect()}
+    pixels = {r.path: images.as_array(r.height, r.width, r.channels, r.data, r.orientation) for r in drawn.select("path", "height", "width", "channels", "data", "orientation").collect()}
     by: dict[str, list] = {}
     for r in samples.orderBy("record_index").collect():  # a dozen images of each class
         ready, mask = np.frombuffer(r.image, np.uint8).reshape(height, width, 3), np.frombuffer(r.mask, np.uint8).reshape(height, width)

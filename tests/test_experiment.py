@@ -196,15 +196,11 @@ def test_svm_separates_and_holds_its_conditions():
     assert abs(alpha @ sign) < 1e-9 and (alpha >= 0).all() and (alpha <= 1).all()
     assert (margin[alpha < 1e-9] > 1 - 1e-3).all() and (margin[alpha > 1 - 1e-9] < 1 + 1e-3).all()
     assert svm.time_inference(model, x[:5]) > 0 and np.isnan(svm.time_inference(model, x[:0]))
-    with pytest.raises(ValueError, match="at most"):
-        svm.KernelSVM().fit(np.zeros((svm.MAX_ROWS + 1, 1)), np.zeros(svm.MAX_ROWS + 1))
 
 
 def test_cross_validation_on_separable_classes(matrix):
     folds = svm.cross_validate(matrix).collect()
     assert sorted(r.fold for r in folds) == list(range(5)) and all(r.accuracy == 1.0 and r.macro_f1 == 1.0 and r.fit_seconds > 0 for r in folds)
-    lifted = svm.random_features(matrix, 0.1, 7, out=16).first()
-    assert len(lifted.features) == 16
 
 
 def test_scaling_is_that_of_the_training_side(matrix):
@@ -282,43 +278,72 @@ def test_svm_by_columns_is_that_of_the_whole_kernel(monkeypatch):
     new = r.normal(1, 2, (400, 3))
     whole = svm.KernelSVM().fit(x, y)
     monkeypatch.setattr(svm, "CACHE", 900)  # three columns, and few rows at once in prediction
-    parts = svm.KernelSVM(columns=True).fit(x, y)
+    parts = svm.KernelSVM().fit(x, y)
     assert (whole.predict(new) == parts.predict(new)).mean() > 0.99
     for (*_, w, b), (*_, v, a) in zip(whole.models, parts.models, strict=True):
         assert abs(np.abs(w).sum() - np.abs(v).sum()) < 0.01 * np.abs(w).sum() and abs(a - b) < 0.01
 
 
-def test_cross_validation_of_folds_beyond_the_whole_kernel(spark):
-    r = np.random.default_rng(2)
-    n = svm.MAX_ROWS * 5 // 4 + 500
+def three_classes(spark, n, spread=1.0, techniques="ab", seed=3):
+    r = np.random.default_rng(seed)
     label = np.arange(n) % 3
-    x = r.normal(0, 0.3, (n, 2)) + np.array([(0, 0), (4, 0), (0, 4)])[label]
-    big = spark.createDataFrame([("t", i, 0, int(c), [float(v) for v in f]) for i, (c, f) in enumerate(zip(label, x, strict=True))], "technique string, group long, variant int, label int, features array<double>")
-    folds = svm.cross_validate(big).collect()
-    assert sorted(f.fold for f in folds) == list(range(5)) and all(f.accuracy > 0.99 and f.solver == "least squares" for f in folds)
+    x = r.normal(0, spread, (n, 4)) + np.array([(0, 0, 0, 5), (3, 0, 0, 5), (0, 3, 0, 5)])[label]
+    x[:, 3] = 5  # does not vary
+    return spark.createDataFrame([(t, i, 0, int(c), [float(v) for v in f]) for t in techniques for i, (c, f) in enumerate(zip(label, x, strict=True))], "technique string, group long, variant int, label int, features array<double>")
 
 
-def test_spread_solver_is_near_the_exact_one(spark, monkeypatch):
-    r = np.random.default_rng(3)
-    n = 900
-    label = np.arange(n) % 3
-    x = r.normal(0, 1.0, (n, 4)) + np.array([(0, 0, 0, 5), (3, 0, 0, 5), (0, 3, 0, 5)])[label]
-    x[:, 3] = 5  # does not vary
-    rows = spark.createDataFrame([(t, i, 0, int(c), [float(v) for v in f]) for t in "ab" for i, (c, f) in enumerate(zip(label, x, strict=True))], "technique string, group long, variant int, label int, features array<double>")
+def test_approximation_is_asked_for_and_near_the_exact_solution(spark):
+    rows = three_classes(spark, 900)
     exact = {(f.technique, f.fold): f for f in svm.cross_validate(rows, folds=3).collect()}
-    monkeypatch.setattr(svm, "MAX_ROWS", 100)
+    assert all(f.solver == "smo" and f.converged for f in exact.values())
     for kernel in ("rbf", "linear"):
-        spread = svm.cross_validate(rows, folds=3, kernel=kernel).collect()
-        assert len(spread) == 6 and all(f.solver == "least squares" and abs(f.accuracy - exact[f.technique, f.fold].accuracy) < 0.05 for f in spread)
+        near = svm.cross_validate(rows, folds=3, kernel=kernel, solver="approximate").collect()
+        assert len(near) == 6 and all(f.solver == "least squares" and f.converged is None and abs(f.accuracy - exact[f.technique, f.fold].accuracy) < 0.05 for f in near)
+    with pytest.raises(ValueError, match="solver"):
+        svm.cross_validate(rows, solver="fast")
+
+
+@pytest.mark.parametrize("most", [450, 100])
+def test_pairs_and_decomposition_agree_with_one_task(spark, monkeypatch, most):
+    """Folds of 600 rows: whole, by pairs of 400 rows in a task, and by pairs over all tasks."""
+    rows = three_classes(spark, 900)
+    columns = ["technique", "fold", "group", "predicted"]
+    whole = {tuple(r[:3]): r[3] for r in svm.cross_validated_predictions(rows, folds=3).select(*columns).collect()}
+    for name, value in (("MAX_ROWS", most), ("WORKING", 24), ("BLOCK_ROWS", 90)):
+        monkeypatch.setattr(svm, name, value)
+    found = svm.cross_validated_predictions(rows, folds=3).collect()
+    assert all(r.solver == "smo by pairs" and r.converged for r in found) and len(found) == len(whole) == 1800
+    assert np.mean([whole[r.technique, r.fold, r.group] == r.predicted for r in found]) > 0.995
+    assert all(r.gap is None for r in found) if most == 450 else all(-1e-9 < r.gap < 0.01 for r in found)
+
+
+def test_folds_of_any_size_have_the_solution_of_one_task(spark):
+    """Two classes of 10,000 rows, beyond MAX_ROWS: the same answers as sequential minimal optimisation over all of them."""
+    n = 20_000
+    r = np.random.default_rng(5)
+    label = np.arange(n + 2000) % 2
+    x = r.normal(0, 1.0, (n + 2000, 3)) + 2.5 * label[:, None]
+    frame = lambda low, high: spark.createDataFrame([("t", i, 0, int(label[i]), x[i].tolist()) for i in range(low, high)], "technique string, group long, variant int, label int, features array<double>")
+    found = svm.held_out_predictions(frame(0, n), frame(n, n + 2000)).collect()
+    own = svm.KernelSVM().fit(x[:n], label[:n])
+    plain = own.predict(x[n:])
+    assert own.converged and len(found) == 2000 and all(f.solver == "smo by pairs" and f.converged and f.gap < 0.01 for f in found)
+    assert np.mean([plain[f.group - n] == f.predicted for f in found]) > 0.998
+
+
+def test_conditions_that_do_not_hold_are_told(spark, monkeypatch):
+    for name, value in (("MAX_ROWS", 100), ("WORKING", 4), ("ROUNDS", 1)):
+        monkeypatch.setattr(svm, name, value)
+    assert not any(f.converged for f in svm.cross_validate(three_classes(spark, 900, techniques="a"), folds=3).collect())
 
 
 def test_settings_of_the_classifier_act(spark, matrix):
     weak = {"c": 1e-6, "gamma": 1e-9}
     assert svm.cross_validate(matrix, folds=3).count() == 3
-    assert svm.chosen(Settings(seed=7)) == {"seed": 7, "c": 1.0, "gamma": "scale", "kernel": "rbf"}
+    assert svm.chosen(Settings(seed=7)) == {"seed": 7, "c": 1.0, "gamma": "scale", "kernel": "rbf", "solver": "exact"}
     a, b = (svm.cross_validated_predictions(matrix, folds=3, **x).select("predicted").collect() for x in ({}, weak))
     assert a != b
-    for bad in ({"kernel": "poly"}, {"C": 0}, {"gamma": -1.0}):
+    for bad in ({"kernel": "poly"}, {"C": 0}, {"gamma": -1.0}, {"solver": "fast"}):
         with pytest.raises(ValueError):
             Classifier(**bad)
 
