@@ -132,6 +132,15 @@ def paired_t_test(spark, sf_dir):
     return _rounded(metrics.paired_t(_fold_scores(spark, sf_dir), "en", "fr", "accuracy"), "mean_difference", "t", to=6)
 
 
+def technique_comparisons(spark, sf_dir):
+    """All pairs of techniques over the folds: t, its probability, and that of all pairs together."""
+    return _rounded(metrics.comparisons(_fold_scores(spark, sf_dir), "accuracy"), "mean_difference", "t", "p", "p_holm", to=6)
+
+
+def technique_ranks(spark, sf_dir):
+    return _rounded(metrics.ranks(_fold_scores(spark, sf_dir), "accuracy"), "mean_rank", "mean_score")
+
+
 def timing_summary(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select("event_type", F.col("value").alias("seconds"))
     return _rounded(metrics.timing_summary(events, "event_type"), "mean_s", "median_s", "std_s", to=6)
@@ -283,7 +292,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         class_counts_zero_filled, stratified_split_rows, stratified_split_counts, split_disjoint_intersect, split_cover_except, kfold_assignment, group_safe_folds, fold_leakage_check, naive_leakage_control, sample_per_class,
-        confusion_matrix, per_class_prf, headline_metrics, metrics_wide, cv_summary, paired_t_test, timing_summary, fold_standardise, feature_vector_validate, svm_cross_validate, held_out_scores, augmentation_plan,
+        confusion_matrix, per_class_prf, headline_metrics, metrics_wide, cv_summary, paired_t_test, technique_comparisons, technique_ranks, timing_summary, fold_standardise, feature_vector_validate, svm_cross_validate, held_out_scores, augmentation_plan,
         otsu_threshold, mask_coverage_and_border, auto_polarity_choice, segmentation_failures, coverage_summary, flip_brightness_pixels, prepared_samples, feature_matrix, folder_classify, staging_manifest, staging_tallies,
     )
 }
@@ -384,6 +393,22 @@ SQL: dict[str, str] = {
     + " FROM h GROUP BY technique",
     "paired_t_test": f"""{_FOLD_SCORES}, d AS (SELECT x.accuracy - y.accuracy AS d FROM h x JOIN h y ON x.fold = y.fold WHERE x.technique = 'en' AND y.technique = 'fr')
         SELECT count(*) AS n, round(avg(d), 6) AS mean_difference, round(CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 6) AS t FROM d""",
+    # Student's tail by its finite sums: terms are products of (k - 1) / k and cos^2
+    "technique_comparisons": f"""{_FOLD_SCORES}, d AS (SELECT x.technique AS a, y.technique AS b, x.accuracy - y.accuracy AS d FROM h x JOIN h y ON x.fold = y.fold WHERE x.technique < y.technique),
+        s AS (SELECT a, b, count(*) AS n, avg(d) AS m, CASE WHEN count(*) > 1 THEN stddev_samp(d) END AS sd FROM d GROUP BY a, b),
+        f AS (SELECT *, sd <= 1e-12 * (1 + abs(m)) AS flat, CASE WHEN NOT (sd <= 1e-12 * (1 + abs(m))) THEN m / (sd / sqrt(n)) END AS t FROM s),
+        g AS (SELECT *, atan(abs(t) / sqrt(n - 1)) AS th FROM f),
+        u AS (SELECT *, CASE WHEN (n - 1) % 2 = 1 THEN list_filter(range(3, n - 1), lambda k: k % 2 = 1) ELSE list_filter(range(2, n - 1), lambda k: k % 2 = 0) END AS ks FROM g),
+        v AS (SELECT *, CASE WHEN n = 2 THEN 0 ELSE (CASE WHEN (n - 1) % 2 = 1 THEN cos(th) ELSE 1 END)
+              * (1 + coalesce(list_sum(list_transform(range(1, len(ks) + 1), lambda i: list_product(list_transform(ks[1:i], lambda k: cos(th) * cos(th) * (k - 1) / k)))), 0)) END AS total FROM u),
+        p AS (SELECT *, CASE WHEN sd IS NULL THEN NULL WHEN flat THEN CASE WHEN abs(m) <= 1e-12 THEN 1.0 ELSE 0.0 END
+              ELSE greatest(0.0, 1 - CASE WHEN (n - 1) % 2 = 1 THEN 2 / pi() * (th + sin(th) * total) ELSE sin(th) * total END) END AS p FROM v),
+        q AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, p * (count(*) OVER (PARTITION BY p IS NULL) - row_number() OVER (PARTITION BY p IS NULL ORDER BY p, a, b) + 1)) END AS held FROM p)
+        SELECT a AS first, b AS second, n, round(m, 6) AS mean_difference, round(t, 6) AS t, round(p, 6) AS p,
+               round(max(held) OVER (PARTITION BY p IS NULL ORDER BY p, a, b ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM q""",
+    "technique_ranks": f"""{_FOLD_SCORES}, r AS (SELECT technique, fold, accuracy, round(accuracy, 12) AS s FROM h),
+        k AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY s DESC) AS place, count(*) OVER (PARTITION BY fold, s) AS ties FROM r)
+        SELECT technique, count(*) AS folds, round(avg(place + (ties - 1) / 2.0), 9) AS mean_rank, count(*) FILTER (place = 1) AS best, round(avg(accuracy), 9) AS mean_score FROM k GROUP BY technique""",
     "timing_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_s, round(median(value), 6) AS median_s, round(coalesce(stddev_samp(value), 0), 6) AS std_s FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "fold_standardise": """WITH k AS (SELECT vec_id, embedding, (row_number() OVER (ORDER BY label, md5('42|' || vec_id), vec_id) - 1) % 5 AS fold FROM embeddings),
         f AS (SELECT fold, (unnest(range(len(embedding))))::INTEGER AS dim, unnest(embedding)::DOUBLE AS v FROM k)
