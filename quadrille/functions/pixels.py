@@ -275,6 +275,16 @@ class Segmented:
     substituted: bool
 
 
+def preferred(sides: dict[str, np.ndarray], s: Segmentation = Segmentation()) -> str:
+    """The polarity to take: within bounds first, then away from the border, then the larger, then by name."""
+
+    def rank(name):
+        mask = sides[name]
+        return (not s.min_mask_fraction <= mask.mean() <= s.max_mask_fraction, border_fraction(mask), -int(mask.sum()), name)
+
+    return min(sides, key=rank)
+
+
 def segment(image: np.ndarray, s: Segmentation = Segmentation()) -> Segmented:
     """The fruit: one side of the Otsu threshold, closed, its largest component, filled."""
     value = image.max(axis=2)
@@ -285,11 +295,7 @@ def segment(image: np.ndarray, s: Segmentation = Segmentation()) -> Segmented:
             mask, box = largest_component(close(side, s.close_kernel))
             found[name] = (fill_holes(mask) if s.fill_holes and mask.any() else mask, box)
 
-    def rank(name):
-        mask = found[name][0]
-        return (not s.min_mask_fraction <= mask.mean() <= s.max_mask_fraction, border_fraction(mask), -int(mask.sum()), name)
-
-    chosen = min(found, key=rank)
+    chosen = preferred({name: mask for name, (mask, _) in found.items()}, s)
     mask, box = found[chosen]
     coverage, substituted, reason = float(mask.mean()), False, ""
     if failed := not s.min_mask_fraction <= coverage <= s.max_mask_fraction:

@@ -2,7 +2,8 @@
 
 The tables hold no images: `embeddings` is a feature matrix, `conversations` has
 groups (conv_id) and variants (turn), `labels` has truth and prediction,
-`events.value` stands for durations, and ids of `embeddings` draw discs.
+`events.value` stands for durations, and ids of `embeddings` draw discs, which
+the pixel kernels then work on; their SQL draws the same discs by itself.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pixels
+from ..functions.descriptors import Colour, CoOccurrence
 from ..functions.extractors import MeanColour
 from ..operators import metrics, partition, prepare, svm
 from ..settings import Augmentation, Preprocess, Settings
 from ..sources import staging
-from . import frames
+from . import drawn
 
 SEED = 42
 FOLDS = 5
@@ -189,36 +192,113 @@ def augmentation_plan(spark, sf_dir):
 
 
 def _discs(spark, sf_dir):
-    return frames.discs(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")))
+    ids = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    return drawn.discs(ids.repartition(spark.sparkContext.defaultParallelism))  # ids alone are moved
+
+
+def _sides(plane):
+    t = pixels.otsu(plane)
+    return {"bright": plane > t, "dark": plane <= t}
+
+
+def _chosen(spark, sf_dir):
+    """id, polarity, coverage, failed of the side that the segmentation prefers."""
+
+    def kernel(plane):
+        sides, s = _sides(plane), Settings().segmentation
+        name = pixels.preferred(sides, s)
+        coverage = float(sides[name].mean())
+        return [(name, coverage, not s.min_mask_fraction <= coverage <= s.max_mask_fraction)]
+
+    return drawn.with_kernel(_discs(spark, sf_dir), kernel, "polarity string, coverage double, failed boolean")
 
 
 def otsu_threshold(spark, sf_dir):
-    return frames.thresholds(_discs(spark, sf_dir)).select("id", F.col("threshold").cast("int").alias("threshold"))
+    return drawn.with_kernel(_discs(spark, sf_dir), lambda plane: [(pixels.otsu(plane),)], "threshold int")
 
 
 def mask_coverage_and_border(spark, sf_dir):
-    return _rounded(frames.sides(_discs(spark, sf_dir)).select("id", "polarity", "coverage", "border"), "coverage", "border")
+    kernel = lambda plane: [(name, float(mask.mean()), pixels.border_fraction(mask)) for name, mask in _sides(plane).items()]
+    return _rounded(drawn.with_kernel(_discs(spark, sf_dir), kernel, "polarity string, coverage double, border double"), "coverage", "border")
 
 
 def auto_polarity_choice(spark, sf_dir):
-    return _rounded(frames.chosen(frames.sides(_discs(spark, sf_dir))).select("id", "polarity", "coverage", "failed"), "coverage")
+    return _rounded(_chosen(spark, sf_dir), "coverage")
 
 
 def segmentation_failures(spark, sf_dir):
-    bad = frames.chosen(frames.sides(_discs(spark, sf_dir))).where("failed")
+    bad = _chosen(spark, sf_dir).where("failed")
     return _rounded(bad.select("id", "coverage", F.when(F.col("coverage") < 0.05, "below").otherwise("above").alias("bound")), "coverage")
 
 
 def coverage_summary(spark, sf_dir):
-    samples = frames.chosen(frames.sides(_discs(spark, sf_dir))).withColumn("class_folder", F.concat(F.lit("class"), F.col("id") % 3))
+    samples = _chosen(spark, sf_dir).withColumn("class_folder", F.concat(F.lit("class"), F.col("id") % 3))
     return _rounded(prepare.coverage_summary(samples), "mean_coverage", "min_coverage", "max_coverage")
 
 
+def _coloured(plane):
+    return plane[:, :, None].repeat(3, axis=2)
+
+
+_SUMS = "total long, checksum long"
+
+
 def flip_brightness_pixels(spark, sf_dir):
     """A checksum of each disc after mirroring and a gain of 1.25 with saturation."""
-    gained = F.least(F.bround(F.col("v") * 1.25), F.lit(255)).cast("long")
-    moved = _discs(spark, sf_dir).select("id", (frames.SIDE - 1 - F.col("x")).alias("x"), "y", gained.alias("v"))
-    return moved.groupBy("id").agg(F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("x") * 31 + F.col("y") * 17 + 1)).alias("checksum"))
+    kernel = lambda plane: [drawn.checksum(pixels.augment(_coloured(plane), pixels.Op(True, 0.0, 1.25))[:, :, 1])]
+    return drawn.with_kernel(_discs(spark, sf_dir), kernel, _SUMS)
+
+
+def area_resize(spark, sf_dir):
+    """A checksum of each disc at half its width and a quarter of its height."""
+    kernel = lambda plane: [drawn.checksum(pixels.resize_area(_coloured(plane), (12, 6))[:, :, 0])]
+    return drawn.with_kernel(_discs(spark, sf_dir), kernel, _SUMS)
+
+
+def gaussian_blur(spark, sf_dir):
+    """A checksum of each disc under binomial taps of five, mirrored at the border."""
+    kernel = lambda plane: [drawn.checksum(pixels.gaussian(_coloured(plane), (5, 5), 0.0)[:, :, 2])]
+    return drawn.with_kernel(_discs(spark, sf_dir), kernel, _SUMS)
+
+
+def closed_masks(spark, sf_dir):
+    """Pixels and checksum of a speckled mask before and after closing with an element of three."""
+
+    def kernel(plane):
+        mask = plane % 8 > 4
+        return [(int(mask.sum()), *drawn.checksum(pixels.close(mask, (3, 3))))]
+
+    return drawn.with_kernel(_discs(spark, sf_dir), kernel, "before long, " + _SUMS)
+
+
+def grey_pairs(spark, sf_dir):
+    """How often grey values stand side by side, of every disc: the counts that texture is described by."""
+    counter = CoOccurrence(distances=(1,), angles=(0,))
+
+    def kernel(plane):
+        pairs, times = counter.tally(_coloured(plane), plane * 0 + 255)[1, 0]
+        return zip((pairs // 256).tolist(), (pairs % 256).tolist(), times.tolist(), strict=True)
+
+    return drawn.with_kernel(_discs(spark, sf_dir), kernel, "left int, right int, n long")
+
+
+def colour_counts(spark, sf_dir):
+    """Hues, saturations and values of the coloured discs that are neither washed out nor glaring, and how many pixels have them."""
+    import numpy as np
+    import pandas as pd
+
+    counter = Colour()
+
+    def count(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
+                tally = counter.tally(image, np.full(image.shape[:2], 255, np.uint8))
+                out += [(r.record_index, name, int(v), int(tally[k, v])) for k, name in enumerate(("hue", "saturation", "value")) for v in np.flatnonzero(tally[k])]
+            yield pd.DataFrame(out, columns=["id", "channel", "level", "n"])
+
+    return disc_images(spark, sf_dir).select("record_index", "height", "width", "data").mapInPandas(count, "id long, channel string, level int, n long")
 
 
 def disc_images(spark: SparkSession, sf_dir: str, side: int = 96) -> DataFrame:
@@ -293,7 +373,7 @@ QUERIES = {
     for f in (
         class_counts_zero_filled, stratified_split_rows, stratified_split_counts, split_disjoint_intersect, split_cover_except, kfold_assignment, group_safe_folds, fold_leakage_check, naive_leakage_control, sample_per_class,
         confusion_matrix, per_class_prf, headline_metrics, metrics_wide, cv_summary, paired_t_test, technique_comparisons, technique_ranks, timing_summary, fold_standardise, feature_vector_validate, svm_cross_validate, held_out_scores, augmentation_plan,
-        otsu_threshold, mask_coverage_and_border, auto_polarity_choice, segmentation_failures, coverage_summary, flip_brightness_pixels, prepared_samples, feature_matrix, folder_classify, staging_manifest, staging_tallies,
+        otsu_threshold, mask_coverage_and_border, auto_polarity_choice, segmentation_failures, coverage_summary, flip_brightness_pixels, area_resize, gaussian_blur, closed_masks, grey_pairs, colour_counts, prepared_samples, feature_matrix, folder_classify, staging_manifest, staging_tallies,
     )
 }
 
@@ -424,6 +504,24 @@ SQL: dict[str, str] = {
         round(max(coverage), 9) AS max_coverage, count(*) FILTER (failed) AS n_failed, count(*) FILTER (polarity = 'bright') AS n_polarity_bright, count(*) FILTER (polarity = 'dark') AS n_polarity_dark FROM c GROUP BY 1""",
     "flip_brightness_pixels": f"""{_DISCS}, g AS (SELECT id, 23 - x AS x, y, least(round_even(v * 1.25, 0), 255)::BIGINT AS v FROM d)
         SELECT id, sum(v)::BIGINT AS total, sum(v * (x * 31 + y * 17 + 1))::BIGINT AS checksum FROM g GROUP BY id""",
+    "area_resize": f"""{_DISCS}, g AS (SELECT id, x // 2 AS x, y // 4 AS y, round_even(sum(v) / 8.0::DOUBLE, 0)::BIGINT AS v FROM d GROUP BY ALL)
+        SELECT id, sum(v)::BIGINT AS total, sum(v * (x * 31 + y * 17 + 1))::BIGINT AS checksum FROM g GROUP BY id""",
+    "gaussian_blur": f"""{_DISCS}, t AS (SELECT k::INTEGER AS k, ([1, 4, 6, 4, 1])[k + 3] AS w FROM range(-2, 3) AS r(k)),
+        a AS (SELECT d.id, o.x::INTEGER AS x, d.y, sum(d.v * t.w) AS v FROM range(24) AS o(x), t JOIN d ON d.x = 23 - abs(23 - abs(o.x + t.k)) GROUP BY ALL),
+        b AS (SELECT a.id, a.x, o.y::INTEGER AS y, round_even(sum(a.v * t.w) / 256.0::DOUBLE, 0)::BIGINT AS v FROM range(24) AS o(y), t JOIN a ON a.y = 23 - abs(23 - abs(o.y + t.k)) GROUP BY ALL)
+        SELECT id, sum(v)::BIGINT AS total, sum(v * (x * 31 + y * 17 + 1))::BIGINT AS checksum FROM b GROUP BY id""",
+    "closed_masks": f"""{_DISCS}, m AS (SELECT id, x, y, v % 8 > 4 AS up FROM d), e AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS e(dx, dy)),
+        g AS (SELECT id, x + dx AS x, y + dy AS y, bool_or(up) AS up FROM m, e WHERE x + dx BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23 GROUP BY ALL),
+        c AS (SELECT id, x + dx AS x, y + dy AS y, bool_and(up) AS up FROM g, e WHERE x + dx BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23 GROUP BY ALL)
+        SELECT id, any_value(n)::BIGINT AS before, count(*) FILTER (c.up) AS total, coalesce(sum(c.x * 31 + c.y * 17 + 1) FILTER (c.up), 0)::BIGINT AS checksum FROM c JOIN (SELECT id, count(*) FILTER (up) AS n FROM m GROUP BY id) USING (id) GROUP BY id""",
+    "grey_pairs": f"""{_DISCS} SELECT a.id, a.v AS "left", b.v AS "right", count(*) AS n FROM d a JOIN d b ON a.id = b.id AND a.y = b.y AND b.x = a.x + 1 GROUP BY ALL""",
+    "colour_counts": """WITH p AS (SELECT (x - 48) * (x - 48) + (y - 48) * (y - 48) AS away, count(*) AS n FROM range(96) AS a(x), range(96) AS b(y) GROUP BY 1),
+        c AS (SELECT vec_id AS id, 12 + vec_id % 24 AS r, 40 AS blue, 40 + 18 * (label % 10) AS green, 220 - 18 * (label % 10) AS red FROM embeddings),
+        v AS (SELECT *, greatest(blue, green, red) AS hi, least(blue, green, red) AS lo FROM c),
+        k AS (SELECT id, r, hi AS value, round_even((hi - lo) * 255.0::DOUBLE / hi, 0)::INTEGER AS saturation,
+              (round_even(((CASE WHEN hi = red THEN (green - blue)::DOUBLE / (hi - lo) WHEN hi = green THEN 2 + (blue - red)::DOUBLE / (hi - lo) ELSE 4 + (red - green)::DOUBLE / (hi - lo) END * 30) % 180 + 180) % 180, 0) % 180)::INTEGER AS hue FROM v),
+        s AS (SELECT id, any_value(hue) AS hue, any_value(saturation) AS saturation, any_value(value) AS value, sum(n)::BIGINT AS n FROM k JOIN p ON p.away <= k.r * k.r GROUP BY id)
+        SELECT id, 'hue' AS channel, hue::INTEGER AS level, n FROM s UNION ALL SELECT id, 'saturation', saturation::INTEGER, n FROM s UNION ALL SELECT id, 'value', value::INTEGER, n FROM s""",
     "folder_classify": f"""{_LISTED}, f AS (SELECT folder AS relative, count(*) AS images, CASE lower(split_part(folder, '/', 2)) WHEN 'train' THEN 'train' WHEN 'test' THEN 'other' WHEN 'valid' THEN 'other' END AS split FROM l GROUP BY folder)
         SELECT relative, images, split, CASE WHEN split IS DISTINCT FROM 'other' THEN coalesce(CASE WHEN split_part(relative, '/', 3) = 'apple' THEN 'RipeApple' END, {_class_sql("relative")}) END AS class_name,
         CASE WHEN split IS NOT DISTINCT FROM 'other' THEN 'skipped' WHEN class_name IS NULL THEN 'ignored' ELSE 'matched' END AS status FROM f""",
