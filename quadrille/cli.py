@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.descriptors import REGISTRY
-from .operators import experiment, metrics, partition, prepare
+from .functions.descriptors import REGISTRY, from_settings
+from .operators import experiment, grid, metrics, partition, prepare, svm
+from .operators.cuts import discard, durable
 from .settings import Settings, load
 from .sources import images, reports, staging
 
@@ -109,15 +110,15 @@ def check(spark: SparkSession, s: Settings, source: str, per_class: int) -> int:
 
 def trial(spark: SparkSession, s: Settings, techniques: list[str], sources: list[str]) -> int:
     try:
-        done = experiment.run(spark, s, [REGISTRY[t]() for t in techniques], sources)
+        done = experiment.run(spark, s, [e for e in from_settings(s) if e.short_name in techniques], sources)
     except images.DatasetError as e:
         print(e)
         return 1
     out, names = s.results("experiment"), list(s.datasets["primary"].display_names)
     spec = images.specification(spark, s.datasets["primary"])
-    predictions, folds = done.predictions.persist(), done.folds.persist()
+    predictions, folds = done.predictions, done.folds
     scores = done.scores({n: experiment.matched_labels(s, n) for n in ("primary", *sources)})
-    for name, frame in (("folds", folds), ("cross_validation", done.cv_summary), ("scores", scores), ("matrix", done.summary), ("failures", done.failures)):
+    for name, frame in (("folds", folds), ("cross_validation", done.cv_summary), ("scores", scores), ("matrix", done.summary), ("failures", done.failures), ("comparisons", done.comparisons), ("ranks", done.ranks), ("times", done.times)):
         reports.save_report(frame, out / f"{name}.csv")
     for t in techniques:
         own = predictions.where((F.col("technique") == t) & (F.col("source") == "primary")).select("label", "predicted")
@@ -126,7 +127,29 @@ def trial(spark: SparkSession, s: Settings, techniques: list[str], sources: list
         text = reports.text_report(metrics.headline(own), metrics.per_class(own, spec), folds.where(F.col("technique") == t), confusion, names)
         (out / f"{t}.txt").write_text(text + "\n")
         print(f"{t}\n\n{text}\n")
-    scores.orderBy("source", "technique").show(truncate=False)
+    for frame, order in ((scores, ["source", "technique"]), (done.comparisons, ["p", "first", "second"]), (done.ranks, ["mean_rank", "technique"]), (done.times, ["technique"])):
+        frame.orderBy(*order).show(truncate=False)
+    done.close()
+    return 0
+
+
+def sub_comparison(spark: SparkSession, s: Settings, family: str) -> int:
+    """Settings of one descriptor family on the folds of the training side."""
+    chosen = grid.colour_settings() if family == "T1" else grid.texture_settings()
+    try:
+        split = partition.stratified_split(images.load_named(spark, "primary", s), "record_index", s.partition.test_size, s.seed)
+    except images.DatasetError as e:
+        print(e)
+        return 1
+    samples = experiment.samples_of(split.where("split = 'train'").drop("split"), [c.extractor for c in chosen], s, True)
+    table = durable(grid.fold_table(prepare.matrix_of(samples), chosen, folds=s.partition.cv_folds, **svm.chosen(s)))
+    out = s.results("sub_comparisons")
+    reports.save_report(table, out / f"{family}_folds.csv")
+    best = grid.best_of_family(table)
+    reports.save_report(best, out / f"{family}.csv")
+    best.orderBy("mean_rank", "parameters").show(50, truncate=False)
+    discard(table)
+    discard(samples)
     return 0
 
 
@@ -146,6 +169,8 @@ def main(arguments: list[str] | None = None) -> int:
     three = commands.add_parser("experiment", help="cross-validate, then judge the test side and other sets")
     three.add_argument("--technique", action="append", choices=sorted(REGISTRY))
     three.add_argument("--also", action="append", default=[], choices=("generalisation", "robustness"), help="another set to judge")
+    four = commands.add_parser("compare", help="settings of one descriptor family on the same folds")
+    four.add_argument("family", choices=("T1", "T2"))
     a = parser.parse_args(arguments)
     s = load(a.settings)
     if a.command == "describe":
@@ -156,6 +181,8 @@ def main(arguments: list[str] | None = None) -> int:
         return survey(spark, s, a.root, a.map, a.copy, depth=a.depth)
     if a.command == "experiment":
         return trial(spark, s, a.technique or sorted(REGISTRY), a.also)
+    if a.command == "compare":
+        return sub_comparison(spark, s, a.family)
     return check(spark, s, a.source, a.per_class or s.images_per_class)
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.extractors import Extractor
 from ..settings import Settings
 from ..sources import images
-from . import metrics, partition, prepare, svm
+from . import metrics, partition, prepare, svm, timing
+from .cuts import discard, durable
 from .ranking import renumbered
 
 #: Which class of the first set a class of another one is, by folder. Others are counted in the confusion alone.
@@ -26,7 +27,11 @@ _APART = 1 << 40  # between the groups of two sets
 
 @dataclass(frozen=True)
 class Outcome:
-    """Frames of an experiment. predictions: source, technique, group, label, predicted, fit_seconds, solver, converged."""
+    """Frames of an experiment. predictions: source, technique, group, label, predicted, fit_seconds, solver, converged.
+
+    comparisons and ranks are of the techniques over the folds; times has, by technique, the
+    extraction (n, mean_s, median_s, std_s) and the inference (trained, judged, support, inference_s).
+    """
 
     split: DataFrame
     summary: DataFrame
@@ -34,6 +39,15 @@ class Outcome:
     folds: DataFrame
     cv_summary: DataFrame
     predictions: DataFrame
+    comparisons: DataFrame
+    ranks: DataFrame
+    times: DataFrame
+    cuts: tuple[DataFrame, ...] = ()
+
+    def close(self) -> None:
+        """Gives the tables in the shared folder back; the frames cannot be read after it."""
+        for c in self.cuts:
+            discard(c)
 
     def scores(self, matched: dict[str, dict[int, int]]) -> DataFrame:
         """source, technique, n, accuracy, macro_f1, weighted_f1; matched: label of the model's set for each label of another."""
@@ -44,16 +58,11 @@ class Outcome:
         return pairs.groupBy(*by).agg(F.count("*").alias("n")).join(metrics.headline(pairs, by), by)
 
 
-def features(records: DataFrame, extractors: Sequence[Extractor], settings: Settings, augment: bool) -> tuple[DataFrame, DataFrame]:
-    """The feature rows of all extractors, and the prepared samples they share."""
+def samples_of(records: DataFrame, extractors: Sequence[Extractor], settings: Settings, augment: bool, prepared=None) -> DataFrame:
+    """Described samples, cut: each image is read and prepared once, whatever is asked of it later."""
     # the plan of variants counts the images that are prepared
     numbered = renumbered(records, "record_index")
-    samples = prepare.prepare(images.with_pixels(numbered), settings, augment=augment)
-    rows = None
-    for e in extractors:
-        own = prepare.feature_matrix(samples, e, settings)
-        rows = own if rows is None else rows.unionByName(own)
-    return rows, samples
+    return durable(prepare.described(images.with_pixels(numbered), extractors, settings, augment=augment, prepared=prepared))
 
 
 def matched_labels(settings: Settings, source: str, first: str = "primary") -> dict[int, int]:
@@ -63,21 +72,26 @@ def matched_labels(settings: Settings, source: str, first: str = "primary") -> d
     return {n: own.index(same[c]) for n, c in enumerate(other) if same.get(c) in own}
 
 
-def run(spark: SparkSession, settings: Settings, extractors: Sequence[Extractor], sources: Sequence[str] = (), first: str = "primary") -> Outcome:
-    """Split the first set, cross-validate on its training side, and judge its test side and the other sets by models of that side."""
-    s = settings
+def run(spark: SparkSession, settings: Settings, extractors: Sequence[Extractor], sources: Sequence[str] = (), first: str = "primary", prepared=None) -> Outcome:
+    """Split the first set, cross-validate on its training side, and judge its test side and the other sets by models of that side.
+
+    prepared: an accumulator of the samples prepared.
+    """
+    s, chosen = settings, svm.chosen(settings)
     split = partition.stratified_split(images.load_named(spark, first, s), "record_index", s.partition.test_size, s.seed)
-    train, samples = features(split.where("split = 'train'").drop("split"), extractors, s, augment=True)
-    train = train.persist()
-    folds = svm.cross_validate(train, folds=s.partition.cv_folds, **svm.chosen(s))
-    judged = None
+    samples = samples_of(split.where("split = 'train'").drop("split"), extractors, s, True, prepared)
+    train = prepare.matrix_of(samples)
+    folds = durable(svm.cross_validate(train, folds=s.partition.cv_folds, **chosen))
+    judged, cuts = None, [samples, folds]
     names = [first, *sources]
     for k, name in enumerate(names):
         records = split.where("split = 'test'").drop("split") if not k else images.load_named(spark, name, s)
-        rows, _ = features(records, extractors, s, augment=False)
-        rows = rows.withColumn("group", F.col("group") + k * _APART)
+        cuts.append(samples_of(records, extractors, s, False, prepared))
+        rows = prepare.matrix_of(cuts[-1]).withColumn("group", F.col("group") + k * _APART)
         judged = rows if judged is None else judged.unionByName(rows)
-    found = svm.held_out_predictions(train, judged, **svm.chosen(s))
+    cuts.append(durable(svm.held_out_predictions(train, judged, **chosen)))
     source = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("group") / _APART).cast("int") + 1)
-    predictions = found.select(source.alias("source"), "technique", (F.col("group") % _APART).alias("group"), "label", "predicted", "fit_seconds", "solver", "converged")
-    return Outcome(split, prepare.matrix_summary(train, samples), prepare.failures(samples), folds, metrics.cv_summary(folds), predictions)
+    predictions = cuts[-1].select(source.alias("source"), "technique", (F.col("group") % _APART).alias("group"), "label", "predicted", "fit_seconds", "solver", "converged")
+    inference = timing.inference_times(train, prepare.matrix_of(cuts[2]), [e.short_name for e in extractors], **chosen)
+    times = metrics.timing_summary(train, "technique", "extraction_s").join(inference, "technique", "outer")
+    return Outcome(split, prepare.matrix_summary(train, samples), prepare.failures(samples), folds, metrics.cv_summary(folds), predictions, metrics.comparisons(folds), metrics.ranks(folds), times, tuple(cuts))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import pixels
 from ..functions.descriptors import Colour, CoOccurrence
 from ..functions.extractors import MeanColour
-from ..operators import metrics, partition, prepare, svm
+from ..operators import grid, metrics, partition, prepare, svm
+from ..operators.cuts import durable
 from ..settings import Augmentation, Preprocess, Settings
 from ..sources import staging
 from . import drawn
@@ -337,6 +338,14 @@ def feature_matrix(spark, sf_dir):
     return prepare.feature_matrix(samples, MeanColour(), settings).select("technique", "group", "variant", "label", "features")
 
 
+def sub_comparisons(spark, sf_dir):
+    """Bins and colour spaces, and levels and distances, on the folds of the discs."""
+    settings = Settings(preprocess=Preprocess(resize=(64, 64)))
+    chosen = [*grid.colour_settings(("HSV", "LAB"), (8, 32)), *grid.texture_settings((8, 32), ((1,),), (True,))]
+    samples = durable(prepare.described(disc_images(spark, sf_dir), [c.extractor for c in chosen], settings))
+    return grid.fold_table(prepare.matrix_of(samples), chosen, folds=FOLDS, **svm.chosen(settings))
+
+
 # --- staging -----------------------------------------------------------------
 
 
@@ -373,7 +382,7 @@ QUERIES = {
     for f in (
         class_counts_zero_filled, stratified_split_rows, stratified_split_counts, split_disjoint_intersect, split_cover_except, kfold_assignment, group_safe_folds, fold_leakage_check, naive_leakage_control, sample_per_class,
         confusion_matrix, per_class_prf, headline_metrics, metrics_wide, cv_summary, paired_t_test, technique_comparisons, technique_ranks, timing_summary, fold_standardise, feature_vector_validate, svm_cross_validate, held_out_scores, augmentation_plan,
-        otsu_threshold, mask_coverage_and_border, auto_polarity_choice, segmentation_failures, coverage_summary, flip_brightness_pixels, area_resize, gaussian_blur, closed_masks, grey_pairs, colour_counts, prepared_samples, feature_matrix, folder_classify, staging_manifest, staging_tallies,
+        otsu_threshold, mask_coverage_and_border, auto_polarity_choice, segmentation_failures, coverage_summary, flip_brightness_pixels, area_resize, gaussian_blur, closed_masks, grey_pairs, colour_counts, prepared_samples, feature_matrix, sub_comparisons, folder_classify, staging_manifest, staging_tallies,
     )
 }
 

@@ -52,11 +52,20 @@ def test_experiment_judges_test_side_and_other_sets(spark, tmp_path, capsys):
                 draw(tmp_path / name / c / f"{i}.png", (40 + i, colour[c], 220 - colour[c]))
     settings = tmp_path / "s.json"
     settings.write_text(json.dumps({"paths": {f"{n}_root": n for n in sets}, "preprocess": {"resize": [48, 48]}, "augmentation": {"variants_per_image": 1}, "partition": {"cv_folds": 3, "test_size": 0.3}, "classifier": {"kernel": "linear"}}))
-    assert cli.main(["--settings", str(settings), "experiment", "--technique", "T1", "--also", "generalisation", "--also", "robustness"]) == 0
+    assert cli.main(["--settings", str(settings), "experiment", "--technique", "T1", "--technique", "T2", "--also", "generalisation", "--also", "robustness"]) == 0
     out = tmp_path / "results/experiment"
-    scores = pd.read_csv(out / "scores.csv").set_index("source")
-    assert dict(scores.n) == {"primary": 9, "generalisation": 8, "robustness": 8} and (scores.accuracy == 1).all()
-    assert len(pd.read_csv(out / "folds.csv")) == 3 and pd.read_csv(out / "matrix.csv").rows[0] == 42
+    every = pd.read_csv(out / "scores.csv")
+    scores = every[every.technique == "T1"].set_index("source")
+    assert len(every) == 6 and dict(scores.n) == {"primary": 9, "generalisation": 8, "robustness": 8} and (scores.accuracy == 1).all()
+    assert len(pd.read_csv(out / "folds.csv")) == 6 and (pd.read_csv(out / "matrix.csv").rows == 42).all()
+    pairs, places, times = (pd.read_csv(out / f"{n}.csv") for n in ("comparisons", "ranks", "times"))
+    assert pairs[["first", "second", "n"]].to_numpy().tolist() == [["T1", "T2", 3]] and pairs.p.between(0, 1).all()
+    assert sorted(places.technique) == ["T1", "T2"] and places.mean_rank.sum() == 3
+    assert sorted(times.technique) == ["T1", "T2"] and (times.inference_s > 0).all() and (times.judged == 9).all() and (times.trained == 42).all() and (times.n == 42).all() and (times.median_s > 0).all()
+    assert not list((tmp_path).rglob("cut-*"))
+    assert cli.main(["--settings", str(settings), "compare", "T2"]) == 0
+    table, best = (pd.read_csv(tmp_path / f"results/sub_comparisons/T2{n}.csv") for n in ("_folds", ""))
+    assert len(table) == 3 * 12 and len(best) == 12 and abs(best.mean_rank.sum() - 78) < 1e-9
     assert "share of each true class" in (out / "T1.txt").read_text() and (out / "T1.png").stat().st_size > 100
     settings.write_text(json.dumps({"paths": {"primary_root": "nowhere"}}))
     assert cli.main(["--settings", str(settings), "experiment"]) == 1 and "no dataset" in capsys.readouterr().out

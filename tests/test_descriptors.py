@@ -53,3 +53,57 @@ def test_patterns_of_a_plain_frame_and_blemishes():
     image[20, 20] = (5, 10, 25)
     spotted = D.PatternsAndBlemishes()(image, mask)
     assert spotted[-5] == 1 and abs(spotted[-6] - 60 / (mask > 0).sum()) < 1e-9 and spotted[-2] > 0.5
+
+
+def noisy():
+    image, mask = disc()
+    return np.clip(image.astype(int) + R.integers(-15, 16, image.shape), 0, 255).astype(np.uint8), mask
+
+
+@pytest.mark.parametrize("bins", [4, 8, 16, 32, 64])
+@pytest.mark.parametrize("space", ["HSV", "LAB", "RGB"])
+def test_fewer_bins_follow_from_the_same_counts(space, bins):
+    image, mask = noisy()
+    finest = D.Colour(space=space).tally(image, mask)
+    own = D.Colour(bins=bins, space=space)
+    got = own.described(finest)
+    assert np.array_equal(got, own(image, mask)) and len(got) == 3 * bins + 9
+    hsv = D.to_hsv(image)[mask > 0]
+    x = D.SPACES[space][0](image)[mask > 0][(hsv[:, 1] >= 40) & (hsv[:, 2] <= 240)]
+    plain = np.concatenate([np.histogram(x[:, k], bins=bins, range=(0, top))[0] / len(x) for k, top in enumerate(D.SPACES[space][1])])
+    assert np.array_equal(got[: 3 * bins], plain)
+    assert np.allclose(got[3 * bins : 3 * bins + 6], np.concatenate([x.mean(axis=0), x.astype(float).std(axis=0)]))
+
+
+@pytest.mark.parametrize("levels", [2, 8, 16, 32, 256])
+def test_fewer_levels_follow_from_the_same_pairs(levels):
+    image, mask = noisy()
+    everything = ((1, 2, 3), (0, 45, 90, 135))
+    counts = D.CoOccurrence(tallied=everything).tally(image, mask)
+    for distances, angles in (((1,), (0, 90)), ((1, 3), (0, 45, 90, 135))):
+        own = D.CoOccurrence(levels, distances, angles)
+        got = D.CoOccurrence(levels, distances, angles, tallied=everything).described(counts)
+        assert np.array_equal(got, own(image, mask))
+        mean = D.CoOccurrence(levels, distances, angles, averaged=True)(image, mask)
+        assert np.allclose(mean, got.reshape(len(distances), len(angles), 5).mean(axis=1).ravel()) and len(mean) == 5 * len(distances)
+    # levels taken from the pixels before any pair is counted
+    grey = np.rint(image.astype(np.float64) @ [0.114, 0.587, 0.299]).astype(int) * levels // 256
+    p = np.zeros((levels, levels))
+    for y in range(64):
+        for x in range(63):
+            if mask[y, x] and mask[y, x + 1]:
+                p[grey[y, x], grey[y, x + 1]] += 1
+                p[grey[y, x + 1], grey[y, x]] += 1
+    i, j = np.mgrid[:levels, :levels]
+    assert np.isclose(D.CoOccurrence(levels, (1,), (0,))(image, mask)[0], (p / p.sum() * (i - j) ** 2).sum())
+
+
+def test_settings_name_parameters_and_spaces_are_checked():
+    from quadrille.settings import Settings
+
+    extra = {"t1_colour": {"colour_space": "lab", "bins": 16, "note": 1}, "t2_glcm": {"levels": 8, "distances": [1], "angles_deg": [0, 90], "angle_averaged": True}, "t3_lbp_blemish": {"lbp_configs": [[8, 1]], "min_blemish_area": 4}}
+    one, two, three = D.from_settings(Settings(extra=extra))
+    assert (one.space, one.dim, two.dim, three.dim, three.least) == ("LAB", 57, 5, 16, 4)
+    assert [e.dim for e in D.from_settings(Settings())] == [105, 40, 34]
+    with pytest.raises(ValueError, match="colour space"):
+        D.Colour(space="CMYK")
