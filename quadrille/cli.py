@@ -19,9 +19,10 @@ from .sources import images, reports, staging
 def _files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
     """Image files under root: folder (relative), root_name, name, path, length."""
     found = images.listing(spark, [root], extensions, recursive=True)
-    top = root.rstrip("/").rsplit("/", 1)[-1]
-    inside = F.regexp_replace("path", F.lit("^(?:file:)?/*"), F.lit("/"))
-    relative = F.substring(F.regexp_replace(inside, "/[^/]*$", ""), F.lit(len(root.rstrip("/")) + 2), F.lit(1 << 20))
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where)
+    top, length = whole.getName(), len(whole.toString().rstrip("/"))
+    relative = F.substring(F.regexp_replace("path", "/[^/]*$", ""), F.lit(length + 2), F.lit(1 << 20))
     return found.select(relative.alias("folder"), F.lit(top).alias("root_name"), "name", "path", "length")
 
 
@@ -76,7 +77,12 @@ def survey(spark: SparkSession, s: Settings, root: str, overrides: list[str], co
     if images._exists(spark, copy_to):
         there = _files(spark, copy_to, s.image_extensions).select(F.col("folder").alias("class_name"), F.col("name").alias("target"), "length")
     staged = staging.with_status(planned, there).cache()
-    staging.copy(staged, copy_to)
+    copied = staging.copy(staged, copy_to)
+    reports.save_csv(copied, str(s.results("staging") / "copied"))
+    if lost := staging.differing(copied, copy_to).limit(shown).collect():
+        print("not there as copied:", *[f"{r.class_name}/{r.target} {r.found}" for r in lost], sep="\n  ")
+        return 1
+    discard(copied)
     staging.tallies(staged).orderBy("class_name").show(truncate=False)
     bad = [r.path for c in {r.class_name for r in matched} for r in images.undecodable(spark, f"{copy_to}/{c}").collect()]
     print(f"undecodable: {len(bad)}", *bad[:shown], sep="\n  ")

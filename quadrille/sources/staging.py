@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import hashlib
+import re
+import uuid
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.cuts import durable
+
 # Folder names of splits, and what names a class; the order of classes decides.
 TRAIN_NAMES = ["train", "training"]
 OTHER_NAMES = ["test", "testing", "val", "valid", "validation", "eval"]
@@ -98,15 +103,74 @@ def with_status(planned: DataFrame, present: DataFrame) -> DataFrame:
     return planned.join(there, ["class_name", "target", "length"], "left").withColumn("status", F.when(F.col("_there"), "skipped").otherwise("copied")).drop("_there")
 
 
-def copy(staged: DataFrame, destination: str) -> None:
-    """Copies the rows of status `copied`, on the executors, between folders that all of them share."""
+PIECE = 4 << 20  # bytes that are copied at once
+_COPIED = "class_name string, target string, path string, length long, sha256 string"
+
+
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI - local, HDFS, S3 or what else the Arrow library opens - and the path in it. Names are taken as they are written, without escapes."""
+    found = re.match(r"([A-Za-z][A-Za-z0-9+.-]+):(//[^/]*)?(/.*)", path)
+    if found is None or found[1].lower() == "file":
+        return pafs.LocalFileSystem(), found[3] if found else path
+    system, top = pafs.FileSystem.from_uri(f"{found[1]}:{found[2] or '//'}/")
+    return system, f"{top.rstrip('/')}{found[3]}" if top not in ("", "/") else found[3]
 
-    def work(rows):
-        for r in rows:
-            target = os.path.join(destination, r.class_name, r.target)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.part"  # a task that is run again starts over
-            shutil.copy2(r.path.removeprefix("file:"), part)
-            os.replace(part, target)
 
-    staged.where("status = 'copied'").select("class_name", "target", "path").foreachPartition(work)
+def copy(staged: DataFrame, destination: str) -> DataFrame:
+    """Copies the rows of status `copied` to destination/class_name/target, on the executors, and gives class_name, target, path, length, sha256 of what was copied.
+
+    A file is written under a name of its attempt, which listings pass over, and
+    takes its own name when it is whole and has the length it was planned with: two attempts of one task do
+    not meet, and a run that is killed leaves no half file under a name that
+    counts. The next one finds what is there (with_status) and copies the rest;
+    what attempts left behind goes at the end. The result is a cut, of which discard() gives the table back.
+    """
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                (source, path), (system, folder) = store_of(r.path), store_of(f"{destination.rstrip('/')}/{r.class_name}")
+                system.create_dir(folder, recursive=True)
+                part, digest, size = f"{folder}/.part-{uuid.uuid4().hex}", hashlib.sha256(), 0
+                with source.open_input_stream(path) as inside, system.open_output_stream(part) as outside:
+                    while piece := inside.read(PIECE):
+                        outside.write(piece)
+                        digest.update(piece)
+                        size += len(piece)
+                if size != r.length:
+                    system.delete_file(part)
+                    raise OSError(f"{r.path} has {size} bytes, and had {r.length} when it was listed")
+                system.move(part, f"{folder}/{r.target}")
+                out.append((r.class_name, r.target, r.path, size, digest.hexdigest()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _COPIED.split(", ")])
+
+    done = durable(staged.where("status = 'copied'").select("class_name", "target", "path", "length").mapInPandas(work, _COPIED))
+    for r in staged.select("class_name").distinct().collect():  # a row per class
+        system, folder = store_of(f"{destination.rstrip('/')}/{r.class_name}")
+        for f in system.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            if f.base_name.startswith(".part-"):
+                system.delete_file(f.path)
+    return done
+
+
+def differing(copied: DataFrame, destination: str) -> DataFrame:
+    """class_name, target, found of copied files (class_name, target, length, sha256) that are not there as they were copied: `missing` or `changed`."""
+
+    def look(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                system, path = store_of(f"{destination.rstrip('/')}/{r.class_name}/{r.target}")
+                if system.get_file_info(path).type != pafs.FileType.File:
+                    out.append((r.class_name, r.target, "missing"))
+                    continue
+                digest = hashlib.sha256()
+                with system.open_input_stream(path) as inside:
+                    while piece := inside.read(PIECE):
+                        digest.update(piece)
+                if digest.hexdigest() != r.sha256:
+                    out.append((r.class_name, r.target, "changed"))
+            yield pd.DataFrame(out, columns=["class_name", "target", "found"])
+
+    return copied.select("class_name", "target", "sha256").mapInPandas(look, "class_name string, target string, found string")

@@ -251,6 +251,32 @@ def test_copies_are_made_once(spark, tmp_path, root):
     assert (there.count(), t.copied, t.skipped) == (10, 0, 10)
 
 
+def test_copy_takes_uris_resumes_and_leaves_no_half_files(spark, tmp_path):
+    source, target = tmp_path / "down load %20", tmp_path / "sta ged"
+    source.mkdir()
+    for i in range(6):
+        (source / f"a {i}%2F.png").write_bytes(bytes([i]) * (1000 + i))
+    names = [f"a {i}%2F.png" for i in range(6)]
+    none = spark.createDataFrame([], "class_name string, target string, length long")
+    plan = lambda wrong: spark.createDataFrame([("A b", "x", n, f"file:{source}/{n}", 1000 + i + (i == wrong)) for i, n in enumerate(names)], "class_name string, folder string, name string, path string, length long")
+    broken = staging.with_status(staging.manifest(plan(3)), none).repartition(6)
+    with pytest.raises(Exception, match="when it was listed"):
+        staging.copy(broken, f"file://{target}")
+    there = sorted(p.name for p in (target / "A b").iterdir())
+    assert "a 3%2F.png" not in there and all((target / "A b" / n).stat().st_size == 1000 + names.index(n) for n in there if n in names)
+    (target / "A b" / ".part-left").write_bytes(b"half")
+    present = spark.createDataFrame([("A b", n, 1000 + names.index(n)) for n in there if n in names], "class_name string, target string, length long")
+    again = staging.with_status(staging.manifest(plan(None)), present)
+    copied = staging.copy(again, f"file://{target}")
+    assert {r.target for r in copied.collect()} == set(names) - set(there) and sorted(p.name for p in (target / "A b").iterdir()) == names
+    assert staging.differing(copied, str(target)).count() == 0
+    (target / "A b" / names[3]).write_bytes(b"other")
+    assert [(r.target, r.found) for r in staging.differing(copied, str(target)).collect()] == [(names[3], "changed")]
+    (target / "A b" / names[3]).unlink()
+    assert [r.found for r in staging.differing(copied, f"file://{target}").collect()] == ["missing"]
+    assert staging.store_of("/x/y z")[1] == "/x/y z" and staging.store_of("file:/x/%20")[1] == "/x/%20" and staging.store_of("mock:///b/c")[1].endswith("b/c")
+
+
 def test_reports(spark, tmp_path, prepared, settings):
     pairs = spark.createDataFrame([(0, 0), (1, 0)], "label int, predicted int")
     spec = spark.createDataFrame([(0, "a"), (1, "b")], "label int, display_name string")
