@@ -11,7 +11,12 @@ models of their own were not trained on. Where `unknown` has less than half, the
 most probable family counts if a notice of that family confirms it: enough of the
 notice's words and pairs stand in the unit.
 
-Only units that hold two of the words of gate() are scored. These are chosen so
+Notices are customary ones, sentences of the licences' texts, and names: a name
+of one word that means nothing else confirms alone, one that does - `MIT`,
+`Apache` - beside a word of licences only; whether it is a notice is then for
+the model to say.
+
+Only units that hold two of the words of gate(), or a name, are scored. These are chosen so
 that the words and pairs of a notice with one of them at most are too few to
 confirm it, for every notice: nothing that could be confirmed is passed over.
 
@@ -51,6 +56,37 @@ NOTICES = {
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission", "Copyright. All rights reserved", "This document is confidential and proprietary; unauthorized copying is prohibited without written permission"],
 }
+# Sentences of the texts of licences.
+SENTENCES = {
+    "agpl": ["This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU Affero General Public License for more details", "You should have received a copy of the GNU Affero General Public License along with this program"],
+    "apache": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied", "See the License for the specific language governing permissions and limitations under the License"],
+    "bsd": ["This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "cc-by": ["You are free to share and adapt the material for any purpose, even commercially, under the following terms: you must give appropriate credit, provide a link to the license, and indicate if changes were made"],
+    "cc-by-nc": ["You may not use the material for commercial purposes. NonCommercial: you must give appropriate credit"],
+    "cc-by-nd": ["NoDerivatives: if you remix, transform, or build upon the material, you may not distribute the modified material"],
+    "cc-by-sa": ["ShareAlike: if you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original"],
+    "cc0": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "gpl": ["This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU General Public License for more details"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "lgpl": ["This library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU Lesser General Public License for more details", "You should have received a copy of the GNU Lesser General Public License along with this library"],
+    "mit": ["The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
+    "mpl": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"],
+}
+# How licences are called, in one word that means nothing else.
+NAMES = {
+    "agpl": "agpl agplv3 agpl-3.0 agpl-3.0-only agpl-3.0-or-later", "apache": "apache-2.0 apache2 apache2.0 asl2", "bsd": "bsd-2-clause bsd-3-clause bsd-style bsd3 bsd2 0bsd", "cc-by": "cc-by cc-by-4.0 cc-by-3.0", "cc-by-nc": "cc-by-nc cc-by-nc-4.0 cc-by-nc-sa cc-by-nc-sa-4.0",
+    "cc-by-nd": "cc-by-nd cc-by-nd-4.0", "cc-by-sa": "cc-by-sa cc-by-sa-4.0 cc-by-sa-3.0", "cc0": "cc0 cc0-1.0 unlicense", "gpl": "gplv2 gplv3 gpl-2.0 gpl-3.0 gpl2 gpl3 gpl-2.0-only gpl-2.0-or-later gpl-3.0-only gpl-3.0-or-later",
+    "lgpl": "lgpl lgplv2.1 lgplv3 lgpl-2.1 lgpl-3.0 lgpl-2.1-or-later lgpl-3.0-or-later", "mit": "mit-licensed mit-style", "mpl": "mpl-2.0 mplv2",
+}
+SURE = sorted({w for names in NAMES.values() for w in names.split()})
+# Names of several words, and notices of their own. After "=" only the pairs of neighbours count, as the words mean other things too.
+LONGER = {
+    "agpl": ["GNU AGPL v3"], "apache": ["=Apache License", "=Apache Software License", "=Apache 2.0", "=Apache 2"], "bsd": ["BSD 3-Clause", "BSD 2-Clause", "=BSD License", "=BSD licensed"], "cc-by": ["Creative Commons Attribution", "=CC BY 4.0"], "cc-by-nc": ["Creative Commons Attribution-NonCommercial", "CC BY-NC"],
+    "cc-by-nd": ["Creative Commons Attribution-NoDerivatives", "CC BY-ND"], "cc-by-sa": ["Creative Commons Attribution-ShareAlike", "CC BY-SA"], "cc0": ["Creative Commons Zero", "Public Domain Dedication", "dedicated to the public domain"], "gpl": ["GNU General Public License", "GNU GPL", "=GPL license", "=license GPL", "GPL v2", "GPL v3", "GPL version 3"],
+    "isc": ["=ISC License", "Licensed under the ISC License", "SPDX-License-Identifier: ISC"], "lgpl": ["GNU Lesser General Public License", "GNU LGPL", "LGPL v3"], "mit": ["=MIT License", "=MIT Licence", "=license MIT", "=MIT licensed"], "mpl": ["Mozilla Public License", "=MPL 2.0"],
+}
+# What stands before a name.
+BEFORE = ["", "note", "this file", "copyright 2020 someone", "the author says", "code and data", "license", "licensed under the", "is licensed under", "distributed under the", "released under the", "under the terms of the", "spdx-license-identifier"]
 # Ordinary lines near the subject.
 ORDINARY = [
     "He lost his driving licence last year", "The board renewed the licence of the restaurant", "You need permission from your parents to go", "The warranty of the car has run out", "A fishing license costs ten dollars",
@@ -70,44 +106,63 @@ def _grams(w: list[str]) -> set[str]:
 
 
 def grams(line: str) -> set[str]:
-    """Words and word pairs of a line, as the executors see them."""
-    return _grams(re.findall(_WORD, line.lower()))
+    """Words and word pairs of a line, as the executors see them; of a notice that begins with "=", pairs alone."""
+    found = _grams(re.findall(_WORD, line.lower()))
+    return {g for g in found if " " in g} if line.startswith("=") else found
+
 
+def _with_short_forms() -> dict[str, list[str]]:
+    """The notices, sentences of the licences' texts, and names."""
+    return {f: list(dict.fromkeys([*NOTICES.get(f, []), *SENTENCES.get(f, []), *LONGER.get(f, []), *NAMES.get(f, "").split()])) for f in sorted({*NOTICES, *LONGER})}
+
+
+NOTICES = _with_short_forms()
 
 #: Words of the longest notice: of windows of twice as many words, one every REACH, one holds any notice whole.
 REACH = max(len(re.findall(_WORD, n.lower())) for ns in NOTICES.values() for n in ns)
 
 
 def _most(notice: set[str], words: set[str]) -> int:
-    """How many words and pairs of a notice a unit may have that has one of the words at most."""
-    own = {w for w in notice if " " not in w} & words
-    return max(sum(not (set(g.split(" ")) & own) - {w} for g in notice) for w in [None, *own])
+    """How many words and pairs of a notice a unit may have that has one of the words at most, and no name."""
+    own = {w for g in notice for w in g.split(" ")} & words
+    return max(sum(not (set(g.split(" ")) & own) - {w} for g in notice) for w in [None, *(own - {*SURE})])
 
 
 @functools.cache
 def gate() -> list[str]:
-    """Words two of which every unit has that a notice may confirm; those not frequent in any text, rare in ordinary lines, and in most notices, come first."""
+    """Words two of which, or a name, every unit has that a notice may confirm; those not frequent in any text, rare in ordinary lines, and in most notices, come first."""
     ordinary = Counter(w for n in ORDINARY for w in re.findall(_WORD, n.lower()))
-    notices, chosen = [grams(n) for ns in NOTICES.values() for n in ns], set()
-    while live := [x for x in notices if _most(x, chosen) >= CONFIRMED * len(x)]:
-        held = Counter(w for x in live for w in x if " " not in w and w not in chosen)
+    live, chosen = [grams(n) for ns in NOTICES.values() for n in ns], {*SURE}
+    while live := [x for x in live if _most(x, chosen) >= CONFIRMED * len(x)]:  # a word more never lets a notice in again
+        held = Counter(w for x in live for w in {v for g in x for v in g.split(" ")} if w not in chosen)
         chosen.add(min(held, key=lambda w: (w in FREQUENT, ordinary[w], -held[w], w)))
     return sorted(chosen)
 
 
 def _pattern(words: list[str]) -> str:
-    """One of the words, each shared beginning once: a choice by the next character, not by every word."""
+    """One of the words, each shared beginning once: a choice by the next character, not by every word; many choices by a few classes of characters first."""
     after: dict[str, list[str]] = {}
     for w in words:
         if w:
             after.setdefault(w[0], []).append(w[1:])
-    choices = "|".join(re.escape(c) + _pattern(rest) for c, rest in sorted(after.items()))
+    each = {c: re.escape(c) + _pattern(rest) for c, rest in sorted(after.items())}
+    if len(each) > 6:
+        parts = [list(each)[k : k + 5] for k in range(0, len(each), 5)]
+        choices = "|".join(f"(?=[{''.join(map(re.escape, part))}])(?:{'|'.join(each[c] for c in part)})" for part in parts)
+    else:
+        choices = "|".join(each.values())
     return f"(?:{choices}){'?' if '' in words else ''}" if choices else ""
 
 
+def _weight(words):
+    """Of different words of the gate: how many, names counted twice. Above 1, they may be a notice's."""
+    return F.size(words) + F.size(F.array_intersect(words, _literal(SURE, "array<string>")))
+
+
 def _hits(text):
-    """The different words of the gate in a text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<![a-z0-9]){_pattern(gate())}(?![a-z0-9])"), F.lit(0)))
+    """The weight of the words of the gate in a text."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<![a-z0-9]){_pattern(gate())}(?![a-z0-9])"), F.lit(0)))
+    return F.transform(F.array(found), _weight)[0]  # found once
 
 
 def _shortest(line: str) -> list[set[str]]:
@@ -120,37 +175,40 @@ def _shortest(line: str) -> list[set[str]]:
 def _varied(line: str, r: np.random.Generator) -> set[str]:
     """Features of a notice as it may stand among other words, with words lost at its ends or anywhere, and confirmed still."""
     w = re.findall(_WORD, line.lower())
-    whole, kind = _grams(w), r.integers(3)
+    whole, kind = grams(line), r.integers(3)
     at = r.integers(0, len(w))
     own = w if kind == 0 else [x for x in w if r.random() > 0.15] if kind == 1 else w[at:] if r.random() < 0.5 else w[: len(w) - at]
     if len(_grams(own) & whole) < CONFIRMED * len(whole):
         own = w
     around = [str(x) for n in r.choice(ORDINARY, r.integers(0, 4)) for x in re.findall(_WORD, n.lower())]
     at = r.integers(0, len(around) + 1)
-    lead = str(r.choice(["", "note", "this file", "copyright 2020 someone", "the author says", "code and data"])).split()
+    lead = str(r.choice(BEFORE if len(w) < 4 else BEFORE[:6])).split()
     return _grams([*around[:at], *lead, *own, *str(r.choice(["", "see file", "for details", "and others"])).split(), *around[at:]])
 
 
-def _fitted(notices: dict[str, list[str]], classes: list[str], at: dict[str, int], r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def _fitted(notices: dict[str, list[str]], classes: list[str], at: dict[str, int], r: np.random.Generator, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias of the regression on variants of notices and of ordinary lines."""
+    short = lambda n: n.startswith("=") or " " not in n
     lines = [(_varied(n, r), classes.index(c)) for c, ns in notices.items() for n in ns for _ in range(8)]
-    lines += [(x, classes.index(c)) for c, ns in notices.items() for n in ns for x in _shortest(n) for _ in range(2)]
-    lines += _ordinary(classes, at, r, 6)
+    lines += [(x, classes.index(c)) for c, ns in notices.items() for n in ns if not short(n) for x in _shortest(n) for _ in range(2)]
+    lines += _ordinary(classes, at, r, 9)
     x, y = _matrix(lines, at)
-    target = np.eye(len(classes))[y]
-    weight, bias = np.zeros((len(at), len(classes))), np.zeros(len(classes))
-    share = 1 / np.maximum(np.bincount(y, minlength=len(classes)), 1)[y] / len(classes)
-    for _ in range(800):
+    x = x.astype(np.float32)
+    target = np.eye(len(classes), dtype=np.float32)[y]
+    weight, bias = np.zeros((len(at), len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    moved, shifted = np.zeros_like(weight), np.zeros_like(bias)
+    share = (1 / np.maximum(np.bincount(y, minlength=len(classes)), 1)[y] / len(classes)).astype(np.float32)
+    for _ in range(rounds):  # with momentum
         z = x @ weight + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         d = (p / p.sum(axis=1, keepdims=True) - target) * share[:, None]
-        weight -= 4.0 * (x.T @ d + 1e-4 * weight)
-        bias -= 4.0 * d.sum(axis=0)
-    return weight, bias
+        moved, shifted = 0.9 * moved - 2.0 * (x.T @ d + 1e-4 * weight), 0.9 * shifted - 2.0 * d.sum(axis=0)
+        weight, bias = weight + moved, bias + shifted
+    return weight.astype(np.float64), bias.astype(np.float64)
 
 
 def _ordinary(classes: list[str], at: dict[str, int], r: np.random.Generator, rounds: int) -> list[tuple[set[str], int]]:
-    words = [g for g in at if " " not in g]
+    words = [g for g in at if " " not in g and g not in SURE]
     lines = [re.findall(_WORD, " ".join(r.choice(ORDINARY, r.integers(1, 4))).lower()) for _ in range(rounds * len(ORDINARY))]
     lines += [r.choice(words, r.integers(1, 25)).tolist() for _ in range(rounds * 40)]
     return [(_grams(w), len(classes) - 1) for w in lines]
@@ -184,7 +242,7 @@ def model(seed: int = 0) -> dict:
         kept = {c: [n for k, n in enumerate(ns) if k % FOLDS != fold] for c, ns in NOTICES.items()}
         held = [(_varied(n, r), classes.index(c)) for c, ns in NOTICES.items() for k, n in enumerate(ns) if k % FOLDS == fold and kept[c] for _ in range(2)]
         known = {g: i for i, g in enumerate(sorted(set().union(*(grams(n) for ns in kept.values() for n in ns))))}
-        weight, bias = _fitted({c: ns for c, ns in kept.items() if ns}, classes, known, r)
+        weight, bias = _fitted({c: ns for c, ns in kept.items() if ns}, classes, known, r, 100)
         x, y = _matrix(held + _ordinary(classes, known, r, 1)[: len(held)], known)
         logits.append(x @ weight + bias)
         truth.append(y)
@@ -197,7 +255,7 @@ def model(seed: int = 0) -> dict:
     temperature = min(np.geomspace(0.2, 20, 90), key=loss)
     p = _probabilities(z / temperature)
     held = {"right": float((p.argmax(axis=1) == y)[notice].mean()), "taken": float((p[notice, -1] < PROBABLE).mean()), "ordinary": float((p[~notice, -1] > PROBABLE).mean()), "temperature": float(temperature)}
-    weight, bias = _fitted(NOTICES, classes, at, r)
+    weight, bias = _fitted(NOTICES, classes, at, r, 300)
     return {"classes": classes, "weights": {g: [round(float(v), 6) for v in weight[i] / temperature] for g, i in at.items()}, "bias": [round(float(v), 6) for v in bias / temperature], "held": held}
 
 
@@ -243,13 +301,13 @@ def _windows(text):
 def _confirmed(units):
     """The verdicts of the units, arrays of words, that a notice confirms; those without two words of the gate are not scored."""
     words = _literal(gate(), "array<string>")
-    scored = F.transform(F.filter(units, lambda u: F.size(F.array_intersect(u, words)) > 1), _scored)
+    scored = F.transform(F.filter(units, lambda u: _weight(F.array_intersect(u, words)) > 1), _scored)
     return F.filter(scored, lambda x: (x["unknown"] < PROBABLE) & (x["similarity"] >= CONFIRMED))
 
 
 def _paragraph(p):
     """lines: verdicts of confirmed lines; joined: of windows of the joined lines, for families that no line has, the best of each."""
-    lines = F.flatten(F.transform(F.filter(F.split(p, "\n"), lambda x: F.size(_hits(x)) > 1), _windows))
+    lines = F.flatten(F.transform(F.filter(F.split(p, "\n"), lambda x: _hits(x) > 1), _windows))
     joined = F.when(F.contains(p, F.lit("\n")), _windows(p)).otherwise(F.array().cast("array<array<string>>"))
 
     def both(own):
@@ -271,12 +329,12 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     without one. n_notices counts confirmed lines (windows of long ones), and one
     for each family that only joined lines of a paragraph have. families holds
     all confirmed, in order; n_unconfirmed counts paragraphs with two words of the
-    gate and no confirmed notice. Null and empty texts have no paragraphs; repeated
+    gate, or a name, and no confirmed notice. Null and empty texts have no paragraphs; repeated
     rows and null ids come through; no rows give none; other columns are not read.
     """
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(F.col(text).cast("string")).alias("text"))
-    paragraphs = F.filter(F.split("text", _BLANK), lambda p: F.size(_hits(p)) > 1)
-    gated = narrow.select("doc_id", F.when(F.size(_hits(F.col("text"))) > 1, F.transform(paragraphs, _paragraph)).alias("found"))
+    paragraphs = F.filter(F.split("text", _BLANK), lambda p: _hits(p) > 1)
+    gated = narrow.select("doc_id", F.when(_hits(F.col("text")) > 1, F.transform(paragraphs, _paragraph)).alias("found"))
     none = F.array().cast("array<struct<family:string,p:double,s:double>>")
     counted = gated.select("doc_id", F.coalesce(F.size(F.filter("found", lambda x: F.size(x) == 0)), F.lit(0)).alias("n"), F.coalesce(F.flatten("found"), none).alias("sure"))
     best = F.element_at(F.array_sort(F.transform("sure", lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["family"].alias("family")))), 1)
@@ -302,7 +360,10 @@ def equivalent_sql() -> str:
     sums = listed(f"sum(v[{i + 1}]) + {b!r}::DOUBLE" for i, b in enumerate(m["bias"]))
     # there is no looking behind: what parts words is doubled, so that a match may use it up on both sides
     doubled = "|".join(re.sub(r"([^a-z0-9])", r"\\\1\\\1", w) for w in sorted(gate(), key=lambda w: (-len(w), w)))
-    hits = lambda x: f"len(list_distinct(regexp_extract_all(regexp_replace({x}, '([^a-z0-9])', '\\1\\1', 'g'), '(?:^|[^a-z0-9])({doubled})(?:[^a-z0-9]|$)', 1)))"
+    sure = listed(text(w) for w in SURE)
+    twice = listed(text(re.sub(r"([^a-z0-9])", r"\1\1", w)) for w in SURE)
+    found = lambda x: f"list_distinct(regexp_extract_all(regexp_replace({x}, '([^a-z0-9])', '\\1\\1', 'g'), '(?:^|[^a-z0-9])({doubled})(?:[^a-z0-9]|$)', 1))"
+    hits = lambda x: f"len({found(x)}) + len(list_intersect({found(x)}, {twice}))"
     words = lambda x: f"regexp_extract_all({x}, '{_WORD}')"
     return f"""
         WITH w AS (SELECT * FROM (VALUES {weights}) AS t(g, v)), notice AS (SELECT * FROM (VALUES {notices}) AS t(c, ng)),
@@ -315,7 +376,7 @@ def equivalent_sql() -> str:
         cut AS (SELECT q, joined, ws, unnest(range(0, greatest(ceil((len(ws) - {2 * REACH}) / {REACH}.0), 0)::BIGINT + 1)) AS i FROM r),
         u AS (SELECT row_number() OVER () AS u, q, joined, ws[i * {REACH} + 1 : i * {REACH} + {2 * REACH}] AS ws FROM cut),
         g AS (SELECT u, q, joined, list_distinct(list_concat(ws, list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]))) AS gs
-              FROM u WHERE len(list_filter({listed(map(text, gate()))}, lambda x: list_contains(ws, x))) > 1),
+              FROM u WHERE len(list_filter({listed(map(text, gate()))}, lambda x: list_contains(ws, x))) + len(list_filter({sure}, lambda x: list_contains(ws, x))) > 1),
         z AS (SELECT u, {sums} AS z FROM (SELECT u, unnest(gs) AS g FROM g) JOIN w USING (g) GROUP BY u),
         e AS (SELECT u, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z),
         b AS (SELECT u, e, list_position(e[:{len(NOTICES)}], list_max(e[:{len(NOTICES)}])) AS c FROM e),
