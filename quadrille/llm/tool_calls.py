@@ -12,10 +12,13 @@ Texts are parsed once; the events are written, and all that follows reads them
 there. Calls and results meet in a hash join on conversation and identifier;
 only they are shuffled, and an identifier with very many events is dealt over
 tasks. Events are put in topological order by a key instead of a sorted list, so
-no conversation is gathered in one task: calls of a message follow the calls they
-refer to ("$id" among their arguments), and a result stands after its call even
-where it was recorded before it. Between messages the order is that of turns: a
-call that refers to a call of a later message keeps its place.
+no conversation is gathered in one task: calls follow the calls they refer to
+("$id" among their arguments), and a result stands after its call even
+where it was recorded before it. Inside a message that is settled where it is
+parsed. A call that refers to a call of a later message moves to that
+message's turn, behind it; chains of such calls are settled by rounds of joins over them
+alone, a level a round. Where calls wait for each other in a ring, the first of them by turn,
+place and hash keeps its place, and the others follow.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ SCHEMAS = {
     }
 }
 
-_EVENT = "conv_id long, turn long, role string, kind string, call_id string, name string, arguments string, content string, ordinal int, text_hash long"
+_EVENT = "conv_id long, turn long, role string, kind string, call_id string, name string, arguments string, content string, ordinal int, text_hash long, needs array<string>"
 _OUT = "conv_id long, turn long, role string, kind string, call_id string, linked boolean, valid boolean, errors array<string>, at_turn long, at_step int, at_ordinal int, json string"
 
 
@@ -201,11 +204,11 @@ def _ordered(calls: list[tuple]) -> list[tuple]:
 
 
 def _events(role: str | None, text: str | None, turn: int | None = None) -> list[tuple]:
-    """(kind, call id, name, arguments, content) of one message; with a turn, plain ones of user and assistant are calls and results."""
+    """(kind, call id, name, arguments, content, ids referred to) of one message; with a turn, plain ones of user and assistant are calls and results."""
     found = _object(text) if role in ("assistant", "tool") else None
     if found and role == "tool" and isinstance(found.get("tool_call_id"), str):
         content = found.get("content")
-        return [("result", found["tool_call_id"], None, None, content if isinstance(content, str) or content is None else canonical(content))]
+        return [("result", found["tool_call_id"], None, None, content if isinstance(content, str) or content is None else canonical(content), None)]
     if found and role == "assistant" and isinstance(found.get("tool_calls"), list) and found["tool_calls"]:
         calls = []
         for c in found["tool_calls"]:
@@ -216,21 +219,60 @@ def _events(role: str | None, text: str | None, turn: int | None = None) -> list
             name, own = inner.get("name"), c.get("id")
             calls.append((own if isinstance(own, str) else None, name if isinstance(name, str) else None, canonical(parsed if parsed is not None or arguments is None else arguments), _references(parsed)))
         content = found.get("content")
-        first = [("message", None, None, None, content if isinstance(content, str) else canonical(content))] if content else []
-        return first + [("call", i, n, a, None) for i, n, a, _ in _ordered(calls)]
+        first = [("message", None, None, None, content if isinstance(content, str) else canonical(content), None)] if content else []
+        return first + [("call", i, n, a, None, sorted(needs) or None) for i, n, a, needs in _ordered(calls)]
     if turn is not None and role == "user":
         arguments = {"prompt": text, "turn": turn} | ({"after": f"$turn-{turn - 2}"} if turn >= 2 else {})
-        return [("call", f"turn-{turn}", REPLY, canonical(arguments), None)]
+        return [("call", f"turn-{turn}", REPLY, canonical(arguments), None, None)]  # what it refers to came before
     if turn is not None and role == "assistant":
-        return [("result", f"turn-{turn - 1}", None, None, text)]
-    return [("message", None, None, None, text)]
+        return [("result", f"turn-{turn - 1}", None, None, text, None)]
+    return [("message", None, None, None, text, None)]
+
+
+def _moved(events: DataFrame, ends: DataFrame) -> DataFrame | None:
+    """m_conv, m_call, m_turn, m_depth of calls that wait, at first or at second hand, for a call of a later message: the turn they go to, and how many calls deep they wait there. None if no call does.
+
+    A round settles the calls all of whose needs are settled, so rounds are as many as
+    the longest chain of calls concerned; if none is left but rings, the first call of each conversation's is settled where it is.
+    """
+    here = F.struct("turn", "ordinal", "text_hash")
+    asks = events.where("kind = 'call' AND needs IS NOT NULL AND turn IS NOT NULL AND conv_id IS NOT NULL").select("conv_id", here.alias("call"), F.explode("needs").alias("call_id"))
+    all_needs = asks.join(ends.where("first.turn IS NOT NULL").select("conv_id", "call_id", F.col("first").alias("need")), ["conv_id", "call_id"]).where("need <> call").select("conv_id", "call", "need").distinct()
+    forward = durable(all_needs.where("need.turn > call.turn"))
+    if forward.isEmpty():
+        return None
+    # nothing moves beyond the last turn that is waited for
+    last = forward.groupBy("conv_id").agg(F.max("need.turn").alias("last"))
+    needs = durable(all_needs.join(last, "conv_id").where("call.turn <= last").drop("last"))
+    concerned = new = durable(forward.select("conv_id", "call").distinct())
+    while not new.isEmpty():
+        behind = needs.join(new.select("conv_id", F.col("call").alias("need")), ["conv_id", "need"], "left_semi").select("conv_id", "call").distinct()
+        new = durable(behind.join(concerned, ["conv_id", "call"], "left_anti"))
+        concerned = durable(concerned.unionByName(new))
+    waits = durable(needs.join(concerned, ["conv_id", "call"], "left_semi"))
+    others = waits.select("conv_id", F.col("need").alias("call")).distinct().join(concerned, ["conv_id", "call"], "left_anti")
+    settled = durable(others.select("conv_id", "call", F.col("call.turn").alias("at"), F.lit(0).alias("depth")))
+    while not waits.isEmpty():
+        known = waits.join(settled.withColumnRenamed("call", "need"), ["conv_id", "need"], "left")
+        own = F.struct(F.col("call.turn").alias("at"), F.lit(0).alias("depth"))
+        later = (F.col("at") > F.col("call.turn")) | (F.col("at") == F.col("call.turn")) & (F.col("depth") > 0)
+        place = F.max(F.when(later, F.struct("at", (F.col("depth") + 1).alias("depth"))).otherwise(own))
+        fresh = known.groupBy("conv_id", "call").agg(F.count("*").alias("n"), F.count("at").alias("k"), place.alias("place")).where("n = k")
+        fresh = durable(fresh.select("conv_id", "call", F.col("place.at").alias("at"), F.col("place.depth").alias("depth")))
+        if fresh.isEmpty():
+            first = waits.groupBy("conv_id").agg(F.min("call").alias("call"))
+            fresh = durable(first.select("conv_id", "call", F.col("call.turn").alias("at"), F.lit(0).alias("depth")))
+        settled = durable(settled.unionByName(fresh))
+        waits = durable(waits.join(fresh, ["conv_id", "call"], "left_anti"))
+    gone = settled.where("at <> call.turn OR depth > 0")
+    return gone.select(F.col("conv_id").alias("m_conv"), F.col("call").alias("m_call"), F.col("at").alias("m_turn"), F.col("depth").alias("m_depth"))
 
 
 def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] | None = None, turns_are_calls: bool = False) -> DataFrame:
     """One row per event: conv_id, turn, role, kind, call_id, linked, valid, errors, at_turn, at_step, at_ordinal, json.
 
     Sorting by conv_id, at_turn, at_step, at_ordinal and turn gives the
-    topological order; json is the event in canonical form. linked: a call has a
+    topological order, over messages too; json is the event in canonical form. linked: a call has a
     result, a result a call, of the same conversation; the first call of an
     identifier, by turn, takes its results. A call is valid if its tool is in
     schemas, its arguments are an object, and they hold to its schema; events of
@@ -255,9 +297,9 @@ def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] | None =
         for batch in batches:
             out = []
             for conv, turn, role, text, h in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text", "text_hash")), strict=True):
-                out += [(conv, turn, role, *event, n, h) for n, event in enumerate(_events(role, text, turn if turns_are_calls else None))]
-            columns = list(zip(*out, strict=True)) or [()] * 10
-            types = (pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int32(), pa.int64())
+                out += [(conv, turn, role, *event, n, h, needs) for n, (*event, needs) in enumerate(_events(role, text, turn if turns_are_calls else None))]
+            columns = list(zip(*out, strict=True)) or [()] * 11
+            types = (pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int32(), pa.int64(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _EVENT.split(", ")])
 
     narrow = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -266,14 +308,22 @@ def link_tool_calls(conversations: DataFrame, schemas: dict[str, dict] | None =
     here = F.struct("turn", "ordinal", "text_hash")
     linkable = events.where("kind <> 'message'")
     ends = durable(linkable.groupBy(*on).agg(F.min(F.when(F.col("kind") == "call", here)).alias("first"), F.bool_or(F.col("kind") == "result").alias("answered"), F.count("*").alias("n")))
-    met = spread_join(linkable, ends.select(*on, "first", "answered"), on, ends, "left")
+    met = spread_join(linkable.drop("needs"), ends.select(*on, "first", "answered"), on, ends, "left")
+    moved = _moved(events, ends)
     is_call = F.col("kind") == "call"
     linked = F.when(is_call, F.col("answered") & (F.col("first") == here)).otherwise(F.col("first").isNotNull())
     met = met.withColumn("linked", F.coalesce(linked, F.lit(False)))
-    early = ~is_call & F.col("linked") & (F.col("turn") <= F.col("first.turn"))
+    if moved is None:
+        met = met.withColumns({"_turn": F.when(is_call, F.col("turn")).otherwise(F.col("first.turn")), "_depth": F.lit(0)})
+    else:
+        # where a call has gone, or the call of a result; calls are told apart by place and text
+        call = F.when(is_call, here).otherwise(F.col("first"))
+        found = met.withColumn("_call", call).join(moved, F.col("conv_id").eqNullSafe(F.col("m_conv")) & (F.col("_call") == F.col("m_call")), "left")
+        met = found.withColumns({"_turn": F.coalesce("m_turn", "_call.turn"), "_depth": F.coalesce("m_depth", F.lit(0))}).drop("m_conv", "m_call", "m_turn", "m_depth", "_call")
+    early = ~is_call & F.col("linked") & (F.col("turn") <= F.col("_turn"))
     placed = (
-        met.withColumn("at_turn", F.when(early, F.col("first.turn")).otherwise(F.col("turn")))
-        .withColumn("at_step", F.when(is_call, F.lit(1)).when(early, F.lit(2)).otherwise(F.lit(0)))
+        met.withColumn("at_turn", F.when(early | is_call, F.col("_turn")).otherwise(F.col("turn")))
+        .withColumn("at_step", F.when(is_call, 1 + 2 * F.col("_depth")).when(early, 2 + 2 * F.col("_depth")).otherwise(F.lit(0)).cast("int"))
         .withColumn("at_ordinal", F.when(is_call, F.col("ordinal")).when(early, F.col("first.ordinal")).otherwise(F.lit(0)))
     )
     rest = events.where("kind = 'message'").withColumn("linked", F.lit(False)).withColumn("at_turn", F.col("turn")).withColumn("at_step", F.lit(0)).withColumn("at_ordinal", F.col("ordinal"))

@@ -162,3 +162,49 @@ def test_rows_of_every_kind(link):
     assert [(r.linked, list(r.errors)) for r in out if r.conv_id == 3 and r.kind == "call"] == [(True, []), (True, []), (False, ["unknown tool"])]
     assert not any(r.linked for r in out if r.conv_id is None)
     assert link([]) == []
+
+
+def test_calls_follow_calls_of_later_messages(link):
+    rows = [
+        (1, 0, "assistant", said(call("a", a=1, b="$c"), call("b", a=1, b="$a"), call("d", a=1))),
+        (1, 1, "tool", answer("a")),
+        (1, 2, "assistant", said(call("e", a=1, b="$b"))),
+        (1, 3, "assistant", said(call("c", a=1))),
+        (1, 4, "assistant", said(call("f", a=1, b="$e"))),
+        (1, 5, "tool", answer("c")),
+        (2, 0, "assistant", said(call("x", a=1, b="$y"))),
+        (2, 1, "assistant", said(call("y", a=1, b="$z"))),
+        (2, 2, "assistant", said(call("z", a=1, b="$x"))),
+        (3, 0, "assistant", said(call("a", a=1, b="$c"))),
+    ]
+    got = [(r.conv_id, r.kind, r.call_id) for r in link(rows)]
+    # a waits for c, b for a, e for b; the result of a stands behind it; f comes later anyway
+    assert [x[1:] for x in got if x[0] == 1] == [("call", "d"), ("call", "c"), ("call", "a"), ("result", "a"), ("call", "b"), ("call", "e"), ("call", "f"), ("result", "c")]
+    # a ring: its first call stays, the others follow
+    assert [x[2] for x in got if x[0] == 2] == ["x", "z", "y"]
+    assert [x[2] for x in got if x[0] == 3] == ["a"]
+
+
+def test_order_holds_for_random_references(link):
+    import random
+
+    r = random.Random(4)
+    rows, needs = [], {}
+    for conv in range(12):
+        ids = [f"i{n}" for n in range(14)]
+        r.shuffle(ids)
+        for turn in range(7):
+            own = ids[2 * turn : 2 * turn + 2]
+            calls = []
+            for i in own:
+                target = f"i{r.randrange(int(i[1:]))}" if i != "i0" and r.random() < 0.8 else None  # to a smaller number: no rings
+                needs[conv, i] = target
+                calls.append(call(i, a=1, **({"b": f"${target}"} if target else {})))
+            rows.append((conv, turn, "assistant", said(*calls)))
+        rows += [(conv, r.randrange(7), "tool", answer(i)) for i in ids[:5]]
+    place = {}
+    for n, x in enumerate(link(rows)):
+        place.setdefault((x.conv_id, x.kind, x.call_id), n)
+    assert all(place[c, "call", t] < place[c, "call", i] for (c, i), t in needs.items() if t)
+    assert all(place[c, "call", i] < n for (c, kind, i), n in place.items() if kind == "result")
+    assert len(place) == 12 * 19
