@@ -9,7 +9,7 @@ from the best bound on, and inside a ring its vectors, sorted by distance, in
 narrower annuli; a query stops where the bound cannot reach its k-th score.
 Scores are integers throughout; only bounds are floating point, with room for rounding.
 
-Pivots are chosen from a bounded sample that is also the first source of
+Pivots, 16 or more, are chosen from a bounded sample, a small part of any but the smallest table, that is also the first source of
 thresholds; pivots times rings are at most PIVOTS * RINGS, so the bounds of all
 rings fit a broadcast. Vectors move once, into slices of whole rings or of parts
 of one, of bounded size whatever a pivot or ring gathers; a task holds a slice.
@@ -20,6 +20,7 @@ and the queries times the slices they may need.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .workspace import durable
 
-SAMPLE = 2048
+SAMPLE = 2048  # rows at most; of few rows, about k times the square root of their number
+LEAST = 16  # pivots, if the sample has so many different vectors
 PIVOTS = 64
 RINGS = 16
 PER_PIVOT = 4096  # vectors for which one more pivot is made, until there are PIVOTS
@@ -209,14 +211,14 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     if not total or not queries:
         return empty
     # a bounded sample of all rows: those with the smallest hashes; some four times as many are ranked, whatever the total
-    h = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
-    rows = narrow.where(h < min(1 << 40, -(-4 * SAMPLE * (1 << 40) // total))).orderBy(h, "vec_id").limit(SAMPLE).collect()
+    h, drawn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)), min(SAMPLE, max(4 * LEAST, k * math.isqrt(total)))
+    rows = narrow.where(h < min(1 << 40, -(-4 * drawn * (1 << 40) // total))).orderBy(h, "vec_id").limit(drawn).collect()
     x, ok = _integers(pa.array([r.v for r in rows], pa.list_(pa.float64())), scale, dim)
     ids = np.array([r.vec_id for r in rows], np.int64)
     x, ids = (x[ok], ids[ok]) if ok.any() else (np.zeros((1, dim)), np.array([0], np.int64))
     real = ok.any()
     lift = np.sqrt(np.maximum(square - (x**2).sum(axis=1), 0))
-    chosen = _far_apart(np.concatenate([x, lift[:, None]], axis=1), max(1, min(PIVOTS, total // PER_PIVOT)))
+    chosen = _far_apart(np.concatenate([x, lift[:, None]], axis=1), min(PIVOTS, max(LEAST, total // PER_PIVOT)))
     index = Index(scale, dim, square, x[chosen], lift[chosen], ids if real else ids[:0], (x if real else x[:0]).astype(np.int64), "<i2" if top < 2**15 else "<i4" if top < 2**31 else "<i8")
     sent = spark.sparkContext.broadcast(index)
     width = 2 * np.sqrt(square) / RINGS + 1e-9

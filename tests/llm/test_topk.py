@@ -68,3 +68,26 @@ def test_rings_are_skipped_where_bounds_allow():
     d = index.distances(x[:1], lifted=False)[:, 0]
     near, far = index.highest(np.array([1e6]), d, 0.0, 10.0), index.highest(np.array([1e6]), d, 1900.0, 2000.0)
     assert near[0] >= 1e6 and far[0] < 0
+
+
+def test_rings_of_the_real_table_are_skipped_and_the_sample_is_a_part_of_it(spark, monkeypatch):
+    """The index that the query builds over sf0.01: 16 pivots, a sample of less than half the table, and rings that queries pass over."""
+    seen = {}
+    send = spark.sparkContext.broadcast
+
+    def kept(self, x):
+        if isinstance(x, T.Index):
+            seen["index"] = x
+        return send(x)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", kept)
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = T.exact_top_k(vectors, F.col("vec_id") % 100 == 0).collect()
+    index, n = seen["index"], vectors.count()
+    assert len(index.pivots) == 16 and len(index.sample) < n / 2 and len(got) == 10 * vectors.where("vec_id % 100 = 0").count()
+    queries = [r.embedding for r in vectors.where("vec_id % 100 = 0").orderBy("vec_id").collect()]
+    q = np.floor(1024 * np.array(queries))
+    least = np.array([s for _, s in sorted((r.query_id, r.score) for r in got if r["rank"] == 10)], float)
+    d, squares = index.distances(q, lifted=False), (q**2).sum(axis=1)
+    skipped = sum(int((index.highest(squares, d[:, pivot], lo, hi) < least).sum()) for (pivot, _), (lo, hi) in index.rings.items())
+    assert skipped > 0.1 * len(q) * len(index.rings)
