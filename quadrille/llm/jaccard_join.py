@@ -45,7 +45,8 @@ from .textgrid import WHITESPACE_FOLDED, buffers, mix, shingle_sets, slices, wor
 from .workspace import WAYS, durable, spread_join
 
 HOT = 1000  # rows beyond the mean load of a sketch cell from which a column is dealt in parts
-BLOCK_ROWS, BLOCK_ENTRIES = 144, 1 << 20  # of classes of a component in a block, and of their n-grams
+BLOCK_ROWS, BLOCK_ENTRIES = 2048, 1 << 20  # of classes of a component in a block, and of their n-grams
+TILE_ROWS = 144  # of blocks that are multiplied at once
 
 _CLASS = ["n_shingles", "a", "b"]
 _ROWS = "doc_id long, n long, a long, b long, own long, common long, plain int, prefix array<long>, shared array<long>, counts array<tinyint>"
@@ -298,7 +299,7 @@ def _link_counts(classes: DataFrame, matrix: DataFrame, components: DataFrame, n
     keys = ["component", "i", "j"]
 
     def multiply(batches):
-        for table in _groups(batches, keys, BLOCK_ROWS):
+        for table in _groups(batches, keys, TILE_ROWS):
             n, copies, block, i, j = (table.column(c).to_numpy() for c in ("n", "copies", "block", "i", "j"))
             change = np.zeros(len(table), bool)
             for k in keys:
@@ -307,13 +308,36 @@ def _link_counts(classes: DataFrame, matrix: DataFrame, components: DataFrame, n
             group = np.cumsum(change)
             lists = table.column("shared").combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            size = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(table)), size)
-            values = lists.flatten().to_numpy().view(np.uint64) + mix(group.astype(np.uint64))[row]
-            both = overlaps(values, row, len(table))
-            linked = (both > 0) & (both * (num + den) >= (n[:, None] + n[None, :]) * num) & (group[:, None] == group[None, :]) & ((block[:, None] != block[None, :]) | (i == j)[:, None])
-            np.fill_diagonal(linked, False)
-            links = linked @ copies
+            at, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy().view(np.uint64)
+            at = at - at[0]
+            links = np.zeros(len(table), np.int64)
+
+            def tile(rows: np.ndarray, side: np.ndarray | None) -> None:
+                """Links among rows, or of those of one side with those of the other."""
+                size = (at[1:] - at[:-1])[rows]  # noqa: B023
+                row = np.repeat(np.arange(len(rows)), size)
+                entry = np.repeat(at[rows] - np.cumsum(size) + size, size) + np.arange(len(row))  # noqa: B023
+                both = overlaps(flat[entry] + mix(group[rows].astype(np.uint64))[row], row, len(rows))  # noqa: B023
+                own, of, cut = n[rows], group[rows], block[rows]  # noqa: B023
+                linked = (both > 0) & (both * (num + den) >= (own[:, None] + own[None, :]) * num) & (of[:, None] == of[None, :]) & ((cut[:, None] != cut[None, :]) | (i == j)[rows][:, None])  # noqa: B023
+                if side is not None:
+                    linked &= side[:, None] != side[None, :]
+                np.fill_diagonal(linked, False)
+                links[rows] += linked @ copies[rows]  # noqa: B023
+
+            whole = np.arange(len(table))
+            # groups of few rows together, a larger one by tiles of its two blocks, or of its one with itself
+            for own in [whole] if len(table) <= TILE_ROWS else np.split(whole, np.flatnonzero(change)):
+                first, last = i[own[0]], j[own[0]]
+                if len(own) <= TILE_ROWS:
+                    tile(own, None)
+                    continue
+                tiles = [np.split(r, range(TILE_ROWS, len(r), TILE_ROWS)) for r in (own[block[own] == first], own[block[own] == last])]
+                for x, mine in enumerate(tiles[0]):
+                    if first == last:
+                        tile(mine, None)
+                    for theirs in tiles[0][x + 1 :] if first == last else tiles[1]:
+                        tile(np.concatenate([mine, theirs]), np.arange(len(mine) + len(theirs)) < len(mine))
             some = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(n[some]), *(pa.array(table.column(c).to_numpy()[some]) for c in ("a", "b")), pa.array(links[some])], names=[*_CLASS, "links"])
 

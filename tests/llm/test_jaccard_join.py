@@ -79,7 +79,8 @@ def test_full_sketch_and_small_batches_lose_no_link(spark, make_docs, monkeypatc
 
 
 def test_blocks_and_parts_of_any_size_give_the_same(spark, make_docs, messy, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(J, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(J, "TILE_ROWS", 4)
     monkeypatch.setattr(J, "HOT", 1)
     monkeypatch.setattr(workspace, "WAYS", 2)
     monkeypatch.setattr(cm, "LISTED", 3)
