@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cuts import shared_folder
+
 SHARE = 256  # a key is hot if it has more than one row in so many; there are fewer hot keys than that
 WAYS = 64  # parts that the rows of a hot key are dealt to
 
@@ -12,13 +14,13 @@ WAYS = 64  # parts that the rows of a hot key are dealt to
 def durable(df: DataFrame) -> DataFrame:
     """df, written to spark.checkpoint.dir and read from there.
 
-    Where the session names no folder, the one of the warehouse is used: tasks
-    write their tables there, so all of them see it. A folder of one machine would not do.
+    Where the session names no folder, a local session has one in its warehouse; any
+    other is refused, as a folder of one machine would not do.
     """
     spark = SparkSession.builder.getOrCreate()
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or shared_folder(spark) + "/_checkpoints")
     return df.checkpoint(eager=True)
 
 
