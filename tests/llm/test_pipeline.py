@@ -67,11 +67,11 @@ def test_stages_take_rows_of_every_kind(spark, pipeline, make_docs, messy, tmp_p
 
 
 def test_every_operator_has_a_query_over_whole_tables(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in Q.QUERIES:
-        if name[2:].split("_")[0] in ("1", "2", "4", "6", "7", "8", "9", "10"):
-            assert Q.QUERIES[name](spark, SF).count() == n, name
+        if name[2:].split("_")[0] in ("1", "2", "4", "6", "7", "8", "9", "10", "11", "12"):
+            assert Q.QUERIES[name](spark, SF).count() == n * (2 if name.startswith("op12_") else 1), name
 
 
 @pytest.mark.parametrize("name", sorted(Q.SQL))
@@ -81,10 +81,12 @@ def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got, want = Q.QUERIES[name](spark, SF).toPandas(), con.sql(Q.SQL[name]).df()
+    got, want = Q.QUERIES[name](spark, SF), con.sql(Q.SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    assert sorted(map(repr, got[columns].astype(object).values.tolist())) == sorted(map(repr, want[columns].astype(object).values.tolist()))
+    at = [want.columns.index(c) for c in columns]
+    # rows as they are: a frame of pandas would write nulls among integers in two ways
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
 def test_columns_of_the_contracts(spark):
