@@ -14,11 +14,19 @@ count-min sketch of its seeds lets each document give out only seeds that the
 benchmark may have; they meet the benchmark's in a join, pairs whose seeds could
 not cover enough are dropped while counts are still partial, and only the texts
 of the pairs left are tiled. Both ways give the same rows.
+
+A tile's words all stand in seeds that the document has. So an item may give up
+seeds, its most common ones first, as long as the words in them are fewer than
+THRESHOLD asks: no document reaches it by those alone, and a pair that meets in
+no other seed need not be looked at. Only seeds that more than COMMON texts, or
+places of a benchmark that is sent, have are given up; so boilerplate in all items
+and all documents makes no pairs, and the rest of the bound stays sharp.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +41,12 @@ from .workspace import durable, spread_join
 MIN_MATCH = 5
 THRESHOLD = 0.8
 BLOCK_BYTES = 16 << 20
+COMMON = 256  # a seed that more texts or places have is given up, if its item can do without
 EXPANDED = 1 << 20  # places of seeds in items that are looked at at once, for whole rows
 
 _HIT = "array<struct<item_id:long,coverage:double>>"
 _KEY = ["text_a", "text_b"]
+_ITEM = ["item_id", "item_a", "item_b"]
 
 
 def _words(column: pa.Array) -> Words:
@@ -57,23 +67,52 @@ def _of_length(w: Words, k: int):
         yield n, size >= k if n == k else size == n
 
 
+def given_up(common: list[tuple[int, int, int]], size: int, n: int, threshold: float) -> tuple[list[int], int]:
+    """Seeds of n words that an item of size words can do without, and how many words they cover.
+
+    common: (how common, seed, place) of its common seeds. The most common go
+    first; a seed goes with all its places, or not at all.
+    """
+    order = sorted(common, key=lambda x: (-x[0], x[1], x[2]))
+    covered, seeds, total = np.zeros(size, bool), [], 0
+    for (_, seed), places in groupby(order, key=lambda x: x[:2]):
+        after = covered.copy()
+        for _, _, place in places:
+            after[place : place + n] = True
+        if (count := int(after.sum())) / size < threshold - 1e-9:
+            covered, total = after, count
+            seeds.append(seed)
+    return seeds, total
+
+
 @dataclass
 class Block:
-    """Items, their word hashes, and by length of seed the seeds sorted by hash with the item and place of each."""
+    """Items, their word hashes, how many of their words stand in seeds given up, and by length of seed the other seeds sorted by hash with the item and place of each."""
 
     ids: np.ndarray
     words: list[np.ndarray]
+    given: np.ndarray
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
-    def of(items: list[tuple[int, str]], k: int) -> Block:
+    def of(items: list[tuple[int, str]], k: int, threshold: float = THRESHOLD) -> Block:
         w, seeds = _words(pa.array([t for _, t in items], pa.string())), {}
+        size, given = np.diff(w.first), np.zeros(len(items), np.int64)
         for n, which in _of_length(w, k):
             seed, item, place = _seeds(w, n)
             own = which[item]
             order = np.argsort(seed[own], kind="stable")
-            seeds[n] = tuple(x[own][order] for x in (seed, item, place))
-        return Block(np.array([i for i, _ in items], np.int64), [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)], seeds)
+            seed, item, place = (x[own][order] for x in (seed, item, place))
+            _, group, places = np.unique(seed, return_inverse=True, return_counts=True)
+            common = np.flatnonzero(places[group] > COMMON)
+            common = common[np.argsort(item[common], kind="stable")]
+            kept = np.ones(len(seed), bool)
+            for i, own in groupby(common.tolist(), key=lambda x: item[x]):
+                own = list(own)
+                gone, given[i] = given_up([(int(places[group[x]]), int(group[x]), int(place[x])) for x in own], int(size[i]), n, threshold)
+                kept[own] = ~np.isin(group[own], gone)
+            seeds[n] = seed[kept], item[kept], place[kept]
+        return Block(np.array([i for i, _ in items], np.int64), [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)], given, seeds)
 
 
 def _distinct(seed: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +124,8 @@ def _distinct(seed: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return seed[keep], row[keep]
 
 
-def _reachable(seed: np.ndarray, row: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, length: np.ndarray, threshold: float):
-    """Pairs of row and item whose common seeds, were all of them marked, would cover enough."""
+def _reachable(seed: np.ndarray, row: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, length: np.ndarray, given: np.ndarray, threshold: float):
+    """Pairs of row and item whose common seeds, were all of them and those given up marked, would cover enough."""
     known, of_item, at = found
     low, high = np.searchsorted(known, seed, "left"), np.searchsorted(known, seed, "right")
     some = high > low
@@ -106,7 +145,7 @@ def _reachable(seed: np.ndarray, row: np.ndarray, found: tuple[np.ndarray, np.nd
         new = np.append(True, (r[1:] != r[:-1]) | (item[1:] != item[:-1]))
         step = np.full(len(r), n)
         step[:-1] = np.where(new[1:], n, np.minimum(n, np.diff(place)))
-        most = np.bincount(np.cumsum(new) - 1, weights=step)
+        most = np.bincount(np.cumsum(new) - 1, weights=step) + given[item[new]]
         enough = most >= threshold * length[item[new]] - 1e-9
         yield from zip(r[new][enough].tolist(), item[new][enough].tolist(), strict=True)
 
@@ -125,7 +164,7 @@ def _hits(batch_text: pa.Array, block: Block, k: int, threshold: float) -> dict[
         if not len(seed) or not len(found[0]):
             continue
         hit = found[0][np.minimum(np.searchsorted(found[0], seed), len(found[0]) - 1)] == seed
-        for r, item in _reachable(*_distinct(seed[hit], row[hit]), found, n, length, threshold):
+        for r, item in _reachable(*_distinct(seed[hit], row[hit]), found, n, length, block.given, threshold):
             covered = _coverage(block.words[item], w.hash[w.first[r] : w.first[r + 1]], k)
             if covered >= threshold - 1e-9:
                 out.setdefault(r, []).append((int(block.ids[item]), covered))
@@ -137,24 +176,39 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
 
 
-def _sent(benchmark: DataFrame, k: int, block_bytes: int):
+def _sent(benchmark: DataFrame, k: int, threshold: float, block_bytes: int):
     """The benchmark for all tasks, or None if it has more than block_bytes."""
     items = _items(benchmark)
     if items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0] > block_bytes:
         return None
     # of at most block_bytes, as just seen
-    return benchmark.sparkSession.sparkContext.broadcast(Block.of(sorted((r.item_id, r.text) for r in items.collect()), k))
+    return benchmark.sparkSession.sparkContext.broadcast(Block.of(sorted((r.item_id, r.text) for r in items.collect()), k, threshold))
 
 
-def _keyed(text) -> list:
+def _keyed(text, names=("text_a", "text_b")) -> list:
     """128 bits that stand for a text."""
-    return [F.xxhash64(F.lit(41), text).alias("text_a"), F.xxhash64(F.lit(43), text).alias("text_b")]
+    return [F.xxhash64(F.lit(seed), text).alias(name) for seed, name in zip((41, 43), names, strict=True)]
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float) -> DataFrame:
-    """text_a, text_b, item_id, coverage of all texts of docs (a column text) and items that contaminate them, by joins."""
-    items = durable(_items(benchmark).select("item_id", *_keyed(F.col("text")), "text"))
-    texts = docs.select(*_keyed(F.col("text")), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+def _given(placed: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """item, seed, given: the seeds that items give up, and how many words of the item all of them cover; common: seed, n."""
+
+    def choose(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                seeds, total = given_up([(x["n"], x["seed"], x["place"]) for x in row["common"]], row["words"], row["width"], threshold)
+                out += [(row["item_id"], row["item_a"], row["item_b"], seed, total) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [()] * 5)], names=[*_ITEM, "seed", "given"])
+
+    # what is gathered are places of one item, as many as its words
+    placed_common = spread_join(placed.withColumnRenamed("n", "width"), common, ["seed"], placed.groupBy("seed").agg(F.count("*").alias("n")))
+    gathered = placed_common.groupBy(*_ITEM, "words", "width").agg(F.collect_list(F.struct("n", "seed", "place")).alias("common"))
+    return gathered.mapInArrow(choose, "item_id long, item_a long, item_b long, seed long, given long")
+
+
+def _candidates(texts: DataFrame, items: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a text and an item that meet in a seed, with a row for each such seed; and of these the pairs whose seeds could cover enough."""
 
     def hashes(batch):
         w = _words(batch.column("text"))
@@ -162,18 +216,18 @@ def _joined(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float) ->
 
     sketch = cm.build(items.select("text"), hashes, cm.text_bytes(items) // 4, depth=1)
     lengths = range(1, k + 1)
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+    sent = texts.sparkSession.sparkContext.broadcast(sketch)
 
     def of_items(batches):
         for batch in slices(batches):
             w = _words(batch.column("text"))
             size = np.diff(w.first)
             for n, which in _of_length(w, k):
-                seed, text, _ = _seeds(w, n)
+                seed, text, place = _seeds(w, n)
                 own = which[text]
-                seed, text = seed[own], text[own]
-                keys = [batch.column(c).to_numpy()[text] for c in ("item_id", *_KEY)]
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), *map(pa.array, keys), pa.array(size[text]), pa.array(np.full(len(seed), n))], names=["seed", "item_id", "item_a", "item_b", "words", "n"])
+                seed, text, place = seed[own], text[own], place[own]
+                keys = [batch.column(c).to_numpy()[text] for c in _ITEM]
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), *map(pa.array, keys), pa.array(size[text]), pa.array(np.full(len(seed), n)), pa.array(place)], names=["seed", *_ITEM, "words", "n", "place"])
 
     def of_documents(batches):
         for batch in slices(batches):
@@ -184,17 +238,29 @@ def _joined(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float) ->
                 seed, text = _distinct(seed[here], text[here])
                 yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), *(pa.array(batch.column(c).to_numpy()[text]) for c in _KEY)], names=["seed", *_KEY])
 
-    # a seed stands once for an item, with the number of its places; and once for a text, however many documents have that
-    known = durable(items.mapInArrow(of_items, "seed long, item_id long, item_a long, item_b long, words long, n long").groupBy("seed", "item_id", "item_a", "item_b", "words", "n").agg(F.count("*").alias("places")))
-    met = durable(texts.mapInArrow(of_documents, "seed long, text_a long, text_b long").distinct().join(known.select("seed").distinct(), "seed", "left_semi"))
-    pairs = spread_join(met, known, ["seed"], met.groupBy("seed").agg(F.count("*").alias("n")))
-    pair = [*_KEY, "item_id", "item_a", "item_b"]
-    able = durable(pairs.groupBy(*pair, "words").agg(F.sum(F.col("places") * F.col("n")).alias("most")).where(F.col("most") >= threshold * F.col("words") - 1e-9).select(*pair))
+    placed = durable(items.mapInArrow(of_items, "seed long, item_id long, item_a long, item_b long, words long, n long, place long"))
+    # a seed stands once for a text, however many documents have that
+    met = durable(texts.mapInArrow(of_documents, "seed long, text_a long, text_b long").distinct().join(placed.select("seed").distinct(), "seed", "left_semi"))
+    counts = met.groupBy("seed").agg(F.count("*").alias("n"))
+    given = durable(_given(placed, counts.where(F.col("n") > COMMON), threshold))
+    # and once for an item, with the number of its places
+    known = placed.join(given.select("seed", *_ITEM), ["seed", *_ITEM], "left_anti").groupBy("seed", *_ITEM, "words", "n").agg(F.count("*").alias("places"))
+    known = durable(known.join(given.groupBy(*_ITEM).agg(F.max("given").alias("given")), _ITEM, "left").fillna(0, ["given"]))
+    pairs = spread_join(met, known, ["seed"], counts)
+    most = F.sum(F.col("places") * F.col("n")) + F.col("given")
+    return pairs, pairs.groupBy(*_KEY, *_ITEM, "words", "given").agg(most.alias("most")).where(F.col("most") / F.col("words") >= threshold - 1e-9).select(*_KEY, *_ITEM)
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float) -> DataFrame:
+    """text_a, text_b, item_id, coverage of all texts of docs (a column text) and items that contaminate them, by joins."""
+    items = durable(_items(benchmark).select("item_id", *_keyed(F.col("text"), _ITEM[1:]), "text"))
+    texts = docs.select(*_keyed(F.col("text")), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    able = durable(_candidates(texts, items, k, threshold)[1])
 
     # one text of each key, then its items, in one stream
     wanted = able.select(*_KEY).distinct()
     first = spread_join(texts, wanted, _KEY, texts.groupBy(*_KEY).agg(F.count("*").alias("n")), "left_semi").groupBy(*_KEY).agg(F.first("text").alias("text"))
-    with_item = spread_join(able, items.withColumnsRenamed({"text_a": "item_a", "text_b": "item_b"}), ["item_id", "item_a", "item_b"], able.groupBy("item_id", "item_a", "item_b").agg(F.count("*").alias("n")), part=_KEY)
+    with_item = spread_join(able, items, _ITEM, able.groupBy(*_ITEM).agg(F.count("*").alias("n")), part=_KEY)
     rows = first.select(*_KEY, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("item_id"), "text").unionByName(with_item.select(*_KEY, F.lit(1).alias("kind"), "item_id", "text"))
 
     def tiled(batches):
@@ -224,7 +290,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     of matches, however repetitive texts and items are.
     """
     start = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    block = _sent(benchmark, k, block_bytes)
+    block = _sent(benchmark, k, threshold, block_bytes)
     if block is None:
         pairs = _joined(start, benchmark, k, threshold)
         hits = pairs.groupBy(*_KEY, "item_id").agg(F.max("coverage").alias("coverage")).groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("item_id", "coverage"))).alias("items"))
@@ -245,7 +311,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k: int = MIN_MATCH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that no item of the benchmark contaminates, whole."""
-    block = _sent(benchmark, k, block_bytes)
+    block = _sent(benchmark, k, threshold, block_bytes)
     if block is None:
         key = [f"_{c}" for c in _KEY]
         bad = _joined(docs, benchmark, k, threshold).select(*(F.col(a).alias(b) for a, b in zip(_KEY, key, strict=True))).distinct()

@@ -53,7 +53,9 @@ def result(df):
 
 
 @pytest.mark.parametrize("block", [D.BLOCK_BYTES, 400])
-def test_tiles_are_those_of_brute_force(spark, make_docs, block):
+@pytest.mark.parametrize("common", [0, 3, D.COMMON])
+def test_tiles_are_those_of_brute_force(spark, make_docs, block, common, monkeypatch):
+    monkeypatch.setattr(D, "COMMON", common)
     r = random.Random(7)
     say = lambda n: [r.choice("alpha beta gamma delta épsilon zeta".split()) + str(r.randrange(4)) for _ in range(n)]
     items = [(i, say(r.randrange(3, 28))) for i in range(25)]
@@ -83,8 +85,10 @@ def test_reordered_sentences_are_caught_and_shared_words_are_not(spark, make_doc
 
 
 @pytest.mark.parametrize("limit", [1, 2, 7, tiling.LIMIT])
-def test_tiles_of_few_words_with_few_matches_held(limit, monkeypatch):
+@pytest.mark.parametrize("few", [-1, tiling.FEW])
+def test_tiles_of_few_words_with_few_matches_held(limit, few, monkeypatch):
     monkeypatch.setattr(tiling, "PAIRS", 16)
+    monkeypatch.setattr(tiling, "FEW", few)
     r = random.Random(limit)
     for _ in range(150):
         letters = r.choice([1, 2, 3, 6])
@@ -107,6 +111,48 @@ def test_equal_words_without_end(spark, make_docs):
     assert D._hits(pa.array([two]), D.Block.of([(1, two[:3000])], 5), 5, 0.8) == {0: [(1, 1.0)]}
 
 
+def test_texts_of_two_words_take_no_long_searches(monkeypatch):
+    r = np.random.default_rng(1)
+    item, text = (r.integers(0, 2, n).astype(np.uint64) + np.uint64(9) for n in (1_500, 20_000))
+    began = time.process_time()
+    found = tiling.tiles(item, text, 5)
+    assert time.process_time() - began < 2
+    monkeypatch.setattr(tiling, "FEW", 1 << 60)
+    assert found == tiling.tiles(item, text, 5)
+
+
+def test_given_up_seeds_leave_no_way_to_the_threshold():
+    r = random.Random(3)
+    for _ in range(300):
+        size, n, threshold = r.randrange(5, 40), r.randrange(1, 6), r.choice([0.5, 0.8, 1.0])
+        common = [(r.randrange(3), r.randrange(12), place) for place in range(size - n + 1)]
+        common = [(s % 3, s, p) for _, s, p in common]
+        seeds, total = D.given_up(common, size, n, threshold)
+        words = {w for _, s, p in common if s in seeds for w in range(p, p + n)}
+        assert len(words) == total and total / size < threshold
+        for rest in {s for _, s, _ in common} - set(seeds):
+            more = words | {w for _, s, p in common if s == rest for w in range(p, p + n)}
+            assert len(more) / size >= threshold - 1e-9
+
+
+@pytest.mark.parametrize("block", [D.BLOCK_BYTES, 1])
+def test_a_passage_in_all_items_and_texts_makes_no_pairs(spark, make_docs, block):
+    passage = "choose the one right answer to the question that follows here"
+    own = lambda i: " ".join(f"w{i}x{n}" for n in range(9))
+    items = [(i, f"{passage} {own(i)}") for i in range(10_000)]
+    docs = [(i, f"{passage} {own(i + 9_700)} indeed" if i % 2 else f"so {passage} {own(-1 - i)}") for i in range(600)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), make_docs(docs)
+    hits = {r.doc_id: [x.item_id for x in r["items"]] for r in D.contamination(df, bench, block_bytes=block).collect()}
+    assert hits == {i: [i + 9_700] if i % 2 and i < 300 else [] for i in range(600)}
+    if block == 1:
+        texts = df.select(*D._keyed(df.text), df.text)
+        met, able = D._candidates(texts, bench.select("item_id", *D._keyed(bench.text, D._ITEM[1:]), "text"), 5, 0.8)
+        assert met.count() < 20 * 600 and able.count() == 150
+    else:
+        most = D.Block.of(items, 5)
+        assert max(np.unique(most.seeds[5][0], return_counts=True)[1]) <= D.COMMON
+
+
 def test_empty_tables(spark, make_docs, messy):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(make_docs([]), none).count() == 0
