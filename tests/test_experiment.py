@@ -161,6 +161,20 @@ def test_an_extractor_cannot_change_what_others_see(prepared, settings, matrix):
     assert sorted(map(key, again.collect())) == sorted(map(key, matrix.collect()))
 
 
+def test_discs_are_drawn_few_at_a_time(spark, monkeypatch, tmp_path):
+    """A task that draws holds the pixels of 64 images, whatever its batch."""
+    import pandas as pd
+
+    from quadrille.plans import catalogue
+
+    spark.range(5).selectExpr("id AS vec_id", "cast(id AS int) AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    held = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda self, work, schema: held.append(work))
+    catalogue.disc_images(spark, str(tmp_path), 8)
+    frames = list(held[0]([pd.DataFrame({"vec_id": range(1000), "label": 3})]))
+    assert max(map(len, frames)) <= 64 and [i for f in frames for i in f.record_index] == list(range(1000))
+
+
 def test_contract_of_extractors():
     with pytest.raises(ExtractionError, match="declares 4"):
         validated([1, 2, 3], 4, "X")
