@@ -357,6 +357,32 @@ def test_pairs_and_decomposition_agree_with_one_task(spark, monkeypatch, most):
     assert all(r.gap is None for r in found) if most == 450 else all(-1e-9 < r.gap < 0.01 for r in found)
 
 
+def test_pairs_beyond_a_task_agree_with_one_task(spark, monkeypatch):
+    rows = three_classes(spark, 900, techniques="a")
+    whole = {(r.fold, r.group): r.predicted for r in svm.cross_validated_predictions(rows, folds=3).collect()}
+    for name, value in (("MAX_ROWS", 100), ("PAIR_VALUES", 0), ("WORKING", 24), ("BLOCK_ROWS", 90)):
+        monkeypatch.setattr(svm, name, value)
+    found = svm.cross_validated_predictions(rows, folds=3).collect()
+    assert len(found) == 900 and all(r.converged and -1e-9 < r.gap < 0.01 for r in found)
+    assert np.mean([whole[r.fold, r.group] == r.predicted for r in found]) > 0.995
+
+
+def test_equal_rows_are_one_with_larger_bounds(spark, monkeypatch):
+    """Copies fit a task by what differs in them, and the model is that of all of them."""
+    r = np.random.default_rng(7)
+    x, label = np.repeat(r.normal(0, 1.2, (200, 2)), 3, axis=0), np.repeat(np.arange(200) % 2, 3)
+    x[:, 0] += 2 * label
+    new = r.normal(0, 2, (90, 2))
+    frame = lambda x, label, low: spark.createDataFrame([("t", low + i, 0, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x, strict=True))], "technique string, group long, variant int, label int, features array<double>")
+    train, held = frame(x, label, 0), frame(np.repeat(new, 2, axis=0), np.arange(180) % 2, 1000)
+    plain = svm.KernelSVM().fit(x, label).predict(np.repeat(new, 2, axis=0))
+    for most, solver in ((300, "smo"), (100, "smo by pairs")):
+        monkeypatch.setattr(svm, "MAX_ROWS", most)
+        found = svm.held_out_predictions(train, held).collect()
+        assert {f.group: f.label for f in found} == {1000 + i: i % 2 for i in range(180)} and {f.solver for f in found} == {solver}
+        assert np.mean([plain[f.group - 1000] == f.predicted for f in found]) > 0.98
+
+
 def test_folds_of_any_size_have_the_solution_of_one_task(spark):
     """Two classes of 10,000 rows, beyond MAX_ROWS: the same answers as sequential minimal optimisation over all of them."""
     n = 20_000
