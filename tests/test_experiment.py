@@ -385,6 +385,20 @@ def test_rows_are_not_sent_to_each_pair(spark, monkeypatch):
     assert written() - before < 15 * x.nbytes
 
 
+def test_rounds_of_labels_at_random_meet_the_kernel_few_times(monkeypatch):
+    """Almost every row is a support vector; its column is needed once, and few of them again."""
+    r, n = np.random.default_rng(13), 6000
+    z, y = r.normal(size=(n, 64)), np.where(r.random(n) < 0.5, 1.0, -1.0)
+    columns, plain = [], svm._decisions
+    monkeypatch.setattr(svm, "_decisions", lambda x, support, *more: columns.append(len(support)) or plain(x, support, *more))
+    monkeypatch.setattr(svm, "STARTED", 1000, raising=False)
+    alpha, f, bias, done = svm.decomposed(z, y, np.ones(n), 1 / 64, "rbf", 256)
+    assert done and abs(alpha @ y) < 1e-6 and (alpha >= 0).all() and (alpha <= 1).all()
+    assert abs(svm.relative_gap((alpha * y * f).sum(), alpha.sum(), np.maximum(0, 1 - y * (f + bias)).sum())) < 0.01
+    assert np.abs(f - svm._kernel(z, z, 1 / 64, "rbf") @ (alpha * y)).max() < 1e-3
+    assert sum(columns) < 3.4 * n  # 3.0; from zero 3.8
+
+
 def test_equal_rows_are_one_with_larger_bounds(spark, monkeypatch):
     """Copies fit a task by what differs in them, and the model is that of all of them."""
     r = np.random.default_rng(7)
